@@ -1,10 +1,12 @@
 """The queries and SQL of this subpackage, by name."""
 
-from factlens.llm import substrings
+from factlens.llm import jaccard, substrings
 
 QUERIES = {
     "op3_substring_dedup": substrings.op3_substring_dedup,
+    "op4_jaccard_join": jaccard.op4_jaccard_join,
 }
 ORACLE = {
     "op3_substring_dedup": substrings.OP3_SQL,
+    "op4_jaccard_join": jaccard.OP4_SQL,
 }
