@@ -1,12 +1,18 @@
 """The queries and SQL of this subpackage, by name."""
 
-from factlens.llm import jaccard, substrings
+from factlens.llm import jaccard, packing, sharding, substrings, tokens, urls
 
 QUERIES = {
+    "op1_virtual_slots": sharding.op1_virtual_slots,
+    "op2_token_counts": tokens.op2_token_counts,
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_jaccard_join": jaccard.op4_jaccard_join,
+    "op6_packing": packing.op6_packing,
+    "op9_token_matrices": packing.op9_token_matrices,
+    "op10_url_filter": urls.op10_url_filter,
 }
 ORACLE = {
     "op3_substring_dedup": substrings.OP3_SQL,
     "op4_jaccard_join": jaccard.OP4_SQL,
+    "op10_url_filter": urls.OP10_SQL,
 }
