@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A document without an id takes part as the document with the smallest id.
 NULL_ID = -(1 << 63)
@@ -161,3 +162,22 @@ def record(schema: str, **cols) -> pa.RecordBatch:
 
 
 KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+
+
+def add_columns(docs: DataFrame, judge, ddl: str) -> DataFrame:
+    """`docs` with the columns of `ddl` added (replaced if there); judge(iterator of lists of texts) yields a list for each.
+
+    All other columns, of any name, travel in one struct beside the text.
+    """
+    added = T.StructType.fromDDL(ddl)
+    docs = docs.drop(*added.names)
+    others = [c for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in others]).alias("row"), F.col("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = judge(as_bytes(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), *(pa.array(c, type=KINDS[f.dataType.simpleString().replace("bigint", "long")]) if not isinstance(c, pa.Array) else c for c, f in zip(cols, added, strict=True))], names=["row", "text", *added.names])
+
+    out = packed.mapInArrow(run, T.StructType([*packed.schema, *added]))
+    return out.select(*["text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], *added.names)
