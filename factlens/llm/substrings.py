@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,11 +126,11 @@ def prefilter(spark: SparkSession, docs: DataFrame, size: int) -> tuple[np.ndarr
     return bits, width
 
 
-CANDIDATES = "slice int, w1 binary, w2 binary, start binary, doc binary, idk binary, tkey binary, own_idk long, own_tkey long, lo binary, hi binary"
+CANDIDATES = "slice int, w1 binary, w2 binary, start binary, doc binary, idk binary, tkey binary, lo binary, hi binary"
 
 
 def candidates(docs: DataFrame, size: int, bits, width: int, slices: int) -> DataFrame:
-    """Rows with slice >= 0: windows that may repeat, the first of equals in a task. Others: runs of starts known to repeat."""
+    """Per slice, packed: windows that may repeat, the first of equals in a task; or (lo, hi) runs of starts known to repeat."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketched = bits.value
@@ -173,55 +174,94 @@ def _order(w1, w2, ids, tkeys, start) -> tuple[np.ndarray, np.ndarray]:
     return at, same & ~((i == i[first]) & (s == s[first]) & (k == k[first]))
 
 
-def _runs(doc: np.ndarray, start: np.ndarray) -> list[tuple[int, bytes, bytes]]:
-    """(doc, first starts, last starts) of runs of starts."""
-    if not len(doc):
-        return []
+def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of starts: document, first and last start, ordered."""
     at = np.lexsort((start, doc))
     doc, start = doc[at], start[at]
+    if not len(doc):
+        return doc, start, start
     first = C.segments((doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1))
-    lo, hi, owner = start[first].astype("<i4"), start[np.append(first[1:], len(start)) - 1].astype("<i4"), doc[first]
-    each = C.segments(owner[1:] != owner[:-1])
-    return [(int(owner[a]), lo[a:b].tobytes(), hi[a:b].tobytes()) for a, b in zip(each, np.append(each[1:], len(owner)), strict=True)]
+    return doc[first], start[first], start[np.append(first[1:], len(start)) - 1]
+
+
+def _buckets(ids: np.ndarray, tkeys: np.ndarray, buckets: int) -> np.ndarray:
+    return (C.mix(ids.astype(np.uint64) * C.A + tkeys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _cut(key: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal keys of an ordered array."""
+    first = C.segments(key[1:] != key[:-1]) if len(key) else []
+    return list(zip(first, np.append(first[1:], len(key)), strict=True)) if len(key) else []
 
 
 def _flush(held: list, keys: list, slices: int) -> Iterator[pa.RecordBatch]:
     w1, w2, anchor, start, doc = (np.concatenate(x) for x in zip(*held, strict=True))
     ids, tkeys = (np.array(x, np.int64) for x in zip(*keys, strict=True))
     at, later = _order(w1, w2, ids[doc], tkeys[doc], start)
-    runs = _runs(doc[at[later]], start[at[later]])
-    none: list = [None] * len(runs)
-    yield C.record(CANDIDATES, slice=[-1] * len(runs), w1=none, w2=none, start=none, doc=none, idk=none, tkey=none, own_idk=[int(ids[d]) for d, _, _ in runs], own_tkey=[int(tkeys[d]) for d, _, _ in runs], lo=[x for _, x, _ in runs], hi=[x for _, _, x in runs])
+    cols: dict[str, list] = {k: [] for k in ("slice", "w1", "w2", "start", "doc", "idk", "tkey", "lo", "hi")}
+    owner, lo, hi = _runs(doc[at[later]], start[at[later]])
+    to = _buckets(ids[owner], tkeys[owner], slices)
+    order = np.argsort(to, kind="stable")
+    owner, lo, hi, to = owner[order], lo[order], hi[order], to[order]
+    for a, b in _cut(to):
+        own, code = np.unique(owner[a:b], return_inverse=True)
+        for k, x in zip(cols, (int(to[a]), None, None, None, code.astype("<i4").tobytes(), ids[own].tobytes(), tkeys[own].tobytes(), lo[a:b].astype("<i4").tobytes(), hi[a:b].astype("<i4").tobytes()), strict=True):
+            cols[k].append(x)
     at = at[~later]
     to = (C.mix(anchor[at] + C.A) % np.uint64(slices)).astype(np.int64)
     order = np.lexsort((start[at], doc[at], to))
     at, to = at[order], to[order]
-    if not len(at):
-        return
-    first = C.segments(to[1:] != to[:-1])
-    cols: dict[str, list] = {k: [] for k in ("slice", "w1", "w2", "start", "doc", "idk", "tkey")}
-    for a, b in zip(first, np.append(first[1:], len(at)), strict=True):
+    for a, b in _cut(to):
         own, code = np.unique(doc[at[a:b]], return_inverse=True)
-        for k, x in zip(cols, (int(to[a]), w1[at[a:b]].tobytes(), w2[at[a:b]].tobytes(), start[at[a:b]].astype("<i4").tobytes(), code.astype("<i4").tobytes(), ids[own].tobytes(), tkeys[own].tobytes()), strict=True):
+        for k, x in zip(cols, (int(to[a]), w1[at[a:b]].tobytes(), w2[at[a:b]].tobytes(), start[at[a:b]].astype("<i4").tobytes(), code.astype("<i4").tobytes(), ids[own].tobytes(), tkeys[own].tobytes(), None, None), strict=True):
             cols[k].append(x)
-    none = [None] * len(first)
-    yield C.record(CANDIDATES, **cols, own_idk=none, own_tkey=none, lo=none, hi=none)
+    yield C.record(CANDIDATES, **cols)
+
 
+def _arrays(t: pa.Table, names: str, kinds: dict) -> tuple[np.ndarray, ...]:
+    """The packed columns of all rows; `doc` becomes an index into `idk` and `tkey`."""
+    got = {c: [np.frombuffer(x, kinds.get(c, "<i4")) for x in t.column(c).to_pylist()] for c in names.split()}
+    base = np.cumsum([0] + [len(x) for x in got["idk"]])
+    got["doc"] = [c + b for c, b in zip(got["doc"], base, strict=False)]
+    return tuple(np.concatenate(x) if x else np.empty(0, kinds.get(c, "<i4")) for c, x in got.items())
 
-RUNS = "own_idk long, own_tkey long, lo binary, hi binary"
 
+WIDE = {"idk": "<i8", "tkey": "<i8", "w1": "<u8", "w2": "<u8"}
+RUNS = "bucket int, doc binary, idk binary, tkey binary, lo binary, hi binary"
 
-def _repeats(t: pa.Table) -> pa.Table:
-    """Exact groups of one slice: runs of starts whose window starts earlier elsewhere."""
-    get = lambda name, kind: [np.frombuffer(x, kind) for x in t.column(name).to_pylist()]
-    own_ids, own_keys, codes = get("idk", "<i8"), get("tkey", "<i8"), get("doc", "<i4")
-    base = np.cumsum([0] + [len(x) for x in own_ids])
-    ids, tkeys = np.concatenate(own_ids), np.concatenate(own_keys)
-    doc = np.concatenate([c + b for c, b in zip(codes, base, strict=False)])
-    w1, w2, start = (np.concatenate(get(c, k)) for c, k in (("w1", "<u8"), ("w2", "<u8"), ("start", "<i4")))
+
+def _repeats(t: pa.Table, buckets: int) -> pa.Table:
+    """Exact groups of one slice: runs of starts whose window starts earlier elsewhere, packed per bucket of documents."""
+    known = pc.is_valid(t.column("lo"))
+    doc, ids, tkeys, lo, hi = _arrays(t.filter(known), "doc idk tkey lo hi", WIDE)
+    parts = [(ids[doc], tkeys[doc], lo, hi)]
+    w1, w2, start, doc, ids, tkeys = _arrays(t.filter(pc.invert(known)), "w1 w2 start doc idk tkey", WIDE)
     at, later = _order(w1, w2, ids[doc], tkeys[doc], start)
-    runs = _runs(doc[at[later]], start[at[later]])
-    return pa.table({"own_idk": pa.array([int(ids[d]) for d, _, _ in runs], pa.int64()), "own_tkey": pa.array([int(tkeys[d]) for d, _, _ in runs], pa.int64()), "lo": pa.array([x for _, x, _ in runs], pa.binary()), "hi": pa.array([x for _, _, x in runs], pa.binary())})
+    owner, lo, hi = _runs(doc[at[later]], start[at[later]])
+    parts.append((ids[owner], tkeys[owner], lo, hi))
+    ids, tkeys, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+    to = _buckets(ids, tkeys, buckets)
+    order = np.lexsort((lo, tkeys, ids, to))
+    ids, tkeys, lo, hi, to = ids[order], tkeys[order], lo[order], hi[order], to[order]
+    cols: dict[str, list] = {c.split()[0]: [] for c in RUNS.split(", ")}
+    for a, b in _cut(to):
+        own, code = np.unique(np.stack((ids[a:b], tkeys[a:b])), axis=1, return_inverse=True)
+        for k, x in zip(cols, (int(to[a]), code.ravel().astype("<i4").tobytes(), own[0].tobytes(), own[1].tobytes(), lo[a:b].astype("<i4").tobytes(), hi[a:b].astype("<i4").tobytes()), strict=True):
+            cols[k].append(x)
+    return pa.Table.from_batches([C.record(RUNS, **cols)])
+
+
+GONE = "own_idk long, own_tkey long, lo binary, hi binary"
+
+
+def _by_document(t: pa.Table) -> pa.Table:
+    """A row of all runs for each document of a bucket."""
+    doc, ids, tkeys, lo, hi = _arrays(t, "doc idk tkey lo hi", WIDE)
+    ids, tkeys = ids[doc], tkeys[doc]
+    order = np.lexsort((lo, tkeys, ids))
+    ids, tkeys, lo, hi = ids[order], tkeys[order], lo[order].astype("<i4"), hi[order].astype("<i4")
+    cuts = _cut(np.cumsum(np.concatenate(([0], (ids[1:] != ids[:-1]) | (tkeys[1:] != tkeys[:-1])))) if len(ids) else ids)
+    return pa.Table.from_batches([C.record(GONE, own_idk=[int(ids[a]) for a, _ in cuts], own_tkey=[int(tkeys[a]) for a, _ in cuts], lo=[lo[a:b].tobytes() for a, b in cuts], hi=[hi[a:b].tobytes() for a, b in cuts])])
 
 
 KEPT = "kept_text string, n_words long, n_removed long"
@@ -236,42 +276,39 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, size: int = 20) -> Da
     rows of one doc_id with other texts are ordered by start, then by a hash of the text. Columns named
     kept_text, n_words or n_removed are replaced; other columns may have any name.
     """
-    scratch = C.Scratch(spark, "substrings")
+    C.limit_batches(spark)
     docs = docs.drop("kept_text", "n_words", "n_removed")
     keyed = docs.select(C.id_key().alias("idk"), F.xxhash64("text").alias("tkey"), "text")
     bits, width = prefilter(spark, keyed, size)
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(C.shuffle_partitions(spark), total // 8_000_000)
-    found = scratch.write(candidates(keyed, size, spark.sparkContext.broadcast(bits), width, slices), "candidates")
-    exact = found.filter("slice >= 0").groupBy("slice").applyInArrow(_repeats, RUNS)
-    runs = found.filter("slice < 0").select("own_idk", "own_tkey", "lo", "hi").unionByName(exact)
-    gone = runs.groupBy("own_idk", "own_tkey").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"), C.id_key().alias("own_idk"), F.xxhash64("text").alias("own_tkey"))
+    slices = max(C.shuffle_partitions(spark), total // 16_000_000)
+    found = candidates(keyed, size, spark.sparkContext.broadcast(bits), width, slices)
+    runs = found.groupBy("slice").applyInArrow(lambda t: _repeats(t, slices), RUNS)
+    gone = runs.groupBy("bucket").applyInArrow(_by_document, GONE)
+    # The text goes through the join once: the other columns travel beside it.
+    others = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    row = docs.select(others.alias("row"), F.col("text").alias("text"), C.id_key().alias("own_idk"), F.xxhash64("text").alias("own_tkey"))
     joined = row.join(gone, ["own_idk", "own_tkey"], "left").select("row", "text", "lo", "hi")
-    schema = T.StructType([row.schema["row"], *T.StructType.fromDDL(KEPT)])
+    schema = T.StructType([row.schema["row"], row.schema["text"], *T.StructType.fromDDL(KEPT)])
     kept = joined.mapInArrow(lambda batches: map(lambda b: _keep(b, size), batches), schema)
-    return kept.select("row.*", "kept_text", "n_words", "n_removed")
+    return kept.select(*["text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], "kept_text", "n_words", "n_removed")
 
 
 def _keep(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
     out: tuple[list, list, list] = ([], [], [])
-    for text, lo, hi in zip(as_list(batch, "text"), batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), strict=True):
+    for text, lo, hi in zip(C.as_bytes(batch.column("text")), batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), strict=True):
         words = C.words_of(text)
         n, gone = len(words), 0
         if lo:
             edge = np.zeros(n + 1, np.int64)
-            np.add.at(edge, np.frombuffer(b"".join(lo), "<i4"), 1)
-            np.add.at(edge, np.frombuffer(b"".join(hi), "<i4") + size, -1)
+            np.add.at(edge, np.frombuffer(lo, "<i4"), 1)
+            np.add.at(edge, np.frombuffer(hi, "<i4") + size, -1)
             kept = np.cumsum(edge[:-1]) == 0
             gone = n - int(kept.sum())
             words = [words[i] for i in np.flatnonzero(kept)]
         for x, y in zip(out, (b" ".join(words), n, gone), strict=True):
             x.append(y)
-    return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out[0], pa.binary()).cast(pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["row", "kept_text", "n_words", "n_removed"])
-
-
-def as_list(batch: pa.RecordBatch, name: str) -> list:
-    return C.as_bytes(batch.column(name))
+    return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(out[0], pa.binary()).cast(pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["row", "text", "kept_text", "n_words", "n_removed"])
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
