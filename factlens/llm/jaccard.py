@@ -135,25 +135,25 @@ def ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.sort((level << CLASS_SHIFT) | (s >> np.uint64(6)))
 
 
-PREFIX = "slice int, token binary, at binary, size binary, sids binary"
+PREFIX = "slice int, token binary, place binary, at binary, size binary, sids binary"
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, levels, slices: int) -> DataFrame:
     """The prefix shingles of every class, per slice; each task sends a class once."""
 
     def search(batches):
-        level, seen, sids, sizes, toks, owner, n = levels.value, set(), [], [], [], [], 0
+        level, seen, sids, sizes, toks, owner, places, n = levels.value, set(), [], [], [], [], [], 0
 
         def flush():
-            tok, own = np.concatenate(toks), np.concatenate(owner)
+            tok, own, place = np.concatenate(toks), np.concatenate(owner), np.concatenate(places)
             to = (C.mix(tok) % np.uint64(slices)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            tok, own, to = tok[order], own[order], to[order]
+            tok, own, place, to = tok[order], own[order], place[order].astype("<i4"), to[order]
             size, first = np.array(sizes, "<i8"), C.segments(to[1:] != to[:-1])
-            cols = {c: [] for c in ("slice", "token", "at", "size", "sids")}
+            cols = {c: [] for c in ("slice", "token", "place", "at", "size", "sids")}
             for a, b in zip(first, np.append(first[1:], len(to)), strict=True):
                 mine, code = np.unique(own[a:b], return_inverse=True)
-                for c, x in zip(cols, (int(to[a]), tok[a:b].tobytes(), code.astype("<i4").tobytes(), size[mine].tobytes(), b"".join(sids[i] for i in mine)), strict=True):
+                for c, x in zip(cols, (int(to[a]), tok[a:b].tobytes(), place[a:b].tobytes(), code.astype("<i4").tobytes(), size[mine].tobytes(), b"".join(sids[i] for i in mine)), strict=True):
                     cols[c].append(x)
             return C.record(PREFIX, **cols)
 
@@ -165,12 +165,13 @@ def prefixes(docs: DataFrame, k: int, percent: int, levels, slices: int) -> Data
             p = len(s) - -(-percent * len(s) // 100) + 1
             owner.append(np.full(p, len(sids)))
             toks.append(keys[:p])
+            places.append(np.arange(p))
             sids.append(sid)
             sizes.append(len(s))
             n += p
             if n >= FLUSH:
                 yield flush()
-                seen, sids, sizes, toks, owner, n = set(), [], [], [], [], 0
+                seen, sids, sizes, toks, owner, places, n = set(), [], [], [], [], [], 0
         if n:
             yield flush()
 
@@ -178,16 +179,26 @@ def prefixes(docs: DataFrame, k: int, percent: int, levels, slices: int) -> Data
 
 
 def _lists(t: pa.Table, percent: int) -> pa.Table:
-    """(leader, member) classes of the lists of one slice, cut where sizes are too far apart to link."""
+    """(leader, member) classes of the lists of one slice, cut where sizes are too far apart to link.
+
+    Two sets that link have their first common shingle in some list, and share no more than what follows it in
+    either. So a set leaves a list where less follows than it needs with the smallest partner there.
+    """
     get = lambda name, kind: [np.frombuffer(x, kind) for x in t.column(name).to_pylist()]
     sizes, sids = get("size", "<i8"), get("sids", ">u8")
     base = np.cumsum([0] + [len(x) for x in sizes])
     at = np.concatenate([x + b for x, b in zip(get("at", "<i4"), base, strict=False)])
+    place = np.concatenate(get("place", "<i4"))
     tok, size, sid = np.concatenate(get("token", "<u8")), np.concatenate(sizes)[at], np.concatenate(sids).reshape(-1, 2)[at].astype(np.uint64)
     order = np.lexsort((size, tok))
     tok, size, sid = tok[order], size[order], sid[order]
     cut = np.concatenate(([True], (tok[1:] != tok[:-1]) | (100 * size[:-1] < percent * size[1:])))
     group = np.cumsum(cut)
+    least = np.maximum(size[np.flatnonzero(cut)][group - 1], -(-percent * size // 100))
+    ok = size - place[order] >= -(-percent * (size + least) // (100 + percent))
+    group, sid = group[ok], sid[ok]
+    if not len(group):
+        return pa.table({"leader": pa.array([], pa.binary()), "sid": pa.array([], pa.binary())})
     order = np.lexsort((sid[:, 1], sid[:, 0], group))
     group, sid = group[order], sid[order]
     new = np.concatenate(([True], (group[1:] != group[:-1]) | (sid[1:] != sid[:-1]).any(axis=1)))
