@@ -13,7 +13,7 @@ from factlens.schema import DIMENSIONS
 from factlens.sources.mapping import DATE, DECIMAL
 
 ENTRY = "struct<start:string,end:string,val:string,accn:string,fy:string,fp:string,form:string,filed:string,frame:string>"
-#: Numbers are read as text, so no digit is lost.
+#: Numbers are text, so no digit is lost.
 SCHEMA = f"cik string, entityName string, facts map<string, map<string, struct<label:string, description:string, units:map<string, array<{ENTRY}>>>>>"
 
 
@@ -28,7 +28,9 @@ class Rules:
 
 def flatten(raw: DataFrame, rules: Rules) -> DataFrame:
     """One row for each entry of `raw` (json) with `reason`: null if it is accepted, else why it is not, in a fixed order."""
-    doc = raw.select(F.from_json("json", SCHEMA).alias("d"))
+    # The parser would turn long numbers into doubles, so they are quoted first.
+    quoted = F.regexp_replace("json", r'(?<!\\)("val"\s*:\s*)(-?[0-9][0-9.eE+-]*)', '$1"$2"')
+    doc = raw.select(F.from_json(quoted, SCHEMA).alias("d"))
     rows = (
         doc.select("d.cik", "d.entityName", F.explode("d.facts").alias("taxonomy", "concepts"))
         .select("cik", "entityName", "taxonomy", F.explode("concepts").alias("concept", "c"))
