@@ -27,7 +27,7 @@ CELLS = (1 << 12, 1 << 22)
 CLASS_SHIFT = np.uint64(58)
 #: A block task holds about so many classes and shingles; a larger group is split.
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 4_000_000
-#: Candidate classes that are broadcast to fetch texts; beyond, a shuffle join does it.
+#: Candidate (class, block) pairs that are broadcast to fetch texts; beyond, a shuffle join does it.
 BROADCAST_ROWS = 500_000
 FLUSH = 1_500_000
 UPPER = bytes(range(65, 91))
@@ -66,6 +66,8 @@ def read_sets(docs: DataFrame, k: int, width: int) -> DataFrame:
 
         def add():
             nonlocal waiting
+            if not held:
+                return
             count.__iadd__(np.bincount(np.concatenate(held).astype(np.int64), minlength=width))
             held.clear()
             waiting = 0
@@ -357,10 +359,10 @@ def _across(placed: DataFrame, comps: DataFrame) -> DataFrame:
 
 def _verify(spark: SparkSession, docs: DataFrame, targets: DataFrame, k: int, percent: int, shared, bounds: np.ndarray, broadcast_rows: int) -> DataFrame:
     asked = targets.groupBy("sid", "idk", "n", "comp").agg(F.collect_list(F.struct("leader", "block", "role")).alias("targets"))
-    size = asked.agg(F.count("*").alias("rows"), F.sum(F.col("n") * F.size("targets")).alias("shingles")).first()
+    size = asked.agg(F.count("*").alias("rows"), F.sum(F.size("targets")).alias("targets"), F.sum(F.col("n") * F.size("targets")).alias("shingles")).first()
     bundles = max(C.shuffle_partitions(spark), int(size["shingles"] or 0) // 2_000_000)
     asked = asked.select("sid", "idk", "comp", "targets")
-    asked = F.broadcast(asked) if size["rows"] <= broadcast_rows else asked.hint("merge")
+    asked = F.broadcast(asked) if (size["targets"] or 0) <= broadcast_rows else asked.hint("merge")
     texts = docs.select(C.id_key().alias("idk"), "text").join(asked, "idk").select("sid", "targets", "comp", "text")
     return fetch(texts, k, shared, bundles).groupBy("bundle").applyInArrow(lambda t: _block(t, percent, bounds), "u binary, v binary")
 
