@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +52,7 @@ class WordIds(dict):
             ranks[bytes(byte[c] for c in (token[:-4] if last else token)) + END * last] = i
         self.piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
-    @lru_cache(maxsize=1)  # noqa: B019
+    @cached_property
     def tokenizer(self):
         from tokenizers import Tokenizer
 
@@ -64,7 +64,7 @@ class WordIds(dict):
             low = text.lower()
             out = b"".join(self._piece(p) for p in ((low,) if low.isalpha() else SPLIT.findall(low)))
         else:
-            out = np.array(self.tokenizer().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= CACHE:
             self.clear()
         self[word] = out
