@@ -11,13 +11,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from factlens.llm import common as C
 
@@ -25,21 +26,21 @@ from factlens.llm import common as C
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
 #: Lexicon terms, at most; the strongest are kept. This bounds what is broadcast.
-TERMS = 20_000
+TERMS = 2000
 WINDOW = 6
 #: A term that ends in STEM stands for all longer words that start with it; stems of these lengths are tried.
 STEM, STEMS = "*", (4, 5, 6, 7, 8)
-CACHE = 300_000
-EDGE = regex.compile(r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$")
+CACHE = 150_000
 #: Words that mark reported speech or denial, and words that address somebody.
 REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes reported term word words sagte schrieb nannte zitat wort dit disait écrit appelé citation mot dijo escribió llamó cita palabra not never nicht nie pas jamais nunca".split())
 ADDRESSING = frozenset("you your yours u ur youre du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros eres".split())
 QUOTES = "\"'“”„‟«»‹›‘’‚`"
+EDGE = "!#$%&()*+,-./:;<=>?@[]^_{|}~\\…–—¿¡·•" + QUOTES
 
 
 def normal(word: str) -> str:
     """A-Z and others lower-cased, without punctuation at the ends."""
-    return EDGE.sub("", word.lower())
+    return word.lower().strip(EDGE)
 
 
 def edits(length: int) -> int:
@@ -105,14 +106,22 @@ class Matcher(dict):
         # its end, another near its place. Only words that pass this go along the trie.
         whole = {t: w for t, w in self.terms.items() if not t.endswith(STEM) and edits(len(t))}
         self.trie = Trie(whole)
-        heads, tails, mids = set(), set(), set()
+        self.heads, self.tails, self.mids = set(), set(), set()
         for t in whole:
             for n in {edits(m) + 1 for m in range(len(t) - 2, len(t) + 3)} - {1}:
                 at = [len(t) * i // n for i in range(n + 1)]
-                heads.add(t[: at[1]])
-                tails.add(t[at[-2] :])
-                mids.update(t[a:b] for a, b in zip(at[1:-1], at[2:-1], strict=False))
-        self.near = regex.compile("|".join([*(f"^{regex.escape(h)}" for h in sorted(heads)), *(f"{regex.escape(h)}$" for h in sorted(tails)), *map(regex.escape, sorted(mids))])) if heads else None
+                self.heads.add(t[: at[1]])
+                self.tails.add(t[at[-2] :])
+                self.mids.update(t[a:b] for a, b in zip(at[1:-1], at[2:-1], strict=False))
+        self.sizes = [sorted({len(x) for x in own}) for own in (self.heads, self.tails, self.mids)]
+
+    def near(self, word: str) -> bool:
+        heads, tails, mids = self.sizes
+        return (
+            any(word[:n] in self.heads for n in heads)
+            or any(word[-n:] in self.tails for n in tails)
+            or any(word[i : i + n] in self.mids for n in mids for i in range(1, len(word) - n))
+        )
 
     def __missing__(self, raw: bytes):
         if len(self) >= CACHE:
@@ -123,7 +132,7 @@ class Matcher(dict):
         out: object = 0
         if weight:
             out = ("hit", 0, weight, any(c in QUOTES for c in text))
-        elif (most := edits(len(word))) and self.near and self.near.search(word) and (got := self.trie.search(word, most)) is not None:
+        elif (most := edits(len(word))) and self.near(word) and (got := self.trie.search(word, most)) is not None:
             out = ("hit", got[0], got[1], any(c in QUOTES for c in text))
         elif word in REPORTING:
             out = ("report",)
@@ -175,13 +184,16 @@ def _matcher(lexicon: Lexicon) -> Matcher:
 
 
 def learn_lexicon(train: DataFrame) -> tuple[tuple[str, float], ...]:
-    """Terms of `train` (doc_id, text, toxic) by a binomial test at one expected false term; weight: smoothed log odds."""
+    """Terms of `train` (doc_id, text, toxic) by a binomial test; weight: smoothed log odds."""
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[int]] = {}
+        known: dict[bytes, str] = {}
         for batch in batches:
+            if len(known) > CACHE:
+                known.clear()
             for text, toxic in zip(C.as_bytes(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-                words = {normal(w.decode()) for w in set(C.words_of(text))}
+                words = {known.get(w) or known.setdefault(w, normal(w.decode())) for w in set(C.words_of(text))}
                 for w in words | {w[:n] + STEM for w in words for n in STEMS if n < len(w)}:
                     if w and len(w) <= 64:
                         held.setdefault(w, [0, 0])[toxic] += 1
@@ -190,7 +202,7 @@ def learn_lexicon(train: DataFrame) -> tuple[tuple[str, float], ...]:
                 held = {}
         yield _counts(held)
 
-    counts = train.mapInArrow(terms, "term string, clean long, bad long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
+    counts = train.mapInArrow(C.tidy(terms), "term string, clean long, bad long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
     size = train.groupBy("toxic").count().collect()
     docs = {r.toxic: r["count"] for r in size}
     bad, clean = docs.get(1, 0), docs.get(0, 0)
@@ -202,7 +214,29 @@ def learn_lexicon(train: DataFrame) -> tuple[tuple[str, float], ...]:
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     rows = likely.withColumn("odds", odds).orderBy(F.desc(F.col("bad") * F.col("odds")), "term").limit(TERMS).collect()
     tried = max(1, counts.filter(F.col("bad") >= 2).count())
-    return tuple(sorted((r.term, round(r.odds, 6)) for r in rows if _tail(r.bad, r.bad + r.clean, base) * tried <= 1))
+    return pruned([(r.term, r.bad, round(r.odds, 6)) for r in rows if _tail(r.bad, r.bad + r.clean, base) * tried <= FALSE_TERMS])
+
+
+def pruned(found: list[tuple[str, int, float]]) -> tuple[tuple[str, float], ...]:
+    """Terms (term, toxic documents, odds) without those that others stand for.
+
+    A stem goes if one word has most of its documents, or a longer stem most of them at clearly higher odds. Words and
+    longer stems go under a stem that is left with like odds.
+    """
+    words = {t: b for t, b, _ in found if not t.endswith(STEM)}
+    stems = {t[:-1]: (b, o) for t, b, o in found if t.endswith(STEM)}
+    best: dict[str, int] = {}
+    for w, b in words.items():
+        for n in STEMS:
+            if n < len(w):
+                best[w[:n]] = max(best.get(w[:n], 0), b)
+    kept: dict[str, tuple[int, float]] = {}
+    for s, (b, o) in stems.items():
+        if b <= 1.3 * best.get(s, 0) or any(t != s and t.startswith(s) and y > o + 0.5 and x >= 0.7 * b for t, (x, y) in stems.items()):
+            continue
+        kept[s] = (b, o)
+    covered = lambda t, o: any(t[:n] in kept and kept[t[:n]][1] >= o - 0.5 for n in STEMS if n < len(t))
+    return tuple(sorted([(s + STEM, o) for s, (_, o) in kept.items() if not covered(s, o)] + [(t, o) for t, _, o in found if not t.endswith(STEM) and not covered(t, o)]))
 
 
 def _counts(held: dict) -> pa.RecordBatch:
@@ -217,6 +251,33 @@ def _tail(k: int, n: int, p: float) -> float:
     return total
 
 
+#: False terms that the tests of all terms may let in, on average.
+FALSE_TERMS = 0.2
+KEYS = 4
+SEEDS = tuple(np.uint64(0x9E3779B97F4A7C15 * (i + 1) % 2**64) for i in range(KEYS))
+
+
+def one_of_copies(train: DataFrame) -> DataFrame:
+    """Without documents that share a min-hash of three-word runs with one of a smaller doc_id.
+
+    A group of copies is one piece of evidence: else any rare word of a toxic text that was copied often
+    looks toxic. Only learning uses this; all documents are scored.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [C.ngrams(h, min(3, len(h))) if len(h := C.word_hashes(C.words_of(t))) else h for t in C.as_bytes(batch.column("text"))]
+            least = [[int((C.mix(r + SEEDS[i]).min() >> np.uint64(1)) if len(r) else -1) for r in runs] for i in range(KEYS)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(k, pa.int64()) for k in least)], names=[*batch.schema.names, *(f"k{i}" for i in range(KEYS))])
+
+    schema = T.StructType([*train.schema, *(T.StructField(f"k{i}", T.LongType()) for i in range(KEYS))])
+    keyed = train.mapInArrow(C.tidy(keys), schema)
+    first = [F.min("doc_id").over(Window.partitionBy(f"k{i}")) == F.col("doc_id") for i in range(KEYS)]
+    light = keyed.select("doc_id", *[f"k{i}" for i in range(KEYS)])
+    kept = light.select("doc_id", reduce(Column.__and__, first).alias("first")).filter("first").select("doc_id")
+    return train.join(kept, "doc_id", "left_semi")
+
+
 def held_out() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
 
@@ -228,7 +289,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
     share = min(1.0, rows / total) if total else 1.0
     picked = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
-    train = C.Scratch(spark, "toxicity").write(train, "train")
+    train = C.Scratch(spark, "toxicity").write(one_of_copies(train), "train")
     lexicon = Lexicon(learn_lexicon(train))
     if not lexicon.terms:
         return lexicon
@@ -238,7 +299,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([features(C.words_of(t), known) for t in C.as_bytes(batch.column("text"))], pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    rows_ = train.mapInArrow(shape, "toxic int, x array<double>").groupBy("toxic", "x").count().collect()
+    rows_ = train.mapInArrow(C.tidy(shape), "toxic int, x array<double>").groupBy("toxic", "x").count().collect()
     return Lexicon(lexicon.terms, tuple(logistic(np.array([r.x for r in rows_]), np.array([r.toxic for r in rows_], float), np.array([r["count"] for r in rows_], float))))
 
 
