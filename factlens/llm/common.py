@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,6 +19,10 @@ from pyspark.sql import types as T
 #: A document without an id takes part as the document with the smallest id.
 NULL_ID = -(1 << 63)
 ARROW_ROWS = 2000
+try:
+    TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    TRIM = None
 #: Words gathered before numpy works on them at once.
 BLOCK_WORDS = 200_000
 
@@ -74,6 +80,37 @@ def pow2(n: float, low: int, high: int) -> int:
     return x
 
 
+def release() -> None:
+    """Gives a Python worker's freed memory back to the system: workers live on from stage to stage."""
+    gc.collect()
+    if TRIM is not None:
+        TRIM(0)
+
+
+def tidy(run):
+    """`run` (batches -> batches), with memory given back at its end."""
+
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return out
+
+
+def tidy_group(run):
+    """`run` (table -> table), with memory given back at its end."""
+
+    def out(t: pa.Table) -> pa.Table:
+        try:
+            return run(t)
+        finally:
+            release()
+
+    return out
+
+
 def as_bytes(col: pa.Array | pa.ChunkedArray) -> list:
     return col.cast(pa.binary()).to_pylist()
 
@@ -179,5 +216,5 @@ def add_columns(docs: DataFrame, judge, ddl: str) -> DataFrame:
             cols = judge(as_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), *(pa.array(c, type=KINDS[f.dataType.simpleString().replace("bigint", "long")]) if not isinstance(c, pa.Array) else c for c, f in zip(cols, added, strict=True))], names=["row", "text", *added.names])
 
-    out = packed.mapInArrow(run, T.StructType([*packed.schema, *added]))
+    out = packed.mapInArrow(tidy(run), T.StructType([*packed.schema, *added]))
     return out.select(*["text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], *added.names)

@@ -29,7 +29,7 @@ CLASS_SHIFT = np.uint64(58)
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 4_000_000
 #: Candidate (class, block) pairs that are broadcast to fetch texts; beyond, a shuffle join does it.
 BROADCAST_ROWS = 500_000
-FLUSH = 1_500_000
+FLUSH = 600_000
 UPPER = bytes(range(65, 91))
 FOLD = bytes.maketrans(UPPER, UPPER.lower())
 
@@ -95,7 +95,7 @@ def read_sets(docs: DataFrame, k: int, width: int) -> DataFrame:
             add()
             yield from sketch()
 
-    return docs.mapInArrow(read, READ)
+    return docs.mapInArrow(C.tidy(read), READ)
 
 
 def _light(out) -> pa.RecordBatch:
@@ -177,7 +177,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, levels, slices: int) -> Data
         if n:
             yield flush()
 
-    return docs.mapInArrow(search, PREFIX)
+    return docs.mapInArrow(C.tidy(search), PREFIX)
 
 
 def _lists(t: pa.Table, percent: int) -> pa.Table:
@@ -228,7 +228,7 @@ def fetch(docs: DataFrame, k: int, levels, bundles: int) -> DataFrame:
             lead, block = [t["leader"] for t in targets], [t["block"] for t in targets]
             yield C.record(SETS, bundle=[hash((int.from_bytes(a, "big"), b)) % bundles for a, b in zip(lead, block, strict=True)], leader=lead, block=block, role=[t["role"] for t in targets], comp=[comp] * m, sid=[sid] * m, tokens=[raw] * m)
 
-    return docs.mapInArrow(search, SETS)
+    return docs.mapInArrow(C.tidy(search), SETS)
 
 
 def _find(parent: list[int], i: int) -> int:
@@ -325,7 +325,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
     light = read.filter("kind = 0").select("doc_id", "n", "sid")
     levels, bounds = frequency_classes(read.filter("kind = 1").select("slice", "cells", "counts"), width)
     shared = spark.sparkContext.broadcast(levels)
-    lists = prefixes(docs, k, percent, shared, slices).groupBy("slice").applyInArrow(lambda t: _lists(t, percent), "leader binary, sid binary")
+    lists = prefixes(docs, k, percent, shared, slices).groupBy("slice").applyInArrow(C.tidy_group(lambda t: _lists(t, percent)), "leader binary, sid binary")
     members = scratch.write(lists.distinct(), "members")
     classes = light.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(C.id_key()).alias("idk"), F.first("n").alias("n"))
     named = scratch.write(members.join(classes, "sid"), "named")
@@ -360,11 +360,11 @@ def _across(placed: DataFrame, comps: DataFrame) -> DataFrame:
 def _verify(spark: SparkSession, docs: DataFrame, targets: DataFrame, k: int, percent: int, shared, bounds: np.ndarray, broadcast_rows: int) -> DataFrame:
     asked = targets.groupBy("sid", "idk", "n", "comp").agg(F.collect_list(F.struct("leader", "block", "role")).alias("targets"))
     size = asked.agg(F.count("*").alias("rows"), F.sum(F.size("targets")).alias("targets"), F.sum(F.col("n") * F.size("targets")).alias("shingles")).first()
-    bundles = max(C.shuffle_partitions(spark), int(size["shingles"] or 0) // 2_000_000)
+    bundles = max(C.shuffle_partitions(spark), int(size["shingles"] or 0) // 1_000_000)
     asked = asked.select("sid", "idk", "comp", "targets")
     asked = F.broadcast(asked) if (size["targets"] or 0) <= broadcast_rows else asked.hint("merge")
     texts = docs.select(C.id_key().alias("idk"), "text").join(asked, "idk").select("sid", "targets", "comp", "text")
-    return fetch(texts, k, shared, bundles).groupBy("bundle").applyInArrow(lambda t: _block(t, percent, bounds), "u binary, v binary")
+    return fetch(texts, k, shared, bundles).groupBy("bundle").applyInArrow(C.tidy_group(lambda t: _block(t, percent, bounds)), "u binary, v binary")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ BLOCK = 1 << 16
 #: Cells of a sketch row: eight for each expected anchor, within these bounds, so what is broadcast (a bit a cell and row) is 128 MB at most; beyond, more windows pass to the exact groups and the result stays the same.
 CELLS = (1 << 16, 1 << 29)
 #: Candidate windows gathered before a task groups them.
-FLUSH = 1_500_000
+FLUSH = 600_000
 SECOND = np.uint64(0xA0761D6478BD642F)
 LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -85,13 +85,13 @@ def sketch(docs: DataFrame, size: int, width: int) -> DataFrame:
                 kept = np.concatenate(([True], anchors[1:] != anchors[:-1]))
                 held.append(runs[anchors[kept]])
                 n += int(kept.sum())
-            if n >= 4 * FLUSH:
+            if n >= 2 * FLUSH:
                 yield from flush()
                 held, n = [], 0
         if n:
             yield from flush()
 
-    return docs.mapInArrow(count, SKETCH)
+    return docs.mapInArrow(C.tidy(count), SKETCH)
 
 
 def _plain(batches):
@@ -160,7 +160,7 @@ def candidates(docs: DataFrame, size: int, bits, width: int, slices: int) -> Dat
         if n:
             yield from _flush(held, keys, slices)
 
-    return docs.mapInArrow(search, CANDIDATES)
+    return docs.mapInArrow(C.tidy(search), CANDIDATES)
 
 
 def _order(w1, w2, ids, tkeys, start) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +283,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, size: int = 20) -> Da
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(C.shuffle_partitions(spark), total // 16_000_000)
     found = candidates(keyed, size, spark.sparkContext.broadcast(bits), width, slices)
-    runs = found.groupBy("slice").applyInArrow(lambda t: _repeats(t, slices), RUNS)
+    runs = found.groupBy("slice").applyInArrow(C.tidy_group(lambda t: _repeats(t, slices)), RUNS)
     gone = runs.groupBy("bucket").applyInArrow(_by_document, GONE)
     # The text goes through the join once: the other columns travel beside it.
     others = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])

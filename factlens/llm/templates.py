@@ -25,7 +25,7 @@ SHARE = 0.6
 LITERALS = 0.5
 #: Words of the benchmark that are broadcast at once; a larger benchmark is matched in blocks of items, one pass each.
 BLOCK_WORDS = 500_000
-CACHE = 300_000
+CACHE = 150_000
 #: Unit words and signs.
 UNITS = frozenset("% ° °c °f mm cm m km mi ft in inch inches yd mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg t lb lbs oz gram grams kilogram kilograms tonne tonnes pound pounds ounce ounces ml cl l liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years mph km/h kmh m/s hz khz mhz ghz w kw mw v a j kj cal kcal b kb mb gb tb $ € £ ¥ usd eur gbp dollar dollars euro euros cent cents".split())
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from factlens.llm import common as C
 
 #: Words that a Python worker remembers.
-CACHE = 400_000
+CACHE = 300_000
 END = b"\xff"
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Text for which splitting and lower-casing here is the tokenizer's own: printable ASCII and composed Latin letters.
