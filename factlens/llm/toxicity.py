@@ -11,16 +11,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from factlens.llm import common as C
+from factlens.llm import jaccard
 
 #: Labelled rows used for learning, at most: a sample by hash of doc_id. All other work covers all rows.
 TRAIN_ROWS = 20_000
@@ -253,29 +252,23 @@ def _tail(k: int, n: int, p: float) -> float:
 
 #: False terms that the tests of all terms may let in, on average.
 FALSE_TERMS = 0.2
-KEYS = 4
-SEEDS = tuple(np.uint64(0x9E3779B97F4A7C15 * (i + 1) % 2**64) for i in range(KEYS))
+#: Documents of one label whose three-word shingles are at least so alike, in percent, are copies.
+COPIES = 80
 
 
-def one_of_copies(train: DataFrame) -> DataFrame:
-    """Without documents that share a min-hash of three-word runs with one of a smaller doc_id.
+def one_of_copies(spark: SparkSession, train: DataFrame) -> DataFrame:
+    """`train` (doc_id, text, toxic) with one document, of the smallest doc_id, of each group of copies of one label.
 
-    A group of copies is one piece of evidence: else any rare word of a toxic text that was copied often
-    looks toxic. Only learning uses this; all documents are scored.
+    A group of copies is one piece of evidence: else any rare word of a toxic text that was copied often looks toxic.
+    Groups are those of op 4's exact join, so what merely shares a line or a passage stays. Only learning uses this;
+    all documents are scored.
     """
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs = [C.ngrams(h, min(3, len(h))) if len(h := C.word_hashes(C.words_of(t))) else h for t in C.as_bytes(batch.column("text"))]
-            least = [[int((C.mix(r + SEEDS[i]).min() >> np.uint64(1)) if len(r) else -1) for r in runs] for i in range(KEYS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(k, pa.int64()) for k in least)], names=[*batch.schema.names, *(f"k{i}" for i in range(KEYS))])
-
-    schema = T.StructType([*train.schema, *(T.StructField(f"k{i}", T.LongType()) for i in range(KEYS))])
-    keyed = train.mapInArrow(C.tidy(keys), schema)
-    first = [F.min("doc_id").over(Window.partitionBy(f"k{i}")) == F.col("doc_id") for i in range(KEYS)]
-    light = keyed.select("doc_id", *[f"k{i}" for i in range(KEYS)])
-    kept = light.select("doc_id", reduce(Column.__and__, first).alias("first")).filter("first").select("doc_id")
-    return train.join(kept, "doc_id", "left_semi")
+    texts = train.groupBy("toxic", "text").agg(F.min("doc_id").alias("doc_id")).withColumn("key", F.xxhash64("text"))
+    texts = C.Scratch(spark, "copies").write(texts, "texts")
+    found = [jaccard.jaccard_components(spark, texts.filter(F.col("toxic") == t).select(F.col("key").alias("doc_id"), "text"), k=3, percent=COPIES).select(F.lit(t).alias("toxic"), F.col("doc_id").alias("key"), "component_id") for t in (0, 1)]
+    groups = texts.select("toxic", "key", "doc_id").join(found[0].unionByName(found[1]), ["toxic", "key"])
+    kept = groups.groupBy("toxic", "component_id").agg(F.min(F.struct("doc_id", "key")).alias("least")).select("toxic", "least.key")
+    return texts.join(kept, ["toxic", "key"], "left_semi").select("doc_id", "text", "toxic")
 
 
 def held_out() -> Column:
@@ -289,7 +282,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
     share = min(1.0, rows / total) if total else 1.0
     picked = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
-    train = C.Scratch(spark, "toxicity").write(one_of_copies(train), "train")
+    train = C.Scratch(spark, "toxicity").write(one_of_copies(spark, train), "train")
     lexicon = Lexicon(learn_lexicon(train))
     if not lexicon.terms:
         return lexicon

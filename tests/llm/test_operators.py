@@ -371,6 +371,17 @@ def test_held_out_toxicity(spark):
     assert sum(s >= toxicity.THRESHOLD for s in good) <= 0.02 * len(good)
 
 
+def test_learning_drops_copies_only(spark):
+    rng = random.Random(12)
+    make = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    line, text = make(30), make(60)
+    near = [*text[:50], "other", *text[51:]]
+    share = [(i, " ".join(line + make(30)), i % 2) for i in range(40)]
+    docs = [*share, (50, " ".join(text), 1), (51, " ".join(near), 1), (52, " ".join(text), 1), (53, " ".join(text), 0), (54, None, 0)]
+    got = toxicity.one_of_copies(spark, spark.createDataFrame(docs, "doc_id long, text string, toxic int")).collect()
+    assert sorted((r.doc_id, r.toxic) for r in got) == [*((i, t) for i, _, t in share), (50, 1), (53, 0), (54, 0)]
+
+
 def test_toxicity_edges(spark, edge):
     labels = spark.createDataFrame([(1, 0, 1), (2, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.learn(spark, edge, labels)
