@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -43,8 +43,12 @@ def normal(word: str) -> str:
 
 
 def edits(length: int) -> int:
-    """Misspellings allowed in a word of so many characters."""
-    return 0 if length < 5 else 1 if length < 9 else 2
+    """Misspellings allowed in a word of so many characters; a word of three can only come from a term of four."""
+    return 0 if length < 3 else 1 if length < 9 else 2
+
+
+#: Shorter terms are found as they are only.
+LEAST_FUZZY = 4
 
 
 class Trie:
@@ -52,15 +56,16 @@ class Trie:
         self.root: dict = {}
         for term, weight in terms.items():
             node = self.root
-            for c in term:
+            for c in term.removesuffix(STEM):
                 node = node.setdefault(c, {})
-            node[""] = (term, weight)
+            node[STEM * 2 if term.endswith(STEM) else ""] = (term, weight)
 
     def search(self, word: str, most: int) -> tuple[int, float] | None:
         """(edits, weight) of the nearest term within `most` edits; of ties the heaviest, then the first by name.
 
         The automaton's state is `most` + 1 bit sets: bit i of set e says that the first i characters of the word reach
-        this node with e edits. A branch ends where the last set, which has the others in it, is empty.
+        this node with e edits. A branch ends where the last set, which has the others in it, is empty. A stem is found
+        where a start of the word, not all of it, reaches its node with the edits of a word of the stem's length.
         """
         at: dict[str, int] = {}
         for i, c in enumerate(word):
@@ -71,9 +76,10 @@ class Trie:
         while stack:
             node, sets = stack.pop()
             for c, child in node.items():
-                if c == "":
-                    for e, bits in enumerate(sets):
-                        if bits & end:
+                if len(c) != 1:
+                    here, allowed = (end, most) if c == "" else (end - 1, min(most, edits(len(child[0]) - 1)))
+                    for e, bits in enumerate(sets[: allowed + 1]):
+                        if bits & here:
                             found = (e, -child[1], child[0])
                             best = found if best is None else min(best, found)
                             break
@@ -92,6 +98,8 @@ class Lexicon:
     terms: tuple[tuple[str, float], ...]
     weights: tuple[float, ...] = ()
     version: str = ""
+    #: Words that a stem stands for: their misspellings are sought, the words themselves weigh as the stem.
+    covered: tuple[tuple[str, float], ...] = ()
 
 
 class Matcher(dict):
@@ -103,16 +111,22 @@ class Matcher(dict):
         self.stems = {t[:-1]: w for t, w in self.terms.items() if t.endswith(STEM)}
         # A word within n - 1 edits of a term has one of the term's n pieces whole: the first at its start, the last at
         # its end, another near its place. Only words that pass this go along the trie.
-        whole = {t: w for t, w in self.terms.items() if not t.endswith(STEM) and edits(len(t))}
-        self.trie = Trie(whole)
-        self.heads, self.tails, self.mids = set(), set(), set()
+        whole = {t: w for t, w in (lexicon.covered + lexicon.terms) if not t.endswith(STEM) and len(t) >= LEAST_FUZZY}
+        self.trie = Trie(whole | {t + STEM: w for t, w in self.stems.items()})
+        self.heads, self.tails, self.mids, self.parts = set(), set(), set(), set()
         for t in whole:
             for n in {edits(m) + 1 for m in range(len(t) - 2, len(t) + 3)} - {1}:
                 at = [len(t) * i // n for i in range(n + 1)]
                 self.heads.add(t[: at[1]])
                 self.tails.add(t[at[-2] :])
                 self.mids.update(t[a:b] for a, b in zip(at[1:-1], at[2:-1], strict=False))
+        for t in self.stems:
+            n = edits(len(t)) + 1
+            at = [len(t) * i // n for i in range(n + 1)]
+            self.heads.add(t[: at[1]])
+            self.parts.update((p, t[a:b]) for a, b in zip(at[1:-1], at[2:], strict=True) for p in range(max(0, a - n + 1), a + n))
         self.sizes = [sorted({len(x) for x in own}) for own in (self.heads, self.tails, self.mids)]
+        self.places = sorted({(p, p + len(x)) for p, x in self.parts})
 
     def near(self, word: str) -> bool:
         heads, tails, mids = self.sizes
@@ -120,6 +134,7 @@ class Matcher(dict):
             any(word[:n] in self.heads for n in heads)
             or any(word[-n:] in self.tails for n in tails)
             or any(word[i : i + n] in self.mids for n in mids for i in range(1, len(word) - n))
+            or any((a, word[a:b]) in self.parts for a, b in self.places)
         )
 
     def __missing__(self, raw: bytes):
@@ -182,7 +197,7 @@ def _matcher(lexicon: Lexicon) -> Matcher:
     return Matcher(lexicon)
 
 
-def learn_lexicon(train: DataFrame) -> tuple[tuple[str, float], ...]:
+def learn_lexicon(train: DataFrame) -> Lexicon:
     """Terms of `train` (doc_id, text, toxic) by a binomial test; weight: smoothed log odds."""
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +221,7 @@ def learn_lexicon(train: DataFrame) -> tuple[tuple[str, float], ...]:
     docs = {r.toxic: r["count"] for r in size}
     bad, clean = docs.get(1, 0), docs.get(0, 0)
     if not bad or not clean:
-        return ()
+        return Lexicon(())
     base = bad / (bad + clean)
     # At least two toxic documents, and three times the base rate: only these can pass the test.
     likely = counts.filter((F.col("bad") >= 2) & (F.col("bad") > 3 * base * (F.col("bad") + F.col("clean"))))
@@ -216,11 +231,11 @@ def learn_lexicon(train: DataFrame) -> tuple[tuple[str, float], ...]:
     return pruned([(r.term, r.bad, round(r.odds, 6)) for r in rows if _tail(r.bad, r.bad + r.clean, base) * tried <= FALSE_TERMS])
 
 
-def pruned(found: list[tuple[str, int, float]]) -> tuple[tuple[str, float], ...]:
+def pruned(found: list[tuple[str, int, float]]) -> Lexicon:
     """Terms (term, toxic documents, odds) without those that others stand for.
 
-    A stem goes if one word has most of its documents, or a longer stem most of them at clearly higher odds. Words and
-    longer stems go under a stem that is left with like odds.
+    A stem goes if one word has most of its documents, or a longer stem most of them at clearly higher odds. Longer
+    stems go under a stem that is left with like odds. Words there are kept as covered, for their misspellings.
     """
     words = {t: b for t, b, _ in found if not t.endswith(STEM)}
     stems = {t[:-1]: (b, o) for t, b, o in found if t.endswith(STEM)}
@@ -235,7 +250,8 @@ def pruned(found: list[tuple[str, int, float]]) -> tuple[tuple[str, float], ...]
             continue
         kept[s] = (b, o)
     covered = lambda t, o: any(t[:n] in kept and kept[t[:n]][1] >= o - 0.5 for n in STEMS if n < len(t))
-    return tuple(sorted([(s + STEM, o) for s, (_, o) in kept.items() if not covered(s, o)] + [(t, o) for t, _, o in found if not t.endswith(STEM) and not covered(t, o)]))
+    known = [(s + STEM, o) for s, (_, o) in kept.items() if not covered(s, o)] + [(t, o) for t, _, o in found if not t.endswith(STEM) and not covered(t, o)]
+    return Lexicon(tuple(sorted(known)), covered=tuple(sorted((t, o) for t, _, o in found if not t.endswith(STEM) and covered(t, o))))
 
 
 def _counts(held: dict) -> pa.RecordBatch:
@@ -283,7 +299,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
     picked = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
     train = C.Scratch(spark, "toxicity").write(one_of_copies(spark, train), "train")
-    lexicon = Lexicon(learn_lexicon(train))
+    lexicon = learn_lexicon(train)
     if not lexicon.terms:
         return lexicon
 
@@ -293,7 +309,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([features(C.words_of(t), known) for t in C.as_bytes(batch.column("text"))], pa.list_(pa.float64()))], names=["toxic", "x"])
 
     rows_ = train.mapInArrow(C.tidy(shape), "toxic int, x array<double>").groupBy("toxic", "x").count().collect()
-    return Lexicon(lexicon.terms, tuple(logistic(np.array([r.x for r in rows_]), np.array([r.toxic for r in rows_], float), np.array([r["count"] for r in rows_], float))))
+    return replace(lexicon, weights=tuple(logistic(np.array([r.x for r in rows_]), np.array([r.toxic for r in rows_], float), np.array([r["count"] for r in rows_], float))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> np.ndarray:

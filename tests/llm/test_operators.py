@@ -356,6 +356,28 @@ def test_filter_before_the_trie_loses_no_misspelling():
         assert bool(known[word.encode()]) == (want <= toxicity.edits(len(word)) and bool(word))
 
 
+def test_misspellings_of_stems_covered_words_and_short_terms():
+    lexicon = toxicity.pruned([("idio*", 45, 4.0), ("idiot", 20, 4.0), ("idiots", 15, 4.0), ("idiotic", 10, 4.0), ("scum", 9, 5.0), ("ass", 9, 5.0)])
+    known = toxicity.Matcher(lexicon)
+    for word in ("idoit", "1diot", "ldiot", "idiiots", "idi0tic", "1diocy", "scumm", "scun", "scm"):
+        assert known[word.encode()][:2] == ("hit", 1), word
+    assert known[b"idiot"][:3] == ("hit", 0, 4.0) and known[b"scum"][:3] == ("hit", 0, 5.0)
+    assert not known[b"peaceful"] and not known[b"as"] and not known[b"asss"]
+
+
+def test_stem_misspellings_against_all_starts():
+    rng = random.Random(13)
+    make = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    for _ in range(40):
+        stems = {make(rng.randint(4, 8)) + "*": rng.random() + 1 for _ in range(3)}
+        known = toxicity.Matcher(toxicity.Lexicon(tuple(stems.items())))
+        for _ in range(60):
+            word = make(rng.randint(1, 11))
+            want = min((distance(word[:i], s[:-1]) for s in stems for i in range(len(word))), default=9)
+            got = known[word.encode()]
+            assert got[1] == want if got else want > min(toxicity.edits(len(word)), 1), (stems, word)
+
+
 def test_quotation_weighs_less_than_abuse():
     known = toxicity.Matcher(toxicity.Lexicon((("villain", 4.0),)))
     worth = lambda t: toxicity.features(t.encode().split(), known)[4]
