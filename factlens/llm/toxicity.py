@@ -24,8 +24,8 @@ from factlens.llm import jaccard
 #: Labelled rows used for learning, at most: a sample by hash of doc_id. All other work covers all rows.
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
-#: Lexicon terms, at most; the strongest are kept. This bounds what is broadcast.
-TERMS = 2000
+#: Terms and covered words of the lexicon, at most; the strongest that are left after all tests are kept. This bounds what is broadcast.
+TERMS = 20_000
 WINDOW = 6
 #: A term that ends in STEM stands for all longer words that start with it; stems of these lengths are tried.
 STEM, STEMS = "*", (4, 5, 6, 7, 8)
@@ -202,6 +202,7 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[int]] = {}
+        chars = 0
         known: dict[bytes, str] = {}
         for batch in batches:
             if len(known) > CACHE:
@@ -209,11 +210,14 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
             for text, toxic in zip(C.as_bytes(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
                 words = {known.get(w) or known.setdefault(w, normal(w.decode())) for w in set(C.words_of(text))}
                 for w in words | {w[:n] + STEM for w in words for n in STEMS if n < len(w)}:
-                    if w and len(w) <= 64:
-                        held.setdefault(w, [0, 0])[toxic] += 1
-            if len(held) > 2 * CACHE:
-                yield _counts(held)
-                held = {}
+                    if w:
+                        if w not in held:
+                            held[w] = [0, 0]
+                            chars += len(w)
+                        held[w][toxic] += 1
+                if len(held) > 2 * CACHE or chars > 64 * CACHE:
+                    yield _counts(held)
+                    held, chars = {}, 0
         yield _counts(held)
 
     counts = train.mapInArrow(C.tidy(terms), "term string, clean long, bad long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
@@ -223,12 +227,27 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     if not bad or not clean:
         return Lexicon(())
     base = bad / (bad + clean)
-    # At least two toxic documents, and three times the base rate: only these can pass the test.
-    likely = counts.filter((F.col("bad") >= 2) & (F.col("bad") > 3 * base * (F.col("bad") + F.col("clean"))))
+    several = C.Scratch(train.sparkSession, "terms").write(counts.filter("bad >= 2"), "several")
+    tried = max(1, several.count())
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = lru_cache(maxsize=CACHE)(lambda k, n: _tail(k, n, base))
+        for batch in batches:
+            ok = [tail(b, b + c) * tried <= FALSE_TERMS for b, c in zip(batch.column("bad").to_pylist(), batch.column("clean").to_pylist(), strict=True)]
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    # Three times the base rate is asked for as well.
+    likely = several.filter(F.col("bad") > 3 * base * (F.col("bad") + F.col("clean"))).mapInArrow(C.tidy(passed), several.schema)
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    rows = likely.withColumn("odds", odds).orderBy(F.desc(F.col("bad") * F.col("odds")), "term").limit(TERMS).collect()
-    tried = max(1, counts.filter(F.col("bad") >= 2).count())
-    return pruned([(r.term, r.bad, round(r.odds, 6)) for r in rows if _tail(r.bad, r.bad + r.clean, base) * tried <= FALSE_TERMS])
+    return strongest(pruned([(r.term, r.bad, round(r.odds, 6)) for r in likely.withColumn("odds", odds).collect()]))
+
+
+def strongest(lexicon: Lexicon) -> Lexicon:
+    """At most TERMS terms and covered words: terms first, then by weight."""
+    if len(lexicon.terms) + len(lexicon.covered) <= TERMS:
+        return lexicon
+    terms, covered = (sorted(x, key=lambda t: (-t[1], t[0])) for x in (lexicon.terms, lexicon.covered))
+    return replace(lexicon, terms=tuple(sorted(terms[:TERMS])), covered=tuple(sorted(covered[: max(0, TERMS - len(terms))])))
 
 
 def pruned(found: list[tuple[str, int, float]]) -> Lexicon:
@@ -244,9 +263,14 @@ def pruned(found: list[tuple[str, int, float]]) -> Lexicon:
         for n in STEMS:
             if n < len(w):
                 best[w[:n]] = max(best.get(w[:n], 0), b)
+    longer: dict[str, list[tuple[int, float]]] = {}
+    for t, x in stems.items():
+        for n in STEMS:
+            if n < len(t):
+                longer.setdefault(t[:n], []).append(x)
     kept: dict[str, tuple[int, float]] = {}
     for s, (b, o) in stems.items():
-        if b <= 1.3 * best.get(s, 0) or any(t != s and t.startswith(s) and y > o + 0.5 and x >= 0.7 * b for t, (x, y) in stems.items()):
+        if b <= 1.3 * best.get(s, 0) or any(y > o + 0.5 and x >= 0.7 * b for x, y in longer.get(s, ())):
             continue
         kept[s] = (b, o)
     covered = lambda t, o: any(t[:n] in kept and kept[t[:n]][1] >= o - 0.5 for n in STEMS if n < len(t))

@@ -378,6 +378,14 @@ def test_stem_misspellings_against_all_starts():
             assert got[1] == want if got else want > min(toxicity.edits(len(word)), 1), (stems, word)
 
 
+def test_terms_are_tested_and_pruned_before_they_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TERMS", 4)
+    long = "z" * 70
+    docs = [(i, f"plain words here n{i}" + (" villainous" * (i < 24) + " scoundrel" * (i < 20) + f" {long}" * (i < 16)), int(i < 24)) for i in range(400)]
+    got = toxicity.learn_lexicon(spark.createDataFrame(docs, "doc_id long, text string, toxic int"))
+    assert [t for t, _ in got.terms] == ["scoundrel", "villainous", long]
+
+
 def test_quotation_weighs_less_than_abuse():
     known = toxicity.Matcher(toxicity.Lexicon((("villain", 4.0),)))
     worth = lambda t: toxicity.features(t.encode().split(), known)[4]
