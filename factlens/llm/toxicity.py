@@ -51,6 +51,18 @@ def edits(length: int) -> int:
 LEAST_FUZZY = 4
 
 
+#: Characters of a word that the test before the trie looks at.
+START = 10
+
+
+def left_out(word: str, most: int) -> set[str]:
+    """The word, and what is left of it without up to `most` characters."""
+    out = {word}
+    for _ in range(most):
+        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
+    return out
+
+
 class Trie:
     def __init__(self, terms: dict[str, float]):
         self.root: dict = {}
@@ -109,33 +121,31 @@ class Matcher(dict):
         super().__init__()
         self.terms = dict(lexicon.terms)
         self.stems = {t[:-1]: w for t, w in self.terms.items() if t.endswith(STEM)}
-        # A word within n - 1 edits of a term has one of the term's n pieces whole: the first at its start, the last at
-        # its end, another near its place. Only words that pass this go along the trie.
+        # Two words within so many edits are alike once as many characters, at most, are left out of each; so are their
+        # starts of one length. Only the terms that pass this make the trie that a word goes along.
         whole = {t: w for t, w in (lexicon.covered + lexicon.terms) if not t.endswith(STEM) and len(t) >= LEAST_FUZZY}
-        self.trie = Trie(whole | {t + STEM: w for t, w in self.stems.items()})
-        self.heads, self.tails, self.mids, self.parts = set(), set(), set(), set()
-        for t in whole:
-            for n in {edits(m) + 1 for m in range(len(t) - 2, len(t) + 3)} - {1}:
-                at = [len(t) * i // n for i in range(n + 1)]
-                self.heads.add(t[: at[1]])
-                self.tails.add(t[at[-2] :])
-                self.mids.update(t[a:b] for a, b in zip(at[1:-1], at[2:-1], strict=False))
-        for t in self.stems:
-            n = edits(len(t)) + 1
-            at = [len(t) * i // n for i in range(n + 1)]
-            self.heads.add(t[: at[1]])
-            self.parts.update((p, t[a:b]) for a, b in zip(at[1:-1], at[2:], strict=True) for p in range(max(0, a - n + 1), a + n))
-        self.sizes = [sorted({len(x) for x in own}) for own in (self.heads, self.tails, self.mids)]
-        self.places = sorted({(p, p + len(x)) for p, x in self.parts})
-
-    def near(self, word: str) -> bool:
-        heads, tails, mids = self.sizes
-        return (
-            any(word[:n] in self.heads for n in heads)
-            or any(word[-n:] in self.tails for n in tails)
-            or any(word[i : i + n] in self.mids for n in mids for i in range(1, len(word) - n))
-            or any((a, word[a:b]) in self.parts for a, b in self.places)
-        )
+        self.sought = list((whole | {t + STEM: w for t, w in self.stems.items()}).items())
+        self.left: dict[int, dict[str, list[int]]] = {1: {}, 2: {}}
+        self.starts: dict[int, dict[str, list[int]]] = {}
+        for i, (t, _) in enumerate(self.sought):
+            if t.endswith(STEM):
+                put = [(self.starts.setdefault(len(t) - 1, {}), t[:-1], 1)]
+            else:
+                put = [(own, t[:START], most) for most, own in self.left.items()]
+            for own, start, most in put:
+                for x in left_out(start, most):
+                    own.setdefault(x, []).append(i)
+
+    def near(self, word: str, most: int) -> dict[str, float]:
+        """Terms that may be within `most` edits of the word."""
+        own, found = self.left[most], set()
+        for x in left_out(word[:START], most):
+            found.update(own.get(x, ()))
+        for n, own in self.starts.items():
+            if n <= len(word):
+                for x in left_out(word[:n], 1):
+                    found.update(own.get(x, ()))
+        return dict(self.sought[i] for i in found)
 
     def __missing__(self, raw: bytes):
         if len(self) >= CACHE:
@@ -146,7 +156,7 @@ class Matcher(dict):
         out: object = 0
         if weight:
             out = ("hit", 0, weight, any(c in QUOTES for c in text))
-        elif (most := edits(len(word))) and self.near(word) and (got := self.trie.search(word, most)) is not None:
+        elif (most := edits(len(word))) and (terms := self.near(word, most)) and (got := Trie(terms).search(word, most)) is not None:
             out = ("hit", got[0], got[1], any(c in QUOTES for c in text))
         elif word in REPORTING:
             out = ("report",)
