@@ -21,7 +21,7 @@ WINDOW = 8
 LEAST_WORDS = 5
 #: Share of an item's words under matched, consistent windows from which a document is contaminated.
 SHARE = 0.6
-#: Literal words that a window needs; windows of slots only would match anything.
+#: Literal words that a window needs to match by slots; with fewer it would match anything, so its slots must have equal values.
 LITERALS = 0.5
 #: Words of the benchmark that are broadcast at once; a larger benchmark is matched in blocks of items, one pass each.
 BLOCK_WORDS = 500_000
@@ -103,6 +103,8 @@ class Benchmark:
         self.items: list = []
         self.sizes: set[int] = set()
         self.at: dict[int, list[tuple[int, int]]] = {}
+        #: Windows of few literals: hash -> values of the words -> (item, place).
+        self.same: dict[int, dict[tuple, list[tuple[int, int]]]] = {}
         for item_id, text in items:
             words = C.words_of(text.encode() if text is not None else None)
             if len(words) < LEAST_WORDS:
@@ -115,7 +117,9 @@ class Benchmark:
             for place, w in enumerate(C.ngrams(h, k).tolist()):
                 if sum(x == WORD for x in self.items[i][2][place : place + k]) >= LITERALS * k:
                     self.at.setdefault(w, []).append((i, place))
-        self.hashes = np.array(sorted(self.at), np.uint64)
+                else:
+                    self.same.setdefault(w, {}).setdefault(tuple(self.items[i][3][place : place + k]), []).append((i, place))
+        self.hashes = np.array(sorted(self.at.keys() | self.same.keys()), np.uint64)
 
     def match(self, h: np.ndarray, kind: np.ndarray, rows: np.ndarray, words: Words) -> list[tuple[int, float, bool]]:
         """(item_id, share of its words found, whether a slot has another value) of the items found."""
@@ -127,7 +131,11 @@ class Benchmark:
             near = np.searchsorted(self.hashes, g)
             near[near == len(self.hashes)] = 0
             for s in np.flatnonzero(self.hashes[near] == g).tolist():
-                for i, place in self.at[int(g[s])]:
+                w = int(g[s])
+                places = self.at.get(w, [])
+                if w in self.same:
+                    places = places + self.same[w].get(tuple(words.values[r] for r in rows[s : s + k]), [])
+                for i, place in places:
                     if self.items[i][1] == k:
                         found.setdefault((i, s - place), []).append(place)
         covered: dict[int, set[int]] = {}

@@ -244,6 +244,14 @@ def test_verbatim_items_and_edges(spark, edge):
     assert templates.decontaminate(edge, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_items_of_many_slots_are_found_verbatim(spark):
+    items = ["What Is The Capital Of France And Who Was President There In 1995", "Alice Smith, Bob Jones, Carol White, Dan Brown and Eve Black met Frank Green", "Berlin 3 m, Paris 4 m, London 5 m, Rome 6 m: order the cities", "Solve: 3 4 5 6 7 8 9 10 next number in the sequence?"]
+    docs = [(i, f"Some words first. {t} and more") for i, t in enumerate(items)]
+    other = [(9, "Some words first. Fred Smith, Bob Lee, Carl Gray, Dan Short and Eve Long met Frank Hill"), (10, "1 2 3 4 5 6 7 8 9 " * 20)]
+    got = found(spark, docs + other, list(enumerate(items)))
+    assert all(got[i] == (True, [i], False) for i in range(4)) and not got[9][0] and not got[10][0]
+
+
 # 6, 9 ----------------------------------------------------------------------------------------------
 
 
