@@ -119,6 +119,10 @@ class Benchmark:
                     self.at.setdefault(w, []).append((i, place))
                 else:
                     self.same.setdefault(w, {}).setdefault(tuple(self.items[i][3][place : place + k]), []).append((i, place))
+            if known.named[rows[0]]:
+                # Where no sentence opens in the document, the first word looks like a name: it must be the same one.
+                w = int(C.ngrams(np.concatenate((known.inside[rows[:1]], h[1:k])), k)[0])
+                self.same.setdefault(w, {}).setdefault(tuple(self.items[i][3][:k]), []).append((i, 0))
         self.hashes = np.array(sorted(self.at.keys() | self.same.keys()), np.uint64)
 
     def match(self, h: np.ndarray, kind: np.ndarray, rows: np.ndarray, words: Words) -> list[tuple[int, float, bool]]:
@@ -175,13 +179,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, b
     A document is contaminated by the items of `benchmark` (item_id, text) of which it holds at least `share` of the
     words in matched template windows. re_parameterised: such an item has another number, name or unit there. Items with
     a null or short text match nothing; a null or empty document holds nothing; an empty benchmark finds nothing. Repeated
-    rows fare alike; equal items are all listed. Columns of those names are replaced.
+    rows fare alike; equal items are all listed, those without an id are not but count. Columns of those names are replaced.
     """
     C.limit_batches(docs.sparkSession)
     out = None
     for items in blocks_of(benchmark, block_words):
         out = _pass(docs if out is None else out, Benchmark(items), share, out is not None)
-    return out.withColumn("contaminated", F.size("item_ids") > 0).select(*[c for c in out.columns if c not in FOUND_NAMES], *FOUND_NAMES)
+    return out.withColumn("contaminated", (F.col("best_share") >= share) & (F.col("best_share") > 0)).select(*[c for c in out.columns if c not in FOUND_NAMES], *FOUND_NAMES)
 
 
 FOUND_NAMES = ("contaminated", "item_ids", "best_share", "re_parameterised")

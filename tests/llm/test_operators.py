@@ -252,6 +252,13 @@ def test_items_of_many_slots_are_found_verbatim(spark):
     assert all(got[i] == (True, [i], False) for i in range(4)) and not got[9][0] and not got[10][0]
 
 
+def test_items_without_an_id_and_behind_a_heading(spark):
+    short = "Which river flows past the old mill"
+    got = found(spark, [(1, f"Heading {short} today"), (2, "Heading Which road leads past the new town")], [(None, short)])
+    assert got[1] == (True, [], False) and not got[2][0]
+    assert found(spark, [(1, f"Heading {short} today")], [(5, short)])[1] == (True, [5], False)
+
+
 # 6, 9 ----------------------------------------------------------------------------------------------
 
 
