@@ -136,7 +136,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = T
             yield C.record("doc_id long, quality int, n long, x binary", doc_id=batch.column("doc_id").to_pylist(), quality=batch.column("quality").to_pylist(), n=[len(x) for x in xs], x=[x.tobytes() for x in xs])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").mapInArrow(shape, "doc_id long, quality int, n long, x binary").filter("n > 0").collect()
-    parts = [(x[a : a + TRAIN_LINES], r.quality) for r in sorted(rows) for x in (np.frombuffer(r.x).reshape(r.n, N_FEATURES),) for a in range(0, min(r.n, 4 * TRAIN_LINES), TRAIN_LINES)]
+    parts = [(x[a : a + TRAIN_LINES], r.quality) for r in sorted(rows) for x in (np.frombuffer(r.x).reshape(r.n, N_FEATURES),) for a in range(0, r.n, TRAIN_LINES)]
     if len({q for _, q in parts}) < 2:
         return Chain()
     length = max(len(x) for x, _ in parts)

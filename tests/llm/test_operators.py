@@ -470,6 +470,14 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_all_lines_of_long_documents_are_learned(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_chain", lambda xs, mask, ys: seen.append((mask * ys).sum()) or seen.append(mask.sum()))
+    docs = [(1, "\n".join(f"some line {i}" for i in range(700))), (2, "\n".join(f"junk {i}" for i in range(10)))]
+    quality.learn(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int"))
+    assert seen == [700, 710]
+
+
 def test_quality_edges(spark, edge):
     out = quality.quality(edge, quality.Chain())
     assert out.count() == edge.count() and out.filter("text IS NULL AND (n_words != 0 OR kept)").count() == 0
