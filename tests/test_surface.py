@@ -1,4 +1,11 @@
-"""The public surface: names, command line, summary."""
+"""The public surface: names, command line, summary, and an entry module that stands without the subpackage llm."""
+
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
 
 from factlens import api
 from factlens.cli import main
@@ -21,3 +28,14 @@ def test_command_line(spark, tmp_path, capsys):
 def test_summary_escapes(spark):
     page = html_summary("<t>", counts=spark.createDataFrame([("a<b", None)], "name string, n int"))
     assert "&lt;t&gt;" in page and "a&lt;b" in page and "<b" not in page.replace("<body", "")
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_stands_without_llm(tmp_path, pipeline):
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "factlens", tmp_path / "factlens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py")[: 1 + pipeline]:
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op') or q == 'pipeline' for q in e.queries()))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": f"{tmp_path}:" + ":".join(p for p in sys.path if "site-packages" in p)}, capture_output=True, text=True)
+    assert said.returncode == 0 and said.stdout.split()[1] == "False" and int(said.stdout.split()[0]) > 50, said.stderr
