@@ -64,6 +64,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_label(labels: DataFrame, name: str) -> DataFrame:
+    """(doc_id, name) of the documents with one label, 0 or 1; a doc_id with both labels, or none, is left out."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).cast("int").alias(name)).filter(F.col(name).isin(0, 1) & F.col("doc_id").isNotNull())
+    return usable.groupBy("doc_id").agg(F.min(name).alias(name), F.max(name).alias("other")).filter(F.col(name) == F.col("other")).select("doc_id", name)
+
+
 def id_key(c: str | Column = "doc_id") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(NULL_ID)).cast("long")
 

@@ -29,10 +29,11 @@ TERMS = 20_000
 WINDOW = 6
 #: A term that ends in STEM stands for all longer words that start with it; stems of these lengths are tried.
 STEM, STEMS = "*", (4, 5, 6, 7, 8)
-CACHE = 150_000
+CACHE = 300_000
 #: Words that mark reported speech or denial, and words that address somebody.
 REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes reported term word words sagte schrieb nannte zitat wort dit disait écrit appelé citation mot dijo escribió llamó cita palabra not never nicht nie pas jamais nunca".split())
 ADDRESSING = frozenset("you your yours u ur youre du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros eres".split())
+CONTEXT = dict.fromkeys(ADDRESSING, "address") | dict.fromkeys(REPORTING, "report")
 QUOTES = "\"'“”„‟«»‹›‘’‚`"
 EDGE = "!#$%&()*+,-./:;<=>?@[]^_{|}~\\…–—¿¡·•" + QUOTES
 
@@ -51,18 +52,6 @@ def edits(length: int) -> int:
 LEAST_FUZZY = 4
 
 
-#: Characters of a word that the test before the trie looks at.
-START = 10
-
-
-def left_out(word: str, most: int) -> set[str]:
-    """The word, and what is left of it without up to `most` characters."""
-    out = {word}
-    for _ in range(most):
-        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
-    return out
-
-
 class Trie:
     def __init__(self, terms: dict[str, float]):
         self.root: dict = {}
@@ -114,58 +103,100 @@ class Lexicon:
     covered: tuple[tuple[str, float], ...] = ()
 
 
+#: Buckets of characters of a bag.
+BAG = 32
+
+
+def bags(words: list[str], most: int | None = None) -> np.ndarray:
+    """How many characters of each bucket a word has, of its first `most` ones only where given: (words, BAG)."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) & (BAG - 1)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    if most is not None:
+        ok = np.arange(len(chars)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < most
+        chars, owner = chars[ok], owner[ok]
+    return np.bincount(owner * BAG + chars, minlength=len(words) * BAG).reshape(-1, BAG).astype(np.int16)
+
+
 class Matcher(dict):
-    """word bytes -> 0 for none, or (edits, weight); context words -> their kind."""
+    """word bytes -> 0 for none, or (edits, weight); context words -> their kind.
+
+    Two words within so many edits differ by at most twice as many characters, taken as bags; so do the starts that a
+    stem asks for. Words are tested so against all terms at once, and only the terms that pass make the trie that
+    a word's automaton goes along.
+    """
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
         self.terms = dict(lexicon.terms)
         self.stems = {t[:-1]: w for t, w in self.terms.items() if t.endswith(STEM)}
-        # Two words within so many edits are alike once as many characters, at most, are left out of each; so are their
-        # starts of one length. Only the terms that pass this make the trie that a word goes along.
         whole = {t: w for t, w in (lexicon.covered + lexicon.terms) if not t.endswith(STEM) and len(t) >= LEAST_FUZZY}
-        self.sought = list((whole | {t + STEM: w for t, w in self.stems.items()}).items())
-        self.left: dict[int, dict[str, list[int]]] = {1: {}, 2: {}}
-        self.starts: dict[int, dict[str, list[int]]] = {}
-        for i, (t, _) in enumerate(self.sought):
-            if t.endswith(STEM):
-                put = [(self.starts.setdefault(len(t) - 1, {}), t[:-1], 1)]
-            else:
-                put = [(own, t[:START], most) for most, own in self.left.items()]
-            for own, start, most in put:
-                for x in left_out(start, most):
-                    own.setdefault(x, []).append(i)
-
-    def near(self, word: str, most: int) -> dict[str, float]:
-        """Terms that may be within `most` edits of the word."""
-        own, found = self.left[most], set()
-        for x in left_out(word[:START], most):
-            found.update(own.get(x, ()))
-        for n, own in self.starts.items():
-            if n <= len(word):
-                for x in left_out(word[:n], 1):
-                    found.update(own.get(x, ()))
-        return dict(self.sought[i] for i in found)
+        self.whole, self.starts = list(whole.items()), [(t + STEM, w) for t, w in self.stems.items()]
+        self.whole_bags, self.start_bags = bags([t for t, _ in self.whole]), bags([t[:-1] for t, _ in self.starts])
+
+    def near(self, words: list[str]) -> dict[int, list[tuple[str, float]]]:
+        """Index of a word -> the terms that may be within its edits."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        sizes, words = sizes[order], [words[i] for i in order]
+        allowed, found = np.where(sizes < 9, 1, 2), {}
+
+        def put(terms, at, term):
+            for i in at.tolist():
+                found.setdefault(int(order[i]), []).append(terms[term])
+
+        bag = bags(words)
+        for j, (t, _) in enumerate(self.whole):
+            a, b = np.searchsorted(sizes, (len(t) - 2, len(t) + 3))
+            most = allowed[a:b]
+            ok = (np.abs(bag[a:b] - self.whole_bags[j]).sum(axis=1) <= 2 * most) & (np.abs(sizes[a:b] - len(t)) <= most)
+            put(self.whole, a + np.flatnonzero(ok), j)
+        for n in sorted({len(t) - 1 + d for t, _ in self.starts for d in (-1, 0, 1)}):
+            a = int(np.searchsorted(sizes, n, side="right"))
+            start = bags(words[a:], n)
+            for j, (t, _) in enumerate(self.starts):
+                if abs(len(t) - 1 - n) <= 1:
+                    put(self.starts, a + np.flatnonzero(np.abs(start - self.start_bags[j]).sum(axis=1) <= 2), j)
+        return found
+
+    def add(self, raws) -> None:
+        """Looks up the words that are not known yet, together."""
+        new = [w for w in raws if w not in self]
+        if len(self) + len(new) > CACHE:
+            self.clear()
+            new = list(raws)
+        if not new:
+            return
+        texts = b"\n".join(new).decode().split("\n")
+        words = [w.strip(EDGE) for w in "\n".join(texts).lower().split("\n")]
+        self.update(dict.fromkeys(new, 0))
+        for i, (t, w) in enumerate(zip(texts, words, strict=True)):
+            if w in CONTEXT:
+                self[new[i]] = (CONTEXT[w],)
+            elif t[0] in QUOTES or t[-1] in QUOTES:
+                self[new[i]] = ("quote",)
+        if not self.terms:
+            return
+        weights = {i: self.terms[w] for i, w in enumerate(words) if w in self.terms}
+        for n in {len(t) for t in self.stems}:
+            for i, w in enumerate(words):
+                if w[:n] in self.stems and len(w) > n:
+                    weights[i] = max(weights.get(i, 0.0), self.stems[w[:n]])
+        for i, weight in weights.items():
+            self[new[i]] = ("hit", 0, weight, any(c in QUOTES for c in texts[i]))
+        at: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            if len(w) >= 3 and i not in weights:
+                at.setdefault(w, []).append(i)
+        far = list(at)
+        for j, terms in self.near(far).items():
+            if (got := Trie(dict(terms)).search(far[j], edits(len(far[j])))) is not None:
+                for i in at[far[j]]:
+                    self[new[i]] = ("hit", got[0], got[1], any(c in QUOTES for c in texts[i]))
 
     def __missing__(self, raw: bytes):
-        if len(self) >= CACHE:
-            self.clear()
-        text = raw.decode()
-        word = normal(text)
-        weight = max([self.terms.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in STEMS if n < len(word))])
-        out: object = 0
-        if weight:
-            out = ("hit", 0, weight, any(c in QUOTES for c in text))
-        elif (most := edits(len(word))) and (terms := self.near(word, most)) and (got := Trie(terms).search(word, most)) is not None:
-            out = ("hit", got[0], got[1], any(c in QUOTES for c in text))
-        elif word in REPORTING:
-            out = ("report",)
-        elif word in ADDRESSING:
-            out = ("address",)
-        elif text[:1] in QUOTES or text[-1:] in QUOTES:
-            out = ("quote",)
-        self[raw] = out
-        return out
+        self.add([raw])
+        return self[raw]
 
 
 FEATURES = 8
@@ -202,6 +233,19 @@ def features(words: list[bytes], known: Matcher) -> list[float]:
     return [math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), math.log1p(addressed), math.log1p(weight), top / 5, 100 * hits / max(50, len(words)), float(hits > 0)]
 
 
+def all_features(texts: list, known: Matcher) -> list[list[float]]:
+    """The features of every text; the words of texts that come together are looked up together."""
+    out, held, n = [], [], 0
+    for i, t in enumerate(texts):
+        held.append(C.words_of(t))
+        n += len(held[-1])
+        if n >= C.BLOCK_WORDS or i == len(texts) - 1:
+            known.add(set().union(*held))
+            out += [features(w, known) for w in held]
+            held, n = [], 0
+    return out
+
+
 @lru_cache(maxsize=2)
 def _matcher(lexicon: Lexicon) -> Matcher:
     return Matcher(lexicon)
@@ -302,12 +346,12 @@ def _tail(k: int, n: int, p: float) -> float:
 
 #: False terms that the tests of all terms may let in, on average.
 FALSE_TERMS = 0.2
-#: Documents of one label whose three-word shingles are at least so alike, in percent, are copies.
+#: Documents whose three-word shingles are at least so alike, in percent, are copies.
 COPIES = 80
 
 
 def one_of_copies(spark: SparkSession, train: DataFrame) -> DataFrame:
-    """`train` (doc_id, text, toxic) with one document, of the smallest doc_id, of each group of copies of one label.
+    """`train` (doc_id, text, toxic) with one document, of the smallest doc_id, of each label in each group of copies.
 
     A group of copies is one piece of evidence: else any rare word of a toxic text that was copied often looks toxic.
     Groups are those of op 4's exact join, so what merely shares a line or a passage stays. Only learning uses this;
@@ -315,9 +359,8 @@ def one_of_copies(spark: SparkSession, train: DataFrame) -> DataFrame:
     """
     texts = train.groupBy("toxic", "text").agg(F.min("doc_id").alias("doc_id")).withColumn("key", F.xxhash64("text"))
     texts = C.Scratch(spark, "copies").write(texts, "texts")
-    found = [jaccard.jaccard_components(spark, texts.filter(F.col("toxic") == t).select(F.col("key").alias("doc_id"), "text"), k=3, percent=COPIES).select(F.lit(t).alias("toxic"), F.col("doc_id").alias("key"), "component_id") for t in (0, 1)]
-    groups = texts.select("toxic", "key", "doc_id").join(found[0].unionByName(found[1]), ["toxic", "key"])
-    kept = groups.groupBy("toxic", "component_id").agg(F.min(F.struct("doc_id", "key")).alias("least")).select("toxic", "least.key")
+    groups = jaccard.jaccard_components(spark, texts.select(F.col("key").alias("doc_id"), "text").distinct(), k=3, percent=COPIES).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    kept = texts.select("toxic", "key", "doc_id").join(groups, "key").groupBy("toxic", "component_id").agg(F.min(F.struct("doc_id", "key")).alias("least")).select("toxic", "least.key")
     return texts.join(kept, ["toxic", "key"], "left_semi").select("doc_id", "text", "toxic")
 
 
@@ -326,8 +369,12 @@ def held_out() -> Column:
 
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
-    """Lexicon and regression from labelled documents that are not held out; at most about `rows` of them, by hash."""
-    usable = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(~held_out()).dropDuplicates(["doc_id"])
+    """Lexicon and regression from labelled documents that are not held out; at most about `rows` of them, by hash.
+
+    Labels other than 0 and 1, and of no doc_id, do not count; nor do those of a doc_id that has both. Repeated labels are
+    one. Of several texts of a doc_id each is used. With no document of one of the labels there are no terms, and an empty table gives the empty model.
+    """
+    usable = C.one_label(labels, "toxic").filter(~held_out())
     total = usable.count()
     share = min(1.0, rows / total) if total else 1.0
     picked = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -340,7 +387,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _matcher(lexicon)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([features(C.words_of(t), known) for t in C.as_bytes(batch.column("text"))], pa.list_(pa.float64()))], names=["toxic", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(all_features(C.as_bytes(batch.column("text")), known), pa.list_(pa.float64()))], names=["toxic", "x"])
 
     rows_ = train.mapInArrow(C.tidy(shape), "toxic int, x array<double>").groupBy("toxic", "x").count().collect()
     return replace(lexicon, weights=tuple(logistic(np.array([r.x for r in rows_]), np.array([r.toxic for r in rows_], float), np.array([r["count"] for r in rows_], float))))
@@ -373,7 +420,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         if not len(weights):
             return [0.0] * len(texts), [0] * len(texts)
         known = _matcher(lexicon)
-        xs = [features(C.words_of(t), known) for t in texts]
+        xs = all_features(texts, known)
         z = np.clip(np.array(xs).reshape(-1, FEATURES) @ weights[:-1] + weights[-1], -30, 30)
         return (1 / (1 + np.exp(-z))).tolist(), [round(math.expm1(x[0]) + math.expm1(x[1])) for x in xs]
 
