@@ -2,11 +2,14 @@
 
 Pass 1: every window of `size` words has an anchor: its minimal run of `GRAM` words, the leftmost
 of ties. Equal windows have equal anchors at equal places, so an anchor occurs at least as often as
-any window that it stands for. Partitions count anchors in sparse count-min sketches of two rows;
-merged per block of cells, their counts overestimate those of the windows.
-Pass 2: windows whose estimate is two or more go on (none that repeats is lost); each task keeps the
-first of equal windows at once, which bounds what a hot passage sends, and exact groups by a 128-bit
-hash mark all windows but the first by (doc_id, start).
+any window that it stands for. Tasks send sparse sketches of their anchors, dealt by hash into blocks, as
+many as the data ask for; a block's task merges them into a count-min sketch of two rows, whose counts
+overestimate those of the windows. It answers which anchors of which documents are estimated to repeat. Nothing is
+broadcast and nothing is held to a size, so the filter is as sharp at any size of the data.
+Pass 2: the windows of those anchors go on (none that repeats is lost); each task keeps the
+first of equal windows at once, which bounds what a hot passage sends, and exact groups by a 96-bit
+hash mark all windows but the first by (doc_id, start). Windows are grouped under their anchor, those of anchors
+that occur very often under their own hash, so that a common run of words with many surroundings is dealt out.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,13 +29,17 @@ from factlens.llm import common as C
 GRAM = 8
 ROWS = 2
 SEEDS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x2D358DCCAA6C78A5))
-BLOCK = 1 << 16
-#: Cells of a sketch row: eight for each expected anchor, within these bounds, so what is broadcast (a bit a cell and row) is 128 MB at most; beyond, more windows pass to the exact groups and the result stays the same.
-CELLS = (1 << 16, 1 << 29)
-#: Candidate windows gathered before a task groups them.
-FLUSH = 600_000
+#: Text bytes that one block of the sketch stands for, about a million anchors; eight cells are kept for each.
+BLOCK_BYTES = 40_000_000
+CELLS = (1 << 10, 1 << 24)
+#: Anchors, and candidate windows, gathered before a task sends them.
+ANCHORS, FLUSH = 2_000_000, 600_000
+#: Text bytes for one task of exact groups.
+SLICE_BYTES = 16_000_000
+#: An anchor counted so often is hot, at least; at most HOT_KEYS anchors are, which bounds the one broadcast (8 bytes each).
+HOT, HOT_KEYS = 5_000, 1 << 22
 SECOND = np.uint64(0xA0761D6478BD642F)
-LOW32 = np.uint64(0xFFFFFFFF)
+LOW32, S32 = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -53,116 +61,150 @@ def _windows(h: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def _cells(keys: np.ndarray, row: int, width: int) -> np.ndarray:
-    return C.mix(keys + SEEDS[row]) & np.uint64(width - 1)
+    return (C.mix(keys + SEEDS[row]) & np.uint64(width - 1)).astype(np.int64)
 
 
-SKETCH = "row int, block int, part int, once binary, more binary"
+def _anchors(h: np.ndarray, offsets: np.ndarray, size: int):
+    """Of all windows: start, document, anchor hash, and the index of the first window of each anchor's run of windows."""
+    starts, places, runs = _windows(h, offsets, size)
+    if not len(starts):
+        return starts, starts, runs, starts
+    return starts, np.searchsorted(offsets, starts, side="right") - 1, runs[places], C.segments(places[1:] != places[:-1])
+
+
+def _cut(key: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal keys of an ordered array."""
+    if not len(key):
+        return []
+    first = C.segments(key[1:] != key[:-1])
+    return list(zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True))
 
 
-def sketch(docs: DataFrame, size: int, width: int) -> DataFrame:
-    """Sparse partition sketches of `docs` (id, text); a cell is in `once` or in `more` (twice or more)."""
+SKETCH = "slice int, once binary, once_docs binary, more binary, times binary, known binary, known_docs binary"
+
+
+def sketches(docs: DataFrame, size: int, slices: int) -> DataFrame:
+    """Sparse partition sketches of `docs` (idk, tkey, dkey, text), per block.
+
+    once: anchors of one document each (in once_docs); more, times: anchors counted more than once here. Those are
+    known to repeat, so known and known_docs, dealt by document, say at once which documents hold them.
+    """
+    names = [x.split()[0] for x in SKETCH.split(", ")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, seen = [], 0, set()
 
         def flush():
-            keys = np.concatenate(held)
-            for row in range(ROWS):
-                cells, times = np.unique(_cells(keys, row, width), return_counts=True)
-                at = (cells >> np.uint64(16)).astype(np.int32)
-                first = C.segments(at[1:] != at[:-1])
-                last = np.append(first[1:], len(at))
-                low = cells.astype("<u2")
-                yield C.record(
-                    SKETCH, row=[row] * len(first), block=at[first].tolist(), part=(at[first] >> 5).tolist(),
-                    once=[low[a:b][times[a:b] == 1].tobytes() for a, b in zip(first, last, strict=True)],
-                    more=[low[a:b][times[a:b] > 1].tobytes() for a, b in zip(first, last, strict=True)],
-                )
-
-        for _, h, offsets in _plain(batches):
-            starts, anchors, runs = _windows(h, offsets, size)
-            if len(starts):
-                kept = np.concatenate(([True], anchors[1:] != anchors[:-1]))
-                held.append(runs[anchors[kept]])
-                n += int(kept.sum())
-            if n >= 2 * FLUSH:
-                yield from flush()
-                held, n = [], 0
+            key, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key, kind="stable")
+            key, doc = key[order], doc[order]
+            first = C.segments(key[1:] != key[:-1])
+            times = np.diff(np.append(first, len(key)))
+            alone, own = times == 1, key[first]
+            again = np.repeat(~alone, times)
+            parts: dict[int, dict] = {}
+            for (keys, *others), to, columns in (
+                ((own[alone], doc[first[alone]]), own[alone], ("once", "once_docs")),
+                ((own[~alone], times[~alone].astype("<u4")), own[~alone], ("more", "times")),
+                ((key[again], doc[again]), doc[again].astype(np.uint64), ("known", "known_docs")),
+            ):
+                to = (C.mix(to + C.A) % np.uint64(slices)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                to, keys, others = to[order], (keys & LOW32).astype("<u4")[order], others[0][order]
+                for a, b in _cut(to):
+                    parts.setdefault(int(to[a]), {}).update({columns[0]: keys[a:b].tobytes(), columns[1]: others[a:b].tobytes()})
+            return C.record(SKETCH, slice=list(parts), **{c: [p.get(c) for p in parts.values()] for c in names[1:]})
+
+        for rows, h, offsets in C.blocks(batches, ["idk", "tkey", "dkey"]):
+            _, doc, key, first = _anchors(h, offsets, size)
+            new = np.array([r[:2] not in seen and not seen.add(r[:2]) for r in rows])  # repeated rows are one document
+            if len(first) and (ok := new[doc[first]]).any():
+                dkeys = np.array([r[2] for r in rows], "<i8")
+                held.append((key[first][ok], dkeys[doc[first][ok]]))
+                n += int(ok.sum())
+            if n >= ANCHORS:
+                yield flush()
+                held, n, seen = [], 0, set()
         if n:
-            yield from flush()
+            yield flush()
 
     return docs.mapInArrow(C.tidy(count), SKETCH)
 
 
-def _plain(batches):
-    return C.blocks(batches, ["idk", "tkey"])
+HITS = "dkey long, keys binary"
 
 
-def merged(parts: DataFrame) -> DataFrame:
-    """One bitmap a block: the cells counted twice or more over all partitions."""
+def _estimated(t: pa.Table, hot: int) -> pa.Table:
+    """Merges the sketches of one block: the anchors estimated to repeat of each document; without a document: the hot ones."""
+    slice_ = t.column("slice")[0].as_py()
+    once, once_docs, more, times, known, known_docs = (np.frombuffer(b"".join(x for x in t.column(c).to_pylist() if x), k) for c, k in (("once", "<u4"), ("once_docs", "<i8"), ("more", "<u4"), ("times", "<u4"), ("known", "<u4"), ("known_docs", "<i8")))
+    keys, counts = np.concatenate((once, more)).astype(np.uint64), np.concatenate((np.ones(len(once)), times))
+    width, estimate = C.pow2(8 * len(keys), *CELLS), np.full(len(keys), np.inf)
+    for row in range(ROWS):
+        cells = _cells(keys, row, width)
+        estimate = np.minimum(estimate, np.bincount(cells, weights=counts, minlength=width)[cells])
+    again = estimate[: len(once)] >= 2
+    doc, key = np.concatenate((once_docs[again], known_docs)), np.concatenate((once[again], known))
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    cuts = _cut(doc)
+    often, at = np.unique(keys[estimate >= hot], return_inverse=True)
+    often = often[np.bincount(at, weights=counts[estimate >= hot], minlength=len(often)) >= hot]
+    out = C.record(HITS, dkey=[int(doc[a]) for a, _ in cuts], keys=[key[a:b].tobytes() for a, b in cuts])
+    return pa.Table.from_batches([out, C.record(HITS, dkey=[None], keys=[(often | np.uint64(slice_) << S32).astype("<u8").tobytes()])])
 
-    def merge(t: pa.Table) -> pa.Table:
-        row, seen, twice = t.column("row")[0].as_py(), {}, {}
-        for block, once, more in zip(t.column("block").to_pylist(), t.column("once").to_pylist(), t.column("more").to_pylist(), strict=True):
-            if block not in seen:
-                seen[block], twice[block] = np.zeros(BLOCK, bool), np.zeros(BLOCK, bool)
-            o, m = np.frombuffer(once, "<u2"), np.frombuffer(more, "<u2")
-            twice[block][o[seen[block][o]]] = True
-            twice[block][m] = True
-            seen[block][o] = True
-            seen[block][m] = True
-        return pa.table({"row": pa.array([row] * len(twice), pa.int32()), "block": pa.array(list(twice), pa.int32()), "bits": pa.array([np.packbits(x).tobytes() for x in twice.values()], pa.binary())})
 
-    return parts.groupBy("row", "part").applyInArrow(merge, "row int, block int, bits binary")
+def _zipped(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """`docs` with its text compressed, for a shuffle."""
+    schema = T.StructType([*docs.select(*keep).schema, T.StructField("z", T.BinaryType())])
 
+    def zip_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([None if t is None else pack(t) for t in C.as_bytes(b.column("text"))], pa.binary())], names=[*keep, "z"])
 
-def prefilter(spark: SparkSession, docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """Bitmaps of the merged sketch (row, byte) and its width, from a count of all text bytes."""
-    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = C.pow2(8 * total / 6 / ((size - min(GRAM, size) + 2) / 2), *CELLS)
-    bits = np.zeros((ROWS, width // 8), np.uint8)
-    for r in merged(sketch(docs, size, width)).toLocalIterator(prefetchPartitions=True):
-        bits[r.row, r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = np.frombuffer(r.bits, np.uint8)
-    return bits, width
+    return docs.select(*keep, "text").mapInArrow(zip_, schema)
 
 
-CANDIDATES = "slice int, w1 binary, w2 binary, start binary, doc binary, idk binary, tkey binary, lo binary, hi binary"
+CANDIDATES = "slice int, idk long, tkey long, lo int, hi int, w binary"
+WINDOW = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
-def candidates(docs: DataFrame, size: int, bits, width: int, slices: int) -> DataFrame:
-    """Per slice, packed: windows that may repeat, the first of equals in a task; or (lo, hi) runs of starts known to repeat."""
+def candidates(docs: DataFrame, size: int, slices: int, blocks: int, hot) -> DataFrame:
+    """Runs lo to hi of starts of windows of `docs` (idk, tkey, z, keys), the first of equals in a task; w: their hashes, null for a run known to repeat."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketched = bits.value
-
-        def often(keys):
-            ok = np.ones(len(keys), bool)
-            for row in range(ROWS):
-                c = _cells(keys, row, width)
-                ok &= (sketched[row][(c >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (c & np.uint64(7))).astype(np.uint8)) & 1 == 1
-            return ok
-
-        held, keys, n = [], [], 0
-        for rows, h, offsets in _plain(batches):
-            starts, anchors, runs = _windows(h, offsets, size)
+        often, held, keys, n, seen = hot.value, [], [], 0, set()
+        for rows, h, offsets in C.blocks(batches, ["idk", "tkey", "hits"], text="z", fold=zstandard.ZstdDecompressor().decompress):
+            starts, doc, anchor, first = _anchors(h, offsets, size)
             if len(starts):
-                first = C.segments(anchors[1:] != anchors[:-1])
-                ok = np.repeat(often(runs[anchors[first]]), np.diff(np.append(first, len(anchors))))
-                starts, anchors = starts[ok], anchors[ok]
-                doc = np.searchsorted(offsets, starts, side="right") - 1
+                asked = [np.frombuffer(b"".join(r[2]), "<u4").astype(np.uint64) | np.uint64(i) << S32 for i, r in enumerate(rows) if r[:2] not in seen and not seen.add(r[:2])]
+                asked = np.sort(np.concatenate(asked)) if asked else np.empty(0, np.uint64)
+                ok = np.repeat(_within(anchor[first] & LOW32 | doc[first].astype(np.uint64) << S32, asked), np.diff(np.append(first, len(starts))))
+                starts, doc, anchor = starts[ok], doc[ok], anchor[ok]
                 w1, w2 = C.ngrams(h, size)[starts], C.ngrams(C.mix(h ^ SECOND), size)[starts]
-                held.append((w1, w2, runs[anchors], starts - offsets[doc], doc + len(keys)))
+                block = C.mix(anchor + C.A) % np.uint64(blocks)
+                dealt = np.where(_within(anchor & LOW32 | block << S32, often), w1, anchor) if len(often) else anchor
+                held.append((w1, w2 & LOW32, C.mix(dealt + C.B) % np.uint64(slices), starts - offsets[doc], doc + len(keys)))
                 n += len(starts)
-            keys += rows
+            keys += [r[:2] for r in rows]
             if n >= FLUSH:
-                yield from _flush(held, keys, slices)
-                held, keys, n = [], [], 0
+                yield _flush(held, keys, slices)
+                held, keys, n, seen = [], [], 0, set()
         if n:
-            yield from _flush(held, keys, slices)
+            yield _flush(held, keys, slices)
 
     return docs.mapInArrow(C.tidy(search), CANDIDATES)
 
 
+def _within(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(ordered, x)
+    at[at == len(ordered)] = 0
+    return ordered[at] == x
+
+
 def _order(w1, w2, ids, tkeys, start) -> tuple[np.ndarray, np.ndarray]:
     """Order by (window, doc_id, start, text), and whether an item is not its window's first."""
     at = np.lexsort((tkeys, start, ids, w2, w1))
@@ -174,97 +216,67 @@ def _order(w1, w2, ids, tkeys, start) -> tuple[np.ndarray, np.ndarray]:
     return at, same & ~((i == i[first]) & (s == s[first]) & (k == k[first]))
 
 
-def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of starts: document, first and last start, ordered."""
-    at = np.lexsort((start, doc))
-    doc, start = doc[at], start[at]
-    if not len(doc):
-        return doc, start, start
-    first = C.segments((doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1))
-    return doc[first], start[first], start[np.append(first[1:], len(start)) - 1]
-
-
-def _buckets(ids: np.ndarray, tkeys: np.ndarray, buckets: int) -> np.ndarray:
-    return (C.mix(ids.astype(np.uint64) * C.A + tkeys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+def _runs(ids, tkeys, start, group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive starts of one document and group: the order of the items, first index and length of each run."""
+    at = np.lexsort((start, tkeys, ids))
+    i, k, s, g = ids[at], tkeys[at], start[at], group[at]
+    first = C.segments((i[1:] != i[:-1]) | (k[1:] != k[:-1]) | (s[1:] != s[:-1] + 1) | (g[1:] != g[:-1])) if len(at) else np.empty(0, np.int64)
+    return at, first, np.diff(np.append(first, len(at)))
+
+
+def _flush(held: list, keys: list, slices: int) -> pa.RecordBatch:
+    w1, w2, to, start, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+    own = np.array(keys, np.int64)
+    ids, tkeys, to = own[doc, 0], own[doc, 1], to.astype(np.int64)
+    at, later = _order(w1, w2, ids, tkeys, start)
+    out = []
+    for mine, hashed in ((at[later], False), (at[~later], True)):
+        group = to[mine] if hashed else np.zeros(len(mine), np.int64)
+        order, first, many = _runs(ids[mine], tkeys[mine], start[mine], group)
+        mine = mine[order]
+        lead = mine[first]
+        w = None
+        if hashed:
+            both = np.empty(len(mine), WINDOW)
+            both["a"], both["b"] = w1[mine], w2[mine]
+            w = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.append(first, len(mine)) * WINDOW.itemsize).astype("<i4").tobytes()), pa.py_buffer(both.tobytes())])
+        slice_ = to[lead] if hashed else (C.mix(ids[lead].astype(np.uint64) * C.A + tkeys[lead].astype(np.uint64)) % np.uint64(slices)).astype(np.int64)
+        out.append(pa.RecordBatch.from_arrays([pa.array(slice_, pa.int32()), pa.array(ids[lead], pa.int64()), pa.array(tkeys[lead], pa.int64()), pa.array(start[lead], pa.int32()), pa.array(start[lead] + many - 1, pa.int32()), w if hashed else pa.nulls(len(first), pa.binary())], names=[x.split()[0] for x in CANDIDATES.split(", ")]))
+    return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(b.num_rows for b in out) else out[0]
+
+
+RUNS = "idk long, tkey long, lo int, hi int"
+
+
+def _repeats(t: pa.Table) -> pa.Table:
+    """Exact groups of one slice: runs of starts whose window starts earlier elsewhere."""
+    hashed = pc.is_valid(t.column("w"))
+    known, t = t.filter(pc.invert(hashed)).select(["idk", "tkey", "lo", "hi"]), t.filter(hashed)
+    if not t.num_rows:
+        return known
+    idk, tkey, lo, hi = (t.column(c).to_numpy() for c in ("idk", "tkey", "lo", "hi"))
+    both, many = np.frombuffer(b"".join(t.column("w").to_pylist()), WINDOW), (hi - lo + 1).astype(np.int64)
+    ids, tkeys = np.repeat(idk, many), np.repeat(tkey, many)
+    start = np.arange(len(both)) - np.repeat(np.cumsum(many) - many - lo, many)
+    at, later = _order(both["a"], both["b"], ids, tkeys, start)
+    mine = at[later]
+    order, first, many = _runs(ids[mine], tkeys[mine], start[mine], np.zeros(len(mine), np.int64))
+    lead = mine[order][first]
+    return pa.concat_tables([known, pa.table([pa.array(ids[lead], pa.int64()), pa.array(tkeys[lead], pa.int64()), pa.array(start[lead], pa.int32()), pa.array(start[lead] + many - 1, pa.int32())], names=["idk", "tkey", "lo", "hi"])])
 
 
-def _cut(key: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of equal keys of an ordered array."""
-    first = C.segments(key[1:] != key[:-1]) if len(key) else []
-    return list(zip(first, np.append(first[1:], len(key)), strict=True)) if len(key) else []
-
-
-def _flush(held: list, keys: list, slices: int) -> Iterator[pa.RecordBatch]:
-    w1, w2, anchor, start, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-    ids, tkeys = (np.array(x, np.int64) for x in zip(*keys, strict=True))
-    at, later = _order(w1, w2, ids[doc], tkeys[doc], start)
-    cols: dict[str, list] = {k: [] for k in ("slice", "w1", "w2", "start", "doc", "idk", "tkey", "lo", "hi")}
-    owner, lo, hi = _runs(doc[at[later]], start[at[later]])
-    to = _buckets(ids[owner], tkeys[owner], slices)
-    order = np.argsort(to, kind="stable")
-    owner, lo, hi, to = owner[order], lo[order], hi[order], to[order]
-    for a, b in _cut(to):
-        own, code = np.unique(owner[a:b], return_inverse=True)
-        for k, x in zip(cols, (int(to[a]), None, None, None, code.astype("<i4").tobytes(), ids[own].tobytes(), tkeys[own].tobytes(), lo[a:b].astype("<i4").tobytes(), hi[a:b].astype("<i4").tobytes()), strict=True):
-            cols[k].append(x)
-    at = at[~later]
-    to = (C.mix(anchor[at] + C.A) % np.uint64(slices)).astype(np.int64)
-    order = np.lexsort((start[at], doc[at], to))
-    at, to = at[order], to[order]
-    for a, b in _cut(to):
-        own, code = np.unique(doc[at[a:b]], return_inverse=True)
-        for k, x in zip(cols, (int(to[a]), w1[at[a:b]].tobytes(), w2[at[a:b]].tobytes(), start[at[a:b]].astype("<i4").tobytes(), code.astype("<i4").tobytes(), ids[own].tobytes(), tkeys[own].tobytes(), None, None), strict=True):
-            cols[k].append(x)
-    yield C.record(CANDIDATES, **cols)
-
-
-def _arrays(t: pa.Table, names: str, kinds: dict) -> tuple[np.ndarray, ...]:
-    """The packed columns of all rows; `doc` becomes an index into `idk` and `tkey`."""
-    got = {c: [np.frombuffer(x, kinds.get(c, "<i4")) for x in t.column(c).to_pylist()] for c in names.split()}
-    base = np.cumsum([0] + [len(x) for x in got["idk"]])
-    got["doc"] = [c + b for c, b in zip(got["doc"], base, strict=False)]
-    return tuple(np.concatenate(x) if x else np.empty(0, kinds.get(c, "<i4")) for c, x in got.items())
-
-
-WIDE = {"idk": "<i8", "tkey": "<i8", "w1": "<u8", "w2": "<u8"}
-RUNS = "bucket int, doc binary, idk binary, tkey binary, lo binary, hi binary"
-
-
-def _repeats(t: pa.Table, buckets: int) -> pa.Table:
-    """Exact groups of one slice: runs of starts whose window starts earlier elsewhere, packed per bucket of documents."""
-    known = pc.is_valid(t.column("lo"))
-    doc, ids, tkeys, lo, hi = _arrays(t.filter(known), "doc idk tkey lo hi", WIDE)
-    parts = [(ids[doc], tkeys[doc], lo, hi)]
-    w1, w2, start, doc, ids, tkeys = _arrays(t.filter(pc.invert(known)), "w1 w2 start doc idk tkey", WIDE)
-    at, later = _order(w1, w2, ids[doc], tkeys[doc], start)
-    owner, lo, hi = _runs(doc[at[later]], start[at[later]])
-    parts.append((ids[owner], tkeys[owner], lo, hi))
-    ids, tkeys, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-    to = _buckets(ids, tkeys, buckets)
-    order = np.lexsort((lo, tkeys, ids, to))
-    ids, tkeys, lo, hi, to = ids[order], tkeys[order], lo[order], hi[order], to[order]
-    cols: dict[str, list] = {c.split()[0]: [] for c in RUNS.split(", ")}
-    for a, b in _cut(to):
-        own, code = np.unique(np.stack((ids[a:b], tkeys[a:b])), axis=1, return_inverse=True)
-        for k, x in zip(cols, (int(to[a]), code.ravel().astype("<i4").tobytes(), own[0].tobytes(), own[1].tobytes(), lo[a:b].astype("<i4").tobytes(), hi[a:b].astype("<i4").tobytes()), strict=True):
-            cols[k].append(x)
-    return pa.Table.from_batches([C.record(RUNS, **cols)])
-
-
-GONE = "own_idk long, own_tkey long, lo binary, hi binary"
-
-
-def _by_document(t: pa.Table) -> pa.Table:
-    """A row of all runs for each document of a bucket."""
-    doc, ids, tkeys, lo, hi = _arrays(t, "doc idk tkey lo hi", WIDE)
-    ids, tkeys = ids[doc], tkeys[doc]
-    order = np.lexsort((lo, tkeys, ids))
-    ids, tkeys, lo, hi = ids[order], tkeys[order], lo[order].astype("<i4"), hi[order].astype("<i4")
-    cuts = _cut(np.cumsum(np.concatenate(([0], (ids[1:] != ids[:-1]) | (tkeys[1:] != tkeys[:-1])))) if len(ids) else ids)
-    return pa.Table.from_batches([C.record(GONE, own_idk=[int(ids[a]) for a, _ in cuts], own_tkey=[int(tkeys[a]) for a, _ in cuts], lo=[lo[a:b].tobytes() for a, b in cuts], hi=[hi[a:b].tobytes() for a, b in cuts])])
+KEPT = "kept_text string, n_words long, n_removed long"
 
 
-KEPT = "kept_text string, n_words long, n_removed long"
+def repeated_anchors(spark: SparkSession, docs: DataFrame, size: int, total: int) -> tuple[DataFrame, np.ndarray, int]:
+    """(dkey, keys) of the documents with anchors estimated to repeat, the hot anchors, and the number of blocks."""
+    blocks = max(C.shuffle_partitions(spark), total // BLOCK_BYTES)
+    # Anchors are no more than words, and words no more than half the bytes: so at most HOT_KEYS are counted so often.
+    hot = max(HOT, -(-total // 2 // HOT_KEYS))
+    found = sketches(docs, size, blocks).groupBy("slice").applyInArrow(C.tidy_group(lambda t: _estimated(t, hot)), HITS)
+    found = C.Scratch(spark, "substrings").write(found, "hits")
+    often = [np.frombuffer(r["keys"], "<u8") for r in found.filter("dkey IS NULL AND length(keys) > 0").collect()]
+    return found.filter("dkey IS NOT NULL"), np.sort(np.concatenate(often)) if often else np.empty(0, "<u8"), blocks
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, size: int = 20) -> DataFrame:
@@ -273,22 +285,23 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, size: int = 20) -> Da
     A word goes if a window of `size` words that covers it also starts earlier: in a smaller doc_id, or in
     the same document before. Kept words are joined by one space. A null or empty text has no words and keeps
     the empty text. A null doc_id is the smallest. Rows of one doc_id and text are one document and fare alike;
-    rows of one doc_id with other texts are ordered by start, then by a hash of the text. Columns named
-    kept_text, n_words or n_removed are replaced; other columns may have any name.
+    rows of one doc_id with other texts are ordered by start, then by a hash of the text. An empty table gives an empty
+    result. Columns named kept_text, n_words or n_removed are replaced; other columns may have any name.
     """
     C.limit_batches(spark)
     docs = docs.drop("kept_text", "n_words", "n_removed")
-    keyed = docs.select(C.id_key().alias("idk"), F.xxhash64("text").alias("tkey"), "text")
-    bits, width = prefilter(spark, keyed, size)
+    keyed = docs.select(C.id_key().alias("idk"), F.xxhash64("text").alias("tkey"), F.xxhash64("doc_id", "text").alias("dkey"), "text")
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(C.shuffle_partitions(spark), total // 16_000_000)
-    found = candidates(keyed, size, spark.sparkContext.broadcast(bits), width, slices)
-    runs = found.groupBy("slice").applyInArrow(C.tidy_group(lambda t: _repeats(t, slices)), RUNS)
-    gone = runs.groupBy("bucket").applyInArrow(_by_document, GONE)
+    slices = max(C.shuffle_partitions(spark), total // SLICE_BYTES)
+    found, hot, blocks = repeated_anchors(spark, keyed, size, total)
+    asked = _zipped(keyed, ["idk", "tkey", "dkey"]).join(found.groupBy("dkey").agg(F.collect_list("keys").alias("hits")), "dkey")
+    windows = candidates(asked.select("idk", "tkey", "z", "hits"), size, slices, blocks, spark.sparkContext.broadcast(hot))
+    runs = windows.groupBy("slice").applyInArrow(C.tidy_group(_repeats), RUNS)
+    gone = runs.groupBy(F.col("idk").alias("own_idk"), F.col("tkey").alias("own_tkey")).agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     # The text goes through the join once: the other columns travel beside it.
     others = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     row = docs.select(others.alias("row"), F.col("text").alias("text"), C.id_key().alias("own_idk"), F.xxhash64("text").alias("own_tkey"))
-    joined = row.join(gone, ["own_idk", "own_tkey"], "left").select("row", "text", "lo", "hi")
+    joined = _zipped(row, ["row", "own_idk", "own_tkey"]).join(gone, ["own_idk", "own_tkey"], "left").select("row", "z", "lo", "hi")
     schema = T.StructType([row.schema["row"], row.schema["text"], *T.StructType.fromDDL(KEPT)])
     kept = joined.mapInArrow(lambda batches: map(lambda b: _keep(b, size), batches), schema)
     return kept.select(*["text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], "kept_text", "n_words", "n_removed")
@@ -296,19 +309,22 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, size: int = 20) -> Da
 
 def _keep(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
     out: tuple[list, list, list] = ([], [], [])
-    for text, lo, hi in zip(C.as_bytes(batch.column("text")), batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), strict=True):
+    unzip = zstandard.ZstdDecompressor().decompress
+    texts = [None if z is None else unzip(z) for z in batch.column("z").to_pylist()]
+    for text, lo, hi in zip(texts, batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), strict=True):
         words = C.words_of(text)
         n, gone = len(words), 0
         if lo:
             edge = np.zeros(n + 1, np.int64)
-            np.add.at(edge, np.frombuffer(lo, "<i4"), 1)
-            np.add.at(edge, np.frombuffer(hi, "<i4") + size, -1)
+            np.add.at(edge, lo, 1)
+            np.add.at(edge, np.array(hi) + size, -1)
             kept = np.cumsum(edge[:-1]) == 0
             gone = n - int(kept.sum())
             words = [words[i] for i in np.flatnonzero(kept)]
         for x, y in zip(out, (b" ".join(words), n, gone), strict=True):
             x.append(y)
-    return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(out[0], pa.binary()).cast(pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["row", "text", "kept_text", "n_words", "n_removed"])
+    string = lambda x: pa.array(x, pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([batch.column("row"), string(texts), string(out[0]), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["row", "text", "kept_text", "n_words", "n_removed"])
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

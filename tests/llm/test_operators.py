@@ -147,14 +147,25 @@ def test_substrings_edges(spark, edge):
     assert substrings.dedup_substrings(spark, edge.limit(0)).count() == 0
 
 
-def test_a_full_sketch_loses_nothing(spark, mixed, monkeypatch):
-    """With far too few cells all windows seem repeated; the result is the same."""
-    monkeypatch.setattr(C, "pow2", lambda n, low, high: min(high, max(low, 1 << 16)))
-    monkeypatch.setattr(substrings, "FLUSH", 500)
+@pytest.mark.parametrize(("hot", "cells"), [(2, (1 << 10, 1 << 24)), (5_000, (8, 8))])
+def test_a_full_sketch_and_hot_anchors_lose_nothing(spark, mixed, monkeypatch, hot, cells):
+    """With far too few cells all windows seem repeated, and hot anchors deal their windows out; the result is the same."""
+    for name, value in (("FLUSH", 500), ("ANCHORS", 300), ("HOT", hot), ("CELLS", cells)):
+        monkeypatch.setattr(substrings, name, value)
     got = {(r.doc_id, r.text): r.kept_text for r in substrings.dedup_substrings(spark, mixed, 20).collect()}
     assert got == {k: v[0] for k, v in brute_substrings(texts_of(mixed), 20).items()}
 
 
+def test_the_sketch_passes_few_unique_anchors(spark):
+    """No block is held to a size: of anchors that occur once, few are estimated to repeat, however many blocks there are."""
+    rng = np.random.default_rng(5)
+    for n in (1_000, 300_000):
+        keys, docs = rng.integers(0, 2**32, n).astype("<u4"), np.arange(n, dtype="<i8")
+        t = C.record(substrings.SKETCH, slice=[0], once=[keys.tobytes()], once_docs=[docs.tobytes()], more=[None], times=[None], known=[None], known_docs=[None])
+        out = substrings._estimated(__import__("pyarrow").Table.from_batches([t]), 10)
+        assert out.num_rows - 1 < 0.03 * n
+
+
 # 4 -------------------------------------------------------------------------------------------------
 
 
