@@ -2,11 +2,13 @@
 
 Documents with equal shingle sets form a class at once. The global order of shingles is (frequency class
 from merged partition sketches, hash): rare ones first. Two sets that link share one of the rarest shingles
-of each (the prefix), so a class sends only those. Classes that share one meet in a block task under the
-least class of that list. The order is cut into FRAGMENTS of near equal use; a block counts
-the overlap of each fragment by itself, adds the counts per pair, and drops a pair as soon as the
-fragments that are left cannot lift it to the bound. Pairs within one component are not counted, so a
-large group of near copies costs about one comparison a member, and only links that join components leave.
+of each (the prefix), so a class sends only those, and classes that share one are candidates, listed under the
+least class of that list. The order is cut into FRAGMENTS of near equal use, and every set with it: a task gets the
+pieces of one fragment alone and counts partial overlaps; they are shuffled and summed per pair, and the sums
+decide. No task sees a whole set. A piece that overlaps too little for its pair to reach the bound sends nothing.
+Candidates are counted against few partners first (the least class of each list, then others), and pairs of
+one component are not counted, so a large group of near copies costs a few counts a member and not all its pairs;
+what is then left in other components is counted, every pair.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ from pyspark.sql import functions as F
 from factlens.llm import common as C
 from factlens.llm.components import components
 
-FRAGMENTS = 8
-#: Cells of the frequency sketch; what is broadcast is a byte a cell, 4 MB at most.
-CELLS = (1 << 12, 1 << 22)
+FRAGMENTS = 4
+#: Cells of the frequency sketch; what is broadcast is a byte a cell, 16 MB at most. Shingles rarer than one in so many are
+#: not told apart by it; they are ordered by hash, so that only the lengths of lists depend on the sketch.
+CELLS = (1 << 12, 1 << 24)
 CLASS_SHIFT = np.uint64(58)
-#: A block task holds about so many classes and shingles; a larger group is split.
+#: A block holds about so many classes and shingles; a larger group is split.
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 4_000_000
+#: While more pairs than this are open, and get fewer, further partners are tried before all are counted; so often at most.
+OPEN_PAIRS, STARS = 2_000_000, 4
 #: Candidate (class, block) pairs that are broadcast to fetch texts; beyond, a shuffle join does it.
 BROADCAST_ROWS = 500_000
 FLUSH = 600_000
@@ -55,14 +60,14 @@ def _set_id(s: np.ndarray) -> bytes:
         return b"".join(int(x).to_bytes(8, "big") for x in (C.mix(s).sum(), C.mix(s ^ C.A).sum() ^ np.uint64(len(s))))
 
 
-READ = "kind int, doc_id long, n long, sid binary, slice int, cells binary, counts binary"
+READ = "kind int, doc_id long, tkey long, n long, sid binary, slice int, cells binary, counts binary"
 
 
 def read_sets(docs: DataFrame, k: int, width: int) -> DataFrame:
     """kind 0: doc_id, set size, set id (null: empty set) of a document. kind 1: parts of the frequency sketch."""
 
     def read(batches):
-        count, n, out, held, waiting = np.zeros(width, np.int64), 0, ([], [], []), [], 0
+        count, n, out, held, waiting = np.zeros(width, np.int64), 0, ([], [], [], []), [], 0
 
         def add():
             nonlocal waiting
@@ -77,10 +82,10 @@ def read_sets(docs: DataFrame, k: int, width: int) -> DataFrame:
                 part = count[at : at + (1 << 16)]
                 cells = np.flatnonzero(part)
                 if len(cells):
-                    yield C.record(READ, kind=[1], doc_id=[None], n=[None], sid=[None], slice=[at >> 16], cells=[cells.astype("<u2").tobytes()], counts=[part[cells].astype("<u4").tobytes()])
+                    yield C.record(READ, kind=[1], doc_id=[None], tkey=[None], n=[None], sid=[None], slice=[at >> 16], cells=[cells.astype("<u2").tobytes()], counts=[part[cells].astype("<u4").tobytes()])
 
-        for (doc_id,), s in _sets(batches, ["doc_id"], k):
-            for x, y in zip(out, (doc_id, len(s), _set_id(s) if len(s) else None), strict=True):
+        for row, s in _sets(batches, ["doc_id", "tkey"], k):
+            for x, y in zip(out, (*row, len(s), _set_id(s) if len(s) else None), strict=True):
                 x.append(y)
             held.append(s % np.uint64(width))
             waiting += len(s)
@@ -89,7 +94,7 @@ def read_sets(docs: DataFrame, k: int, width: int) -> DataFrame:
             n += len(s)
             if len(out[0]) >= 2000:
                 yield _light(out)
-                out = ([], [], [])
+                out = ([], [], [], [])
         yield _light(out)
         if n:
             add()
@@ -100,7 +105,7 @@ def read_sets(docs: DataFrame, k: int, width: int) -> DataFrame:
 
 def _light(out) -> pa.RecordBatch:
     none = [None] * len(out[0])
-    return C.record(READ, kind=[0] * len(none), doc_id=out[0], n=out[1], sid=out[2], slice=none, cells=none, counts=none)
+    return C.record(READ, kind=[0] * len(none), doc_id=out[0], tkey=out[1], n=out[2], sid=out[3], slice=none, cells=none, counts=none)
 
 
 def frequency_classes(parts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,102 +218,80 @@ def _lists(t: pa.Table, percent: int) -> pa.Table:
     return pa.table({"leader": pa.array([raw[i : i + 16] for i in range(0, len(raw), 32)], pa.binary()), "sid": pa.array([raw[i + 16 : i + 32] for i in range(0, len(raw), 32)], pa.binary())})
 
 
-SETS = "bundle int, leader binary, block long, role int, comp binary, sid binary, tokens binary"
+PIECES = "task int, hub binary, block long, fragment int, role int, comp binary, sid binary, n long, size int, tokens binary"
 
 
-def fetch(docs: DataFrame, k: int, levels, bundles: int) -> DataFrame:
-    """The sets of the classes asked for (sid, targets), once for each target block."""
+def fetch(docs: DataFrame, k: int, levels, bounds: np.ndarray, tasks: int) -> DataFrame:
+    """The sets of the classes asked for (sid, targets), cut at the bounds: a row for each fragment and target."""
+    names = [x.split()[0] for x in PIECES.split(", ")]
 
     def search(batches):
-        level = levels.value
+        level, seen, out, n = levels.value, set(), {c: [] for c in names}, 0
         for (sid, targets, comp), s in _sets(batches, ["sid", "targets", "comp"], k):
-            if _set_id(s) != sid:
-                continue  # another text of the same doc_id
-            raw, m = ordered(s, level).tobytes(), len(targets)
-            lead, block = [t["leader"] for t in targets], [t["block"] for t in targets]
-            yield C.record(SETS, bundle=[hash((int.from_bytes(a, "big"), b)) % bundles for a, b in zip(lead, block, strict=True)], leader=lead, block=block, role=[t["role"] for t in targets], comp=[comp] * m, sid=[sid] * m, tokens=[raw] * m)
-
-    return docs.mapInArrow(C.tidy(search), SETS)
-
-
-def _find(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
-def overlaps(a: np.ndarray, others: list[np.ndarray], need: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Whether each of `others` shares at least `need` keys with `a`: partial counts per fragment, summed."""
-    cut_a = np.searchsorted(a, bounds)
-    cuts = np.stack([np.searchsorted(o, bounds) for o in others])
-    rest = np.minimum(np.diff(cut_a), np.diff(cuts, axis=1))
-    left = rest.sum(axis=1)
-    total, alive = np.zeros(len(others), np.int64), np.flatnonzero(left >= need)
-    for f in range(len(bounds) - 1):
-        if not len(alive):
-            break
-        part = a[cut_a[f] : cut_a[f + 1]]
-        sizes = cuts[alive, f + 1] - cuts[alive, f]
-        if len(part) and sizes.sum():
-            held = np.concatenate([others[i][cuts[i, f] : cuts[i, f + 1]] for i in alive])
-            at = np.searchsorted(part, held)
-            at[at == len(part)] = 0
-            hits = np.concatenate(([0], np.cumsum(part[at] == held)))
-            ends = np.cumsum(sizes)
-            total[alive] += hits[ends] - hits[ends - sizes]
-        left -= rest[:, f]
-        alive = alive[total[alive] + left[alive] >= need[alive]]
-    ok = np.zeros(len(others), bool)
-    ok[alive] = total[alive] >= need[alive]
-    return ok
-
-
-def block_links(sets: list[np.ndarray], comps: list, roles: list[int], percent: int, bounds: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join components: every pair in other components is decided, by role 1 with 2 where roles are given."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    size = np.array([len(s) for s in sets])
-    label: dict = {}
-    parent = [label.setdefault(c, i) for i, c in enumerate(comps)]
-    done, out, last = [], [], None
-    for x in order:
-        done = [y for y in done if 100 * size[y] >= percent * size[x]]  # sizes ascend
-        near = [y for y in done if not roles[x] or roles[x] | roles[y] == 3]
-        if last in near and _find(parent, last) != _find(parent, x):
-            near.remove(last)
-            near.insert(0, last)
-        chunk = 1  # first one try, as near copies of one text mostly link at once
-        while near:
-            root = _find(parent, x)
-            near = [y for y in near if _find(parent, y) != root]
-            now, near = near[:chunk], near[chunk:]
-            if now:
-                need = -(-percent * (size[now] + size[x]) // (100 + percent))
-                for y, ok in zip(now, overlaps(sets[x], [sets[y] for y in now], need, bounds), strict=True):
-                    if ok:
-                        last = y
-                        out.append((x, y))
-                        parent[_find(parent, y)] = _find(parent, x)
-            chunk = min(chunk * 4, 512)
-        done.append(x)
-        last = x if last is None else last
-    return out
-
-
-def _block(t: pa.Table, percent: int, bounds: np.ndarray) -> pa.Table:
-    groups: dict = {}
-    for leader, block, *row in zip(*(t.column(c).to_pylist() for c in ("leader", "block", "sid", "tokens", "comp", "role")), strict=True):
-        groups.setdefault((leader, block), {}).setdefault(row[0], row)  # several texts may have the set
-    u, v = [], []
-    for rows in groups.values():
-        sid, tokens, comp, role = zip(*sorted(rows.values(), key=lambda r: r[0]), strict=True)
-        for i, j in block_links([np.frombuffer(x, "<u8") for x in tokens], [c or s for c, s in zip(comp, sid, strict=True)], list(role), percent, bounds):
-            u.append(sid[i])
-            v.append(sid[j])
-    return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+            if sid in seen or _set_id(s) != sid:
+                continue  # a repeated row, or another text of the same doc_id
+            seen.add(sid)
+            keys = ordered(s, level)
+            cuts = np.searchsorted(keys, bounds[1:-1]).tolist()
+            for f, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)):
+                raw = keys[a:b].tobytes()
+                for t in targets:
+                    task = hash((int.from_bytes(t["hub"], "big"), t["block"], f)) % tasks
+                    for c, v in zip(names, (task, t["hub"], t["block"], f, t["role"], comp, sid, len(keys), b - a, raw), strict=True):
+                        out[c].append(v)
+                    n += len(raw) + 100
+                    if n > 8_000_000:
+                        yield C.record(PIECES, **out)
+                        out, n = {c: [] for c in names}, 0
+        yield C.record(PIECES, **out)
+
+    return docs.mapInArrow(C.tidy(search), PIECES)
+
 
+PARTIAL = "a binary, b binary, na long, nb long, overlap long"
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+
+def overlaps(piece: np.ndarray, others: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many keys of each of `others` (concatenated; ends[i]: where the i-th ends) are in `piece`."""
+    if not len(piece) or not len(others):
+        return np.zeros(len(ends), np.int64)
+    at = np.searchsorted(piece, others)
+    at[at == len(piece)] = 0
+    hits = np.concatenate(([0], np.cumsum(piece[at] == others)))
+    return np.diff(hits[np.concatenate(([0], ends))])
+
+
+def _partial(t: pa.Table, percent: int) -> pa.Table:
+    """Partial overlaps of one task's fragments: of role 1 with role 2 in a block, where the components differ."""
+    groups: dict = {}
+    for hub, block, fragment, *row in zip(*(t.column(c).to_pylist() for c in ("hub", "block", "fragment", "sid", "role", "comp", "n", "size", "tokens")), strict=True):
+        groups.setdefault((hub, block, fragment), {}).setdefault(row[0], row)  # several texts may have the set
+    out: dict[str, list] = {c.split()[0]: [] for c in PARTIAL.split(", ")}
+    for rows in groups.values():
+        sid, role, comp, n, size, tokens = map(list, zip(*sorted(rows.values(), key=lambda r: (r[3], r[0])), strict=True))
+        label: dict = {}
+        comp = np.array([label.setdefault(c or x, i) for i, (c, x) in enumerate(zip(comp, sid, strict=True))])
+        n, size, role = np.array(n), np.array(size), np.array(role)
+        keys, ends = np.frombuffer(b"".join(tokens), "<u8"), np.cumsum(size)
+        for x in np.flatnonzero(role & 1).tolist():
+            lo, hi = np.searchsorted(n, (-(-percent * n[x] // 100), 100 * n[x] // percent + 1))  # sizes that can link
+            near = np.arange(lo, hi)
+            near = near[(role[lo:hi] & 2 > 0) & (comp[lo:hi] != comp[x]) & ((role[lo:hi] != 3) | (role[x] != 3) | (near > x))]
+            if not len(near):
+                continue
+            whole = len(near) == hi - lo
+            others = keys[ends[lo] - size[lo] : ends[hi - 1]] if whole else np.concatenate([keys[ends[y] - size[y] : ends[y]] for y in near])
+            got = overlaps(keys[ends[x] - size[x] : ends[x]], others, np.cumsum(size[near]))
+            need = -(-percent * (n[near] + n[x]) // (100 + percent))
+            # What this fragment can add at most is in the sum already if all other fragments overlap in full.
+            ok = (got > 0) & (got + np.minimum(n[near] - size[near], n[x] - size[x]) >= need)
+            for y, c in zip(near[ok].tolist(), got[ok].tolist(), strict=True):
+                for col, v in zip(out.values(), (sid[x], sid[y], int(n[x]), int(n[y]), c), strict=True):
+                    col.append(v)
+    return pa.Table.from_batches([C.record(PARTIAL, **out)])
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, broadcast_rows: int = BROADCAST_ROWS, open_pairs: int = OPEN_PAIRS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text): components of the links J >= percent / 100.
 
     Sets are distinct k-word shingles of the A-Z-lower-cased words; fewer words are one shingle; a null, empty or
@@ -317,54 +300,89 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
     empty table gives an empty result. Other columns are not read.
     """
     scratch = C.Scratch(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     width = C.pow2(total / 6 / 128, *CELLS)
     slices = max(C.shuffle_partitions(spark), total // 40_000_000)
     read = scratch.write(read_sets(docs, k, width), "read")
-    light = read.filter("kind = 0").select("doc_id", "n", "sid")
+    light = read.filter("kind = 0").select("doc_id", "tkey", "n", "sid")
     levels, bounds = frequency_classes(read.filter("kind = 1").select("slice", "cells", "counts"), width)
     shared = spark.sparkContext.broadcast(levels)
     lists = prefixes(docs, k, percent, shared, slices).groupBy("slice").applyInArrow(C.tidy_group(lambda t: _lists(t, percent)), "leader binary, sid binary")
     members = scratch.write(lists.distinct(), "members")
-    classes = light.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(C.id_key()).alias("idk"), F.first("n").alias("n"))
+    classes = light.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct(C.id_key().alias("idk"), "tkey")).alias("at"), F.first("n").alias("n")).select("sid", "at.*", "n")
     named = scratch.write(members.join(classes, "sid"), "named")
-    groups = named.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    placed = named.join(groups, "leader").withColumn("at", F.expr("pmod(xxhash64(sid), blocks)"))
-    # A leader is in all blocks of its group, so that most blocks of near copies join at once.
-    first = placed.withColumn("block", F.explode(F.expr("CASE WHEN sid = leader THEN sequence(0L, blocks - 1) ELSE array(at) END"))).withColumn("role", F.lit(0)).withColumn("comp", F.lit(None).cast("binary"))
-    links = scratch.write(_verify(spark, docs, first, k, percent, shared, bounds, broadcast_rows), "links-1")
-    comps = scratch.write(components(spark, links, scratch, "comps"), "comps-1")
-    if placed.filter("blocks > 1").limit(1).count():
-        second = _across(placed.filter("blocks > 1"), comps)
-        more = scratch.write(_verify(spark, docs, second, k, percent, shared, bounds, broadcast_rows), "links-2")
-        comps = scratch.write(components(spark, links.unionByName(more), scratch, "again"), "comps-2")
+
+    def linked(targets: DataFrame) -> DataFrame:
+        return _linked(spark, docs, targets, k, percent, shared, bounds, broadcast_rows)
+
+    links = scratch.write(linked(_star(named.withColumns({"hub": F.col("leader"), "comp": F.lit(None).cast("binary")}), block_sets)), "links-0")
+    comps, last = scratch.write(components(spark, links, scratch, "comps-0"), "roots-0"), None
+    for turn in range(1, STARS + 2):
+        known, pairs = _open(named, comps)
+        known = scratch.write(known, f"open-{turn}")
+        now = known.agg(F.sum(pairs)).first()[0] or 0
+        if not now:
+            break
+        final = turn > STARS or now <= open_pairs or (last is not None and now > 0.7 * last)
+        targets = _across(known, block_sets) if final else _star(_hubs(known, turn), block_sets)
+        more = scratch.write(linked(targets), f"links-{turn}")
+        links = links.unionByName(more)
+        comps = scratch.write(components(spark, links, scratch, f"comps-{turn}"), f"roots-{turn}")
+        if final:
+            break
+        last = now
     labelled = light.join(comps.select(F.col("node").alias("sid"), "root"), "sid", "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
     least = labelled.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def _across(placed: DataFrame, comps: DataFrame) -> DataFrame:
-    """Targets for pairs of blocks of one large group: classes outside its largest component meet all its blocks."""
-    known = placed.join(comps.select(F.col("node").alias("sid"), F.col("root").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+ASKED = ["hub", "sid", "idk", "tkey", "n", "comp", "block", "role"]
+
+
+def _star(named: DataFrame, block_sets: int) -> DataFrame:
+    """Targets for the pairs of a hub (role 1) with the other classes (role 2) of its group, in blocks; the hub is in all of them."""
+    groups = named.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = named.join(groups, "hub").withColumn("role", F.when(F.col("sid") == F.col("hub"), 1).otherwise(2))
+    return placed.withColumn("block", F.explode(F.expr("CASE WHEN role = 1 THEN sequence(0L, blocks - 1) ELSE array(pmod(xxhash64(sid), blocks)) END"))).select(*ASKED)
+
+
+def _open(named: DataFrame, comps: DataFrame):
+    """The classes of groups with several components, with their component, and a column whose sum bounds the open pairs."""
+    known = named.join(comps.select(F.col("node").alias("sid"), F.col("root").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     counts = known.groupBy("leader", "comp").agg(F.count("*").alias("c"))
-    main = counts.groupBy("leader").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    known = known.join(main, "leader").filter("all > most").withColumn("few", F.expr("CAST(greatest(1, ceil((all - most) * blocks / all)) AS BIGINT)"))
-    outside = known.filter("comp != main").withColumn("mine", F.expr("pmod(xxhash64(sid, 7), few)"))
-    asks = outside.withColumn("block", F.explode(F.expr("transform(sequence(0L, blocks - 1), j -> mine * blocks + j)"))).withColumn("role", F.lit(1))
-    gives = known.withColumn("block", F.explode(F.expr("transform(sequence(0L, few - 1), i -> i * blocks + at)"))).withColumn("role", F.lit(2))
-    cols = ["leader", "sid", "idk", "n", "comp", "block"]
-    return asks.select(*cols, "role").unionByName(gives.select(*cols, "role")).groupBy(*cols).agg(F.sum("role").cast("int").alias("role"))
-
-
-def _verify(spark: SparkSession, docs: DataFrame, targets: DataFrame, k: int, percent: int, shared, bounds: np.ndarray, broadcast_rows: int) -> DataFrame:
-    asked = targets.groupBy("sid", "idk", "n", "comp").agg(F.collect_list(F.struct("leader", "block", "role")).alias("targets"))
-    size = asked.agg(F.count("*").alias("rows"), F.sum(F.size("targets")).alias("targets"), F.sum(F.col("n") * F.size("targets")).alias("shingles")).first()
-    bundles = max(C.shuffle_partitions(spark), int(size["shingles"] or 0) // 1_000_000)
-    asked = asked.select("sid", "idk", "comp", "targets")
+    main = counts.groupBy("leader").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).filter("all > most")
+    return known.join(main, "leader"), F.when(F.col("comp") != F.col("main"), F.col("all")).otherwise(0)
+
+
+def _hubs(known: DataFrame, turn: int) -> DataFrame:
+    """Two more hubs for each group, one in its largest component and one outside; each meets the classes of other components."""
+    at = F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "comp")
+    hubs = known.groupBy("leader", (F.col("comp") == F.col("main")).alias("inside")).agg(F.min(at).alias("hub")).select("leader", F.col("hub.sid").alias("hub"), F.col("hub.comp").alias("own"))
+    return known.join(hubs, "leader").filter("comp != own OR sid = hub").dropDuplicates(["hub", "sid"])
+
+
+def _across(known: DataFrame, block_sets: int) -> DataFrame:
+    """Targets for all open pairs: classes outside the largest component of a group meet all classes of the group, block by block."""
+    sized = known.withColumns({"blocks": F.ceil(F.col("all") / block_sets), "few": F.ceil((F.col("all") - F.col("most")) / block_sets)})
+    sized = sized.withColumns({"at": F.expr("pmod(xxhash64(sid), blocks)"), "mine": F.expr("pmod(xxhash64(sid, 7), few)"), "hub": F.col("leader")})
+    asks = sized.filter("comp != main").withColumn("block", F.explode(F.expr("transform(sequence(0L, blocks - 1), j -> mine * blocks + j)"))).withColumn("role", F.lit(1))
+    gives = sized.withColumn("block", F.explode(F.expr("transform(sequence(0L, few - 1), i -> i * blocks + at)"))).withColumn("role", F.lit(2))
+    return asks.select(*ASKED).unionByName(gives.select(*ASKED)).groupBy(*ASKED[:-1]).agg(F.sum("role").cast("int").alias("role"))
+
+
+def _linked(spark: SparkSession, docs: DataFrame, targets: DataFrame, k: int, percent: int, shared, bounds: np.ndarray, broadcast_rows: int) -> DataFrame:
+    """(u, v) of the pairs of targets whose partial overlaps, summed over the fragments, reach the bound."""
+    asked = targets.groupBy("sid", "idk", "tkey", "n", "comp").agg(F.collect_list(F.struct("hub", "block", "role")).alias("targets"))
+    size = asked.agg(F.sum(F.size("targets")).alias("targets"), F.sum(F.col("n") * F.size("targets")).alias("shingles")).first()
+    tasks = max(C.shuffle_partitions(spark), int(size["shingles"] or 0) // 1_000_000)
+    asked = asked.select("sid", "idk", "tkey", "comp", "targets")
     asked = F.broadcast(asked) if (size["targets"] or 0) <= broadcast_rows else asked.hint("merge")
-    texts = docs.select(C.id_key().alias("idk"), "text").join(asked, "idk").select("sid", "targets", "comp", "text")
-    return fetch(texts, k, shared, bundles).groupBy("bundle").applyInArrow(C.tidy_group(lambda t: _block(t, percent, bounds)), "u binary, v binary")
+    # A class is fetched by one document: the least doc_id, and of its texts one. Others of that id do not come along.
+    texts = docs.select(C.id_key().alias("idk"), "tkey", "text").join(asked, ["idk", "tkey"]).select("sid", "targets", "comp", "text")
+    partial = fetch(texts, k, shared, bounds, tasks).groupBy("task").applyInArrow(C.tidy_group(lambda t: _partial(t, percent)), PARTIAL)
+    summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return summed.filter(f"100 * overlap >= {percent} * (na + nb - overlap)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

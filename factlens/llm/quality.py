@@ -1,4 +1,10 @@
-"""Quality rules: base counts of a text, and a linear-chain CRF whose Viterbi path marks lines as content or boilerplate."""
+"""Quality rules: base counts of a text, and a linear-chain CRF whose Viterbi path marks lines as content or boilerplate.
+
+Labels are given for documents, the chain needs them for lines. Lines of good documents are content, but for those that read
+as a notice (licence, copyright, cookies, sign-in). In a bad document the lines that look like content by a logistic
+regression over all lines are content, and the others, one at least, are boilerplate. So sequences change state, and
+the chain learns when they do.
+"""
 
 from __future__ import annotations
 
@@ -16,14 +22,17 @@ from factlens.llm import common as C
 
 #: Labelled documents used for learning, at most: a sample by hash of doc_id. All other work covers all rows.
 TRAIN_DOCS = 4000
-#: Lines of a training sequence; a longer document is several sequences.
-TRAIN_LINES = 64
+#: Lines of a training sequence; a longer document is several sequences. At most TRAIN_SEQUENCES of all sequences, the first by
+#: a hash of document and place, are learned from, which bounds what goes to the driver to 13 MB.
+TRAIN_LINES, TRAIN_SEQUENCES = 64, 4096
 CONTENT_SHARE = 0.5
+#: How notices read.
+NOTICE = re.compile(rb"licen[cs]ed under|under the .{0,40}licen[cs]e|copyright|all rights reserved|\xc2\xa9|cookies?\b|privacy policy|terms of (?:use|service)|subscribe|sign in|log ?in\b", re.IGNORECASE)
 SYMBOLS = b"#*$%&|<>"
 SHOUT = re.compile(rb"[!?]{2,}")
-LINK = re.compile(rb"://|www\.|@|\xc2\xa9|\bcookie|\blicen[cs]e|\bcopyright|\ball rights", re.IGNORECASE)
-UPPER, LETTER, DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]"), re.compile(r"[^\W\d_]"), re.compile(r"\d")
-N_FEATURES = 12
+LINK = re.compile(rb"://|www\.|@")
+LETTER, DIGIT = re.compile(r"[^\W\d_]"), re.compile(r"\d")
+N_FEATURES = 13
 
 
 def line_features(line: bytes, times: int, first: bool, last: bool) -> list[float]:
@@ -46,6 +55,7 @@ def line_features(line: bytes, times: int, first: bool, last: bool) -> list[floa
         float(times > 1),
         min(1.0, 5 * len(DIGIT.findall(text)) / n),
         float(LINK.search(line) is not None) + 0.1 * first + 0.1 * last,
+        float(NOTICE.search(line) is not None),
     ]
 
 
@@ -92,16 +102,35 @@ class Chain:
         return out[::-1]
 
 
-def fit_chain(xs: np.ndarray, mask: np.ndarray, ys: np.ndarray, rounds: int = 200, ridge: float = 1e-3) -> Chain:
-    """Maximum likelihood by Adam; xs: (sequences, lines, features), padded; the same data give the same weights."""
-    n, length, _ = xs.shape
+def fit_chain(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, ridge: float = 1e-5) -> Chain:
+    """Maximum likelihood by Adam over (features of the lines, state of each) of sequences; the same data give the same weights."""
     theta = np.zeros(2 * N_FEATURES + 4)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    gold = np.stack((1.0 - ys, ys), axis=2) * mask[:, :, None]
-    pairs = gold[:, :-1, :, None] * gold[:, 1:, None, :]
-    weight = mask.sum()
+    packs = [_padded([s for s in sequences if low < len(s[1]) <= high]) for low, high in zip((0, 4, 12, 32), (4, 12, 32, 1 << 30), strict=True)]
     for t in range(1, rounds + 1):
-        w, s = theta[: 2 * N_FEATURES].reshape(2, -1), theta[2 * N_FEATURES :].reshape(2, 2)
+        grad = _gradient(theta, [p for p in packs if p]) - ridge * theta
+        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
+        theta = theta + 0.15 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+    return Chain(tuple(map(tuple, theta[: 2 * N_FEATURES].reshape(2, -1).round(9).tolist())), tuple(map(tuple, theta[2 * N_FEATURES :].reshape(2, 2).round(9).tolist())))
+
+
+def _padded(sequences: list) -> tuple | None:
+    """Features, mask and states of sequences of like lengths."""
+    if not sequences:
+        return None
+    length = max(len(y) for _, y in sequences)
+    xs, mask, gold = np.zeros((len(sequences), length, N_FEATURES)), np.zeros((len(sequences), length)), np.zeros((len(sequences), length, 2))
+    for i, (x, y) in enumerate(sequences):
+        xs[i, : len(y)], mask[i, : len(y)], gold[i, np.arange(len(y)), y] = x, 1, 1
+    return xs, mask, gold
+
+
+def _gradient(theta: np.ndarray, packs: list) -> np.ndarray:
+    """Gradient of the mean log likelihood of a line's state, by the forward and backward sums."""
+    w, s = theta[: 2 * N_FEATURES].reshape(2, -1), theta[2 * N_FEATURES :].reshape(2, 2)
+    total, weight = np.zeros_like(theta), 0.0
+    for xs, mask, gold in packs:
+        n, length, _ = xs.shape
         node = xs @ w.T
         fwd, bwd = np.zeros((n, length, 2)), np.zeros((n, length, 2))
         fwd[:, 0] = node[:, 0]
@@ -115,15 +144,47 @@ def fit_chain(xs: np.ndarray, mask: np.ndarray, ys: np.ndarray, rounds: int = 20
         z = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
         p = np.exp(fwd + bwd - z[:, None, None]) * mask[:, :, None]
         pp = np.exp(fwd[:, :-1, :, None] + s + (node + bwd)[:, 1:, None, :] - z[:, None, None, None]) * (mask[:, 1:] * mask[:, :-1])[:, :, None, None]
-        grad = np.concatenate((np.einsum("nls,nlf->sf", gold - p, xs).ravel(), (pairs - pp).sum(axis=(0, 1)).ravel())) / weight - ridge * theta
-        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
-        theta = theta + 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
-    return Chain(tuple(map(tuple, theta[: 2 * N_FEATURES].reshape(2, -1).round(9).tolist())), tuple(map(tuple, theta[2 * N_FEATURES :].reshape(2, 2).round(9).tolist())))
+        pairs = gold[:, :-1, :, None] * gold[:, 1:, None, :]
+        total += np.concatenate((np.einsum("nls,nlf->sf", gold - p, xs).ravel(), (pairs - pp).sum(axis=(0, 1)).ravel()))
+        weight += mask.sum()
+    return total / weight
 
 
-def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Chain:
-    """A chain from labelled documents: the lines of a document carry its quality label. At most about `most` documents, half of each label where there are enough."""
-    usable = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
+def line_states(x: np.ndarray, good: np.ndarray, notice: np.ndarray, owner: np.ndarray, rounds: int = 3) -> np.ndarray:
+    """States of lines (1: content) from the labels of their documents; owner: the sequence of a line, ascending."""
+    y = (good & ~notice).astype(float)
+    first = C.segments(owner[1:] != owner[:-1])
+    for _ in range(rounds):
+        p = _content_odds(x, y)
+        worst = p == np.repeat(np.minimum.reduceat(p, first), np.diff(np.append(first, len(owner))))
+        y = np.where(good, ~notice, (p > 0) & ~worst & ~notice).astype(float)
+    return y.astype(np.int64)
+
+
+def _content_odds(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Log odds of state 1 of every line, by a regression that gives both states the same weight."""
+    n = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum())) * len(y)
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (n * (y - p)) - ridge * w)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return x @ w
+
+
+SHAPES = "doc_id long, quality int, at int, x binary, notice binary"
+
+
+def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, sequences: int = TRAIN_SEQUENCES) -> Chain:
+    """A chain from labelled documents: at most about `most` of them, half of each label where there are enough, by hash of doc_id.
+
+    Labels other than 0 and 1, and of no doc_id, do not count; nor do those of a doc_id that has both. Repeated labels are one.
+    Of several texts of a doc_id each is used, of null or empty ones there are no lines. Without lines of documents of both labels
+    the chain is empty.
+    """
+    usable = C.one_label(labels, "quality")
     count = {r.quality: r["count"] for r in usable.groupBy("quality").count().collect()}
     if len(count) < 2:
         return Chain()
@@ -132,18 +193,24 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = T
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs = [np.array(document_features(t)) for t in C.as_bytes(batch.column("text"))]
-            yield C.record("doc_id long, quality int, n long, x binary", doc_id=batch.column("doc_id").to_pylist(), quality=batch.column("quality").to_pylist(), n=[len(x) for x in xs], x=[x.tobytes() for x in xs])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").mapInArrow(shape, "doc_id long, quality int, n long, x binary").filter("n > 0").collect()
-    parts = [(x[a : a + TRAIN_LINES], r.quality) for r in sorted(rows) for x in (np.frombuffer(r.x).reshape(r.n, N_FEATURES),) for a in range(0, r.n, TRAIN_LINES)]
-    if len({q for _, q in parts}) < 2:
+            out: dict[str, list] = {c.split()[0]: [] for c in SHAPES.split(", ")}
+            for doc_id, quality_, t in zip(batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist(), C.as_bytes(batch.column("text")), strict=True):
+                lines, x = lines_of(t), np.array(document_features(t), "<f4")
+                notice = np.array([NOTICE.search(line) is not None for line in lines], np.uint8)
+                for a in range(0, len(lines), TRAIN_LINES):
+                    for c, v in zip(out.values(), (doc_id, quality_, a, x[a : a + TRAIN_LINES].tobytes(), notice[a : a + TRAIN_LINES].tobytes()), strict=True):
+                        c.append(v)
+            yield C.record(SHAPES, **out)
+
+    shaped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").mapInArrow(shape, SHAPES)
+    rows = shaped.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "x").limit(sequences).collect()
+    if len({r.quality for r in rows}) < 2:
         return Chain()
-    length = max(len(x) for x, _ in parts)
-    xs, mask, ys = np.zeros((len(parts), length, N_FEATURES)), np.zeros((len(parts), length)), np.zeros((len(parts), length))
-    for i, (x, q) in enumerate(parts):
-        xs[i, : len(x)], mask[i, : len(x)], ys[i, : len(x)] = x, 1, q
-    return fit_chain(xs, mask, ys)
+    xs = [np.frombuffer(r.x, "<f4").reshape(-1, N_FEATURES).astype(float) for r in rows]
+    sizes = [len(x) for x in xs]
+    good, notice = np.repeat([r.quality == 1 for r in rows], sizes), np.frombuffer(b"".join(r.notice for r in rows), np.uint8) > 0
+    states = line_states(np.concatenate(xs), good, notice, np.repeat(np.arange(len(rows)), sizes))
+    return fit_chain(list(zip(xs, np.split(states, np.cumsum(sizes)[:-1]), strict=True)))
 
 
 def repeated_words(h: np.ndarray, k: int = 5) -> int:
