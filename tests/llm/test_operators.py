@@ -295,9 +295,73 @@ def test_items_of_many_slots_are_found_verbatim(spark):
 
 def test_items_without_an_id_and_behind_a_heading(spark):
     short = "Which river flows past the old mill"
-    got = found(spark, [(1, f"Heading {short} today"), (2, "Heading Which road leads past the new town")], [(None, short)])
+    got = found(spark, [(1, f"Heading, {short} today"), (2, "Heading, which road leads past the new town")], [(None, short)])
     assert got[1] == (True, [], False) and not got[2][0]
-    assert found(spark, [(1, f"Heading {short} today")], [(5, short)])[1] == (True, [5], False)
+    assert found(spark, [(1, f"Heading: {short} today")], [(5, short)])[1] == (True, [5], False)
+
+
+@pytest.mark.parametrize("more", [{}, {"block_words": 1}])
+def test_slots_short_items_and_names(spark, more):
+    """By look-up and by join: one map for all alignments, names that open sentences or have two words, short items verbatim."""
+    bob = "Bob gave 3 coins to Ann and then Ann gave 3 coins back to Bob who counted 3 coins with Ann at noon"
+    two = "Tim gave 1 coins to Ann and then also Sue gave 2 coins back to Bob who counted 4 coins with Joe at noon"
+    same = bob.replace("Bob", "Tim Young").replace("Ann", "Eve").replace("3", "8").replace("and then", "and then also")
+    alice, robert = "Alice has 12 red apples in the basket", "Robert has 77 red apples in the basket"
+    far = "Bob gave 3 coins to Ann and then Ann gave 3 " + "filler words of no use at all " * 60 + "coins back to Bob who counted 3 coins with Ann at noon"
+    items = [(1, bob), (2, alice), (3, "blue green yellow red"), (4, "yes indeed"), (5, None), (6, "")]
+    docs = [(1, two), (2, same), (3, robert), (4, "we like blue green, yellow red"), (5, "yes indeed"), (6, "oh yes indeed"), (7, None), (8, "nothing"), (9, "it was blue green or yellow red"), (10, far), (None, alice), (None, None)]
+    got = found(spark, docs, items, **more)
+    assert got[1][0] is False and got[2] == (True, [1], True) and got[3] == (True, [2], True)
+    assert got[4] == (True, [3], False) and got[5] == (True, [4], False) and got[None][0] in (True, False)
+    assert not any(got[i][0] for i in (6, 7, 8, 9))
+    assert got[10][0] is False
+
+
+@pytest.mark.parametrize("more", [{}, {"block_words": 1}])
+def test_templates_against_brute_force(spark, more):
+    """Every window of every item held against every window of every document, word by word."""
+    rng = random.Random(21)
+    plain = [f"w{c}{d}" for c in "abcdefgh" for d in "abcdefgh"]
+    names, make = ["Ann", "Bob", "Carl", "Dora"], lambda n: [rng.choice([rng.choice(plain)] * 5 + [str(rng.randrange(9)), rng.choice(names)]) for _ in range(n)]
+    items = [make(rng.randint(9, 30)) for _ in range(25)]
+    docs = []
+    for i in range(80):
+        w = list(items[i % 25])
+        for _ in range(rng.choice([0, 1, 3])):
+            w[rng.randrange(len(w))] = rng.choice(plain)
+        if i % 3:
+            w = [str(int(x) + 1) if x.isdigit() else rng.choice(names) if x in names and i % 2 else x for x in w]
+        docs.append((i, make(rng.randint(0, 12)) + w + make(rng.randint(0, 12))))
+
+    def tokens_of(w):
+        out = []
+        for x in w:
+            kind = "num" if x.isdigit() else "name" if x in names else "word"
+            if kind == "name" and out and out[-1][0] == "name":
+                out[-1] = ("name", out[-1][1] + " " + x)
+            else:
+                out.append((kind, x))
+        return out
+
+    want = {}
+    for i, w in docs:
+        d = tokens_of(w)
+        for j, x in enumerate(items):
+            t = tokens_of(x)
+            hits = []
+            for p in range(len(t) - 7):
+                a = t[p : p + 8]
+                for q in range(len(d) - 7):
+                    b = d[q : q + 8]
+                    slots = sum(k != "word" for k, _ in a)
+                    if all(m == n and (m != "word" and slots <= 4 or u == v) for (m, u), (n, v) in zip(a, b, strict=True)):
+                        hits.append((p, q))
+            number = {v: n for n, v in enumerate(sorted({v for _, v in t + d}))}
+            got = templates.share_found(hits, 8, [int(k != "word") for k, _ in t], [number[v] for _, v in t], {q: number[v] for q, (_, v) in enumerate(d)}) if hits else (0, False)
+            if got[0] >= templates.SHARE:
+                want.setdefault(i, []).append(j)
+    got = found(spark, [(i, " ".join(w)) for i, w in docs], [(j, " ".join(x)) for j, x in enumerate(items)], **more)
+    assert {i: r[1] for i, r in got.items() if r[0]} == want and 10 < len(want)
 
 
 # 6, 9 ----------------------------------------------------------------------------------------------
