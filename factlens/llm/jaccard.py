@@ -6,9 +6,9 @@ of each (the prefix), so a class sends only those, and classes that share one ar
 least class of that list. The order is cut into FRAGMENTS of near equal use, and every set with it: a task gets the
 pieces of one fragment alone and counts partial overlaps; they are shuffled and summed per pair, and the sums
 decide. No task sees a whole set. A piece that overlaps too little for its pair to reach the bound sends nothing.
-Candidates are counted against few partners first (the least class of each list, then others), and pairs of
-one component are not counted, so a large group of near copies costs a few counts a member and not all its pairs;
-what is then left in other components is counted, every pair.
+A group of few candidates counts all its pairs, SMALL / 2 a member at most. In larger ones all are counted against few partners
+first (the least class, then others), and pairs of one component are not counted, so a large group of near copies costs a few
+counts a member and not all its pairs; what is then left in other components is counted, every pair.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ CELLS = (1 << 12, 1 << 24)
 CLASS_SHIFT = np.uint64(58)
 #: A block holds about so many classes and shingles; a larger group is split.
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 4_000_000
+#: Groups of so many classes count all their pairs at once.
+SMALL = 32
 #: While more pairs than this are open, and get fewer, further partners are tried before all are counted; so often at most.
 OPEN_PAIRS, STARS = 2_000_000, 4
 #: Candidate (class, block) pairs that are broadcast to fetch texts; beyond, a shuffle join does it.
@@ -291,7 +293,7 @@ def _partial(t: pa.Table, percent: int) -> pa.Table:
     return pa.Table.from_batches([C.record(PARTIAL, **out)])
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, broadcast_rows: int = BROADCAST_ROWS, open_pairs: int = OPEN_PAIRS) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, broadcast_rows: int = BROADCAST_ROWS, open_pairs: int = OPEN_PAIRS, small: int = SMALL) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text): components of the links J >= percent / 100.
 
     Sets are distinct k-word shingles of the A-Z-lower-cased words; fewer words are one shingle; a null, empty or
@@ -316,16 +318,16 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
     def linked(targets: DataFrame) -> DataFrame:
         return _linked(spark, docs, targets, k, percent, shared, bounds, broadcast_rows)
 
-    links = scratch.write(linked(_star(named.withColumns({"hub": F.col("leader"), "comp": F.lit(None).cast("binary")}), block_sets)), "links-0")
+    links = scratch.write(linked(_star(named.withColumns({"hub": F.col("leader"), "comp": F.lit(None).cast("binary")}), block_sets, small)), "links-0")
     comps, last = scratch.write(components(spark, links, scratch, "comps-0"), "roots-0"), None
     for turn in range(1, STARS + 2):
-        known, pairs = _open(named, comps)
+        known, pairs = _open(named, comps, small)
         known = scratch.write(known, f"open-{turn}")
         now = known.agg(F.sum(pairs)).first()[0] or 0
         if not now:
             break
         final = turn > STARS or now <= open_pairs or (last is not None and now > 0.7 * last)
-        targets = _across(known, block_sets) if final else _star(_hubs(known, turn), block_sets)
+        targets = _across(known, block_sets) if final else _star(_hubs(known, turn), block_sets, 0)
         more = scratch.write(linked(targets), f"links-{turn}")
         links = links.unionByName(more)
         comps = scratch.write(components(spark, links, scratch, f"comps-{turn}"), f"roots-{turn}")
@@ -340,18 +342,21 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
 ASKED = ["hub", "sid", "idk", "tkey", "n", "comp", "block", "role"]
 
 
-def _star(named: DataFrame, block_sets: int) -> DataFrame:
-    """Targets for the pairs of a hub (role 1) with the other classes (role 2) of its group, in blocks; the hub is in all of them."""
-    groups = named.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    placed = named.join(groups, "hub").withColumn("role", F.when(F.col("sid") == F.col("hub"), 1).otherwise(2))
-    return placed.withColumn("block", F.explode(F.expr("CASE WHEN role = 1 THEN sequence(0L, blocks - 1) ELSE array(pmod(xxhash64(sid), blocks)) END"))).select(*ASKED)
+def _star(named: DataFrame, block_sets: int, small: int) -> DataFrame:
+    """Targets for the pairs of a hub (role 1) with the other classes (role 2) of its group, in blocks; the hub is in all of them.
+
+    Groups of at most `small` classes are one block, in which all meet all (role 3).
+    """
+    groups = named.groupBy("hub").agg(F.count("*").alias("many"), F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = named.join(groups, "hub").withColumn("role", F.when(F.col("many") <= small, 3).when(F.col("sid") == F.col("hub"), 1).otherwise(2))
+    return placed.withColumn("block", F.explode(F.expr("CASE role WHEN 1 THEN sequence(0L, blocks - 1) WHEN 2 THEN array(pmod(xxhash64(sid), blocks)) ELSE array(0L) END"))).select(*ASKED)
 
 
-def _open(named: DataFrame, comps: DataFrame):
-    """The classes of groups with several components, with their component, and a column whose sum bounds the open pairs."""
+def _open(named: DataFrame, comps: DataFrame, small: int):
+    """The classes of larger groups with several components, with their component, and a column whose sum bounds the open pairs."""
     known = named.join(comps.select(F.col("node").alias("sid"), F.col("root").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     counts = known.groupBy("leader", "comp").agg(F.count("*").alias("c"))
-    main = counts.groupBy("leader").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).filter("all > most")
+    main = counts.groupBy("leader").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).filter(f"all > most AND all > {small}")
     return known.join(main, "leader"), F.when(F.col("comp") != F.col("main"), F.col("all")).otherwise(0)
 
 

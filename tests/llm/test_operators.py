@@ -192,7 +192,7 @@ def brute_jaccard(docs, k, percent):
     return sorted(((i, len(s), known(least[root(a)])) for a, (i, s) in enumerate(sets)), key=str)
 
 
-@pytest.mark.parametrize(("k", "percent", "more"), [(3, 90, {}), (5, 80, {}), (2, 60, {"block_sets": 4, "broadcast_rows": 0}), (2, 60, {"block_sets": 4, "open_pairs": 0})])
+@pytest.mark.parametrize(("k", "percent", "more"), [(3, 90, {}), (5, 80, {}), (2, 60, {"block_sets": 4, "broadcast_rows": 0, "small": 2}), (2, 60, {"block_sets": 4, "open_pairs": 0, "small": 3})])
 def test_jaccard_against_brute_force(spark, mixed, k, percent, more):
     got = sorted(map(tuple, jaccard.jaccard_components(spark, mixed, k, percent, **more).collect()), key=str)
     assert got == brute_jaccard(texts_of(mixed), k, percent)
