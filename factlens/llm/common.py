@@ -33,8 +33,11 @@ def _own_dir() -> str:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The shared folder of spark.checkpoint.dir; one of our own only in a local session where that is unset."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return (given or _own_dir()).rstrip("/")
 
 
 class Scratch:
@@ -42,6 +45,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        WRITTEN.append(self.base)
         limit_batches(spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -50,8 +54,24 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.base}/{name}")
+
+
+#: Folders of scratch tables that this driver wrote.
+WRITTEN: list[str] = []
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Removes the scratch tables of all operators of this driver, once their results are written; how many folders there were."""
+    n = len(WRITTEN)
+    while WRITTEN:
+        _delete(spark, WRITTEN.pop())
+    return n
 
 
 def limit_batches(spark: SparkSession) -> None:

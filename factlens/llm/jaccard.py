@@ -294,12 +294,19 @@ def _partial(t: pa.Table, percent: int) -> pa.Table:
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, broadcast_rows: int = BROADCAST_ROWS, open_pairs: int = OPEN_PAIRS, small: int = SMALL) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text): components of the links J >= percent / 100.
+    """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text): see components_of."""
+    more = {"block_sets": block_sets, "broadcast_rows": broadcast_rows, "open_pairs": open_pairs, "small": small}
+    return components_of(spark, docs, k, percent, **more).select("doc_id", "n_shingles", "component_id")
+
+
+def components_of(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, broadcast_rows: int = BROADCAST_ROWS, open_pairs: int = OPEN_PAIRS, small: int = SMALL) -> DataFrame:
+    """(doc_id, tkey, n_shingles, component_id, root) of every row of `docs` (doc_id, text): components of the links J >= percent / 100.
 
     Sets are distinct k-word shingles of the A-Z-lower-cased words; fewer words are one shingle; a null, empty or
     blank text has the empty set, links with nothing and is its own component. component_id is the smallest doc_id
     of the component (a null doc_id is passed over; null if all are). Repeated rows give repeated results. An
-    empty table gives an empty result. Other columns are not read.
+    empty table gives an empty result. Other columns are not read. tkey: xxhash64 of the text; root: the class that stands for the
+    component, null for the empty set.
     """
     scratch = C.Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
@@ -334,9 +341,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
         if final:
             break
         last = now
-    labelled = light.join(comps.select(F.col("node").alias("sid"), "root"), "sid", "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
+    labelled = light.join(comps.select(F.col("node").alias("sid"), "root"), "sid", "left").select("doc_id", "tkey", "n", F.coalesce("root", "sid").alias("root"))
     least = labelled.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return labelled.join(least, "root", "left").select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "root")
 
 
 ASKED = ["hub", "sid", "idk", "tkey", "n", "comp", "block", "role"]
@@ -391,6 +398,7 @@ def _linked(spark: SparkSession, docs: DataFrame, targets: DataFrame, k: int, pe
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents at three-word shingles and 0.9; nulls, ties, repeats and empty tables as in components_of."""
     return jaccard_components(spark, C.table(spark, sf_dir, "documents"), k=3, percent=90)
 
 

@@ -58,8 +58,10 @@ def differencing(sizes: list[int], k: int) -> list[int]:
 
 
 def windows(sizes: list[int], capacity: int) -> tuple[list[int], int]:
-    """Windows of near-equal sums of at most `capacity`; their number rises whenever one exceeds it."""
-    total, k = sum(sizes), 0
+    """Windows of near-equal sums of at most `capacity`; their number rises whenever one exceeds it. No sizes, no windows."""
+    if not sizes:
+        return [], 0
+    total = sum(sizes)
     k = -(-total // capacity)
     while True:
         part = differencing(sizes, k)
@@ -73,7 +75,10 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def cut(docs: DataFrame, capacity: int, piece: int, path: str | None) -> DataFrame:
-    """Pieces of every document's ids (with EOD behind): whole windows, then pieces of at most `piece` ids."""
+    """Pieces of every document's ids (with EOD behind): whole windows, then pieces of at most `piece` ids.
+
+    A null or empty text is the one piece of the end id; repeated rows are cut each, a null doc_id stays, an empty table has no pieces.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = T.word_ids(path or T.default_path())
@@ -97,7 +102,7 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 
 def _pack(t: pa.Table, capacity: int) -> pa.Table:
-    t = t.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32", "length", "doc_tokens")])
+    t = t.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32", "length", "doc_tokens", "row")])
     length, base = t.column("length").to_pylist(), t.column("bundle")[0].as_py() << 32
     small = [i for i, n in enumerate(length) if n < capacity]
     seq, offset, used = [0] * len(length), [0] * len(length), 0
@@ -110,24 +115,26 @@ def _pack(t: pa.Table, capacity: int) -> pa.Table:
     for i, n in enumerate(length):
         if n >= capacity:
             seq[i], used = used, used + 1
-    return t.drop_columns(["bundle"]).append_column("sequence_id", pa.array([base + s for s in seq], pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+    return t.drop_columns(["bundle", "row"]).append_column("sequence_id", pa.array([base + s for s in seq], pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, piece: int = PIECE, path: str | None = None) -> DataFrame:
     """Every piece of every row of `docs` (doc_id, text) with its sequence and offset; no sequence holds over `capacity` ids.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id (its bundle's number times 2^32, plus one
-    within the bundle), offset. A null or empty text is the one end id. Repeated rows are packed each for itself; a
-    null doc_id stays null. An empty table gives an empty result. Other columns are not read.
+    within the bundle), offset. A null or empty text is the one end id. Repeated rows are packed each for itself, and a
+    null doc_id stays null: pieces are dealt to bundles by a number that is written down with them, so however many are
+    equal, no bundle is large. An empty table gives an empty result. Other columns are not read.
     """
     scratch = C.Scratch(spark, "packing")
-    pieces = scratch.write(cut(docs, capacity, piece, path), "pieces")
+    pieces = scratch.write(cut(docs, capacity, piece, path).withColumn("row", F.monotonically_increasing_id()), "pieces")
     bundles = max(1, pieces.count() // BUNDLE)
-    keyed = pieces.withColumn("bundle", F.expr(f"pmod(xxhash64(doc_id, start, ids_crc32, doc_tokens), {bundles})"))
+    keyed = pieces.withColumn("bundle", F.pmod(F.xxhash64("row"), F.lit(bundles)))
     return keyed.groupBy("bundle").applyInArrow(lambda t: _pack(t, capacity), PACKED)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 ids; nulls, ties, repeats and empty tables as in pack."""
     return pack(spark, C.table(spark, sf_dir, "documents"))
 
 
@@ -179,7 +186,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-MATRIX = "sequence_id long, n_tokens int, ids binary, cu_seqlens binary, position_resets binary, doc_ids binary, starts binary"
+MATRIX = "sequence_id long, n_tokens int, id_bytes int, ids binary, cu_seqlens binary, position_resets binary, doc_ids binary, starts binary"
 #: Ids that a task holds before it packs them.
 MATRIX_IDS = 4_000_000
 
@@ -187,7 +194,7 @@ MATRIX_IDS = 4_000_000
 def matrices(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Rows of packed id matrices of `docs` (doc_id, text): best-fit-decreasing, within each task.
 
-    ids: `capacity` little-endian unsigned 16-bit ids (32-bit where the vocabulary asks), zeros behind n_tokens.
+    ids: `capacity` little-endian unsigned ids of id_bytes each (2, or 4 for a vocabulary over 65,536), zeros behind n_tokens.
     cu_seqlens: 32-bit cumulative segment lengths from 0. position_resets: 32-bit offsets at which position ids start
     again at 0. doc_ids, starts: 64-bit, of each segment; a null doc_id is -2^63. Documents over the capacity are
     split losslessly. A null or empty text is the one end id; repeated rows are packed each. sequence_id: the
@@ -197,10 +204,10 @@ def matrices(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, pat
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, task, done = T.word_ids(path or T.default_path()), TaskContext.get().partitionId() << 32, 0
-        held, n = [], 0
+        held, n, kind = [], 0, known.kind
         for batch in batches:
             for doc_id, text in zip(batch.column("idk").to_pylist(), C.as_bytes(batch.column("text")), strict=True):
-                ids = np.append(np.frombuffer(known.text(text), "<u4"), np.uint32(EOD)).astype("<u2")
+                ids = np.append(np.frombuffer(known.text(text), "<u4"), np.uint32(EOD)).astype(kind)
                 held += [(doc_id, a, ids[a : a + capacity]) for a in range(0, len(ids), capacity)]
                 n += len(ids)
                 if n >= MATRIX_IDS:
@@ -215,16 +222,16 @@ def matrices(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, pat
 def _matrix(held: list, capacity: int, base: int) -> pa.RecordBatch:
     out: dict[str, list] = {c.split()[0]: [] for c in MATRIX.split(", ")}
     for s, items in enumerate(best_fit([len(x[2]) for x in held], capacity)):
-        row, ends = np.zeros(capacity, "<u2"), np.cumsum([0] + [len(held[i][2]) for i in items]).astype("<i4")
+        row, ends = np.zeros(capacity, held[items[0]][2].dtype), np.cumsum([0] + [len(held[i][2]) for i in items]).astype("<i4")
         row[: ends[-1]] = np.concatenate([held[i][2] for i in items])
-        for c, v in zip(out.values(), (base + s, int(ends[-1]), row.tobytes(), ends.tobytes(), ends[:-1].tobytes(), np.array([held[i][0] for i in items], "<i8").tobytes(), np.array([held[i][1] for i in items], "<i8").tobytes()), strict=True):
+        for c, v in zip(out.values(), (base + s, int(ends[-1]), row.itemsize, row.tobytes(), ends.tobytes(), ends[:-1].tobytes(), np.array([held[i][0] for i in items], "<i8").tobytes(), np.array([held[i][1] for i in items], "<i8").tobytes()), strict=True):
             c.append(v)
     return C.record(MATRIX, **out)
 
 
 def unpack(row) -> list[tuple[int, int, np.ndarray]]:
     """(doc_id, start, ids) of every segment of a matrix row; a segment's position ids count from 0."""
-    ids, cu = np.frombuffer(row["ids"], "<u2"), np.frombuffer(row["cu_seqlens"], "<i4")
+    ids, cu = np.frombuffer(row["ids"], f"<u{row['id_bytes']}"), np.frombuffer(row["cu_seqlens"], "<i4")
     return [(int(d), int(s), ids[a:b]) for d, s, a, b in zip(np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["starts"], "<i8"), cu[:-1], cu[1:], strict=True)]
 
 
@@ -234,4 +241,5 @@ def write_matrices(spark: SparkSession, docs: DataFrame, path: str, capacity: in
 
 
 def op9_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed id matrices of all documents; nulls, ties, repeats and empty tables as in matrices."""
     return matrices(spark, C.table(spark, sf_dir, "documents"))

@@ -265,5 +265,6 @@ def quality(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def op8_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts of all documents; nulls, ties, repeats and empty tables as in learn and quality."""
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality(docs, learn(spark, docs, C.table(spark, sf_dir, "labels"))).drop("text")

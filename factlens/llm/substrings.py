@@ -328,6 +328,7 @@ def _keep(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents at windows of 20; nulls, ties, repeats and empty tables as in dedup_substrings."""
     kept = dedup_substrings(spark, C.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 

@@ -353,5 +353,6 @@ def _item_found(t: pa.Table) -> pa.Table:
 
 
 def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all of benchmark; nulls, ties, repeats and empty tables as in decontaminate."""
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate(docs, C.table(spark, sf_dir, "benchmark")).drop("text")

@@ -43,7 +43,10 @@ class WordIds(dict):
 
         self.path, self.pieces = path, {}
         with open(path) as f:
-            vocab = json.load(f)["model"]["vocab"]
+            spec = json.load(f)
+        vocab = spec["model"]["vocab"]
+        #: Ids of this vocabulary fit into this kind of number.
+        self.kind = "<u2" if max([*vocab.values(), *(t["id"] for t in spec.get("added_tokens") or ())]) < 1 << 16 else "<u4"
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         ranks = {}
@@ -177,5 +180,6 @@ def count_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece counts of all documents; nulls, ties, repeats and empty tables as in count_pieces."""
     C.limit_batches(spark)
     return count_pieces(C.table(spark, sf_dir, "documents"))

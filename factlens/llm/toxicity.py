@@ -429,6 +429,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; nulls, ties, repeats and empty tables as in learn and score_toxicity. A null doc_id is not held out."""
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn(spark, docs, C.table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_hits")

@@ -121,6 +121,7 @@ def judge_urls(pages: DataFrame, host_rules=HOST_RULES, rules: tuple[PatternRule
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages; nulls, ties, repeats and empty tables as in judge_urls."""
     return judge_urls(C.table(spark, sf_dir, "pages"))
 
 

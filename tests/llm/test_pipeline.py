@@ -35,10 +35,33 @@ def test_stages(spark, tmp_path):
 
 
 def test_empty_and_null_rows(spark, edge, tmp_path):
-    docs = edge.selectExpr("doc_id", "text", "lang", "CAST(NULL AS string) AS source", "CAST(length(text) AS long) AS n_chars")
-    for name, stage in P.STAGES[1:]:
+    docs = edge.selectExpr("doc_id", "text", "lang", "CAST(NULL AS string) AS source", "CAST(length(text) AS long) AS n_chars", "'mine' AS score", "1 AS n_words", "'k' AS `_key`", "true AS contaminated", "'row' AS `row`")
+    for name, stage in P.STAGES:
         out = stage(spark, docs, SF)
+        if name != "packing":
+            assert out.columns == docs.columns
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name)) if name != "packing" else docs
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert {1, 2, 3, 9} <= {r.doc_id for r in docs.collect()}
+    assert {(r.score, r.n_words, r._key, r.contaminated, r.row) for r in docs.collect()} == {("mine", 1, "k", True, "row")}
+
+
+def test_copies_without_an_id(spark):
+    """A copy without an id goes beside one with an id, whatever other documents without an id are kept."""
+    text = " ".join(f"w{i}" for i in range(60))
+    other, third = " ".join(f"v{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    rows = [(1, text), (None, text + " extra"), (None, other), (None, third), (None, third + " more"), (None, third), (2, None), (None, None), (None, ""), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in P.one_of_near_copies(spark, docs, SF).collect()), key=str)
+    assert len([k for k in kept if k[1] and k[1].startswith("u0")]) == 1
+    assert [k for k in kept if not (k[1] or "").startswith("u0")] == sorted([(1, text), (None, other), (2, None), (None, None), (None, "")], key=str)
+
+
+def test_run_leaves_one_table(spark, monkeypatch, tmp_path):
+    """Each stage's table goes when the next one is written."""
+    monkeypatch.setattr(C, "scratch_root", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(P, "STAGES", [(n, lambda spark, docs, sf_dir: docs) for n in "abc"])
+    assert P.run(spark, SF).count() == C.table(spark, SF, "documents").count()
+    (base,) = tmp_path.iterdir()
+    assert [d.name for d in base.iterdir()] == ["b"]
