@@ -227,10 +227,11 @@ def record(schema: str, **cols) -> pa.RecordBatch:
 KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
-def add_columns(docs: DataFrame, judge, ddl: str) -> DataFrame:
-    """`docs` with the columns of `ddl` added (replaced if there); judge(iterator of lists of texts) yields a list for each.
+def add_columns(docs: DataFrame, start, ddl: str) -> DataFrame:
+    """`docs` with the columns of `ddl` added (replaced if there).
 
-    All other columns, of any name, travel in one struct beside the text.
+    start() gives each task its own judge: a list of texts -> a list for each added column. What it remembers goes with the
+    task. All other columns, of any name, travel in one struct beside the text.
     """
     added = T.StructType.fromDDL(ddl)
     docs = docs.drop(*added.names)
@@ -238,6 +239,7 @@ def add_columns(docs: DataFrame, judge, ddl: str) -> DataFrame:
     packed = docs.select(F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in others]).alias("row"), F.col("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = start()
         for batch in batches:
             cols = judge(as_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), *(pa.array(c, type=KINDS[f.dataType.simpleString().replace("bigint", "long")]) if not isinstance(c, pa.Array) else c for c, f in zip(cols, added, strict=True))], names=["row", "text", *added.names])

@@ -24,9 +24,9 @@ from factlens.llm import common as C
 from factlens.llm.components import components
 
 FRAGMENTS = 4
-#: Cells of the frequency sketch; what is broadcast is a byte a cell, 16 MB at most. Shingles rarer than one in so many are
+#: Cells of the frequency sketch; what is broadcast is a byte a cell, 8 MB at most. Shingles rarer than one in so many are
 #: not told apart by it; they are ordered by hash, so that only the lengths of lists depend on the sketch.
-CELLS = (1 << 12, 1 << 24)
+CELLS = (1 << 12, 1 << 23)
 CLASS_SHIFT = np.uint64(58)
 #: A block holds about so many classes and shingles; a larger group is split.
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 4_000_000
@@ -36,7 +36,7 @@ SMALL = 32
 OPEN_PAIRS, STARS = 2_000_000, 4
 #: Candidate (class, block) pairs that are broadcast to fetch texts; beyond, a shuffle join does it.
 BROADCAST_ROWS = 500_000
-FLUSH = 600_000
+FLUSH = 400_000
 UPPER = bytes(range(65, 91))
 FOLD = bytes.maketrans(UPPER, UPPER.lower())
 
@@ -69,13 +69,14 @@ def read_sets(docs: DataFrame, k: int, width: int) -> DataFrame:
     """kind 0: doc_id, set size, set id (null: empty set) of a document. kind 1: parts of the frequency sketch."""
 
     def read(batches):
-        count, n, out, held, waiting = np.zeros(width, np.int64), 0, ([], [], [], []), [], 0
+        count, n, out, held, waiting = np.zeros(width, np.uint32), 0, ([], [], [], []), [], 0
 
         def add():
             nonlocal waiting
             if not held:
                 return
-            count.__iadd__(np.bincount(np.concatenate(held).astype(np.int64), minlength=width))
+            cells, times = np.unique(np.concatenate(held), return_counts=True)
+            count[cells] += times.astype(np.uint32)
             held.clear()
             waiting = 0
 
@@ -89,9 +90,9 @@ def read_sets(docs: DataFrame, k: int, width: int) -> DataFrame:
         for row, s in _sets(batches, ["doc_id", "tkey"], k):
             for x, y in zip(out, (*row, len(s), _set_id(s) if len(s) else None), strict=True):
                 x.append(y)
-            held.append(s % np.uint64(width))
+            held.append((s % np.uint64(width)).astype(np.uint32))
             waiting += len(s)
-            if waiting >= 4 * width:
+            if waiting >= 2_000_000:
                 add()
             n += len(s)
             if len(out[0]) >= 2000:
@@ -312,7 +313,7 @@ def components_of(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     width = C.pow2(total / 6 / 128, *CELLS)
-    slices = max(C.shuffle_partitions(spark), total // 40_000_000)
+    slices = max(C.shuffle_partitions(spark), total // 16_000_000)
     read = scratch.write(read_sets(docs, k, width), "read")
     light = read.filter("kind = 0").select("doc_id", "tkey", "n", "sid")
     levels, bounds = frequency_classes(read.filter("kind = 1").select("slice", "cells", "counts"), width)

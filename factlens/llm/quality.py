@@ -261,7 +261,7 @@ def quality(docs: DataFrame, chain: Chain) -> DataFrame:
         return out
 
     C.limit_batches(docs.sparkSession)
-    return C.add_columns(docs, judge, BASE)
+    return C.add_columns(docs, lambda: judge, BASE)
 
 
 def op8_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,13 +29,13 @@ from factlens.llm import common as C
 GRAM = 8
 ROWS = 2
 SEEDS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x2D358DCCAA6C78A5))
-#: Text bytes that one block of the sketch stands for, about a million anchors; eight cells are kept for each.
-BLOCK_BYTES = 40_000_000
+#: Text bytes that one block of the sketch stands for, about 400,000 anchors; eight cells are kept for each.
+BLOCK_BYTES = 16_000_000
 CELLS = (1 << 10, 1 << 24)
 #: Anchors, and candidate windows, gathered before a task sends them.
-ANCHORS, FLUSH = 2_000_000, 600_000
+ANCHORS, FLUSH = 600_000, 300_000
 #: Text bytes for one task of exact groups.
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 10_000_000
 #: An anchor counted so often is hot, at least; at most HOT_KEYS anchors are, which bounds the one broadcast (8 bytes each).
 HOT, HOT_KEYS = 5_000, 1 << 22
 SECOND = np.uint64(0xA0761D6478BD642F)

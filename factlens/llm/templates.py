@@ -6,7 +6,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -91,12 +90,6 @@ class Words(dict):
         self.update(zip(new, range(base, base + len(new)), strict=True))
 
 
-@lru_cache(maxsize=1)
-def _words() -> Words:
-    """The words that a Python worker remembers."""
-    return Words()
-
-
 class Tokens:
     """Template tokens of several texts (lists of words): a run of names without punctuation between is one token.
 
@@ -259,16 +252,21 @@ def _by_lookup(docs: DataFrame, bench: Benchmark, share: float) -> DataFrame:
     """Findings by a benchmark of checked size in every task."""
     shared = docs.sparkSession.sparkContext.broadcast(bench)
 
-    def judge(texts: list) -> list:
-        known, rows = _words(), [([], 0.0, False)] * len(texts)
-        if len(shared.value.hashes):
-            for base, words in _blocks(texts):
-                for d, found in shared.value.match(Tokens(known, words)).items():
-                    rows[base + d] = _summed(found, share)
-        ids, best, changed = zip(*rows, strict=True) if rows else ((), (), ())
-        return [pa.array(list(ids), pa.list_(pa.int64())), list(best), list(changed)]
+    def start():
+        known, bench = Words(), shared.value
+
+        def judge(texts: list) -> list:
+            rows = [([], 0.0, False)] * len(texts)
+            if len(bench.hashes):
+                for base, words in _blocks(texts):
+                    for d, found in bench.match(Tokens(known, words)).items():
+                        rows[base + d] = _summed(found, share)
+            ids, best, changed = zip(*rows, strict=True) if rows else ((), (), ())
+            return [pa.array(list(ids), pa.list_(pa.int64())), list(best), list(changed)]
+
+        return judge
 
-    return C.add_columns(docs, judge, "item_ids array<bigint>, best_share double, re_parameterised boolean")
+    return C.add_columns(docs, start, "item_ids array<bigint>, best_share double, re_parameterised boolean")
 
 
 ITEM = "hash long, item long, item_id long, place int, k int, kinds binary, item_values binary"
@@ -309,7 +307,7 @@ def _by_join(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
     shared = spark.sparkContext.broadcast(bitmap)
 
     def document_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = _words(), shared.value
+        known, own = Words(), shared.value
         for batch in batches:
             idk, tkey = (batch.column(c).to_pylist() for c in ("idk", "tkey"))
             for base, words in _blocks(C.as_bytes(batch.column("text"))):

@@ -29,7 +29,9 @@ TERMS = 20_000
 WINDOW = 6
 #: A term that ends in STEM stands for all longer words that start with it; stems of these lengths are tried.
 STEM, STEMS = "*", (4, 5, 6, 7, 8)
-CACHE = 300_000
+CACHE = 200_000
+#: Words of texts that are looked up together.
+LOOKED_UP = 100_000
 #: Words that mark reported speech or denial, and words that address somebody.
 REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes reported term word words sagte schrieb nannte zitat wort dit disait écrit appelé citation mot dijo escribió llamó cita palabra not never nicht nie pas jamais nunca".split())
 ADDRESSING = frozenset("you your yours u ur youre du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros eres".split())
@@ -239,18 +241,13 @@ def all_features(texts: list, known: Matcher) -> list[list[float]]:
     for i, t in enumerate(texts):
         held.append(C.words_of(t))
         n += len(held[-1])
-        if n >= C.BLOCK_WORDS or i == len(texts) - 1:
+        if n >= LOOKED_UP or i == len(texts) - 1:
             known.add(set().union(*held))
             out += [features(w, known) for w in held]
             held, n = [], 0
     return out
 
 
-@lru_cache(maxsize=2)
-def _matcher(lexicon: Lexicon) -> Matcher:
-    return Matcher(lexicon)
-
-
 def learn_lexicon(train: DataFrame) -> Lexicon:
     """Terms of `train` (doc_id, text, toxic) by a binomial test; weight: smoothed log odds."""
 
@@ -385,7 +382,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
         return lexicon
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _matcher(lexicon)
+        known = Matcher(lexicon)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(all_features(C.as_bytes(batch.column("text")), known), pa.list_(pa.float64()))], names=["toxic", "x"])
 
@@ -416,16 +413,20 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """
     weights = np.array(lexicon.weights)
 
-    def judge(texts: list) -> tuple[list, list]:
-        if not len(weights):
-            return [0.0] * len(texts), [0] * len(texts)
-        known = _matcher(lexicon)
-        xs = all_features(texts, known)
-        z = np.clip(np.array(xs).reshape(-1, FEATURES) @ weights[:-1] + weights[-1], -30, 30)
-        return (1 / (1 + np.exp(-z))).tolist(), [round(math.expm1(x[0]) + math.expm1(x[1])) for x in xs]
+    def start():
+        known = Matcher(lexicon)
+
+        def judge(texts: list) -> tuple[list, list]:
+            if not len(weights):
+                return [0.0] * len(texts), [0] * len(texts)
+            xs = all_features(texts, known)
+            z = np.clip(np.array(xs).reshape(-1, FEATURES) @ weights[:-1] + weights[-1], -30, 30)
+            return (1 / (1 + np.exp(-z))).tolist(), [round(math.expm1(x[0]) + math.expm1(x[1])) for x in xs]
+
+        return judge
 
     C.limit_batches(docs.sparkSession)
-    return C.add_columns(docs, judge, "score double, n_hits long")
+    return C.add_columns(docs, start, "score double, n_hits long")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
