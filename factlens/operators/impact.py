@@ -29,11 +29,17 @@ def record_count(facts: DataFrame) -> DataFrame:
 
 
 def cohort_mean(expectations: DataFrame, facts: DataFrame, as_of: date | str) -> DataFrame:
-    """Sum over count of observed due expectations, per state; null without any."""
+    """Sum over count of observed due expectations, per state, in decimals; null where none is observed.
+
+    Several facts that meet one expectation are an error of the data: they raise, as which one counts is not known.
+    """
     due = expectations.filter(F.col("expected_by") <= F.lit(str(as_of)).cast("date"))
     key = ["entity_id", "concept_namespace", "concept", "unit", "period_end"]
     seen = facts.filter(visible(as_of)).join(due.select(*key, "expected_observation_id"), key)
-    return seen.groupBy("state").agg((F.sum("value").cast("double") / F.count("*")).cast("decimal(38,6)").alias("figure"))
+    each = seen.groupBy("state", "expected_observation_id").agg(F.first("value").alias("value"), F.count("*").alias("n"))
+    once = each.withColumn("value", F.when(F.col("n") == 1, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("several facts meet "), "expected_observation_id")).cast("decimal(28,6)")))
+    mean = once.groupBy("state").agg((F.sum("value") / F.count("*").cast("decimal(20,0)")).cast("decimal(38,6)").alias("figure"))
+    return facts.select("state").distinct().join(mean, "state", "left")
 
 
 def impact(figures: DataFrame) -> DataFrame:

@@ -32,6 +32,9 @@ def _new_id(family: str, seed: int) -> Column:
 
 
 def _targets(eligible: DataFrame, family: str, severity: str, seed: int, most: int) -> DataFrame:
+    """The rows to corrupt; without an eligible one it raises, so that no injection does nothing unseen."""
+    if not eligible.limit(1).count():
+        raise NoEligibleTarget(f"{family}: no eligible row")
     return select_targets(eligible, "record_id", family, seed, FRACTIONS[family][_level(severity)], most)
 
 

@@ -62,6 +62,17 @@ class DetectorRule:
     enabled: bool = True
     action: str = "blocking"
     reason: str | None = None
+    #: The least severity that gives a result.
+    least: str = "low"
+
+    def __post_init__(self):
+        if not self.enabled and not self.reason:
+            raise ValueError(f"rule {self.rule_id}: a disabled detector needs a reason")
+        if self.least not in SEVERITIES:
+            raise ValueError(f"rule {self.rule_id}: unknown severity {self.least}")
+
+
+SEVERITIES = ("low", "medium", "high")
 
 
 def _results(hits: DataFrame, rule, kind: str, affected: Column, detail: Column) -> DataFrame:
@@ -83,9 +94,10 @@ def reporting_frequency(audit: DataFrame, rule: ReportingFrequency) -> DataFrame
 
 
 def detector_results(findings: DataFrame, audit: DataFrame, rules: list[DetectorRule]) -> DataFrame:
-    """One result for each finding of an enabled rule."""
+    """One result for each finding of an enabled rule, of at least the rule's severity."""
     on = [r for r in rules if r.enabled]
-    case = F.coalesce(*[F.when(F.col("detector") == r.detector, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.action).alias("action"))) for r in on])
+    grave = lambda r: F.col("severity").isin(*SEVERITIES[SEVERITIES.index(r.least) :])
+    case = F.coalesce(F.lit(None), *[F.when((F.col("detector") == r.detector) & grave(r), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.action).alias("action"))) for r in on])
     first = findings.withColumns({"r": case, "record_id": F.element_at(F.split("affected", r"\|"), 1)}).filter("r IS NOT NULL")
     known = audit.select("record_id", "concept_namespace", "concept", "unit")
     return first.join(known, "record_id").select("r.rule_id", F.lit("detector").alias("rule_kind"), "affected", "entity_id", "concept_namespace", "concept", "unit", "r.action", F.col("severity").alias("detail"))
@@ -121,6 +133,20 @@ def resolve_exceptions(results: DataFrame, exceptions: DataFrame) -> DataFrame:
     return out.select("result_id", *RESULT, action.alias("effective_action"), F.col("x.exception_id").alias("exception_id"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
+def require_clear(resolved: DataFrame) -> DataFrame:
+    """`resolved` itself; raises where two exceptions of equal specificity fit a result."""
+    if (first := resolved.filter("ambiguous").select("rule_id", "affected").first()) is not None:
+        raise AmbiguousException(f"rule {first.rule_id}: several exceptions fit {first.affected} equally")
+    return resolved
+
+
+def insufficient_periods(audit: DataFrame, rule: ReportingFrequency) -> DataFrame:
+    """Series in a frequency rule's scope with fewer than two period ends: no gap can be told, so they are not evaluated."""
+    key = ("entity_id", "concept_namespace", "concept", "unit", "dimensions", "period_type")
+    few = audit.filter(rule.scope.column()).groupBy(*key).agg(F.count_distinct("period_end").alias("periods")).filter("periods < 2")
+    return few.select(F.lit(rule.rule_id).alias("rule_id"), *key[:4], "periods", F.lit("insufficient_distinct_periods").alias("reason"))
+
+
 def roll_up(spark: SparkSession, rules: list, results: DataFrame, evaluated: DataFrame) -> DataFrame:
     """A row for every rule, also without results: status and counts. `evaluated`: (rule_id, matching)."""
     own = spark.createDataFrame([(r.rule_id, r.action, getattr(r, "enabled", True)) for r in rules], "rule_id string, action string, enabled boolean")

@@ -22,7 +22,9 @@ def matches(findings: DataFrame, manifest: DataFrame, finding_key: str, entry_ke
     for a, b in checks.items():
         on = on & F.col(f"f.{a}").eqNullSafe(F.col(f"m.{b}"))
     joined = left.join(right, on, "left").select("f.*", F.col(f"m.{entry_key}").alias("entry"))
-    counted = joined.withColumns({"entries": F.count("entry").over(Window.partitionBy("_f")), "claims": F.when(F.col("entry").isNotNull(), F.count("*").over(Window.partitionBy("entry")))})
+    # Findings without an entry are most of them: each is its own group, so they spread over all tasks.
+    claim = Window.partitionBy("entry", F.when(F.col("entry").isNull(), F.col("_f")))
+    counted = joined.withColumns({"entries": F.count("entry").over(Window.partitionBy("_f")), "claims": F.count("*").over(claim)})
     status = F.when(F.col("entries") == 0, "false_positive").when((F.col("entries") == 1) & (F.col("claims") == 1), "true_positive").otherwise("ambiguous")
     return counted.withColumn("status", status).drop("_f", "entries", "claims")
 
@@ -45,12 +47,22 @@ def clean_control(findings: DataFrame, eligible: int) -> DataFrame:
     return n.select("false_positives", F.lit(eligible).cast("long").alias("eligible"), F.when(F.col("false_positives") > 0, F.lit(0.0)).alias("precision"), F.lit(None).cast("double").alias("recall"), rounded(F.col("false_positives"), F.lit(eligible)).alias("false_positive_rate"))
 
 
-def interpret(findings: DataFrame, manifest: DataFrame, clean_findings: DataFrame, id_map: DataFrame) -> DataFrame:
-    """status of each finding, in this order: primary_matched, independent_background (the clean data give it too, ids mapped back), secondary_corroborating (it touches the record of exactly one fault), unmatched."""
-    primary = manifest.select(F.col("injected_record_id").alias("affected"), F.lit(True).alias("is_primary"))
-    named = findings.join(id_map, findings["affected"] == id_map["injected_record_id"], "left").withColumn("clean_affected", F.coalesce("original_record_id", "affected")).drop("injected_record_id", "original_record_id")
-    background = clean_findings.select("detector", F.col("affected").alias("clean_affected"), F.lit(True).alias("is_background")).distinct()
-    near = manifest.select(F.col("entity_id"), F.col("injected_record_id").alias("fault")).groupBy("entity_id").agg(F.count_distinct("fault").alias("faults"))
-    out = named.join(primary, "affected", "left").join(background, ["detector", "clean_affected"], "left").join(near, "entity_id", "left")
-    status = F.when(F.coalesce("is_primary", F.lit(False)), "primary_matched").when(F.coalesce("is_background", F.lit(False)), "independent_background").when(F.col("faults") == 1, "secondary_corroborating").otherwise("unmatched")
+def interpret(findings: DataFrame, manifest: DataFrame, clean_findings: DataFrame, primary: str) -> DataFrame:
+    """What each finding on corrupted data is, in this order.
+
+    primary_matched: of the detector `primary`, and fits one fault of `manifest` (original_record_id, injected_record_id) one to
+    one. independent_background: the clean data give a finding of the same detector, records (injected ids mapped back), severity
+    and confidence. secondary_corroborating: another detector's, and its records are those of exactly one fault. Else unmatched.
+    """
+    exact = matches(findings.filter(F.col("detector") == primary), manifest, "affected", "injected_record_id", {}).filter("status = 'true_positive'").select("finding_id", F.lit(True).alias("is_primary"))
+    fault = F.col("injected_record_id").alias("fault")
+    causal = manifest.select(F.explode(F.array_distinct(F.array("original_record_id", "injected_record_id"))).alias("record_id"), fault).distinct()
+    records = findings.select("finding_id", F.explode(F.split("affected", r"\|")).alias("record_id"))
+    touched = records.join(causal, "record_id").groupBy("finding_id").agg(F.count_distinct("fault").alias("faults"))
+    ids = manifest.select(F.col("injected_record_id").alias("record_id"), "original_record_id")
+    back = records.join(ids, "record_id", "left").groupBy("finding_id").agg(F.concat_ws("|", F.array_sort(F.collect_list(F.coalesce("original_record_id", "record_id")))).alias("clean_affected"))
+    body = ["detector", "clean_affected", "severity", "confidence"]
+    background = clean_findings.withColumnRenamed("affected", "clean_affected").select(*body).distinct().withColumn("is_background", F.lit(True))
+    out = findings.join(back, "finding_id").join(exact, "finding_id", "left").join(background, body, "left").join(touched, "finding_id", "left")
+    status = F.when(F.col("is_primary"), "primary_matched").when(F.col("is_background"), "independent_background").when((F.col("faults") == 1) & (F.col("detector") != primary), "secondary_corroborating").otherwise("unmatched")
     return out.select("finding_id", "detector", "affected", status.alias("interpretation"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -227,6 +230,34 @@ def inject_missing(spark, d):
     return inject.inject_missing(_clean(spark, d), AS_OF, "random", "low", SEED)[0].select("record_id", "value")
 
 
+def _inject_missing(mechanism: str):
+    def run(spark, d):
+        clean = _clean(spark, d)
+        kept, manifest = inject.inject_missing(clean, AS_OF, mechanism, "low", SEED, 1_000_000)
+        return kept.select("record_id", "value")
+
+    return run
+
+
+def _missing_sql(mechanism: str) -> str:
+    seen = f"seen AS (SELECT * FROM facts WHERE {SEEN})"
+    if mechanism == "periodic_gap":
+        order = "PARTITION BY entity_id, concept_namespace, concept, unit, period_type ORDER BY period_end"
+        pool = f"pool AS (SELECT * EXCLUDE (a, b) FROM (SELECT *, row_number() OVER ({order}, record_id) AS a, row_number() OVER ({order} DESC, record_id DESC) AS b FROM seen) WHERE a > 1 AND b > 1)"
+    else:
+        keys = {"entity_dependent": ("entity_id",), "survivorship": ("entity_id",), "concept_dependent": ("concept_namespace", "concept"), "source_outage": ("source_name", "source_locator")}[mechanism]
+        cols = ", ".join(keys)
+        digest = " || '|' || ".join((f"'{SEED}'", *keys))
+        pool = f"one AS (SELECT DISTINCT {cols}, sha256({digest}) AS h FROM seen ORDER BY h, {cols} LIMIT 1), pool AS (SELECT seen.* FROM seen SEMI JOIN one USING ({cols}))"
+    gone = "SELECT record_id FROM pool" if mechanism in ("survivorship", "source_outage") else _pick_sql("pool", "missing", "0.10").replace(str(inject.MOST), "1000000")
+    return FACTS + f", {seen}, {pool}, m AS ({gone}) SELECT record_id, value FROM facts ANTI JOIN m USING (record_id)"
+
+
+for _m in ("periodic_gap", "entity_dependent", "concept_dependent", "survivorship", "source_outage"):
+    QUERIES[f"inject_missing_{_m}"] = _inject_missing(_m)
+    ORACLE[f"inject_missing_{_m}"] = _missing_sql(_m)
+
+
 def _injected(family: str, spark, d):
     if family == "revision_overwrite":
         history = testdata.lineages_lineitem(spark, d)
@@ -282,14 +313,21 @@ def score_duplicate(spark, d):
     return score.metrics(score.matches(found, manifest, "affected", "affected", {}), manifest.count(), inject.eligible_duplicate(clean, AS_OF).count(), "duplicate")
 
 
-@query()
+#: The drift detector over injected facts f2 instead of facts.
+DRIFT2_SQL = reduce(lambda q, n: re.sub(rf"\b{n}\b", f"{n}_2", q), ("series", "near", "gated", "tries", "valid", "drift"), DRIFT_SQL).replace("FROM facts", "FROM f2")
+
+
+@query(_score_sql(FACTS + f",{ELIGIBLE_DRIFT}, m AS ({_pick_sql('elig', 'unit_drift', '0.05')}), f2 AS (SELECT f.* REPLACE (CASE WHEN m.record_id IS NULL THEN f.record_id ELSE 'x' || f.record_id END AS record_id, CAST(CASE WHEN m.record_id IS NULL THEN f.value ELSE f.value * 1000 END AS DECIMAL(28,6)) AS value) FROM facts f LEFT JOIN m ON f.record_id = m.record_id), {DRIFT2_SQL}, fd AS (SELECT record_id, f FROM drift_2 WHERE r = 1), hit AS (SELECT * FROM fd WHERE record_id LIKE 'x%' AND f = 1000)", "elig", "m", "fd", "hit", False))
 def score_unit_drift(spark, d):
     clean, corrupted, manifest = _injected("unit_drift", spark, d)
     found = detect.unit_drift(pit.sanitize(corrupted), AS_OF)
-    return score.metrics(score.matches(found.filter("operation = 'divide'"), manifest, "record_id", "injected_record_id", {"factor": "factor"}), manifest.count(), inject.eligible_unit_drift(clean, AS_OF).count(), "unit_drift")
+    return score.metrics(score.matches(found, manifest, "record_id", "injected_record_id", {"factor": "factor"}), manifest.count(), inject.eligible_unit_drift(clean, AS_OF).count(), "unit_drift")
+
+
+PAIRS5_SQL = _pairs_sql(5).replace("SELECT lineage_id, record_id, r2 AS later_id", "SELECT a2, lineage_id, record_id, r2 AS later_id")
 
 
-@query()
+@query(_score_sql("WITH pairs AS (" + PAIRS5_SQL + f"), {testdata.LINEAGES_SQL}, m AS ({_pick_sql('pairs', 'revision_overwrite', '0.05')}), snap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lineage_id ORDER BY seq DESC) AS r FROM lineages WHERE {SEEN}) WHERE r = 1), fd AS (SELECT s.record_id, m.record_id AS fault FROM snap s LEFT JOIN m USING (record_id) LEFT JOIN pairs p ON p.record_id = m.record_id WHERE coalesce(p.a2, s.filed_on) > DATE '{AS_OF}'), hit AS (SELECT * FROM fd WHERE fault IS NOT NULL)", "pairs", "m", "fd", "hit", False))
 def score_revision_overwrite(spark, d):
     clean, corrupted, manifest = _injected("revision_overwrite", spark, d)
     found = detect.revision_overwrite(pit.sanitize(corrupted), AS_OF)
@@ -303,13 +341,19 @@ def score_clean_control(spark, d):
     return score.clean_control(detect.exact_duplicates(pit.sanitize(facts), AS_OF), inject.eligible_duplicate(facts, AS_OF).count())
 
 
-@query()
+def _findings_sql(table: str, clean_id: str) -> str:
+    faults = "count(*) FILTER (WHERE record_id LIKE 'x%')"
+    return f"""SELECT 'lookahead' AS detector, record_id AS affected, {clean_id} AS clean_affected, {SEVERITY_SQL} AS severity, CAST(record_id LIKE 'x%' AS BIGINT) AS faults FROM {table} WHERE available_on = period_end AND available_on < filed_on AND {SEEN}
+UNION ALL SELECT 'revision_overwrite', record_id, {clean_id}, 'high', CAST(record_id LIKE 'x%' AS BIGINT) FROM {table} WHERE {SEEN} AND filed_on > DATE '{AS_OF}'
+UNION ALL SELECT 'duplicate', array_to_string(list_sort(list(record_id)), '|'), array_to_string(list_sort(list({clean_id})), '|'), 'medium', {faults} FROM {table} WHERE {SEEN} GROUP BY {FINGERPRINT_SQL} HAVING count(*) >= 2"""
+
+
+@query(FACTS + f",{ELIGIBLE_LOOK}, m AS ({_pick_sql('elig', 'lookahead', '0.02')}), f2 AS (SELECT f.* REPLACE (CASE WHEN m.record_id IS NULL THEN f.record_id ELSE 'x' || f.record_id END AS record_id, CASE WHEN m.record_id IS NULL THEN f.available_on ELSE f.period_end END AS available_on), f.record_id AS clean_id FROM facts f LEFT JOIN m ON f.record_id = m.record_id), found AS ({_findings_sql('f2', 'clean_id')}), background AS ({_findings_sql('facts', 'record_id')}) SELECT detector, CASE WHEN detector = 'lookahead' AND faults = 1 THEN 'primary_matched' WHEN EXISTS (SELECT 1 FROM background b WHERE b.detector = found.detector AND b.clean_affected = found.clean_affected AND b.severity = found.severity) THEN 'independent_background' WHEN detector <> 'lookahead' AND faults = 1 THEN 'secondary_corroborating' ELSE 'unmatched' END AS interpretation, count(*) AS findings FROM found GROUP BY ALL")
 def interpret_findings(spark, d):
     clean, corrupted, manifest = _injected("lookahead", spark, d)
-    entities = manifest.join(clean.select("record_id", "entity_id"), manifest["original_record_id"] == clean["record_id"]).select("injected_record_id", "original_record_id", "entity_id")
     names = ("lookahead", "revision_overwrite", "duplicate")
     found, background = detect.run_detectors(pit.sanitize(corrupted), AS_OF, names), detect.run_detectors(pit.sanitize(clean), AS_OF, names)
-    out = score.interpret(found, entities, background, entities.select("injected_record_id", "original_record_id"))
+    out = score.interpret(found, manifest, background, "lookahead")
     return out.groupBy("detector", "interpretation").agg(F.count("*").alias("findings"))
 
 
@@ -358,7 +402,7 @@ def missing_support_asof(spark, d):
     return seen.groupBy("period_end").agg(F.count("*").alias("observed"), F.sum("value").alias("total"))
 
 
-@query(FACTS + f",{EXPECT_SQL}, o AS (SELECT value FROM facts s JOIN expect e ON s.entity_id = e.entity_id AND s.period_end = e.period_end WHERE {SEEN} AND expected_by <= DATE '{AS_OF}'), n AS (SELECT CAST(CAST(sum(value) AS DOUBLE) / count(*) AS DECIMAL(38,6)) AS figure FROM o) SELECT 'clean' AS state, figure FROM n WHERE figure IS NOT NULL")
+@query(FACTS + f",{EXPECT_SQL}, o AS (SELECT value FROM facts s JOIN expect e ON s.entity_id = e.entity_id AND s.period_end = e.period_end WHERE {SEEN} AND expected_by <= DATE '{AS_OF}'), n AS (SELECT CAST(CAST(sum(value) AS DOUBLE) / count(*) AS DECIMAL(38,6)) AS figure FROM o) SELECT 'clean' AS state, figure FROM n")
 def impact_cohort_mean(spark, d):
     return impact.cohort_mean(generate.customer_expectations(spark, d, DAYS), impact.states(clean=_facts(spark, d)), AS_OF)
 
@@ -524,3 +568,17 @@ def json_flatten_exclusions(spark, d):
 @query("WITH g AS (SELECT i AS issuer, p FROM range(40) t(i), range(20) u(p)) SELECT 'E' || issuer AS entity_id, CAST(DATE '2000-03-31' + CAST(91 * p AS INTEGER) AS DATE) AS period_end, CAST(DATE '2000-03-31' + CAST(91 * p + 30 AS INTEGER) AS DATE) AS filed_on, CAST(DATE '2000-03-31' + CAST(91 * p + 32 AS INTEGER) AS DATE) AS available_on, CAST(1000 + 10 * p + issuer AS DECIMAL(28,6)) AS value FROM g")
 def corpus_generate(spark, d):
     return generate.performance_corpus(spark, entities=40).select("entity_id", "period_end", "filed_on", "available_on", "value")
+
+
+@query(FACTS + f", found AS ({_findings_sql('facts', 'record_id')}) SELECT CASE detector WHEN 'lookahead' THEN 'r1' ELSE 'r2' END AS rule_id, CASE detector WHEN 'lookahead' THEN 'blocking' ELSE 'warning' END AS action, severity AS detail, count(*) AS results FROM found WHERE (detector = 'lookahead' AND severity IN ('medium', 'high')) OR detector = 'duplicate' GROUP BY ALL")
+def policy_detector_rules(spark, d):
+    """Look-ahead from medium severity on blocks, duplicates warn, overwrites are switched off with a reason."""
+    audit = _audit(spark, d)
+    rules = [policy.DetectorRule("r1", "lookahead", least="medium"), policy.DetectorRule("r2", "duplicate", action="warning"), policy.DetectorRule("r3", "revision_overwrite", enabled=False, reason="source restates filing days")]
+    found = detect.run_detectors(audit, AS_OF, ("lookahead", "duplicate", "revision_overwrite"))
+    return policy.detector_results(found, audit, rules).groupBy("rule_id", "action", "detail").agg(F.count("*").alias("results"))
+
+
+@query(FACTS + "SELECT 'freq' AS rule_id, entity_id, concept_namespace, concept, unit, count(DISTINCT period_end) AS periods, 'insufficient_distinct_periods' AS reason FROM facts GROUP BY entity_id, concept_namespace, concept, unit, period_type HAVING count(DISTINCT period_end) < 2")
+def policy_insufficient_periods(spark, d):
+    return policy.insufficient_periods(_audit(spark, d), policy.ReportingFrequency("freq", SCOPE, 365))

@@ -1,6 +1,7 @@
 """Streaming forms of the stateless detectors and of duplicate detection, for facts that arrive over time.
 
-An extension: results on the same rows equal the batch detectors'.
+An extension. Look-ahead gives the batch detector's findings; duplicates are those that arrive within one window of the event time, so groups
+that are spread further apart are the batch detector's to find.
 """
 
 from __future__ import annotations

@@ -258,3 +258,38 @@ def test_streaming_lookahead_equals_batch(spark, tmp_path):
     q = lookahead_stream(stream, "2021-01-01").writeStream.format("memory").queryName("hits").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r.record_id for r in spark.table("hits").collect()] == [r.record_id for r in detect.lookahead(df, "2021-01-01").collect()]
+
+
+def test_no_eligible_row_raises(spark):
+    with pytest.raises(inject.NoEligibleTarget):
+        inject.inject_lookahead(facts(spark, fact(1)), "2020-01-01", "low", 1)
+
+
+def test_a_finding_corroborates_one_fault_of_another_family_only(spark):
+    schema = "finding_id string, detector string, affected string, entity_id string, severity string, confidence string"
+    rows = [("f1", "lookahead", "i1", "E", "low", "c"), ("f2", "duplicate", "i2|z", "E", "low", "c"), ("f3", "duplicate", "i1|i2", "E", "low", "c"), ("f4", "duplicate", "z|y", "E", "low", "c"), ("f5", "lookahead", "o2", "E", "low", "c"), ("f6", "revision_overwrite", "i1", "E", "high", "c")]
+    clean = spark.createDataFrame([("g", "revision_overwrite", "o1", "E", "high", "c")], schema)
+    manifest = spark.createDataFrame([("o1", "i1"), ("o2", "i2")], "original_record_id string, injected_record_id string")
+    got = {r.finding_id: r.interpretation for r in score.interpret(spark.createDataFrame(rows, schema), manifest, clean, "lookahead").collect()}
+    assert got == {"f1": "primary_matched", "f2": "secondary_corroborating", "f3": "unmatched", "f4": "unmatched", "f5": "unmatched", "f6": "independent_background"}
+
+
+def test_cohort_mean_is_null_without_observations_and_refuses_several(spark):
+    schema = "expected_observation_id string, entity_id string, concept_namespace string, concept string, unit string, period_end date, expected_by date"
+    exp = spark.createDataFrame([("x", "E1", "n", "c", "USD", D("2020-03-31"), D("2020-05-01"))], schema)
+    states = impact.states(clean=facts(spark, fact(1, value=Decimal("0.000003"))), corrupted=facts(spark, fact(2, entity_id="E2")))
+    assert sorted(map(tuple, impact.cohort_mean(exp, states, "2021-01-01").collect())) == [("clean", Decimal("0.000003")), ("corrupted", None)]
+    with pytest.raises(Exception, match="several facts meet x"):
+        impact.cohort_mean(exp, impact.states(clean=facts(spark, fact(1), fact(2))), "2021-01-01").collect()
+
+
+def test_policy_rules_are_checked(spark):
+    with pytest.raises(ValueError, match="reason"):
+        policy.DetectorRule("r", "lookahead", enabled=False)
+    audit = pit.sanitize(facts(spark, fact(1)))
+    rule = policy.PublicationLag("r", policy.Scope("n", "c"), "filing", 0, 1)
+    rows = [{"exception_id": x, "rule_id": "r", "effect": "waive", "reason": "z"} | s for x, s in (("a", {"entity_id": "E1"}), ("b", {"unit": "USD"}))]
+    results = policy.publication_lag(audit, rule)
+    with pytest.raises(policy.AmbiguousException):
+        policy.require_clear(policy.resolve_exceptions(results, policy.exceptions_table(spark, rows)))
+    assert policy.require_clear(policy.resolve_exceptions(results, policy.exceptions_table(spark, rows[:1]))).count() == 1
