@@ -32,8 +32,9 @@ CLASS_SHIFT = np.uint64(58)
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 4_000_000
 #: Groups of so many classes count all their pairs at once.
 SMALL = 32
-#: While more pairs than this are open, and get fewer, further partners are tried before all are counted; so often at most.
-OPEN_PAIRS, STARS = 2_000_000, 4
+#: While more pairs than this are open for each class of the larger groups, and get fewer, further partners are tried before all are
+#: counted: HUBS in the largest component of a group and as many outside, STARS times at most.
+OPEN_PAIRS, HUBS, STARS = 8, 8, 5
 #: Candidate (class, block) pairs that are broadcast to fetch texts; beyond, a shuffle join does it.
 BROADCAST_ROWS = 500_000
 FLUSH = 400_000
@@ -331,10 +332,10 @@ def components_of(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int
     for turn in range(1, STARS + 2):
         known, pairs = _open(named, comps, small)
         known = scratch.write(known, f"open-{turn}")
-        now = known.agg(F.sum(pairs)).first()[0] or 0
+        now, many = known.agg(F.sum(pairs), F.count("*")).first()
         if not now:
             break
-        final = turn > STARS or now <= open_pairs or (last is not None and now > 0.7 * last)
+        final = turn > STARS or now <= open_pairs * many or (last is not None and now > 0.8 * last)
         targets = _across(known, block_sets) if final else _star(_hubs(known, turn), block_sets, 0)
         more = scratch.write(linked(targets), f"links-{turn}")
         links = links.unionByName(more)
@@ -369,9 +370,9 @@ def _open(named: DataFrame, comps: DataFrame, small: int):
 
 
 def _hubs(known: DataFrame, turn: int) -> DataFrame:
-    """Two more hubs for each group, one in its largest component and one outside; each meets the classes of other components."""
-    at = F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "comp")
-    hubs = known.groupBy("leader", (F.col("comp") == F.col("main")).alias("inside")).agg(F.min(at).alias("hub")).select("leader", F.col("hub.sid").alias("hub"), F.col("hub.comp").alias("own"))
+    """More hubs for each group, in its largest component and outside, by hash; each meets the classes of other components."""
+    at, h = F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "comp"), F.pmod(F.xxhash64("sid", F.lit(-turn)), F.lit(HUBS))
+    hubs = known.groupBy("leader", (F.col("comp") == F.col("main")).alias("inside"), h.alias("part")).agg(F.min(at).alias("hub")).select("leader", F.col("hub.sid").alias("hub"), F.col("hub.comp").alias("own"))
     return known.join(hubs, "leader").filter("comp != own OR sid = hub").dropDuplicates(["hub", "sid"])
 
 
