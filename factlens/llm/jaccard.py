@@ -5,7 +5,8 @@ from merged partition sketches, hash): rare ones first. Two sets that link share
 of each (the prefix), so a class sends only those, and classes that share one are candidates, listed under the
 least class of that list. The order is cut into FRAGMENTS of near equal use, and every set with it: a task gets the
 pieces of one fragment alone and counts partial overlaps; they are shuffled and summed per pair, and the sums
-decide. No task sees a whole set. A piece that overlaps too little for its pair to reach the bound sends nothing.
+decide. No task sees a whole set. A piece that overlaps too little for its pair to
+reach the bound sends nothing, nor does one whose whole sets cannot share enough by the counts of their keys' last bits.
 A group of few candidates counts all its pairs, SMALL / 2 a member at most. In larger ones all are counted against few partners
 first (the least class, then others), and pairs of one component are not counted, so a large group of near copies costs a few
 counts a member and not all its pairs; what is then left in other components is counted, every pair.
@@ -222,10 +223,14 @@ def _lists(t: pa.Table, percent: int) -> pa.Table:
     return pa.table({"leader": pa.array([raw[i : i + 16] for i in range(0, len(raw), 32)], pa.binary()), "sid": pa.array([raw[i + 16 : i + 32] for i in range(0, len(raw), 32)], pa.binary())})
 
 
-PIECES = "task int, hub binary, block long, fragment int, role int, comp binary, sid binary, n long, size int, tokens binary"
+PIECES = "task int, hub binary, block long, fragment int, role int, comp binary, sid binary, n long, size int, tokens binary, shape binary"
 
 
-def fetch(docs: DataFrame, k: int, levels, bounds: np.ndarray, tasks: int) -> DataFrame:
+#: Counts of a set's keys by their last bits, sent along where many pairs are counted: they bound what two sets can share.
+SHAPE = 256
+
+
+def fetch(docs: DataFrame, k: int, levels, bounds: np.ndarray, tasks: int, shaped: bool) -> DataFrame:
     """The sets of the classes asked for (sid, targets), cut at the bounds: a row for each fragment and target."""
     names = [x.split()[0] for x in PIECES.split(", ")]
 
@@ -237,11 +242,12 @@ def fetch(docs: DataFrame, k: int, levels, bounds: np.ndarray, tasks: int) -> Da
             seen.add(sid)
             keys = ordered(s, level)
             cuts = np.searchsorted(keys, bounds[1:-1]).tolist()
+            shape = np.bincount((keys & np.uint64(SHAPE - 1)).astype(np.int64), minlength=SHAPE).astype("<u4").tobytes() if shaped else b""
             for f, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)):
                 raw = keys[a:b].tobytes()
                 for t in targets:
                     task = hash((int.from_bytes(t["hub"], "big"), t["block"], f)) % tasks
-                    for c, v in zip(names, (task, t["hub"], t["block"], f, t["role"], comp, sid, len(keys), b - a, raw), strict=True):
+                    for c, v in zip(names, (task, t["hub"], t["block"], f, t["role"], comp, sid, len(keys), b - a, raw, shape), strict=True):
                         out[c].append(v)
                     n += len(raw) + 100
                     if n > 8_000_000:
@@ -268,25 +274,29 @@ def overlaps(piece: np.ndarray, others: np.ndarray, ends: np.ndarray) -> np.ndar
 def _partial(t: pa.Table, percent: int) -> pa.Table:
     """Partial overlaps of one task's fragments: of role 1 with role 2 in a block, where the components differ."""
     groups: dict = {}
-    for hub, block, fragment, *row in zip(*(t.column(c).to_pylist() for c in ("hub", "block", "fragment", "sid", "role", "comp", "n", "size", "tokens")), strict=True):
+    for hub, block, fragment, *row in zip(*(t.column(c).to_pylist() for c in ("hub", "block", "fragment", "sid", "role", "comp", "n", "size", "tokens", "shape")), strict=True):
         groups.setdefault((hub, block, fragment), {}).setdefault(row[0], row)  # several texts may have the set
     out: dict[str, list] = {c.split()[0]: [] for c in PARTIAL.split(", ")}
     for rows in groups.values():
-        sid, role, comp, n, size, tokens = map(list, zip(*sorted(rows.values(), key=lambda r: (r[3], r[0])), strict=True))
+        sid, role, comp, n, size, tokens, shape = map(list, zip(*sorted(rows.values(), key=lambda r: (r[3], r[0])), strict=True))
         label: dict = {}
         comp = np.array([label.setdefault(c or x, i) for i, (c, x) in enumerate(zip(comp, sid, strict=True))])
         n, size, role = np.array(n), np.array(size), np.array(role)
         keys, ends = np.frombuffer(b"".join(tokens), "<u8"), np.cumsum(size)
+        shapes = np.frombuffer(b"".join(shape), "<u4").reshape(len(sid), -1)
         for x in np.flatnonzero(role & 1).tolist():
             lo, hi = np.searchsorted(n, (-(-percent * n[x] // 100), 100 * n[x] // percent + 1))  # sizes that can link
             near = np.arange(lo, hi)
             near = near[(role[lo:hi] & 2 > 0) & (comp[lo:hi] != comp[x]) & ((role[lo:hi] != 3) | (role[x] != 3) | (near > x))]
+            need = -(-percent * (n[near] + n[x]) // (100 + percent))
+            if len(near) and shapes.shape[1]:
+                able = np.minimum(shapes[near], shapes[x]).sum(axis=1) >= need
+                near, need = near[able], need[able]
             if not len(near):
                 continue
             whole = len(near) == hi - lo
             others = keys[ends[lo] - size[lo] : ends[hi - 1]] if whole else np.concatenate([keys[ends[y] - size[y] : ends[y]] for y in near])
             got = overlaps(keys[ends[x] - size[x] : ends[x]], others, np.cumsum(size[near]))
-            need = -(-percent * (n[near] + n[x]) // (100 + percent))
             # What this fragment can add at most is in the sum already if all other fragments overlap in full.
             ok = (got > 0) & (got + np.minimum(n[near] - size[near], n[x] - size[x]) >= need)
             for y, c in zip(near[ok].tolist(), got[ok].tolist(), strict=True):
@@ -324,10 +334,10 @@ def components_of(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int
     classes = light.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct(C.id_key().alias("idk"), "tkey")).alias("at"), F.first("n").alias("n")).select("sid", "at.*", "n")
     named = scratch.write(members.join(classes, "sid"), "named")
 
-    def linked(targets: DataFrame) -> DataFrame:
-        return _linked(spark, docs, targets, k, percent, shared, bounds, broadcast_rows)
+    def linked(targets: DataFrame, shaped: bool) -> DataFrame:
+        return _linked(spark, docs, targets, k, percent, shared, bounds, broadcast_rows, shaped)
 
-    links = scratch.write(linked(_star(named.withColumns({"hub": F.col("leader"), "comp": F.lit(None).cast("binary")}), block_sets, small)), "links-0")
+    links = scratch.write(linked(_star(named.withColumns({"hub": F.col("leader"), "comp": F.lit(None).cast("binary")}), block_sets, small), False), "links-0")
     comps, last = scratch.write(components(spark, links, scratch, "comps-0"), "roots-0"), None
     for turn in range(1, STARS + 2):
         known, pairs = _open(named, comps, small)
@@ -337,7 +347,7 @@ def components_of(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int
             break
         final = turn > STARS or now <= open_pairs * many or (last is not None and now > 0.8 * last)
         targets = _across(known, block_sets) if final else _star(_hubs(known, turn), block_sets, 0)
-        more = scratch.write(linked(targets), f"links-{turn}")
+        more = scratch.write(linked(targets, True), f"links-{turn}")
         links = links.unionByName(more)
         comps = scratch.write(components(spark, links, scratch, f"comps-{turn}"), f"roots-{turn}")
         if final:
@@ -385,7 +395,7 @@ def _across(known: DataFrame, block_sets: int) -> DataFrame:
     return asks.select(*ASKED).unionByName(gives.select(*ASKED)).groupBy(*ASKED[:-1]).agg(F.sum("role").cast("int").alias("role"))
 
 
-def _linked(spark: SparkSession, docs: DataFrame, targets: DataFrame, k: int, percent: int, shared, bounds: np.ndarray, broadcast_rows: int) -> DataFrame:
+def _linked(spark: SparkSession, docs: DataFrame, targets: DataFrame, k: int, percent: int, shared, bounds: np.ndarray, broadcast_rows: int, shaped: bool) -> DataFrame:
     """(u, v) of the pairs of targets whose partial overlaps, summed over the fragments, reach the bound."""
     asked = targets.groupBy("sid", "idk", "tkey", "n", "comp").agg(F.collect_list(F.struct("hub", "block", "role")).alias("targets"))
     size = asked.agg(F.sum(F.size("targets")).alias("targets"), F.sum(F.col("n") * F.size("targets")).alias("shingles")).first()
@@ -394,7 +404,7 @@ def _linked(spark: SparkSession, docs: DataFrame, targets: DataFrame, k: int, pe
     asked = F.broadcast(asked) if (size["targets"] or 0) <= broadcast_rows else asked.hint("merge")
     # A class is fetched by one document: the least doc_id, and of its texts one. Others of that id do not come along.
     texts = docs.select(C.id_key().alias("idk"), "tkey", "text").join(asked, ["idk", "tkey"]).select("sid", "targets", "comp", "text")
-    partial = fetch(texts, k, shared, bounds, tasks).groupBy("task").applyInArrow(C.tidy_group(lambda t: _partial(t, percent)), PARTIAL)
+    partial = fetch(texts, k, shared, bounds, tasks, shaped).groupBy("task").applyInArrow(C.tidy_group(lambda t: _partial(t, percent)), PARTIAL)
     summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return summed.filter(f"100 * overlap >= {percent} * (na + nb - overlap)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 

@@ -224,7 +224,8 @@ def test_jaccard_edges(spark, edge):
     assert jaccard.jaccard_components(spark, edge.limit(0)).count() == 0
 
 
-def test_partial_overlaps_sum_to_the_whole():
+@pytest.mark.parametrize("shape", [lambda s: b"", lambda s: np.bincount(s.astype(np.int64) % 16, minlength=16).astype("<u4").tobytes()])
+def test_partial_overlaps_sum_to_the_whole(shape):
     """Sets cut into fragments: the partial counts of all fragments sum to the overlap; pairs out of reach may count less."""
     import pyarrow as pa
 
@@ -237,7 +238,7 @@ def test_partial_overlaps_sum_to_the_whole():
     for f in range(4):
         pieces = [s[(s >= bounds[f]) & (s < bounds[f + 1])] for s in sets]
         n = len(sets)
-        t = pa.Table.from_batches([C.record(jaccard.PIECES, task=[0] * n, hub=[names[0]] * n, block=[0] * n, fragment=[f] * n, role=[3] * n, comp=[None] * n, sid=names, n=[len(s) for s in sets], size=[len(p) for p in pieces], tokens=[p.tobytes() for p in pieces])])
+        t = pa.Table.from_batches([C.record(jaccard.PIECES, task=[0] * n, hub=[names[0]] * n, block=[0] * n, fragment=[f] * n, role=[3] * n, comp=[None] * n, sid=names, n=[len(s) for s in sets], size=[len(p) for p in pieces], tokens=[p.tobytes() for p in pieces], shape=[shape(s) for s in sets])])
         for r in jaccard._partial(t, 80).to_pylist():
             total[frozenset((r["a"], r["b"]))] += r["overlap"]
     for i, j in itertools.combinations(range(len(sets)), 2):
