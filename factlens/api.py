@@ -1,16 +1,19 @@
 """The engine's public names."""
 
 from factlens.operators.detect import DETECTORS, missing_observations, run_detectors
-from factlens.operators.impact import impact, states
+from factlens.operators.execution import run_partitioned
+from factlens.operators.impact import GrowthContext, frozen_vintage, impact, states
 from factlens.operators.inject import inject_duplicate, inject_lookahead, inject_missing, inject_revision_overwrite, inject_unit_drift
+from factlens.operators.manifest import require_valid, revalidate
 from factlens.operators.pit import assert_lineages, lineage_violations, sanitize, snapshot
 from factlens.operators.policy import resolve_exceptions, roll_up
 from factlens.operators.replay import replay, residual
-from factlens.operators.score import clean_control, interpret, matches, metrics
+from factlens.operators.score import clean_control, interpret, matches, metrics, missing_evaluation
 from factlens.plans.benchmark import aggregate, census, expand
 from factlens.sources.mapping import Mapping, load, normalize
 
 __all__ = [
-    "DETECTORS", "Mapping", "aggregate", "assert_lineages", "census", "clean_control", "expand", "impact", "inject_duplicate", "inject_lookahead", "inject_missing", "inject_revision_overwrite", "inject_unit_drift", "interpret", "lineage_violations",
-    "load", "matches", "metrics", "missing_observations", "normalize", "replay", "residual", "resolve_exceptions", "roll_up", "run_detectors", "sanitize", "snapshot", "states",
+    "DETECTORS", "GrowthContext", "Mapping", "aggregate", "assert_lineages", "census", "clean_control", "expand", "frozen_vintage", "impact", "inject_duplicate", "inject_lookahead", "inject_missing", "inject_revision_overwrite",
+    "inject_unit_drift", "interpret", "lineage_violations", "load", "matches", "metrics", "missing_evaluation", "missing_observations", "normalize", "replay", "require_valid", "residual", "resolve_exceptions", "revalidate", "roll_up",
+    "run_detectors", "run_partitioned", "sanitize", "snapshot", "states",
 ]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factlens.operators.pit import visible
+from factlens.operators.pit import snapshot, visible
 
 
 def states(**by_state: DataFrame) -> DataFrame:
@@ -65,3 +66,50 @@ def ranking_change(clean: DataFrame, other: DataFrame) -> DataFrame:
     """Entities of either ranking whose rank or membership changed."""
     a, b = clean.select("entity_id", F.col("rank").alias("clean_rank")), other.select("entity_id", F.col("rank").alias("other_rank"))
     return a.join(b, "entity_id", "full_outer").filter(~F.col("clean_rank").eqNullSafe(F.col("other_rank")))
+
+
+@dataclass(frozen=True)
+class GrowthContext:
+    """One concept in one unit, and the two periods that are compared; an instant has no start. Dates as text."""
+
+    concept_namespace: str
+    concept: str
+    unit: str
+    period_type: str
+    prior: tuple[str | None, str]
+    current: tuple[str | None, str]
+
+    def fits(self) -> Column:
+        """Facts of the context without dimensions."""
+        own = [F.col(c) == getattr(self, c) for c in ("concept_namespace", "concept", "unit", "period_type")]
+        return reduce(Column.__and__, own) & (F.size("dimensions") == 0)
+
+    def role(self) -> Column:
+        """prior, current or null: both ends of the period must be equal, an absent start to an absent one."""
+        same = lambda p: F.col("period_start").eqNullSafe(F.lit(p[0]).cast("date")) & F.col("period_end").eqNullSafe(F.lit(p[1]).cast("date"))
+        return F.when(same(self.prior), "prior").when(same(self.current), "current")
+
+
+class VintageConflict(ValueError):
+    """A frozen state holds what was not known on its day."""
+
+
+def frozen_vintage(historical: DataFrame, frozen_on: date | str, history: DataFrame, research_on: date | str, context: GrowthContext) -> DataFrame:
+    """An earlier state as it was, and the current period's facts as they were known later: what a researcher of that day compares.
+
+    `historical` is a snapshot (clean, corrupted or repaired) as of `frozen_on`. Raises if that day is not before `research_on`, or
+    if the snapshot already holds facts of the current period.
+    """
+    if str(frozen_on) >= str(research_on):
+        raise VintageConflict(f"frozen on {frozen_on}, which is not before {research_on}")
+    current = context.fits() & (context.role() == "current")
+    if (bad := historical.filter(current).select("record_id").first()) is not None:
+        raise VintageConflict(f"{bad.record_id}: the frozen state holds the current period")
+    return historical.unionByName(snapshot(history, research_on).filter(current).select(*historical.columns))
+
+
+def inconsistent(snapshot_facts: DataFrame, historical: DataFrame) -> DataFrame:
+    """Record ids whose rows in a stored snapshot are not the rows of the one built from history, copies counted."""
+    columns = sorted(historical.columns)
+    tagged = snapshot_facts.select(*columns, F.lit(1).alias("_side")).unionByName(historical.select(*columns, F.lit(-1).alias("_side")))
+    return tagged.groupBy(*columns).agg(F.sum("_side").alias("_net")).filter("_net != 0").select("record_id").distinct()

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import date
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factlens.functions.ratios import rounded
+from factlens.operators.detect import EXPECTED_KEY, missing_observations
+from factlens.operators.inject import inject_missing
+from factlens.operators.pit import sanitize, visible
 
 
 def f1(p: Column, r: Column) -> Column:
@@ -66,3 +72,31 @@ def interpret(findings: DataFrame, manifest: DataFrame, clean_findings: DataFram
     out = findings.join(back, "finding_id").join(exact, "finding_id", "left").join(background, body, "left").join(touched, "finding_id", "left")
     status = F.when(F.col("is_primary"), "primary_matched").when(F.col("is_background"), "independent_background").when((F.col("faults") == 1) & (F.col("detector") != primary), "secondary_corroborating").otherwise("unmatched")
     return out.select("finding_id", "detector", "affected", status.alias("interpretation"))
+
+
+class DirtyControl(ValueError):
+    """The clean facts already give findings."""
+
+
+def expectations_of(facts: DataFrame, as_of: date | str, context: str) -> DataFrame:
+    """One explicit expectation for each visible fact, due when the fact came."""
+    return facts.filter(visible(as_of)).select(F.concat(F.lit("exp-"), "record_id").alias("expected_observation_id"), F.lit(context).alias("context"), *EXPECTED_KEY, "period_start", "dimensions", F.col("available_on").alias("expected_by"))
+
+
+def missing_evaluation(clean: DataFrame, as_of: date | str, mechanisms: tuple[str, ...], severity: str, seed: int, most: int) -> DataFrame:
+    """A row for each mechanism: removes facts by it, detects what is missing, scores the findings against the removed rows.
+
+    A removed fact of which a copy stays is missed, as its expectation is met. Raises if the clean facts give a finding.
+    """
+    if missing_observations(sanitize(clean), expectations_of(clean, as_of, "random"), as_of).first() is not None:
+        raise DirtyControl("expectations are not met by the clean facts")
+    parts = []
+    for mechanism in mechanisms:
+        corrupted, gone = inject_missing(clean, as_of, mechanism, severity, seed, most)
+        found = missing_observations(sanitize(corrupted), expectations_of(clean, as_of, mechanism), as_of).select(F.col("expected_observation_id").alias("id"), F.lit(1).alias("found"), F.lit(0).alias("lost"))
+        lost = gone.select(F.concat(F.lit("exp-"), "record_id").alias("id"), F.lit(0).alias("found"), F.lit(1).alias("lost"))
+        parts.append(found.unionByName(lost).withColumn("mechanism", F.lit(mechanism)))
+    each = reduce(DataFrame.unionByName, parts).groupBy("mechanism", "id").agg(F.max("found").alias("found"), F.max("lost").alias("lost"))
+    f, m = F.col("found") == 1, F.col("lost") == 1
+    out = each.groupBy("mechanism").agg(F.count_if(f).alias("findings"), F.count_if(m).alias("targets"), F.count_if(f & m).alias("true_positives"), F.count_if(f & ~m).alias("false_positives"), F.count_if(m & ~f).alias("missed"))
+    return out.withColumns({"precision": rounded(F.col("true_positives"), F.col("findings")), "recall": rounded(F.col("true_positives"), F.col("targets"))})

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlens.functions.ident import canonical_decimal, canonical_json, content_hash
-from factlens.operators import detect, impact, inject, pit, policy, replay, review, score, series
+from factlens.operators import detect, execution, impact, inject, manifest, pit, policy, replay, review, score, series
 from factlens.plans import benchmark
-from factlens.sources import companyfacts, generate, mapping, testdata
+from factlens.sources import companyfacts, generate, mapping, sinks, testdata
 
 AS_OF = "1999-01-01"
 SEED = 3
@@ -481,11 +481,13 @@ def aggregate_v2(spark, d):
     return benchmark.aggregate(_case_results(spark, d), ("fault_profile", "severity"))
 
 
-@query("WITH units AS (SELECT DISTINCT 'p' || (n_regionkey % 3) AS partition, 'u' || n_nationkey AS unit FROM nation), fam AS (SELECT unnest(['duplicate','lookahead']) AS family), cnt AS (SELECT 'p' || (n_regionkey % 3) AS partition, 'u' || n_nationkey AS unit, 'duplicate' AS family, count(*) AS eligible FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000 GROUP BY ALL), c AS (SELECT u.partition, u.unit, family, coalesce(eligible, 0) AS eligible FROM units u CROSS JOIN fam LEFT JOIN cnt USING (partition, unit, family)), r AS (SELECT *, row_number() OVER (PARTITION BY partition, family ORDER BY eligible DESC, unit DESC) AS k FROM c) SELECT partition, family, CAST(sum(eligible) AS BIGINT) AS total, max(unit) FILTER (WHERE k = 1) AS best_unit, max(eligible) FILTER (WHERE k = 1) AS best_eligible, count(*) FILTER (WHERE eligible > 0) AS supporting, CASE WHEN max(eligible) >= 8 AND sum(eligible) >= 24 THEN 'eligible' ELSE 'ineligible' END AS status FROM r GROUP BY partition, family")
+@query("WITH units AS (SELECT DISTINCT 'p' || (n_regionkey % 3) AS partition, 'u' || n_nationkey AS unit FROM nation), fam AS (SELECT unnest(['duplicate','lookahead']) AS family), cnt AS (SELECT 'p' || (n_regionkey % 3) AS partition, 'u' || n_nationkey AS unit, 'duplicate' AS family, count(*) AS eligible FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000 GROUP BY ALL UNION ALL SELECT 'p' || (n_regionkey % 3), 'u' || n_nationkey, 'lookahead', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0 GROUP BY ALL), c AS (SELECT u.partition, u.unit, family, coalesce(eligible, 0) AS eligible FROM units u CROSS JOIN fam LEFT JOIN cnt USING (partition, unit, family)), r AS (SELECT *, row_number() OVER (PARTITION BY partition, family ORDER BY eligible DESC, unit DESC) AS k FROM c) SELECT partition, family, CAST(sum(eligible) AS BIGINT) AS total, max(unit) FILTER (WHERE k = 1) AS best_unit, max(eligible) FILTER (WHERE k = 1) AS best_eligible, count(*) FILTER (WHERE eligible > 0) AS supporting, CASE WHEN max(eligible) >= 8 AND sum(eligible) >= 24 THEN 'eligible' ELSE 'ineligible' END AS status FROM r GROUP BY partition, family")
 def eligibility_census(spark, d):
     nation, customer = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "customer"))
     part, unit = F.concat(F.lit("p"), F.col("n_regionkey") % 3).alias("partition"), F.concat(F.lit("u"), F.col("n_nationkey")).alias("unit")
-    counts = customer.filter("c_acctbal > 5000").groupBy("c_nationkey").count().join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(part, unit, F.lit("duplicate").alias("family"), F.col("count").alias("eligible"))
+    family = F.when(F.col("c_acctbal") > 5000, "duplicate").when(F.col("c_acctbal") < 0, "lookahead").alias("family")
+    by_nation = customer.groupBy("c_nationkey", family).count().filter("family IS NOT NULL")
+    counts = by_nation.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(part, unit, "family", F.col("count").alias("eligible"))
     return benchmark.census(counts, nation.select(part, unit).distinct(), ("duplicate", "lookahead"))
 
 
@@ -520,9 +522,9 @@ def pilot_report(spark, d):
     return review.pilot_report(*_adjudicated(spark, d))
 
 
-@query(FACTS + """, c AS (SELECT record_id, value FROM facts WHERE period_end < DATE '1996-01-01'), t AS (SELECT record_id, regexp_replace(regexp_replace(CAST(value AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS text FROM c) SELECT record_id, text, sha256('{"record_id":"' || record_id || '","value":"' || text || '"}') AS hash FROM t""")
+@query(FACTS + """, c AS (SELECT record_id, value FROM facts), t AS (SELECT record_id, regexp_replace(regexp_replace(CAST(value AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS text FROM c) SELECT record_id, text, sha256('{"record_id":"' || record_id || '","value":"' || text || '"}') AS hash FROM t""")
 def identity_hashes(spark, d):
-    rows = _facts(spark, d).filter("period_end < '1996-01-01'").withColumn("text", canonical_decimal(F.col("value")))
+    rows = _facts(spark, d).withColumn("text", canonical_decimal(F.col("value")))
     return rows.select("record_id", "text", content_hash(canonical_json(record_id=F.col("record_id"), value=F.col("text"))).alias("hash"))
 
 
@@ -582,3 +584,88 @@ def policy_detector_rules(spark, d):
 @query(FACTS + "SELECT 'freq' AS rule_id, entity_id, concept_namespace, concept, unit, count(DISTINCT period_end) AS periods, 'insufficient_distinct_periods' AS reason FROM facts GROUP BY entity_id, concept_namespace, concept, unit, period_type HAVING count(DISTINCT period_end) < 2")
 def policy_insufficient_periods(spark, d):
     return policy.insufficient_periods(_audit(spark, d), policy.ReportingFrequency("freq", SCOPE, 365))
+
+
+PARTITIONS = 16
+RERUN = ("lookahead", "duplicate", "revision_overwrite")
+
+
+def _rerun(changed: int | None):
+    def run(spark, d):
+        root, audit = sinks.work_folder(spark), _audit(spark, d)
+        execution.run_partitioned(spark, audit, AS_OF, root, PARTITIONS, RERUN)
+        if changed is not None:
+            moved = execution.partition_of(PARTITIONS) == changed
+            audit = audit.withColumn("value", F.when(moved, F.col("value") + 1).otherwise(F.col("value")).cast("decimal(28,6)"))
+        return execution.run_partitioned(spark, audit, AS_OF, root, PARTITIONS, RERUN)[0]
+
+    return run
+
+
+def _rerun_sql(changed: int | None) -> str:
+    part = f"('0x' || left(sha256(entity_id), 8))::BIGINT % {PARTITIONS}"
+    status = "'reused'" if changed is None else f"CASE WHEN partition = {changed} THEN 'audited' ELSE 'reused' END"
+    return FACTS + f", found AS ({_findings_sql('facts', 'record_id')}), p AS (SELECT record_id, CAST({part} AS INTEGER) AS partition FROM facts), n AS (SELECT partition, count(*) AS findings FROM found JOIN p ON p.record_id = split_part(affected, '|', 1) GROUP BY partition) SELECT partition, count(*) AS records, coalesce(any_value(findings), 0) AS findings, {status} AS status FROM p LEFT JOIN n USING (partition) GROUP BY partition"
+
+
+for _name, _changed in (("audit_rerun_unchanged", None), ("audit_rerun_one_changed", 3)):
+    QUERIES[_name], ORACLE[_name] = _rerun(_changed), _rerun_sql(_changed)
+
+
+def _revalidate(family: str):
+    """A manifest with changed, absent and foreign entries, picked by the first digit of the id, against one derived anew."""
+
+    def run(spark, d):
+        m = _injected(family, spark, d)[2]
+        key = "record_id" if family == "missing" else "original_record_id"
+        digit = F.substring(key, 5, 1)
+        changes = {"target_rank": F.when(digit == "2", F.col("target_rank") + 1).otherwise(F.col("target_rank")), key: F.when(digit == "3", F.concat(F.lit("x"), key)).otherwise(F.col(key))}
+        if family != "missing":
+            changes["injected_record_id"] = F.when(digit == "1", F.lit("rec_0")).otherwise(F.col("injected_record_id"))
+        return manifest.revalidate(m.filter(digit != "0").withColumns(changes), m, key).groupBy("problem").agg(F.count("*").alias("entries"))
+
+    return run
+
+
+PERIODIC_SQL = f"seen AS (SELECT * FROM facts WHERE {SEEN}), elig AS (SELECT * EXCLUDE (a, b) FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, concept_namespace, concept, unit, period_type ORDER BY period_end, record_id) AS a, row_number() OVER (PARTITION BY entity_id, concept_namespace, concept, unit, period_type ORDER BY period_end DESC, record_id DESC) AS b FROM seen) WHERE a > 1 AND b > 1)"
+
+
+def _revalidate_sql(head: str, source: str, family: str, fraction: str) -> str:
+    changed = "" if family == "missing" else " WHEN '1' THEN ['changed:injected_record_id']"
+    cases = f"CASE substr(record_id, 5, 1) WHEN '0' THEN ['left_out']{changed} WHEN '2' THEN ['changed:target_rank'] WHEN '3' THEN ['left_out', 'not_selected'] ELSE [] END"
+    return head + f", m AS ({_pick_sql(source, family, fraction)}), u AS (SELECT unnest({cases}) AS problem FROM m) SELECT problem, count(*) AS entries FROM u GROUP BY problem"
+
+
+for _f, _head, _source, _fraction in (
+    ("lookahead", f"{FACTS},{ELIGIBLE_LOOK}", "elig", "0.02"), ("unit_drift", f"{FACTS},{ELIGIBLE_DRIFT}", "elig", "0.05"), ("duplicate", f"{FACTS},{ELIGIBLE_DUP}", "elig", "0.05"),
+    ("revision_overwrite", f"WITH pairs AS ({PAIRS5_SQL})", "pairs", "0.05"), ("missing", f"{FACTS},{PERIODIC_SQL}", "elig", "0.25"),
+):
+    QUERIES[f"manifest_revalidate_{_f}"], ORACLE[f"manifest_revalidate_{_f}"] = _revalidate(_f), _revalidate_sql(_head, _source, _f, _fraction)
+
+
+YEARS = impact.GrowthContext("orders", "TotalPrice", "USD", "instant", (None, "1995-12-31"), (None, "1996-12-31"))
+FROZEN, RESEARCH = "1995-12-31", "1997-06-30"
+
+
+@query(FACTS + f", y AS (SELECT entity_id, value, make_date(year(period_end), 12, 31) AS period_end, available_on FROM facts), v AS (SELECT * FROM y WHERE available_on <= DATE '{FROZEN}' UNION ALL SELECT * FROM y WHERE available_on <= DATE '{RESEARCH}' AND period_end = DATE '1996-12-31'), s AS (SELECT entity_id, sum(value) FILTER (WHERE period_end = DATE '1995-12-31') AS a, sum(value) FILTER (WHERE period_end = DATE '1996-12-31') AS b FROM v GROUP BY entity_id), g AS (SELECT entity_id, round(CAST(b - a AS DOUBLE) / abs(CAST(a AS DOUBLE)), 9) AS growth FROM s WHERE a <> 0 AND b IS NOT NULL) SELECT entity_id, growth, row_number() OVER (ORDER BY growth DESC, entity_id) AS rank FROM g QUALIFY rank <= 100")
+def impact_frozen_vintage(spark, d):
+    """Growth of yearly facts: 1995 as the last day of that year knew it, 1996 as June 1997 did."""
+    yearly = _facts(spark, d).withColumn("period_end", F.make_date(F.year("period_end"), F.lit(12), F.lit(31)))
+    frozen = impact.frozen_vintage(pit.snapshot(yearly, FROZEN), FROZEN, yearly, RESEARCH, YEARS)
+    return impact.growth_ranking(frozen.filter(YEARS.fits()), ("1995-12-31", "1995-12-31"), ("1996-12-31", "1996-12-31"), top=100)
+
+
+#: Rows that a mechanism removes, as common table expressions ending in m_<mechanism>.
+def _removed_sql(mechanism: str) -> str:
+    whole = _missing_sql(mechanism) if mechanism != "random" else FACTS + f", seen AS (SELECT * FROM facts WHERE {SEEN}), m AS ({_pick_sql('seen', 'missing', '0.10').replace(str(inject.MOST), '1000000')})"
+    return f"(WITH {whole.removeprefix(FACTS).lstrip(', ').split(' SELECT record_id, value FROM facts ANTI')[0]} SELECT '{mechanism}' AS mechanism, record_id FROM m)"
+
+
+KEY_SQL = "entity_id, concept_namespace, concept, unit, period_type, period_end, source_name, source_locator"
+MECHANISMS = ("random", "periodic_gap", "entity_dependent", "concept_dependent", "survivorship", "source_outage")
+
+
+@query(FACTS + f", gone AS ({' UNION ALL '.join(_removed_sql(m) for m in MECHANISMS)}), visible AS (SELECT record_id, hash({KEY_SQL}) AS h, period_end FROM facts WHERE {SEEN}), c AS (SELECT mechanism, v.record_id, g.record_id IS NOT NULL AS lost, count(*) OVER (PARTITION BY mechanism, h, period_end) = count(g.record_id) OVER (PARTITION BY mechanism, h, period_end) AS bare FROM visible v CROSS JOIN (SELECT DISTINCT mechanism FROM gone) LEFT JOIN gone g USING (mechanism, record_id)) SELECT mechanism, count(*) FILTER (WHERE bare) AS findings, count(*) FILTER (WHERE lost) AS targets, count(*) FILTER (WHERE lost AND bare) AS true_positives, count(*) FILTER (WHERE bare AND NOT lost) AS false_positives, count(*) FILTER (WHERE lost AND NOT bare) AS missed, {RATIO_SQL.format(a='count(*) FILTER (WHERE lost AND bare)', b='count(*) FILTER (WHERE bare)')} AS precision, {RATIO_SQL.format(a='count(*) FILTER (WHERE lost AND bare)', b='count(*) FILTER (WHERE lost)')} AS recall FROM c GROUP BY mechanism")
+def score_missing(spark, d):
+    """All six mechanisms over the whole table; a copy that stays behind hides a removed row, which is then missed."""
+    return score.missing_evaluation(_facts(spark, d), AS_OF, MECHANISMS, "low", SEED, 1_000_000)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,21 @@ class ArtifactConflict(ValueError):
     """Another content is already stored under the name."""
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir; below a local temporary folder only where that is unset and the master local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp()}"
+    return f"{root.rstrip('/')}/audit-{uuid.uuid4().hex[:12]}"
+
+
 def store_text(spark: SparkSession, path: str, text: str) -> bool:
     """Writes `text` at `path` once, by a rename of a temporary file. The same text again is reused (False); another one is an error."""
     jvm = spark._jvm
