@@ -613,16 +613,16 @@ for _name, _changed in (("audit_rerun_unchanged", None), ("audit_rerun_one_chang
 
 
 def _revalidate(family: str):
-    """A manifest with changed, absent and foreign entries, picked by the first digit of the id, against one derived anew."""
+    """A manifest with changed, absent and foreign entries, picked by the first digit of the id, modulo 5, against one derived anew."""
 
     def run(spark, d):
         m = _injected(family, spark, d)[2]
         key = "record_id" if family == "missing" else "original_record_id"
-        digit = F.substring(key, 5, 1)
-        changes = {"target_rank": F.when(digit == "2", F.col("target_rank") + 1).otherwise(F.col("target_rank")), key: F.when(digit == "3", F.concat(F.lit("x"), key)).otherwise(F.col(key))}
+        digit = F.conv(F.substring(key, 5, 1), 16, 10).cast("int") % 5
+        changes = {"target_rank": F.when(digit == 2, F.col("target_rank") + 1).otherwise(F.col("target_rank")), key: F.when(digit == 3, F.concat(F.lit("x"), key)).otherwise(F.col(key))}
         if family != "missing":
-            changes["injected_record_id"] = F.when(digit == "1", F.lit("rec_0")).otherwise(F.col("injected_record_id"))
-        return manifest.revalidate(m.filter(digit != "0").withColumns(changes), m, key).groupBy("problem").agg(F.count("*").alias("entries"))
+            changes["injected_record_id"] = F.when(digit == 1, F.lit("rec_0")).otherwise(F.col("injected_record_id"))
+        return manifest.revalidate(m.filter(digit != 0).withColumns(changes), m, key).groupBy("problem").agg(F.count("*").alias("entries"))
 
     return run
 
@@ -631,8 +631,8 @@ PERIODIC_SQL = f"seen AS (SELECT * FROM facts WHERE {SEEN}), elig AS (SELECT * E
 
 
 def _revalidate_sql(head: str, source: str, family: str, fraction: str) -> str:
-    changed = "" if family == "missing" else " WHEN '1' THEN ['changed:injected_record_id']"
-    cases = f"CASE substr(record_id, 5, 1) WHEN '0' THEN ['left_out']{changed} WHEN '2' THEN ['changed:target_rank'] WHEN '3' THEN ['left_out', 'not_selected'] ELSE [] END"
+    changed = "" if family == "missing" else " WHEN 1 THEN ['changed:injected_record_id']"
+    cases = f"CASE (strpos('0123456789abcdef', substr(record_id, 5, 1)) - 1) % 5 WHEN 0 THEN ['left_out']{changed} WHEN 2 THEN ['changed:target_rank'] WHEN 3 THEN ['left_out', 'not_selected'] ELSE [] END"
     return head + f", m AS ({_pick_sql(source, family, fraction)}), u AS (SELECT unnest({cases}) AS problem FROM m) SELECT problem, count(*) AS entries FROM u GROUP BY problem"
 
 
