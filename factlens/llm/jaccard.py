@@ -15,6 +15,8 @@ counts a member and not all its pairs; what is then left in other components is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -258,7 +260,7 @@ def fetch(docs: DataFrame, k: int, levels, bounds: np.ndarray, tasks: int, shape
     return docs.mapInArrow(C.tidy(search), PIECES)
 
 
-PARTIAL = "a binary, b binary, na long, nb long, overlap long"
+PARTIAL = "a binary, b binary, fragment int, na long, nb long, overlap long"
 
 
 def overlaps(piece: np.ndarray, others: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -277,7 +279,7 @@ def _partial(t: pa.Table, percent: int) -> pa.Table:
     for hub, block, fragment, *row in zip(*(t.column(c).to_pylist() for c in ("hub", "block", "fragment", "sid", "role", "comp", "n", "size", "tokens", "shape")), strict=True):
         groups.setdefault((hub, block, fragment), {}).setdefault(row[0], row)  # several texts may have the set
     out: dict[str, list] = {c.split()[0]: [] for c in PARTIAL.split(", ")}
-    for rows in groups.values():
+    for (_, _, fragment), rows in groups.items():
         sid, role, comp, n, size, tokens, shape = map(list, zip(*sorted(rows.values(), key=lambda r: (r[3], r[0])), strict=True))
         label: dict = {}
         comp = np.array([label.setdefault(c or x, i) for i, (c, x) in enumerate(zip(comp, sid, strict=True))])
@@ -300,7 +302,7 @@ def _partial(t: pa.Table, percent: int) -> pa.Table:
             # What this fragment can add at most is in the sum already if all other fragments overlap in full.
             ok = (got > 0) & (got + np.minimum(n[near] - size[near], n[x] - size[x]) >= need)
             for y, c in zip(near[ok].tolist(), got[ok].tolist(), strict=True):
-                for col, v in zip(out.values(), (sid[x], sid[y], int(n[x]), int(n[y]), c), strict=True):
+                for col, v in zip(out.values(), (sid[x], sid[y], fragment, int(n[x]), int(n[y]), c), strict=True):
                     col.append(v)
     return pa.Table.from_batches([C.record(PARTIAL, **out)])
 
@@ -405,7 +407,9 @@ def _linked(spark: SparkSession, docs: DataFrame, targets: DataFrame, k: int, pe
     # A class is fetched by one document: the least doc_id, and of its texts one. Others of that id do not come along.
     texts = docs.select(C.id_key().alias("idk"), "tkey", "text").join(asked, ["idk", "tkey"]).select("sid", "targets", "comp", "text")
     partial = fetch(texts, k, shared, bounds, tasks, shaped).groupBy("task").applyInArrow(C.tidy_group(lambda t: _partial(t, percent)), PARTIAL)
-    summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    # A pair that lies in several groups is counted in each: one overlap of every fragment goes into the sum.
+    once = [F.coalesce(F.max(F.when(F.col("fragment") == f, F.col("overlap"))), F.lit(0)) for f in range(FRAGMENTS)]
+    summed = partial.groupBy("a", "b").agg(reduce(add, once).alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return summed.filter(f"100 * overlap >= {percent} * (na + nb - overlap)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
