@@ -1,4 +1,4 @@
-"""The ten operators against brute force, round trips, held-out labels and edge cases."""
+"""The operators against brute force, round trips, held-out labels and edge cases."""
 
 from __future__ import annotations
 
@@ -9,12 +9,13 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
 
 from factlens.llm import common as C
-from factlens.llm import jaccard, packing, quality, queries, sharding, substrings, templates, tokens, toxicity, urls
+from factlens.llm import bpe, centroids, divergence, jaccard, packing, quality, queries, sharding, substrings, templates, tokens, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -34,8 +35,8 @@ def test_matches_sql(compare, name, sf_dir):
     compare(queries.QUERIES[name], queries.ORACLE[name], sf_dir)
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 14))
 
 
 def test_ngrams_tell_runs_apart():
@@ -759,3 +760,197 @@ def test_digest_of_kept_text(spark):
     r = queries.QUERIES["op3_substring_dedup"](spark, SF).filter("n_removed = 0").first()
     text = dict(texts_of(C.table(spark, SF, "documents")))[r.doc_id]
     assert r.kept_sha256 == hashlib.sha256(" ".join(words(text)).encode()).hexdigest() and not math.isnan(r.n_words)
+
+
+# 11 ------------------------------------------------------------------------------------------------
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.default_path())
+
+
+def test_bpe_equals_the_library(spark, edge, mixed):
+    """Ids and decoded texts of whole documents, of every edge case and of all documents of a small table."""
+    lib = library()
+    for docs in (edge, mixed, C.table(spark, SF, "documents")):
+        got = bpe.decode(bpe.encode(docs))
+        assert got.columns == [*docs.columns, "ids", "decoded"]
+        want = sorted(((r.doc_id, r.text, lib.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()), key=str)
+        rows = sorted(((r.doc_id, r.text, list(r.ids)) for r in got.collect()), key=str)
+        assert rows == want
+        assert {(r.text, r.decoded) for r in got.collect()} == {(t, lib.decode(i, skip_special_tokens=False)) for _, t, i in want}
+    assert bpe.decode(bpe.encode(edge.limit(0))).count() == 0
+
+
+def test_bpe_digests(spark):
+    lib = library()
+    got = {r.doc_id: tuple(r)[1:] for r in bpe.op11_bpe_trie(spark, SF).collect()}
+    for r in C.table(spark, SF, "documents").collect():
+        ids = lib.encode(r.text or "", add_special_tokens=False).ids
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        assert got[r.doc_id] == (len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False)))
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "aeinorst", "=-_|*!", "theand'sll", "aé漢ß😀\u0301 \u03a3\u0130\u212a\u00a0\x1c", "the <|endoftext|>"])
+def test_bpe_of_random_texts(alphabet):
+    """Long runs, repeats and odd characters: where tokens meet, merges across the boundary must be seen."""
+    rng, lib, model = random.Random(9), library(), bpe.Bpe(tokens.default_path())
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([1, 5, 20, 90, 400]))) for _ in range(700)] + [alphabet * 200]
+    got = [np.frombuffer(x, "<i4").tolist() for x in model.encode([t.encode() for t in texts])]
+    assert got == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bpe_of_another_file():
+    """A byte-level file without word ends; its decoder gives the text back."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, lib = bpe.Bpe(path), Tokenizer.from_file(path)
+    pieces = [p for p in ["hello", "\u0120world", "\u0120the", "aaaaaaaa", "=====", "\u00c3\u00a9t\u00c3\u00a9"]]
+    model.insert([bytes(map(bpe.BYTES.__getitem__, p)) for p in pieces])
+    for p in pieces:
+        raw = bytes(map(bpe.BYTES.__getitem__, p))
+        ids = np.frombuffer(model.pieces[raw], "<i4").tolist()
+        assert ids == [t.id for t in lib.model.tokenize(p)] and (json.loads(open(path).read())["decoder"] is None or model.decode(ids) == raw.decode())
+
+
+def test_bpe_forgets_and_goes_on(monkeypatch):
+    lib, model, rng = library(), bpe.Bpe(tokens.default_path()), random.Random(2)
+    monkeypatch.setattr(bpe, "NODES", 50)
+    monkeypatch.setattr(bpe, "WORDS", 20)
+    monkeypatch.setattr(bpe, "PAIRS", 30)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice("etaoin") for _ in range(rng.randint(1, 9))) for _ in range(10)) for _ in range(5)]
+        assert [np.frombuffer(x, "<i4").tolist() for x in model.encode([t.encode() for t in texts])] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_shared_prefixes_are_encoded_once():
+    model = bpe.Bpe(tokens.default_path())
+    model.insert([b"international", b"internationally", b"internet", b"internal"])
+    assert len(model.last) - 1 == len("internationall") + len("e") and model.insert([b"internationale"]) is None and len(model.last) - 1 == len("internationall") + len("e")
+
+
+# 12 ------------------------------------------------------------------------------------------------
+
+
+def brute_divergence(docs, least=3, top=200):
+    split = re.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    groups, inside, of_lang = defaultdict(Counter), Counter(), defaultdict(Counter)
+    for lang, source, text in docs:
+        found = split.findall(low(text or ""))
+        groups[lang or "", source or ""].update(found)
+        of_lang[lang or ""].update(found)
+        inside.update((lang or "", t) for t in set(found))
+    out = []
+    for (lang, source), count in groups.items():
+        kept = [t for t in of_lang[lang] if inside[lang, t] >= least]
+        total = {s: sum(c[t] for t in kept) for (x, s), c in groups.items() if x == lang}
+        share = lambda c, n: 1 + 10**9 * (c + 1) // (n + len(kept))
+        gap = lambda p, q: (p - q) ** 2 // q
+        mine = {t: share(count[t], total[source]) for t in kept}
+        pairs = [(s, sum(gap(mine[t], share(groups[lang, s][t], total[s])) for t in kept)) for s in total if s != source]
+        whole = sum(of_lang[lang][t] for t in kept)
+        terms = [(t, gap(mine[t], share(of_lang[lang][t], whole))) for t in kept if count[t] and mine[t] > share(of_lang[lang][t], whole)]
+        for part, rows in (("pair", pairs), ("term", terms)):
+            ranked = sorted(rows, key=lambda r: (-r[1], r[0].encode()))
+            out += [(lang, source, part, item, v, k) for k, (item, v) in enumerate(ranked, 1) if part == "pair" or k <= top]
+    return sorted(out)
+
+
+def source_rows(spark):
+    rng, rows = random.Random(8), []
+    vocab = [f"{a}{b}" for a in ("Ab", "b", "é", "Zo", "漢", "q") for b in ("x", "Yy", "ß", "😀", "")]
+    for i in range(150):
+        lang = rng.choice(["en", "en", "en", "de", None, "fr"])
+        text = None if i % 17 == 0 else rng.choice([" ", "-", "\x7f", "9"]).join(rng.choice(vocab) for _ in range(rng.randint(0, 40)))
+        rows.append((i, text, lang, rng.choice(["a", "b", "c", "d", "é", "", None])))
+    rows += [(200, "only here", "xx", "a"), (201, "nor there", "xx", "b"), (202, None, "yy", "a"), (203, "AB ab Ab aB", "zz", "one"), (203, "ab", "zz", "one"), (203, "ab", "zz", "one")]
+    return rows
+
+
+@pytest.mark.parametrize("more", [{}, {"held": 30, "block": 200, "slice_rows": 7, "sources": 2}, {"top": 3, "slice_rows": 20, "sources": 3}, {"least_docs": 1}])
+def test_divergence_against_brute_force(spark, more):
+    rows = source_rows(spark)
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, source string, n long, part string").repartition(3)
+    got = sorted(map(tuple, divergence.audit(spark, docs, **more).collect()))
+    assert got == brute_divergence([(lang, source, t) for _, t, lang, source in rows], more.get("least_docs", 3), more.get("top", 200))
+    assert divergence.audit(spark, docs.limit(0)).count() == 0
+
+
+def test_terms_of_one_hash_are_told_apart(monkeypatch):
+    class Same:
+        @staticmethod
+        def xxh64_intdigest(b):
+            return len(b) % 2
+
+    texts = [b"aa Bb c aa bb", b"", "é aaaa bb ddd".encode(), b"c c"]
+    want = [(d, t, n) for d, x in enumerate(texts) for t, n in sorted(Counter(w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", x)).items())]
+    for fake in (None, Same):
+        if fake:
+            monkeypatch.setattr(divergence, "xxhash", fake)
+        terms, doc, term, n = divergence.terms_of(texts)
+        assert len(set(terms[t] for t in term)) == len(set(term)) and sorted((d, terms[t], c) for d, t, c in zip(doc, term, n, strict=True)) == sorted(want)
+
+
+def test_shares_are_exact():
+    rng = np.random.default_rng(1)
+    count = rng.integers(0, 10**14, 500)
+    total = count + rng.integers(0, 10**15, 500)
+    got = divergence.share(count, total, np.int64(77777))
+    assert got.tolist() == [1 + 10**9 * (int(c) + 1) // (int(t) + 77777) for c, t in zip(count, total, strict=True)]
+
+
+# 13 ------------------------------------------------------------------------------------------------
+
+
+def brute_clusters(rows, k=16, rounds=3, size=64):
+    kept = [(i, [math.floor(64 * Fraction(x)) for x in v]) for i, v in rows if v is not None and len(v) == size and all(x is not None and math.isfinite(x) for x in v)]
+    name = lambda r: (r[0] is None, hashlib.sha256(f"1:{r[0]}".encode()).hexdigest(), r[1])
+    cent = [list(v) for _, v in sorted(kept, key=name)[:k]]
+    near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), n) for n, c in enumerate(cent))
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for _, v in kept:
+            groups[near(v)[1]].append(v)
+        for c, vs in groups.items():
+            cent[c] = [sum(x) // len(vs) for x in zip(*vs, strict=True)]
+    found = [(i, *near(v)) for i, v in kept]
+    total = Counter()
+    for _, d, c in found:
+        total[c] += d
+    whole, least = sum(total.values()), lambda x: x if x < 2**63 else None
+    return sorted(((i, c, least(d), least(total[c]), least(whole), hashlib.sha256(",".join(map(str, cent[c])).encode()).hexdigest()) for i, d, c in found), key=str)
+
+
+@pytest.mark.parametrize("case", ["plain", "ties", "few", "wide", "huge"])
+def test_clusters_against_brute_force(spark, case):
+    rng, rows = random.Random(6), []
+    for i in range(12 if case == "few" else 300):
+        v = [rng.choice([-1.0, 0.0, 1.0]) if case == "ties" else rng.gauss(i % 7, 1.5) for _ in range(64)]
+        if case == "wide" and i % 9 == 0:
+            v[i % 64] = rng.choice([-1, 1]) * 2.0**27
+        if case == "huge" and i % 9 == 0:
+            v[i % 64] = rng.choice([-3.0e38, 1e30, 2.5e12])
+        rows.append((i if i % 31 else None, v))
+    rows += [(500, None), (501, []), (502, [1.0] * 63), (503, [1.0] * 65), (504, [1.0] * 63 + [None]), (505, [float("nan")] + [0.0] * 63), (506, [float("inf")] * 64), (7, rows[7][1]), (8, rows[9][1])]
+    rows = [(i, v if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
+    df = spark.createDataFrame([(i, v, 0, 1) for i, v in rows], "vec_id long, embedding array<float>, cluster int, distance int").repartition(3)
+    got = sorted(map(tuple, centroids.cluster(spark, df).collect()), key=str)
+    assert got == brute_clusters(rows)
+    assert centroids.cluster(spark, df.limit(0)).count() == 0
+
+
+def test_screening_skips_most_distances_and_changes_none():
+    rng = np.random.default_rng(5)
+    cent = rng.integers(-300, 300, (16, 64)) * np.repeat(rng.integers(0, 2, (16, 8)), 8, axis=1)
+    rows = cent[rng.integers(0, 16, 4000)] + rng.integers(-20, 20, (4000, 64))
+    got, far, done = centroids.nearest(rows, centroids.norms_of(rows), cent)
+    d = ((rows[:, None, :] - cent[None]) ** 2).sum(axis=2)
+    assert (got == d.argmin(axis=1)).all() and (far == d.min(axis=1)).all() and done < 0.5 * d.size
+    assert (centroids.bounds(centroids.norms_of(rows), centroids.norms_of(cent)) <= d).all()
