@@ -28,29 +28,29 @@ def _as_of(d: date | str) -> Column:
     return F.lit(str(d)).cast("date")
 
 
-def lookahead(audit: DataFrame, as_of: date | str) -> DataFrame:
+def lookahead(audit: DataFrame, as_of: date | str, scope: tuple[str, ...] = ()) -> DataFrame:
     """Rows available on their period's end although filed later: a pure filter, no shuffle."""
     leaked = F.datediff("filed_on", "available_on")
     severity = F.when(leaked >= 30, "high").when(leaked >= 14, "medium").otherwise("low")
     hit = (F.col("available_on") == F.col("period_end")) & (F.col("available_on") < F.col("filed_on")) & visible(as_of)
-    return audit.filter(hit).select("record_id", "entity_id", leaked.cast("long").alias("leaked_days"), severity.alias("severity"), F.lit("proven_by_contract").alias("confidence"))
+    return audit.filter(hit).select(*scope, "record_id", "entity_id", leaked.cast("long").alias("leaked_days"), severity.alias("severity"), F.lit("proven_by_contract").alias("confidence"))
 
 
-def revision_overwrite(audit: DataFrame, as_of: date | str) -> DataFrame:
+def revision_overwrite(audit: DataFrame, as_of: date | str, scope: tuple[str, ...] = ()) -> DataFrame:
     """Rows visible before they were filed."""
     hit = F.col("accession_number").isNotNull() & visible(as_of) & (F.col("filed_on") > _as_of(as_of))
-    return audit.filter(hit).select("record_id", "entity_id", "accession_number", "filed_on", "available_on", F.lit("high").alias("severity"), F.lit("proven_by_contract").alias("confidence"))
+    return audit.filter(hit).select(*scope, "record_id", "entity_id", "accession_number", "filed_on", "available_on", F.lit("high").alias("severity"), F.lit("proven_by_contract").alias("confidence"))
 
 
-def exact_duplicates(audit: DataFrame, as_of: date | str) -> DataFrame:
+def exact_duplicates(audit: DataFrame, as_of: date | str, scope: tuple[str, ...] = ()) -> DataFrame:
     """One finding for each group of two or more rows of equal fingerprint."""
-    groups = duplicate_groups(audit, as_of).filter("members >= 2")
-    return groups.select("entity_id", "record_ids", F.concat_ws("|", "record_ids").alias("affected"), "members", F.lit("medium").alias("severity"), F.lit("proven_by_contract").alias("confidence"))
+    groups = duplicate_groups(audit, as_of, scope).filter("members >= 2")
+    return groups.select(*scope, "entity_id", "record_ids", F.concat_ws("|", "record_ids").alias("affected"), "members", F.lit("medium").alias("severity"), F.lit("proven_by_contract").alias("confidence"))
 
 
-def unit_drift(audit: DataFrame, as_of: date | str, threshold: int = 50) -> DataFrame:
+def unit_drift(audit: DataFrame, as_of: date | str, threshold: int = 50, scope: tuple[str, ...] = ()) -> DataFrame:
     """Rows far from all nearest neighbours that a scale factor brings back near all of them; the best factor is named."""
-    near = nearest_nonzero(comparable_series(audit, as_of))
+    near = nearest_nonzero(comparable_series(audit, as_of, scope=scope), scope)
     v, sides = F.col("value"), (F.col("previous_value"), F.col("next_value"))
     gate = [n.isNull() | ratio_at_least(v, n, threshold) for n in sides]
     options = []
@@ -67,7 +67,7 @@ def unit_drift(audit: DataFrame, as_of: date | str, threshold: int = 50) -> Data
     found = near.filter(gate[0] & gate[1]).withColumn("best", best).filter("best IS NOT NULL")
     severity = F.when(F.col("best.factor") == 100, "low").when(F.col("best.factor") == 1000, "medium").otherwise("high")
     both = F.col("previous_value").isNotNull() & F.col("next_value").isNotNull()
-    return found.select("record_id", "entity_id", F.col("best.factor").cast("long").alias("factor"), F.col("best.operation").alias("operation"), severity.alias("severity"), F.when(both, "strong").otherwise("suspicious").alias("confidence"))
+    return found.select(*scope, "record_id", "entity_id", F.col("best.factor").cast("long").alias("factor"), F.col("best.operation").alias("operation"), severity.alias("severity"), F.when(both, "strong").otherwise("suspicious").alias("confidence"))
 
 
 EXPECTED_KEY = ("entity_id", "concept_namespace", "concept", "unit", "period_type", "period_end", "source_name", "source_locator")
@@ -100,13 +100,16 @@ def with_support(absent: DataFrame, seen: DataFrame) -> DataFrame:
 DETECTORS = {"lookahead": lookahead, "unit_drift": unit_drift, "duplicate": exact_duplicates, "revision_overwrite": revision_overwrite}
 
 
-def run_detectors(audit: DataFrame, as_of: date | str, names: tuple[str, ...] = tuple(DETECTORS)) -> DataFrame:
-    """All findings of the named detectors in one schema: finding_id, detector, rule_id, affected, severity, confidence."""
+def run_detectors(audit: DataFrame, as_of: date | str, names: tuple[str, ...] = tuple(DETECTORS), scope: tuple[str, ...] = ()) -> DataFrame:
+    """All findings of the named detectors in one schema: finding_id, detector, rule_id, affected, severity, confidence.
+
+    scope: columns of `audit` that keep its rows apart (a case id: many audits in one plan); the findings carry them first.
+    """
     if unknown := set(names) - set(DETECTORS):
         raise ValueError(f"unknown detectors: {sorted(unknown)}")
     parts = []
     for name in names:
-        found = DETECTORS[name](audit, as_of)
+        found = DETECTORS[name](audit, as_of, scope=scope)
         affected = F.col("affected") if name == "duplicate" else F.col("record_id")
-        parts.append(found.select(stable_id("find", name, affected).alias("finding_id"), F.lit(name).alias("detector"), F.lit(RULES[name]).alias("rule_id"), affected.alias("affected"), "entity_id", "severity", "confidence"))
+        parts.append(found.select(*scope, stable_id("find", name, affected).alias("finding_id"), F.lit(name).alias("detector"), F.lit(RULES[name]).alias("rule_id"), affected.alias("affected"), "entity_id", "severity", "confidence"))
     return reduce(DataFrame.unionByName, parts)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factlens.operators.pit import snapshot, visible
+from factlens.operators.ranks import total_rank
 
 
 def states(**by_state: DataFrame) -> DataFrame:
@@ -52,13 +53,17 @@ def impact(figures: DataFrame) -> DataFrame:
 
 
 def growth_ranking(facts: DataFrame, prior: tuple[str, str], current: tuple[str, str], top: int | None = None) -> DataFrame:
-    """Growth of the sum of an entity between two ranges of period_end, ranked without ties by growth, then entity; a zero or absent prior is excluded."""
+    """Growth of the sum of an entity between two ranges of period_end, ranked without ties by growth, then entity; a zero or absent prior is excluded.
+
+    Without `top` every entity is ranked, range by range.
+    """
     role = F.when(F.col("period_end").between(*[F.lit(x).cast("date") for x in prior]), "prior").when(F.col("period_end").between(*[F.lit(x).cast("date") for x in current]), "current")
     sums = facts.withColumn("role", role).filter("role IS NOT NULL").groupBy("entity_id").agg(*[F.sum(F.when(F.col("role") == r, F.col("value"))).alias(r) for r in ("prior", "current")])
     growth = F.round((F.col("current") - F.col("prior")).cast("double") / F.abs(F.col("prior")).cast("double"), 9)
     rows = sums.filter("prior != 0 AND current IS NOT NULL").select("entity_id", growth.alias("growth"))
-    if top is not None:
-        rows = rows.orderBy(F.desc("growth"), "entity_id").limit(top)  # before the one-partition window
+    if top is None:
+        return total_rank(rows, ["-growth", "entity_id"]).withColumn("rank", F.col("rank") + 1)
+    rows = rows.orderBy(F.desc("growth"), "entity_id").limit(top)  # before the one-partition window
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("growth"), "entity_id")).cast("long"))
 
 

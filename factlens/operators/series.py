@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from factlens.functions.ratios import relative_size_at_least
 from factlens.operators.pit import visible, with_lineage
+from factlens.operators.ranks import total_rank
 from factlens.schema import FINGERPRINT
 
 SERIES_KEY = ("entity_id", "concept_namespace", "concept", "unit", "dimensions", "period_type", "period_length_days")
@@ -20,22 +21,22 @@ def period_length() -> Column:
     return F.datediff("period_end", "period_start") + 1
 
 
-def comparable_series(audit: DataFrame, as_of: date | str, least: int = 3) -> DataFrame:
+def comparable_series(audit: DataFrame, as_of: date | str, least: int = 3, scope: tuple[str, ...] = ()) -> DataFrame:
     """Visible rows of series of at least `least` rows; a series with a repeated coordinate goes as a whole.
 
-    One shuffle on the series key serves both windows and, after it, the neighbours.
+    One shuffle on the series key serves both windows and, after it, the neighbours. `scope`: columns that keep series apart, as case ids do.
     """
     rows = audit.filter(visible(as_of)).withColumns({"period_length_days": period_length(), "coordinate": F.struct("period_end", F.coalesce("period_start", "period_end").alias("start"))})
-    by_key, by_place = Window.partitionBy(*SERIES_KEY), Window.partitionBy(*SERIES_KEY).orderBy("coordinate")
+    by_key, by_place = Window.partitionBy(*scope, *SERIES_KEY), Window.partitionBy(*scope, *SERIES_KEY).orderBy("coordinate")
     # rank and row_number part where a coordinate repeats.
     marked = rows.withColumn("repeat", F.row_number().over(by_place) != F.rank().over(by_place))
     kept = marked.withColumns({"series_size": F.count("*").over(by_key), "bad": F.max("repeat").over(by_key)})
     return kept.filter((F.col("series_size") >= least) & ~F.col("bad")).drop("repeat", "bad")
 
 
-def nearest_nonzero(series: DataFrame) -> DataFrame:
+def nearest_nonzero(series: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """previous_value, next_value: the nearest values other than zero on both sides; rows of value zero or without a neighbour go."""
-    w = Window.partitionBy(*SERIES_KEY).orderBy("coordinate", "record_id")
+    w = Window.partitionBy(*scope, *SERIES_KEY).orderBy("coordinate", "record_id")
     value = F.when(F.col("value") != 0, F.col("value"))
     near = series.withColumns({
         "previous_value": F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
@@ -44,9 +45,9 @@ def nearest_nonzero(series: DataFrame) -> DataFrame:
     return near.filter("value != 0 AND (previous_value IS NOT NULL OR next_value IS NOT NULL)")
 
 
-def duplicate_groups(audit: DataFrame, as_of: date | str) -> DataFrame:
+def duplicate_groups(audit: DataFrame, as_of: date | str, scope: tuple[str, ...] = ()) -> DataFrame:
     """Groups of visible rows of equal fingerprint: record_ids sorted, members."""
-    return audit.filter(visible(as_of)).groupBy(*FINGERPRINT).agg(F.array_sort(F.collect_list("record_id")).alias("record_ids"), F.count("*").alias("members"))
+    return audit.filter(visible(as_of)).groupBy(*scope, *FINGERPRINT).agg(F.array_sort(F.collect_list("record_id")).alias("record_ids"), F.count("*").alias("members"))
 
 
 def adjacent_revisions(facts: DataFrame, as_of: date | str, percent: int) -> DataFrame:
@@ -98,6 +99,6 @@ def select_targets(eligible: DataFrame, unit: str, namespace: str, seed: int, fr
 
 
 def entity_partitions(audit: DataFrame, partitions: int) -> DataFrame:
-    """(entity_id, partition): round robin by the rank of the entity's SHA-256. Ranks need one order over the distinct entities."""
+    """(entity_id, partition): round robin by the rank of the entity's SHA-256, ranked range by range."""
     ids = audit.select("entity_id").distinct().withColumn("h", F.sha2("entity_id", 256))
-    return ids.select("entity_id", ((F.row_number().over(Window.orderBy("h")) - 1) % partitions).cast("long").alias("partition"))
+    return total_rank(ids, ["h", "entity_id"]).select("entity_id", (F.col("rank") % partitions).cast("long").alias("partition"))

@@ -37,6 +37,13 @@ def expand(spark: SparkSession, profiles=PROFILES, severities=SEVERITIES, seeds=
 COUNTERS = ("findings", "faults", "true_positives", "false_positives", "eligible")
 
 
+def controls(spark: SparkSession, profiles=PROFILES, severity: str = "medium", seed: int = 0) -> DataFrame:
+    """A clean control for every profile: nothing is injected, and its denominator is what faults of the severity could take."""
+    rows = [(p, severity, seed, seed_class(seed), "clean_control") for p in sorted(profiles)]
+    cases = spark.createDataFrame(rows, "fault_profile string, severity string, seed int, seed_class string, kind string")
+    return cases.select(stable_id("control", F.col("fault_profile"), F.col("severity"), F.col("seed").cast("string")).alias("case_id"), "*")
+
+
 def aggregate(results: DataFrame, dims: tuple[str, ...] = ("fault_profile", "severity", "seed_class", "seed"), nulls: str = "strict") -> DataFrame:
     """Overall and by each dimension, in one pass of grouping sets: sums of counters, then ratios.
 

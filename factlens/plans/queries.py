@@ -669,3 +669,7 @@ MECHANISMS = ("random", "periodic_gap", "entity_dependent", "concept_dependent",
 def score_missing(spark, d):
     """All six mechanisms over the whole table; a copy that stays behind hides a removed row, which is then missed."""
     return score.missing_evaluation(_facts(spark, d), AS_OF, MECHANISMS, "low", SEED, 1_000_000)
+
+
+# These modules register more queries when they are imported.
+from factlens.plans import queries_grid  # noqa: E402, F401

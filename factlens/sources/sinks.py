@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 PRIVATE = ("original_record_id", "injected_record_id", "target_rank", "original_value", "original_available_on")
 
 
+#: Work folders that this driver named.
+WORK: list[str] = []
+
+
 class ArtifactConflict(ValueError):
     """Another content is already stored under the name."""
 
@@ -28,7 +32,17 @@ def work_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp()}"
-    return f"{root.rstrip('/')}/audit-{uuid.uuid4().hex[:12]}"
+    WORK.append(f"{root.rstrip('/')}/audit-{uuid.uuid4().hex[:12]}")
+    return WORK[-1]
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Removes all work folders of this driver, once the results that read them are written; how many there were."""
+    n = len(WORK)
+    while WORK:
+        target = spark._jvm.org.apache.hadoop.fs.Path(WORK.pop())
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return n
 
 
 def store_text(spark: SparkSession, path: str, text: str) -> bool:

@@ -293,3 +293,105 @@ def test_policy_rules_are_checked(spark):
     with pytest.raises(policy.AmbiguousException):
         policy.require_clear(policy.resolve_exceptions(results, policy.exceptions_table(spark, rows)))
     assert policy.require_clear(policy.resolve_exceptions(results, policy.exceptions_table(spark, rows[:1]))).count() == 1
+
+
+def single_case(facts, history, family, severity, seed, as_of):
+    """One case by the operators that work on one case."""
+    from factlens.operators import series as S
+
+    level = inject.SEVERITIES.index(severity)
+    if family == "revision_overwrite":
+        clean = pit.snapshot(history, as_of).drop("lineage_id", "seq")
+        corrupted, manifest = inject.inject_revision_overwrite(clean, history, as_of, severity, seed)
+        n = S.adjacent_revisions(history, as_of, inject.MINIMUM_SIZE[level]).count()
+    else:
+        clean = facts
+        corrupted, manifest = {"lookahead": inject.inject_lookahead, "unit_drift": inject.inject_unit_drift, "duplicate": inject.inject_duplicate}[family](facts, as_of, severity, seed)
+        n = {"lookahead": lambda: inject.eligible_lookahead(facts, as_of, severity), "unit_drift": lambda: inject.eligible_unit_drift(facts, as_of), "duplicate": lambda: inject.eligible_duplicate(facts, as_of)}[family]().count()
+    found = detect.run_detectors(pit.sanitize(corrupted), as_of)
+    key = "affected" if family == "duplicate" else "injected_record_id"
+    own = found.filter(F.col("detector") == family)
+    if family == "unit_drift":
+        own = own.filter(F.col("severity") == severity)
+    hits = own.join(manifest, own["affected"] == manifest[key], "left_semi").count()
+    return found.count(), manifest.count(), hits, n - (manifest.count() if family == "lookahead" else 0), {r.original_record_id for r in manifest.collect()}
+
+
+@pytest.mark.parametrize(("family", "severity", "seed"), [("lookahead", "high", 1), ("unit_drift", "medium", 0), ("duplicate", "low", 7), ("revision_overwrite", "high", 4)])
+def test_a_dispatched_case_is_the_single_case(spark, family, severity, seed):
+    from factlens.operators import dispatch
+    from factlens.plans import benchmark
+    from factlens.sources import testdata
+
+    d, as_of = "/root/testdata/sf0.001", "1999-01-01"
+    facts, history = testdata.facts_orders(spark, d), testdata.lineages_lineitem(spark, d)
+    cases = benchmark.expand(spark, (family,), (severity,), (seed, seed + 1)).filter("kind = 'fault'")
+    got = dispatch.dispatch(spark, cases, facts, history, as_of)
+    row = got.results.filter(F.col("seed") == seed).first()
+    want = single_case(facts, history, family, severity, seed, as_of)
+    assert (row.findings, row.faults, row.true_positives, row.eligible) == want[:4] and row.changed and row.restored and row.status == "ok"
+    targets = got.manifest.filter(F.col("case_id") == row.case_id).orderBy("target_rank").collect()
+    assert {r.record_id for r in targets} == want[4] and [r.target_rank for r in targets] == list(range(len(targets)))
+    assert got.findings.filter(F.col("case_id") == row.case_id).count() == row.findings
+
+
+def test_dispatch_edges(spark):
+    """Without an eligible row a case has no target and is audited as it is; no case, no result; a family must be known."""
+    from factlens.operators import dispatch
+    from factlens.plans import benchmark
+    from factlens.sources import testdata
+
+    d, as_of = "/root/testdata/sf0.001", "1999-01-01"
+    facts, history = testdata.facts_orders(spark, d).limit(0), testdata.lineages_lineitem(spark, d).limit(0)
+    cases = benchmark.expand(spark, seeds=(0,)).filter("kind = 'fault'").unionByName(benchmark.controls(spark))
+    rows = dispatch.dispatch(spark, cases, facts, history, as_of).results.collect()
+    assert len(rows) == 16 and {(r.kind, r.status) for r in rows} == {("fault", "no_target"), ("clean_control", "ok")}
+    assert {(r.findings, r.faults, r.eligible, r.changed, r.restored) for r in rows} == {(0, 0, 0, None, None)}
+    assert dispatch.dispatch(spark, cases.limit(0), facts, history, as_of).results.count() == 0
+    with pytest.raises(dispatch.UnknownFamily):
+        dispatch.dispatch(spark, cases.withColumn("fault_profile", F.lit("other")), facts, history, as_of)
+
+
+def test_jobs_do_not_grow_with_the_cases(spark):
+    from factlens.operators import dispatch
+    from factlens.plans import benchmark
+    from factlens.sources import testdata
+
+    d, tracker, jobs = "/root/testdata/sf0.001", spark.sparkContext.statusTracker(), []
+    facts, history = testdata.facts_orders(spark, d), testdata.lineages_lineitem(spark, d)
+    for k, seeds in enumerate(((0,), range(10))):
+        spark.sparkContext.setJobGroup(f"grid-{k}", "a grid")
+        dispatch.dispatch(spark, benchmark.expand(spark, seeds=seeds).filter("kind = 'fault'"), facts, history, "1999-01-01")
+        jobs.append(len(tracker.getJobIdsForGroup(f"grid-{k}")))
+    spark.sparkContext.setJobGroup("rest", "")
+    assert abs(jobs[1] - jobs[0]) <= 6  # adaptive plans may split a stage; the cases are ten times as many
+
+
+def test_first_of_groups_has_its_own_count_for_each_group(spark):
+    from factlens.operators import ranks
+
+    rng = __import__("random").Random(3)
+    rows = [(g, i, f"{rng.randrange(16**6):06x}" if g != "ties" else "00abc1", w) for g, w, n in (("a", 5, 40), ("b", 1, 3), ("ties", 4, 9), ("all", 99, 6), ("none", 0, 6), ("null", None, 6)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i int, h string, w int").repartition(3)
+    for digits in (1, 3):
+        got = sorted((r.g, r.target_rank, r.i) for r in ranks.first_of_groups(df, ["g"], "h", "i", "w", digits=digits).collect())
+        want = [(g, k, i) for g in sorted({r[0] for r in rows}) for k, (_, i, w) in enumerate(sorted((h, i, w) for x, i, h, w in rows if x == g)) if w is not None and k < w]
+        assert got == want
+
+
+def test_total_rank_and_sorted_sink(spark, tmp_path):
+    from factlens.operators import ranks
+
+    rng = __import__("random").Random(5)
+    rows = [(rng.choice([None, *range(20)]), i, rng.random()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b int, c double").repartition(5)
+    got = ranks.total_rank(df, ["-a", "b"], "place", partitions=7)
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert [tuple(r)[:3] for r in got.orderBy("place").collect()] == want and [r.place for r in got.select("place").orderBy("place").collect()] == list(range(3000))
+    assert ranks.total_rank(df.limit(0), ["a"]).count() == 0
+    ranks.write_sorted(df, f"file://{tmp_path}/sorted", ["-a", "b"], partitions=6)
+    files = sorted(p for p in (tmp_path / "sorted").iterdir() if p.suffix == ".parquet")
+    assert len(files) > 3
+    import pyarrow.parquet as pq
+
+    assert [tuple(r.values()) for f in files for r in pq.read_table(f).to_pylist()] == want
