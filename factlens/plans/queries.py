@@ -672,4 +672,4 @@ def score_missing(spark, d):
 
 
 # These modules register more queries when they are imported.
-from factlens.plans import queries_grid  # noqa: E402, F401
+from factlens.plans import queries_audit, queries_grid  # noqa: E402, F401

@@ -186,7 +186,7 @@ def test_mapping(spark, tmp_path):
     raw = mapping.read_csv(spark, str(tmp_path / "x.csv"), header)
     good, bad = mapping.normalize(raw, m)
     assert good.schema.names == FACT.names and good.count() == 2 and fact_errors(good).count() == 0
-    assert sorted((r.source_row_key, r.error_code) for r in bad.collect()) == [("r1", "normalization.duplicate_source"), ("r2", "normalization.invalid_date"), ("r3", "normalization.invalid_decimal"), ("r5", "normalization.invalid_revision")]
+    assert sorted((r.source_row_key, r.error_code) for r in bad.collect()) == [("r1", "normalization.duplicate_source_identity"), ("r2", "normalization.invalid_date"), ("r3", "normalization.invalid_decimal"), ("r5", "normalization.invalid_revision")]
     with pytest.raises(mapping.InvalidDataset):
         mapping.load(raw, m)
     with pytest.raises(mapping.MappingError):
