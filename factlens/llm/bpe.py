@@ -23,7 +23,9 @@ from factlens.llm import common as C
 from factlens.llm.tokens import PLAIN, SPLIT, default_path
 
 #: What a Python worker remembers: nodes of its trie, words with their ids, pairs of tokens.
-NODES, WORDS, PAIRS = 600_000, 400_000, 500_000
+NODES, WORDS, PAIRS = 300_000, 350_000, 300_000
+#: Last tokens are remembered by so many last bytes, if no longer end of the word matters.
+TAIL = 6
 #: Longer pieces are encoded alone, without nodes of the trie.
 LONG = 256
 #: Packs so many ids.
@@ -57,7 +59,7 @@ class Bpe:
         with open(path) as f:
             spec = json.load(f)
         model, self.path = spec["model"], path
-        self.spec, suffix, vocab = spec, model.get("end_of_word_suffix") or "", model["vocab"]
+        suffix, vocab = model.get("end_of_word_suffix") or "", model["vocab"]
         if model.get("dropout") or model.get("continuing_subword_prefix") or model.get("byte_fallback") or model.get("ignore_merges"):
             raise ValueError("a BPE model of another kind")
         #: Tokens inside a word and at its end, by their bytes. Without word ends both are the same.
@@ -88,18 +90,22 @@ class Bpe:
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.words: dict[bytes, bytes] = {}
+        self.ends: dict[bytes, list | None] = {}
         self._clear_trie()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or ()}
         if any(t.get(k) for t in spec.get("added_tokens") or () for k in ("single_word", "lstrip", "rstrip", "normalized")) or any(regex.search(r"\s", t) for t in self.special):
             raise ValueError("added tokens of another kind")
-        self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
+        self.marked = [t.encode() for t in self.special]
+        pre, normal = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+        first = (pre.get("pretokenizers") or [{}])[0]
+        #: Whether the fast way to split words is that of this file: lower case, and the one pattern.
+        self.plain = any(n.get("type") == "Lowercase" for n in normal.get("normalizers") or ()) and first.get("pattern") == {"Regex": SPLIT.pattern} and first.get("invert") is True
 
     def _clear_trie(self) -> None:
         self.child: dict[int, int] = {}
         #: Of each node: its last token, the node before that token, the state of the automaton.
         self.last, self.back, self.at = [-1], [0], [0]
-        self.pieces: dict[bytes, bytes] = {}
 
     # Tokens side by side ---------------------------------------------------------------------------
 
@@ -162,13 +168,24 @@ class Bpe:
                 return t, n
         raise ValueError("no token ends a word")
 
-    def insert(self, pieces: list[bytes]) -> None:
-        """Encodes distinct pieces, sorted, along the trie."""
-        last, back, at, step = self.last, self.back, self.at, self._step
-        child, moves = self.child, self.moves
+    def _last(self, p: bytes) -> list[tuple[int, int]]:
+        """(token, its length) of all last tokens that the word could end in, the longest first."""
+        end = p[-TAIL:]
+        if (known := self.ends.get(end)) is None:
+            if len(self.ends) >= PAIRS:
+                self.ends.clear()
+            # Where these bytes are an end of a token, longer tokens may end the word too.
+            known = self.ends[end] = None if len(end) == TAIL and end in self.tails else _ending(self.tails, end, len(end))
+        return known if known is not None else _ending(self.tails, p, len(p))
+
+    def insert(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of distinct pieces, which are encoded along the trie in sorted order."""
+        last, back, at, step, ends = self.last, self.back, self.at, self._step, self.ends
+        child, moves, pairs, out = self.child, self.moves, self.pairs, {}
         for p in sorted(pieces):
-            if len(p) > LONG:
-                self.pieces[p] = self._alone(p)
+            size = len(p)
+            if size > LONG:
+                out[p] = self._alone(p)
                 continue
             node, line, before = 0, [0], [-1]
             for i, byte in enumerate(p[:-1], 1):
@@ -178,20 +195,28 @@ class Bpe:
                 else:
                     move = at[node] << 8 | byte
                     state = moves[move] if move in moves else self._state(at[node], byte)
-                    t, n = step(self.ending[state], before, i)
+                    for t, n in self.ending[state]:
+                        fit = pairs.get(before[i - n] << 20 | t)
+                        if fit or fit is None and self.fits(before[i - n], t):
+                            break
                     node = child[key] = len(last)
                     last.append(t)
                     back.append(line[i - n])
                     at.append(state)
                 line.append(node)
                 before.append(last[node])
-            t, n = step(_ending(self.tails, p, len(p)), before, len(p))
-            node, ids = line[-n], [t]
+            t, n = step(ends.get(p[-TAIL:]) or self._last(p), before, size)
+            node = line[-n]
+            if not node:
+                out[p] = PACK[1](t)
+                continue
+            ids = [t]
             while node:
                 ids.append(last[node])
                 node = back[node]
             ids.reverse()
-            self.pieces[p] = PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}i", *ids)
+            out[p] = PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}i", *ids)
+        return out
 
     def _alone(self, p: bytes) -> bytes:
         before, size, state = [-1], [0], 0
@@ -200,7 +225,7 @@ class Bpe:
             t, n = self._step(self.ending[state], before, i)
             before.append(t)
             size.append(n)
-        t, n = self._step(_ending(self.tails, p, len(p)), before, len(p))
+        t, n = self._step(self._last(p), before, len(p))
         ids, at = [t], len(p) - n
         while at:
             ids.append(before[at])
@@ -213,28 +238,30 @@ class Bpe:
 
         return Tokenizer.from_file(self.path)
 
-    @cached_property
-    def plain(self) -> bool:
-        """Whether the fast way to split words is that of this file: lower case, and the one pattern."""
-        pre = (self.spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        lower = any(n.get("type") == "Lowercase" for n in (self.spec.get("normalizer") or {}).get("normalizers") or ())
-        return lower and pre[0].get("pattern") == {"Regex": SPLIT.pattern} and pre[0].get("invert") is True
-
     def split(self, text: str) -> list[bytes]:
         """The pieces that are encoded apart, of text without special tokens: normalized and split as the file says."""
-        if self.plain and (text.isascii() and text.isalpha() or PLAIN.fullmatch(text)):
-            low = text.lower()
-            return [low.encode()] if low.isalpha() else [p.encode() for p in SPLIT.findall(low)]
+        if self.plain:
+            if text.isascii():
+                if text.isalpha():
+                    return [text.lower().encode()]
+                if text[-1] in ".,;:!?" and text[:-1].isalpha():
+                    low = text.lower().encode()
+                    return [low[:-1], low[-1:]]
+            if PLAIN.fullmatch(text):
+                low = text.lower()
+                return [low.encode()] if low.isalpha() else [p.encode() for p in SPLIT.findall(low)]
         if self.library.normalizer is not None:
             text = self.library.normalizer.normalize_str(text)
         return [bytes(map(BYTES.__getitem__, p)) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def _parts_of(self, word: bytes) -> list:
         """Pieces (bytes) and ids of special tokens (int) of one word."""
-        text = word.decode()
-        if self.marks is None or not self.marks.search(text):
-            return self.split(text)
-        out, at = [], 0
+        for t in self.marked:
+            if t in word:
+                break
+        else:
+            return self.split(word.decode())
+        text, out, at = word.decode(), [], 0
         for m in self.marks.finditer(text):
             out += [*(self.split(text[at : m.start()]) if m.start() > at else ()), self.special[m[0]]]
             at = m.end()
@@ -245,33 +272,50 @@ class Bpe:
 
         Words end at ASCII white space, across which nothing is normalized, split or merged together.
         """
+        out, words = [], self.words
         rows = [t.split() if t else [] for t in texts]
-        if len(self.words) > WORDS:
-            self.words.clear()
-        new = {w: self._parts_of(w) for w in {w for r in rows for w in r}.difference(self.words)}
-        if len(self.last) > NODES or len(self.pieces) > WORDS:
+        here = set().union(*rows)
+        new = here.difference(words)
+        if len(words) + len(new) > WORDS:
+            # Words that came back are kept; most others never do.
+            words = self.words = {w: words[w] for w in here if w in words}
+        parts = {w: self._parts_of(w) for w in new}
+        if len(self.last) > NODES:
             self._clear_trie()
-        self.insert(list({p for parts in new.values() for p in parts if isinstance(p, bytes)}.difference(self.pieces)))
-        for w, parts in new.items():
-            self.words[w] = b"".join(self.pieces[p] if isinstance(p, bytes) else np.array([p], "<i4").tobytes() for p in parts)
-        return [b"".join(map(self.words.__getitem__, r)) for r in rows]
+        ids = self.insert(list({p for ps in parts.values() for p in ps if type(p) is bytes}))
+        for w, ps in parts.items():
+            words[w] = ids[ps[0]] if len(ps) == 1 and type(ps[0]) is bytes else b"".join([ids[p] if type(p) is bytes else PACK[1](p) for p in ps])
+        for r in rows:
+            out.append(b"".join(map(words.__getitem__, r)))
+        return out
 
-    @cached_property
-    def table(self) -> list[bytes | None]:
-        """What each id adds to a decoded text: its name, or its bytes where the file has a byte-level decoder."""
-        kind = (self.spec.get("decoder") or {}).get("type")
+
+class Names:
+    """What decoding needs of a file: the name of every id."""
+
+    def __init__(self, path: str):
+        with open(path) as f:
+            spec = json.load(f)
+        kind = (spec.get("decoder") or {}).get("type")
         if kind not in (None, "ByteLevel"):
             raise ValueError(f"decoder {kind}")
-        out: list[bytes | None] = [None] * (max(self.names) + 1)
-        for i, t in self.names.items():
-            out[i] = bytes(map(BYTES.__getitem__, t)) if kind and all(c in BYTES for c in t) else t.encode()
-        return out
+        names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec.get("added_tokens") or ()}
+        #: What each id adds to a text: its name, or its bytes where the file has a byte-level decoder.
+        self.table: list[bytes | None] = [None] * (max(names) + 1)
+        for i, t in names.items():
+            self.table[i] = bytes(map(BYTES.__getitem__, t)) if kind and all(c in BYTES for c in t) else t.encode()
+        self.between = b"" if kind else b" "
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; unknown ones, or null, add nothing. Without a decoder names are joined by spaces, as the library does."""
         table, top = self.table, len(self.table)
-        found = [t for i in ids if i is not None and 0 <= i < top and (t := table[i]) is not None]
-        return (b"" if self.spec.get("decoder") else b" ").join(found).decode("utf-8", "replace")
+        try:
+            found = [table[i] for i in ids]
+            if None in found or ids and min(ids) < 0:
+                raise TypeError
+        except (TypeError, IndexError):
+            found = [t for i in ids if i is not None and 0 <= i < top and (t := table[i]) is not None]
+        return self.between.join(found).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -279,6 +323,11 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
+@lru_cache(maxsize=2)
+def names(path: str) -> Names:
+    return Names(path)
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """`docs` (text, and any other columns) with `ids` array<int> added (replaced if there): the tokenizer's ids of the whole text.
 
@@ -310,7 +359,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids") -> DataFram
     boxed = df.select(F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{ids}`").alias("ids"))
 
     def run(batches):
-        model = bpe(path)
+        model = names(path)
         for batch in batches:
             texts = [None if x is None else model.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "decoded"])
