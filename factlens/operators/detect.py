@@ -100,16 +100,17 @@ def with_support(absent: DataFrame, seen: DataFrame) -> DataFrame:
 DETECTORS = {"lookahead": lookahead, "unit_drift": unit_drift, "duplicate": exact_duplicates, "revision_overwrite": revision_overwrite}
 
 
-def run_detectors(audit: DataFrame, as_of: date | str, names: tuple[str, ...] = tuple(DETECTORS), scope: tuple[str, ...] = ()) -> DataFrame:
+def run_detectors(audit: DataFrame, as_of: date | str, names: tuple[str, ...] = tuple(DETECTORS), scope: tuple[str, ...] = (), options: dict[str, dict] | None = None) -> DataFrame:
     """All findings of the named detectors in one schema: finding_id, detector, rule_id, affected, severity, confidence.
 
-    scope: columns of `audit` that keep its rows apart (a case id: many audits in one plan); the findings carry them first.
+    scope: columns of `audit` that keep its rows apart (a case id: many audits in one plan); the findings carry them first. options:
+    further arguments of a detector, by its name.
     """
     if unknown := set(names) - set(DETECTORS):
         raise ValueError(f"unknown detectors: {sorted(unknown)}")
     parts = []
     for name in names:
-        found = DETECTORS[name](audit, as_of, scope=scope)
+        found = DETECTORS[name](audit, as_of, scope=scope, **(options or {}).get(name, {}))
         affected = F.col("affected") if name == "duplicate" else F.col("record_id")
         parts.append(found.select(*scope, stable_id("find", name, affected).alias("finding_id"), F.lit(name).alias("detector"), F.lit(RULES[name]).alias("rule_id"), affected.alias("affected"), "entity_id", "severity", "confidence"))
     return reduce(DataFrame.unionByName, parts)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlens.plans.queries import CUSTOMER_MAPPING, _external, query
-from factlens.sources import mapping
+from factlens.operators import policy
+from factlens.plans import report
+from factlens.plans.queries import AS_OF, CUSTOMER_MAPPING, DRIFT_SQL, FACTS, LOOK_SQL, OVER_SQL, SEEN, _external, query
+from factlens.sources import mapping, testdata
 
 MOST = 25
 #: What is wrong with the rows of _external, and their number in the input, which is that of the sorted keys.
@@ -30,3 +33,67 @@ def source_footers(spark, d):
     """Physical types of two columns, from the footers of the table's files."""
     found = mapping.parquet_footers(spark, f"{d}/orders.parquet")
     return found.filter(F.col("column").isin("o_orderkey", "o_totalprice")).select("column", "physical").distinct()
+
+
+REPORT_MAPPING = mapping.Mapping(
+    columns={"entity_id": "entity", "value": "amount", "period_end": "ended", "filed_on": "filed", "available_on": "known", "accession_number": "filing", "form": "form", "source_row_key": "row"},
+    constants={"concept_namespace": "orders", "concept": "TotalPrice", "unit": "USD", "period_type": "instant", "source_name": "orders", "source_locator": "testdata/orders"},
+)
+SCOPE = policy.Scope("orders", "TotalPrice")
+REPORT_POLICY = report.Policy(
+    rules=(
+        policy.DetectorRule("d1", "lookahead"), policy.DetectorRule("d2", "unit_drift", action="warning", threshold=20), policy.DetectorRule("d3", "duplicate", enabled=False, reason="rows are unique in the source"),
+        policy.DetectorRule("d4", "revision_overwrite", action="informational"), policy.ConceptUnit("u1", SCOPE, ("USD",)), policy.PublicationLag("l1", SCOPE, "availability", 7, 40), policy.PublicationLag("l2", policy.Scope("orders", "Nothing"), "filing", 0, 1), policy.ReportingFrequency("f1", SCOPE, 365, "informational"),
+    ),
+    exceptions=(
+        {"exception_id": "x1", "rule_id": "l1", "concept": "TotalPrice", "effect": "override_action", "override": "informational", "reason": "known calendar"},
+        {"exception_id": "x2", "rule_id": "l1", "concept": "TotalPrice", "entity_id": "C7", "effect": "waive", "reason": "agreed"},
+        {"exception_id": "x3", "rule_id": "d1", "entity_id": "C10", "effect": "waive", "reason": "under review"},
+        {"exception_id": "x4", "rule_id": "f1", "unit": "USD", "effect": "override_action", "override": "warning", "reason": "annual reports"},
+        {"exception_id": "x5", "rule_id": "f1", "unit": "USD", "dataset_name": "another", "effect": "waive", "reason": "not of this dataset"},
+    ),
+    dataset_name="orders",
+)
+
+
+def _raw(spark, d) -> DataFrame:
+    """The order facts as text rows of an external table, each source row once."""
+    rows = testdata.facts_orders(spark, d).dropDuplicates(["source_row_key"])
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return rows.select(F.col("entity_id").alias("entity"), F.col("value").cast("string").alias("amount"), day("period_end").alias("ended"), day("filed_on").alias("filed"), day("available_on").alias("known"), F.col("accession_number").alias("filing"), "form", F.col("source_row_key").alias("row"))
+
+
+DRIFT20 = DRIFT_SQL.replace("50 *", "20 *").replace("FROM facts", "FROM nf")
+REPORT_SQL = FACTS + f""", src AS (SELECT DISTINCT * EXCLUDE (record_id) FROM facts), nf AS (SELECT 'rec_' || left(sha256('orders|testdata/orders|' || source_row_key), 16) AS record_id, * FROM src WHERE {SEEN}),
+{DRIFT20}, gaps AS (SELECT *, lag(period_end) OVER w AS before, lag(ids) OVER w AS b FROM (SELECT entity_id, period_end, list(record_id) AS ids FROM nf GROUP BY ALL) WINDOW w AS (PARTITION BY entity_id ORDER BY period_end)),
+rs AS (SELECT 'd1' AS rule_id, record_id AS affected, entity_id, CASE WHEN entity_id = 'C10' THEN NULL ELSE 'blocking' END AS effective FROM ({LOOK_SQL.replace("FROM facts", "FROM nf")})
+  UNION ALL SELECT 'd2', record_id, entity_id, 'warning' FROM drift WHERE r = 1
+  UNION ALL SELECT 'd4', record_id, entity_id, 'informational' FROM ({OVER_SQL.replace("FROM facts", "FROM nf")})
+  UNION ALL SELECT 'l1', record_id, entity_id, CASE WHEN entity_id = 'C7' THEN NULL ELSE 'informational' END FROM nf WHERE NOT (available_on - period_end BETWEEN 7 AND 40)
+  UNION ALL SELECT 'f1', array_to_string(list_sort(list_concat(b, ids)), '|'), entity_id, 'warning' FROM gaps WHERE period_end - before > 365),
+c AS (SELECT count(*) FILTER (WHERE effective = 'blocking') AS blocking, count(*) FILTER (WHERE effective = 'warning') AS warning, count(*) FILTER (WHERE effective = 'informational') AS informational, count(*) FILTER (WHERE effective IS NULL) AS waived FROM rs)
+"""
+
+
+def _report(spark, d) -> report.Report:
+    return report.audit_report(_raw(spark, d), REPORT_MAPPING, REPORT_POLICY, AS_OF)
+
+
+@query(REPORT_SQL + "SELECT (SELECT count(*) FROM src) AS source_records, (SELECT count(*) FROM nf) AS snapshot_records, (SELECT count(*) FROM rs WHERE rule_id IN ('d1', 'd2', 'd4')) AS findings, c.*, CASE WHEN blocking > 0 THEN 'blocking' WHEN warning > 0 THEN 'warning' WHEN informational > 0 THEN 'informational' ELSE 'passed' END AS disposition FROM c")
+def policy_report(spark, d):
+    """An external table from its rows to the disposition of a policy with all kinds of rules."""
+    return _report(spark, d).summary
+
+
+@query(REPORT_SQL + "SELECT rule_id, affected, entity_id, effective AS effective_action FROM rs")
+def policy_report_results(spark, d):
+    """Every result of the policy with its effective action."""
+    return _report(spark, d).results.select("rule_id", "affected", "entity_id", "effective_action")
+
+
+@query(REPORT_SQL + """, rules(rule_id, action) AS (VALUES ('d1', 'blocking'), ('d2', 'warning'), ('d3', 'blocking'), ('d4', 'informational'), ('u1', 'blocking'), ('l1', 'warning'), ('l2', 'warning'), ('f1', 'informational')), n AS (SELECT count(*) AS n FROM nf)
+SELECT rule_id, action, CASE rule_id WHEN 'd3' THEN 'disabled' WHEN 'l2' THEN 'not_evaluated' ELSE 'evaluated' END AS status, CASE rule_id WHEN 'd3' THEN 'rows are unique in the source' WHEN 'l2' THEN 'no_matching_records' END AS reason, CASE WHEN rule_id IN ('d3', 'l2') THEN 0 ELSE n END AS matching, coalesce(results, 0) AS results, coalesce(waived, 0) AS waived
+FROM rules CROSS JOIN n LEFT JOIN (SELECT rule_id, count(*) AS results, count(*) FILTER (WHERE effective IS NULL) AS waived FROM rs GROUP BY rule_id) USING (rule_id)""")
+def policy_evaluations(spark, d):
+    """A row for each rule of the policy: whether it was evaluated, on how many records, with how many results."""
+    return _report(spark, d).evaluations

@@ -40,6 +40,11 @@ class Mapping:
     period_labels: dict[str, str] = field(default_factory=lambda: {"instant": "instant", "duration": "duration"})
     dimensions: dict[str, str] = field(default_factory=dict)
     reject_unmapped: bool = False
+    #: Whether the source says that data were available when they were filed. Without it, and without a column, that is an assumption.
+    available_when_filed: bool = False
+
+    def availability(self) -> str:
+        return "column" if "available_on" in self.columns else "filing" if self.available_when_filed else "assumed"
 
     def check(self, names: list[str]) -> None:
         used = {*self.columns.values(), *self.dimensions.values()}
@@ -126,7 +131,8 @@ def _marked(raw: DataFrame, m: Mapping) -> DataFrame:
     typed = {"record_id": stable_id("rec", F.col("source_name"), F.col("source_locator"), F.col("row_key")), "value": number, "dimensions": dims, "period_type": label, "available_on": F.coalesce(day["available_on"], day["filed_on"]), "source_row_key": F.col("row_key")} | {n: day[n] for n in ("period_start", "period_end", "filed_on")}
     shown = F.when(F.col("problem").isNull(), F.col("row_key")).otherwise(F.col("source_row_key"))
     typed["source_row_key"] = shown
-    return marked.select(*[typed.get(f.name, F.col(f.name)).alias(f.name) for f in FACT], "problem", *PLACE)
+    origin = {"available_on": {"metadata": {"availability": m.availability()}}}
+    return marked.select(*[typed.get(f.name, F.col(f.name)).alias(f.name, **origin.get(f.name, {})) for f in FACT], "problem", *PLACE)
 
 
 class InvalidDataset(ValueError):

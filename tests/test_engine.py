@@ -118,7 +118,7 @@ def test_equally_specific_exceptions_are_ambiguous(spark):
     audit = pit.sanitize(facts(spark, fact(1)))
     rule = policy.PublicationLag("r", policy.Scope("n", "c"), "filing", 0, 1)
     rows = [{"exception_id": x, "rule_id": "r", "effect": "waive", "reason": "z"} | s for x, s in (("a", {"entity_id": "E1"}), ("b", {"unit": "USD"}))]
-    got = policy.resolve_exceptions(policy.publication_lag(audit, rule), policy.exceptions_table(spark, rows)).collect()
+    got = policy.resolve_exceptions(policy.publication_lag(audit, rule), policy.exceptions_table(spark, rows), strict=False).collect()
     assert [(r.ambiguous, r.effective_action) for r in got] == [(True, None)]
 
 
@@ -291,7 +291,7 @@ def test_policy_rules_are_checked(spark):
     rows = [{"exception_id": x, "rule_id": "r", "effect": "waive", "reason": "z"} | s for x, s in (("a", {"entity_id": "E1"}), ("b", {"unit": "USD"}))]
     results = policy.publication_lag(audit, rule)
     with pytest.raises(policy.AmbiguousException):
-        policy.require_clear(policy.resolve_exceptions(results, policy.exceptions_table(spark, rows)))
+        policy.require_clear(policy.resolve_exceptions(results, policy.exceptions_table(spark, rows), strict=False))
     assert policy.require_clear(policy.resolve_exceptions(results, policy.exceptions_table(spark, rows[:1]))).count() == 1
 
 
