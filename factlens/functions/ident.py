@@ -32,3 +32,14 @@ def snapshot_digest(df: DataFrame, columns: list[str], buckets: int = 256) -> Da
     sums = rows.withColumn("b", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("b").agg(*[F.sum(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(8)], F.count("*").alias("n"))
     each = F.concat_ws(":", "b", "n", *[f"s{i}" for i in range(8)])
     return sums.agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(each))), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+
+
+def row_digest(columns: list[str]) -> Column:
+    """SHA-256 of a row's named columns, nulls kept, whatever their order."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def digest_of_rows(digest: Column) -> Column:
+    """One text that stands for a multiset of row digests, in any order and in one aggregation: their number and the sums of their 64-bit quarters."""
+    quarters = [F.sum(F.conv(F.substring(digest, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    return F.sha2(F.concat_ws("|", F.count("*").cast("string"), *quarters), 256)

@@ -613,16 +613,23 @@ for _name, _changed in (("audit_rerun_unchanged", None), ("audit_rerun_one_chang
 
 
 def _revalidate(family: str):
-    """A manifest with changed, absent and foreign entries, picked by the first digit of the id, modulo 5, against one derived anew."""
+    """A stored manifest with changed, absent and foreign entries, picked by the first digit of the id, modulo 5, against facts, severity and seed."""
+    severity, more = ("low", {}) if family == "lookahead" else ("medium", {"mechanism": "periodic_gap"} if family == "missing" else {})
 
     def run(spark, d):
-        m = _injected(family, spark, d)[2]
+        facts = _clean(spark, d)
+        if family == "revision_overwrite":
+            more["history"] = testdata.lineages_lineitem(spark, d)
+        m = manifest.derive(family, facts, AS_OF, severity, SEED, **more)
         key = "record_id" if family == "missing" else "original_record_id"
         digit = F.conv(F.substring(key, 5, 1), 16, 10).cast("int") % 5
         changes = {"target_rank": F.when(digit == 2, F.col("target_rank") + 1).otherwise(F.col("target_rank")), key: F.when(digit == 3, F.concat(F.lit("x"), key)).otherwise(F.col(key))}
         if family != "missing":
             changes["injected_record_id"] = F.when(digit == 1, F.lit("rec_0")).otherwise(F.col("injected_record_id"))
-        return manifest.revalidate(m.filter(digit != 0).withColumns(changes), m, key).groupBy("problem").agg(F.count("*").alias("entries"))
+        path = f"{sinks.work_folder(spark)}/manifest"
+        m.filter(digit != 0).withColumns(changes).write.parquet(path)
+        stored = spark.read.schema(m.schema).parquet(path)
+        return manifest.revalidate_from_facts(stored, family, facts, AS_OF, severity, SEED, key, 16, **more).groupBy("problem").agg(F.count("*").alias("entries"))
 
     return run
 

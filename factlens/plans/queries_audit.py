@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlens.operators import policy
+from factlens.operators import attempts, policy
 from factlens.plans import report
 from factlens.plans.queries import AS_OF, CUSTOMER_MAPPING, DRIFT_SQL, FACTS, LOOK_SQL, OVER_SQL, SEEN, _external, query
-from factlens.sources import mapping, testdata
+from factlens.sources import mapping, sinks, testdata
 
 MOST = 25
 #: What is wrong with the rows of _external, and their number in the input, which is that of the sorted keys.
@@ -97,3 +97,42 @@ FROM rules CROSS JOIN n LEFT JOIN (SELECT rule_id, count(*) AS results, count(*)
 def policy_evaluations(spark, d):
     """A row for each rule of the policy: whether it was evaluated, on how many records, with how many results."""
     return _report(spark, d).evaluations
+
+
+def _parted(spark, d, broken: bool) -> DataFrame:
+    """The raw rows in eight partitions by entity; `broken`: amounts of the 13th of a month in the fourth are no numbers."""
+    rows = _raw(spark, d).withColumn("partition", F.concat(F.lit("p"), F.substring("entity", 2, 20).cast("long") % 8))
+    bad = (F.col("partition") == "p3") & F.col("ended").endswith("-13")
+    return rows.withColumn("amount", F.when(bad, "x").otherwise(F.col("amount"))) if broken else rows
+
+
+ATTEMPT_SQL = REPORT_SQL.replace(DRIFT20, DRIFT_SQL.replace("FROM facts", "FROM nf")) + """, part AS (SELECT 'p' || CAST(substr(entity_id, 2) AS BIGINT) % 8 AS partition, count(*) AS records, count(*) FILTER (WHERE day(period_end) = 13) AS bad FROM src GROUP BY ALL),
+fnd AS (SELECT 'p' || CAST(substr(entity_id, 2) AS BIGINT) % 8 AS partition, rule_id, count(*) AS findings FROM rs WHERE rule_id IN ('d1', 'd2', 'd4') GROUP BY ALL), tot AS (SELECT partition, records, bad, CAST(coalesce(sum(findings), 0) AS BIGINT) AS findings FROM part LEFT JOIN fnd USING (partition) GROUP BY ALL)
+"""
+
+
+def _attempts(spark, d, root: str, broken: bool) -> DataFrame:
+    return attempts.run_attempt(spark, _parted(spark, d, broken), REPORT_MAPPING, AS_OF, root)
+
+
+@query(ATTEMPT_SQL + "SELECT partition, 1 AS attempt, CASE WHEN partition = 'p3' AND bad > 0 THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN partition = 'p3' AND bad > 0 THEN 'invalid_rows' END AS failure, records, CASE WHEN partition = 'p3' AND bad > 0 THEN 0 ELSE findings END AS findings FROM tot")
+def audit_attempt_isolated(spark, d):
+    """One of eight partitions has invalid rows: it fails, the others are audited."""
+    return _attempts(spark, d, sinks.work_folder(spark), True)
+
+
+@query(ATTEMPT_SQL + "SELECT partition, CASE WHEN partition = 'p3' AND bad > 0 THEN 2 ELSE 1 END AS attempt, CASE WHEN partition = 'p3' AND bad > 0 THEN 'succeeded' ELSE 'reused' END AS status, CAST(NULL AS VARCHAR) AS failure, records, findings FROM tot")
+def audit_attempt_retried(spark, d):
+    """The partition is mended and retried alone."""
+    root = sinks.work_folder(spark)
+    _attempts(spark, d, root, True)
+    return _attempts(spark, d, root, False)
+
+
+@query(ATTEMPT_SQL + "SELECT partition, CASE rule_id WHEN 'd1' THEN 'lookahead' WHEN 'd2' THEN 'unit_drift' ELSE 'revision_overwrite' END AS detector, findings FROM fnd")
+def audit_final(spark, d):
+    """Findings of a run that is final: all partitions have succeeded and share no entity."""
+    root = sinks.work_folder(spark)
+    _attempts(spark, d, root, False)
+    final = attempts.finalize(spark, _parted(spark, d, False), REPORT_MAPPING, AS_OF, root)
+    return final.groupBy("partition", "detector").agg(F.count("*").alias("findings"))

@@ -95,13 +95,18 @@ def normalize(raw: DataFrame, m: Mapping) -> tuple[DataFrame, DataFrame]:
     return marked.filter("problem IS NULL").select(*FACT.names), marked.filter("problem IS NOT NULL").select("source_row_key", "problem.error_code", "problem.error_field")
 
 
-def _marked(raw: DataFrame, m: Mapping) -> DataFrame:
-    """The columns of facts, `problem` (null where the row is a fact) and the row's place."""
-    m.check([c for c in raw.columns if c not in PLACE])
+def marked_rows(raw: DataFrame, m: Mapping, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of `raw` as a fact, with `problem`, null where it is one, its place, and the columns of `keep`, within which rows are unique."""
+    return _marked(placed(raw), m, keep)
+
+
+def _marked(raw: DataFrame, m: Mapping, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of facts, `problem` (null where the row is a fact), the row's place and the columns of `keep`."""
+    m.check([c for c in raw.columns if c not in (*PLACE, *keep)])
     kinds = {f.name: f.dataType for f in raw.schema}
     if "value" in m.columns and isinstance(kinds[m.columns["value"]], FLOATS):
         raise MappingError("the value column is binary floating point")
-    rows = raw.select(*[m.text(n).alias(n) for n in ("entity_id", "entity_name", "concept_namespace", "concept", "value", "unit", "period_type", "period_start", "period_end", "filed_on", "available_on", "form", "accession_number", "source_name", "source_locator", "source_row_key", "lineage", "sequence")], *[F.col(f"`{c}`").cast("string").alias(f"_dim_{a}") for a, c in m.dimensions.items()], *PLACE)
+    rows = raw.select(*[m.text(n).alias(n) for n in ("entity_id", "entity_name", "concept_namespace", "concept", "value", "unit", "period_type", "period_start", "period_end", "filed_on", "available_on", "form", "accession_number", "source_name", "source_locator", "source_row_key", "lineage", "sequence")], *[F.col(f"`{c}`").cast("string").alias(f"_dim_{a}") for a, c in m.dimensions.items()], *PLACE, *keep)
     number = F.when(F.col("value").rlike(DECIMAL), F.col("value").try_cast("decimal(28,6)"))
     exact = number.isNotNull() & (F.length(F.regexp_extract("value", r"\.([0-9]+?)0*$", 1)) <= 6)
     day = {n: F.when(F.col(n).rlike(DATE), F.try_to_date(n, "yyyy-MM-dd")) for n in ("period_start", "period_end", "filed_on", "available_on")}
@@ -125,14 +130,14 @@ def _marked(raw: DataFrame, m: Mapping) -> DataFrame:
     key = F.when(F.col("lineage").isNull(), F.col("source_row_key")).otherwise(F.concat(F.substring(F.sha2("lineage", 256), 1, 16), F.lit("#r"), F.col("sequence")))
     marked = rows.withColumns({"problem": problem, "row_key": key})
     # Of the rows of one coordinate the first one read counts. Rows without a key have a problem already; each is its own group.
-    w = Window.partitionBy("source_name", "source_locator", "row_key", F.when(F.col("row_key").isNull(), F.struct(*PLACE))).orderBy(*PLACE)
+    w = Window.partitionBy(*keep, "source_name", "source_locator", "row_key", F.when(F.col("row_key").isNull(), F.struct(*PLACE))).orderBy(*PLACE)
     marked = marked.withColumn("problem", F.coalesce("problem", F.when(F.col("row_key").isNotNull() & (F.row_number().over(w) > 1), F.struct(F.lit("normalization.duplicate_source_identity").alias("error_code"), F.lit("source_row_key").alias("error_field")))))
     dims = F.array_sort(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"_dim_{a}").alias("member")) for a in m.dimensions])) if m.dimensions else F.array().cast(DIMENSIONS)
     typed = {"record_id": stable_id("rec", F.col("source_name"), F.col("source_locator"), F.col("row_key")), "value": number, "dimensions": dims, "period_type": label, "available_on": F.coalesce(day["available_on"], day["filed_on"]), "source_row_key": F.col("row_key")} | {n: day[n] for n in ("period_start", "period_end", "filed_on")}
     shown = F.when(F.col("problem").isNull(), F.col("row_key")).otherwise(F.col("source_row_key"))
     typed["source_row_key"] = shown
     origin = {"available_on": {"metadata": {"availability": m.availability()}}}
-    return marked.select(*[typed.get(f.name, F.col(f.name)).alias(f.name, **origin.get(f.name, {})) for f in FACT], "problem", *PLACE)
+    return marked.select(*[typed.get(f.name, F.col(f.name)).alias(f.name, **origin.get(f.name, {})) for f in FACT], "problem", *PLACE, *keep)
 
 
 class InvalidDataset(ValueError):
@@ -163,7 +168,7 @@ def profiled(raw: DataFrame, m: Mapping, most: int = 100) -> Loaded:
     if most < 1:
         raise ValueError("most must be positive")
     spark, path = raw.sparkSession, None
-    marked, seen = _marked(placed(raw), m), Observation()
+    marked, seen = marked_rows(raw, m), Observation()
     path = f"{work_folder(spark)}/normalized"
     watched = marked.observe(seen, F.count("*").alias("rows"), F.count("problem").alias("bad"))
     watched.write.parquet(path)
