@@ -107,8 +107,9 @@ def pow2(n: float, low: int, high: int) -> int:
 
 
 def release() -> None:
-    """Gives a Python worker's freed memory back to the system: workers live on from stage to stage."""
+    """Gives a Python worker's freed memory back to the system, Arrow's too: workers live on from stage to stage."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     if TRIM is not None:
         TRIM(0)
 

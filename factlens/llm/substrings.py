@@ -303,15 +303,26 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, size: int = 20) -> Da
     row = docs.select(others.alias("row"), F.col("text").alias("text"), C.id_key().alias("own_idk"), F.xxhash64("text").alias("own_tkey"))
     joined = _zipped(row, ["row", "own_idk", "own_tkey"]).join(gone, ["own_idk", "own_tkey"], "left").select("row", "z", "lo", "hi")
     schema = T.StructType([row.schema["row"], row.schema["text"], *T.StructType.fromDDL(KEPT)])
-    kept = joined.mapInArrow(lambda batches: map(lambda b: _keep(b, size), batches), schema)
+    kept = joined.mapInArrow(C.tidy(lambda batches: (part for b in batches for part in _keep(b, size))), schema)
     return kept.select(*["text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], "kept_text", "n_words", "n_removed")
 
 
-def _keep(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
-    out: tuple[list, list, list] = ([], [], [])
+#: Bytes of text that are decompressed at a time.
+KEEP_BYTES = 4_000_000
+
+
+def _keep(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch with what is left of their texts, in parts of about KEEP_BYTES."""
     unzip = zstandard.ZstdDecompressor().decompress
-    texts = [None if z is None else unzip(z) for z in batch.column("z").to_pylist()]
-    for text, lo, hi in zip(texts, batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), strict=True):
+    string = lambda x: pa.array(x, pa.binary()).cast(pa.string())
+    texts, out, at, held = [], ([], [], []), 0, 0
+
+    def part(end: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("row").slice(at, end - at), string(texts), string(out[0]), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["row", "text", "kept_text", "n_words", "n_removed"])
+
+    for i in range(batch.num_rows):
+        z, lo, hi = (batch.column(c)[i].as_py() for c in ("z", "lo", "hi"))
+        text = None if z is None else unzip(z)
         words = C.words_of(text)
         n, gone = len(words), 0
         if lo:
@@ -321,10 +332,15 @@ def _keep(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
             kept = np.cumsum(edge[:-1]) == 0
             gone = n - int(kept.sum())
             words = [words[i] for i in np.flatnonzero(kept)]
+        texts.append(text)
         for x, y in zip(out, (b" ".join(words), n, gone), strict=True):
             x.append(y)
-    string = lambda x: pa.array(x, pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([batch.column("row"), string(texts), string(out[0]), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["row", "text", "kept_text", "n_words", "n_removed"])
+        held += len(text or b"")
+        if held >= KEEP_BYTES:
+            yield part(i + 1)
+            texts, out, at, held = [], ([], [], []), i + 1, 0
+    if texts or not batch.num_rows:
+        yield part(batch.num_rows)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
