@@ -76,11 +76,15 @@ CONTEXT_SEVERITY = {"random": "low", "periodic_gap": "medium", "entity_dependent
 
 def missing_observations(audit: DataFrame, expectations: DataFrame, as_of: date | str) -> DataFrame:
     """Due expectations without a visible row, with the nearest visible rows before and after as support."""
+    return with_support(absent_observations(audit, expectations, as_of), audit.filter(visible(as_of)))
+
+
+def absent_observations(audit: DataFrame, expectations: DataFrame, as_of: date | str, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Due expectations without a visible row; `scope`: columns of both that keep rows apart."""
     due = expectations.filter(F.col("expected_by") <= _as_of(as_of))
     seen = audit.filter(visible(as_of))
-    match = [F.col(f"e.{c}") == F.col(f"a.{c}") for c in EXPECTED_KEY] + [F.col("e.period_start").eqNullSafe(F.col("a.period_start")), F.col("e.dimensions") == F.col("a.dimensions")]
-    absent = due.alias("e").join(seen.alias("a"), reduce(Column.__and__, match), "left_anti")
-    return with_support(absent, seen)
+    match = [F.col(f"e.{c}") == F.col(f"a.{c}") for c in (*scope, *EXPECTED_KEY)] + [F.col("e.period_start").eqNullSafe(F.col("a.period_start")), F.col("e.dimensions") == F.col("a.dimensions")]
+    return due.alias("e").join(seen.alias("a"), reduce(Column.__and__, match), "left_anti")
 
 
 def with_support(absent: DataFrame, seen: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factlens.functions.ident import stable_id
 from factlens.operators.pit import visible
-from factlens.operators.series import adjacent_revisions, comparable_series, duplicate_groups, select_targets
+from factlens.operators.ranks import first_of_groups
+from factlens.operators.series import NoEligibleTarget, adjacent_revisions, comparable_series, duplicate_groups, select_targets, selection_digest
 
 FRACTIONS = {"lookahead": ("0.02", "0.05", "0.10"), "unit_drift": ("0.02", "0.05", "0.10"), "duplicate": ("0.01", "0.05", "0.15"), "revision_overwrite": ("0.02", "0.05", "0.10"), "missing": ("0.10", "0.25", "0.50")}
 SEVERITIES = ("low", "medium", "high")
@@ -19,10 +21,6 @@ MINIMUM_SIZE = (1, 5, 20)
 MOST = 10_000
 
 
-class NoEligibleTarget(ValueError):
-    """Nothing can be corrupted."""
-
-
 def _level(severity: str) -> int:
     return SEVERITIES.index(severity)
 
@@ -33,8 +31,6 @@ def _new_id(family: str, seed: int) -> Column:
 
 def _targets(eligible: DataFrame, family: str, severity: str, seed: int, most: int) -> DataFrame:
     """The rows to corrupt; without an eligible one it raises, so that no injection does nothing unseen."""
-    if not eligible.limit(1).count():
-        raise NoEligibleTarget(f"{family}: no eligible row")
     return select_targets(eligible, "record_id", family, seed, FRACTIONS[family][_level(severity)], most)
 
 
@@ -92,23 +88,35 @@ def inject_revision_overwrite(snapshot: DataFrame, history: DataFrame, as_of: da
     return _replace(snapshot, manifest, {"record_id": F.col("injected_record_id")} | {c: F.col(f"new.{c}") for c in LATER}), manifest
 
 
+GROUPS = {"entity_dependent": ("entity_id",), "survivorship": ("entity_id",), "concept_dependent": ("concept_namespace", "concept"), "source_outage": ("source_name", "source_locator")}
+MECHANISMS = ("random", "periodic_gap", *GROUPS)
+#: Mechanisms that take a group as a whole.
+WHOLE = ("survivorship", "source_outage")
+
+
+def interior(seen: DataFrame) -> DataFrame:
+    """The rows of series without the first and the last by period."""
+    key = ("entity_id", "concept_namespace", "concept", "unit", "dimensions", "period_type")
+    up, down = Window.partitionBy(*key).orderBy("period_end", "record_id"), Window.partitionBy(*key).orderBy(F.desc("period_end"), F.desc("record_id"))
+    return seen.withColumns({"first": F.row_number().over(up) > 1, "last": F.row_number().over(down) > 1}).filter("first AND last").drop("first", "last")
+
+
+def chosen(seen: DataFrame, group: tuple[str, ...], seed: int) -> DataFrame:
+    """The one group of the least hash of its key; ties by the key."""
+    least = F.min(F.struct(F.sha2(F.concat_ws("|", F.lit(str(seed)), *group), 256).alias("h"), *group))
+    return seen.select(*group).distinct().agg(least.alias("g")).filter("g IS NOT NULL").select(*[f"g.{c}" for c in group])
+
+
 def inject_missing(facts: DataFrame, as_of: date | str, mechanism: str, severity: str, seed: int, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """Rows go: at random, from the interior of series, of one entity, of one concept, of one entity whole, or of one source whole."""
+    if mechanism not in MECHANISMS:
+        raise ValueError(f"unknown mechanism {mechanism}")
     seen = facts.filter(visible(as_of))
-    group = {"entity_dependent": ("entity_id",), "survivorship": ("entity_id",), "concept_dependent": ("concept_namespace", "concept"), "source_outage": ("source_name", "source_locator")}.get(mechanism)
     if mechanism == "periodic_gap":
-        from pyspark.sql.window import Window
-
-        key = ("entity_id", "concept_namespace", "concept", "unit", "dimensions", "period_type")
-        up, down = Window.partitionBy(*key).orderBy("period_end", "record_id"), Window.partitionBy(*key).orderBy(F.desc("period_end"), F.desc("record_id"))
-        seen = seen.withColumns({"first": F.row_number().over(up) > 1, "last": F.row_number().over(down) > 1}).filter("first AND last").drop("first", "last")
-    elif group:
-        # The group of the least hash of its key; ties by the key.
-        keys = seen.select(*group).distinct().withColumn("h", F.sha2(F.concat_ws("|", F.lit(str(seed)), *group), 256)).orderBy("h", *group).limit(1).drop("h")
-        seen = seen.join(F.broadcast(keys), list(group), "left_semi")
-    elif mechanism != "random":
-        raise ValueError(f"unknown mechanism {mechanism}")
-    if mechanism in ("survivorship", "source_outage"):
+        seen = interior(seen)
+    elif mechanism in GROUPS:
+        seen = seen.join(F.broadcast(chosen(seen, GROUPS[mechanism], seed)), list(GROUPS[mechanism]), "left_semi")  # one row
+    if mechanism in WHOLE:
         n = seen.count()
         if n > most:
             raise NoEligibleTarget(f"{mechanism} would remove {n} rows; {most} are allowed")
@@ -117,3 +125,27 @@ def inject_missing(facts: DataFrame, as_of: date | str, mechanism: str, severity
         picked = _targets(seen, "missing", severity, seed, most)
     manifest = picked.select(*facts.columns, "target_rank")
     return facts.join(manifest.select("record_id"), "record_id", "left_anti"), manifest
+
+
+def missing_targets(facts: DataFrame, as_of: date | str, mechanisms: tuple[str, ...], severity: str, seed: int, most: int = MOST) -> DataFrame:
+    """(mechanism, record_id) of the rows that inject_missing takes by each mechanism, in one plan; raises as it does.
+
+    Each visible row says by which mechanisms it may go, in one pass; then every mechanism takes its first rows by digest.
+    """
+    if unknown := set(mechanisms) - set(MECHANISMS):
+        raise ValueError(f"unknown mechanisms {sorted(unknown)}")
+    seen = facts.filter(visible(as_of))
+    tagged = seen.withColumn("_m", F.array_compact(F.array(F.lit("random") if "random" in mechanisms else F.lit(None).cast("string"))))
+    if "periodic_gap" in mechanisms:
+        inner = interior(seen).select("record_id", F.lit("periodic_gap").alias("_p"))
+        tagged = tagged.join(inner, "record_id", "left").withColumn("_m", F.when(F.col("_p").isNotNull(), F.array_append("_m", F.col("_p"))).otherwise(F.col("_m"))).drop("_p")
+    for m in (m for m in GROUPS if m in mechanisms):
+        one = chosen(seen, GROUPS[m], seed).withColumn("_p", F.lit(m))
+        tagged = tagged.join(F.broadcast(one), list(GROUPS[m]), "left").withColumn("_m", F.when(F.col("_p").isNotNull(), F.array_append("_m", F.col("_p"))).otherwise(F.col("_m"))).drop("_p")
+    pool = tagged.select("record_id", F.explode("_m").alias("mechanism"))
+    counts = pool.groupBy("mechanism").agg(F.count("*").alias("n"))
+    part = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n").cast("decimal(20,0)") * F.lit(FRACTIONS["missing"][_level(severity)]).cast("decimal(9,4)")).cast("long"))
+    fail = F.raise_error(F.concat("mechanism", F.lit(f" would remove more than {most} rows"))).cast("long")
+    wanted = F.when(F.col("mechanism").isin(*WHOLE), F.when(F.col("n") > most, fail).otherwise(F.col("n"))).otherwise(F.least(F.lit(most).cast("long"), part))
+    asked = pool.join(F.broadcast(counts.select("mechanism", wanted.alias("wanted"))), "mechanism").withColumn("digest", selection_digest("missing", seed, F.col("record_id")))
+    return first_of_groups(asked, ["mechanism"], "digest", "record_id", "wanted").select("mechanism", "record_id")

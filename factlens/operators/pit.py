@@ -59,6 +59,6 @@ def snapshot(facts: DataFrame, as_of: date | str, check: bool = False) -> DataFr
     return seen.filter("lineage_id IS NULL").unionByName(revised)
 
 
-def sanitize(facts: DataFrame) -> DataFrame:
-    """The audit input: allowed columns only."""
-    return facts.select(*AUDIT_COLUMNS)
+def sanitize(facts: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """The audit input: allowed columns only, after those that keep several audits apart."""
+    return facts.select(*scope, *AUDIT_COLUMNS)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factlens.functions.ratios import rounded
-from factlens.operators.detect import EXPECTED_KEY, missing_observations
-from factlens.operators.inject import inject_missing
+from factlens.operators.detect import EXPECTED_KEY, absent_observations
+from factlens.operators.inject import missing_targets
 from factlens.operators.pit import sanitize, visible
+from factlens.sources.sinks import work_folder
 
 
 def f1(p: Column, r: Column) -> Column:
@@ -78,25 +79,38 @@ class DirtyControl(ValueError):
     """The clean facts already give findings."""
 
 
-def expectations_of(facts: DataFrame, as_of: date | str, context: str) -> DataFrame:
+def expectations_of(facts: DataFrame, as_of: date | str, context: str, scope: tuple[str, ...] = ()) -> DataFrame:
     """One explicit expectation for each visible fact, due when the fact came."""
-    return facts.filter(visible(as_of)).select(F.concat(F.lit("exp-"), "record_id").alias("expected_observation_id"), F.lit(context).alias("context"), *EXPECTED_KEY, "period_start", "dimensions", F.col("available_on").alias("expected_by"))
+    return facts.filter(visible(as_of)).select(*scope, F.concat(F.lit("exp-"), "record_id").alias("expected_observation_id"), F.lit(context).alias("context"), *EXPECTED_KEY, "period_start", "dimensions", F.col("available_on").alias("expected_by"))
 
 
 def missing_evaluation(clean: DataFrame, as_of: date | str, mechanisms: tuple[str, ...], severity: str, seed: int, most: int) -> DataFrame:
     """A row for each mechanism: removes facts by it, detects what is missing, scores the findings against the removed rows.
 
-    A removed fact of which a copy stays is missed, as its expectation is met. Raises if the clean facts give a finding.
+    A removed fact of which a copy stays is missed, as its expectation is met. All mechanisms are scored in one plan: the rows that any of
+    them removes are chosen once, and only expectations and facts of their keys are looked at, as all others are met by what stays.
+    Raises if a clean fact does not meet its own expectation, which only a null in its key can do.
     """
-    if missing_observations(sanitize(clean), expectations_of(clean, as_of, "random"), as_of).first() is not None:
+    key = [*EXPECTED_KEY, "dimensions"]
+    if clean.filter(visible(as_of)).filter(reduce(Column.__or__, [F.col(c).isNull() for c in key])).first() is not None:
         raise DirtyControl("expectations are not met by the clean facts")
-    parts = []
-    for mechanism in mechanisms:
-        corrupted, gone = inject_missing(clean, as_of, mechanism, severity, seed, most)
-        found = missing_observations(sanitize(corrupted), expectations_of(clean, as_of, mechanism), as_of).select(F.col("expected_observation_id").alias("id"), F.lit(1).alias("found"), F.lit(0).alias("lost"))
-        lost = gone.select(F.concat(F.lit("exp-"), "record_id").alias("id"), F.lit(0).alias("found"), F.lit(1).alias("lost"))
-        parts.append(found.unionByName(lost).withColumn("mechanism", F.lit(mechanism)))
-    each = reduce(DataFrame.unionByName, parts).groupBy("mechanism", "id").agg(F.max("found").alias("found"), F.max("lost").alias("lost"))
+    spark = clean.sparkSession
+    path = f"{work_folder(spark)}/gone"
+    chosen = missing_targets(clean, as_of, mechanisms, severity, seed, most)
+    chosen.write.parquet(path)
+    gone = spark.read.schema(chosen.schema).parquet(path)
+    # Rows of one hash stand for those of one key; a hash that two keys share only adds rows that change nothing.
+    place = F.xxhash64(*key, "period_start")
+    keyed = clean.filter(visible(as_of)).withColumn("_key", place)
+    touched = keyed.join(gone.select("record_id").distinct(), "record_id", "left_semi").select("_key").distinct()
+    rows = keyed.join(touched, "_key", "left_semi")
+    lost = rows.join(gone.groupBy("record_id").agg(F.collect_set("mechanism").alias("_gone")), "record_id", "left")
+    each = lost.withColumn("mechanism", F.explode(F.array(*map(F.lit, mechanisms)))).withColumn("lost", F.coalesce(F.array_contains("_gone", F.col("mechanism")), F.lit(False)))
+    stays = each.filter("NOT lost")
+    expected = expectations_of(each, as_of, "random", ("mechanism",))
+    found = absent_observations(sanitize(stays, ("mechanism",)), expected, as_of, ("mechanism",)).select("mechanism", F.col("expected_observation_id").alias("id"), F.lit(1).alias("found"), F.lit(0).alias("lost"))
+    removed = gone.select("mechanism", F.concat(F.lit("exp-"), "record_id").alias("id"), F.lit(0).alias("found"), F.lit(1).alias("lost"))
+    both = found.unionByName(removed).groupBy("mechanism", "id").agg(F.max("found").alias("found"), F.max("lost").alias("lost"))
     f, m = F.col("found") == 1, F.col("lost") == 1
-    out = each.groupBy("mechanism").agg(F.count_if(f).alias("findings"), F.count_if(m).alias("targets"), F.count_if(f & m).alias("true_positives"), F.count_if(f & ~m).alias("false_positives"), F.count_if(m & ~f).alias("missed"))
+    out = both.groupBy("mechanism").agg(F.count_if(f).alias("findings"), F.count_if(m).alias("targets"), F.count_if(f & m).alias("true_positives"), F.count_if(f & ~m).alias("false_positives"), F.count_if(m & ~f).alias("missed"))
     return out.withColumns({"precision": rounded(F.col("true_positives"), F.col("findings")), "recall": rounded(F.col("true_positives"), F.col("targets"))})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 from decimal import ROUND_CEILING, Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,6 +13,7 @@ from factlens.functions.ratios import relative_size_at_least
 from factlens.operators.pit import visible, with_lineage
 from factlens.operators.ranks import total_rank
 from factlens.schema import FINGERPRINT
+from factlens.sources.sinks import work_folder
 
 SERIES_KEY = ("entity_id", "concept_namespace", "concept", "unit", "dimensions", "period_type", "period_length_days")
 
@@ -91,11 +92,27 @@ def selection_digest(namespace: str, seed: int, unit: Column) -> Column:
     return F.sha2(F.concat(F.lit('{"eligibility_unit_id":"'), unit, F.lit(f'","namespace":"{namespace}","seed":{seed}}}')), 256)
 
 
+class NoEligibleTarget(ValueError):
+    """Nothing can be corrupted."""
+
+
 def select_targets(eligible: DataFrame, unit: str, namespace: str, seed: int, fraction: str, most: int) -> DataFrame:
-    """The first rows by selection digest, then by unit, with target_rank from 0: a top-k, not a full sort."""
-    n = target_count(eligible.count(), fraction, most)
-    ranked = eligible.withColumn("digest", selection_digest(namespace, seed, F.col(unit))).orderBy("digest", unit).limit(n)
-    return ranked.withColumn("target_rank", (F.row_number().over(Window.orderBy("digest", unit)) - 1).cast("long"))
+    """The first rows by selection digest, then by unit, with target_rank from 0; raises without an eligible row.
+
+    One job over the eligible rows: it counts them while it takes the first `most`, which are written (a top-k, not a full sort). How
+    many are wanted is known then, and whatever uses the targets reads the written rows.
+    """
+    spark, seen = eligible.sparkSession, Observation()
+    first = eligible.withColumn("digest", selection_digest(namespace, seed, F.col(unit))).observe(seen, F.count("*").alias("eligible")).orderBy("digest", unit).limit(most)
+    path = f"{work_folder(spark)}/targets"
+    first.write.parquet(path)
+    # An empty table is not even read, so nothing is observed then.
+    many = seen.get.get("eligible", 0)
+    if not many:
+        raise NoEligibleTarget(f"{namespace}: no eligible row")
+    n = target_count(many, fraction, most)
+    ranked = spark.read.schema(first.schema).parquet(path).withColumn("target_rank", (F.row_number().over(Window.orderBy("digest", unit)) - 1).cast("long"))
+    return ranked.filter(F.col("target_rank") < n)
 
 
 def entity_partitions(audit: DataFrame, partitions: int) -> DataFrame:
