@@ -4,6 +4,7 @@ import shutil
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from factlens.operators import detect, execution, impact, inject, manifest, pit, score
 from factlens.sources import generate, testdata
@@ -46,6 +47,32 @@ def test_damaged_findings_and_lost_ledger_are_audited_again(spark, facts, tmp_pa
     assert mended == sorted(again.collect()) == sorted(detect.run_detectors(audit, AS_OF).collect())
 
 
+def test_unchanged_files_are_not_read(spark, facts, tmp_path):
+    """The second run takes its plan from the files' names, sizes and times; another file, date or version is planned anew."""
+    facts.write.parquet(f"file://{tmp_path}/in")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    raw = spark.read.schema(facts.schema).parquet(f"file://{tmp_path}/in")
+    audit = pit.sanitize(raw.mapInArrow(count, raw.schema))
+    run = lambda as_of=AS_OF, version="": execution.run_partitioned(spark, audit, as_of, f"file://{tmp_path}/out", 4, inputs=[f"file://{tmp_path}/in"], version=version)
+    status, found = run()
+    first, n = sorted(found.collect()), seen.value
+    assert n > 0 and set(by_status(status).values()) == {"audited"}
+    status, found = run()
+    assert seen.value == n and set(by_status(status).values()) == {"reused"} and sorted(found.collect()) == first
+    run(version="2")
+    assert seen.value > n
+    n = seen.value
+    facts.limit(1).withColumn("record_id", F.lit("rec_new")).write.mode("append").parquet(f"file://{tmp_path}/in")
+    status, _ = execution.run_partitioned(spark, pit.sanitize(spark.read.schema(facts.schema).parquet(f"file://{tmp_path}/in")), AS_OF, f"file://{tmp_path}/out", 4, inputs=[f"file://{tmp_path}/in"])
+    assert sorted(by_status(status).values()) == ["audited"] + ["reused"] * 3
+
+
 def test_partitioned_edges(spark, facts, tmp_path):
     audit = pit.sanitize(facts)
     status, found = execution.run_partitioned(spark, audit.limit(0), AS_OF, f"file://{tmp_path}/a", 5)
