@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlens.operators import attempts, policy
+from factlens.operators import attempts, detect, freeze, pit, policy, review
 from factlens.plans import report
-from factlens.plans.queries import AS_OF, CUSTOMER_MAPPING, DRIFT_SQL, FACTS, LOOK_SQL, OVER_SQL, SEEN, _external, query
+from factlens.plans.queries import AS_OF, CUSTOMER_MAPPING, DRIFT_SQL, FACTS, FINGERPRINT_SQL, LOOK_SQL, OVER_SQL, SEEN, _external, query
 from factlens.sources import mapping, sinks, testdata
 
 MOST = 25
@@ -136,3 +136,53 @@ def audit_final(spark, d):
     _attempts(spark, d, root, False)
     final = attempts.finalize(spark, _parted(spark, d, False), REPORT_MAPPING, AS_OF, root)
     return final.groupBy("partition", "detector").agg(F.count("*").alias("findings"))
+
+
+#: A later delivery of the facts: all records have new ids, and values of one in eleven orders are restated.
+def _renumbered(spark, d) -> DataFrame:
+    k = F.substring("source_row_key", 3, 20).cast("long")
+    return testdata.facts_orders(spark, d).withColumns({"record_id": F.concat(F.lit("new-"), "record_id"), "value": F.when(k % 11 == 0, F.col("value") + 1).otherwise(F.col("value")).cast("decimal(28,6)")})
+
+
+EVIDENCE_DETECTORS = ("lookahead", "revision_overwrite", "duplicate")
+
+
+def _evidence(spark, d) -> tuple[DataFrame, DataFrame]:
+    both = []
+    for rows in (testdata.facts_orders(spark, d), _renumbered(spark, d)):
+        audit = pit.sanitize(rows)
+        both.append(review.evidence(detect.run_detectors(audit, AS_OF, EVIDENCE_DETECTORS), audit))
+    return both[0], both[1]
+
+
+_DUP_KEYS = f"SELECT any_value(k) AS k FROM (SELECT *, CAST(substr(source_row_key, 3) AS BIGINT) AS k FROM facts) WHERE {SEEN} GROUP BY {FINGERPRINT_SQL} HAVING count(*) >= 2"
+EVIDENCE_SQL = FACTS + f""", f AS (SELECT 'lookahead' AS detector, CAST(substr(source_row_key, 3) AS BIGINT) AS k FROM facts JOIN ({LOOK_SQL}) USING (record_id)
+  UNION ALL SELECT 'revision_overwrite', CAST(substr(source_row_key, 3) AS BIGINT) FROM facts JOIN ({OVER_SQL}) USING (record_id)
+  UNION ALL SELECT 'duplicate', k FROM ({_DUP_KEYS}))
+"""
+
+
+@query(EVIDENCE_SQL + "SELECT detector, count(*) FILTER (WHERE k % 11 <> 0) AS kept, count(*) FILTER (WHERE k % 11 = 0) AS added, count(*) FILTER (WHERE k % 11 = 0) AS removed FROM f GROUP BY detector")
+def rerun_evidence(spark, d):
+    """Findings of two deliveries of the facts, compared by their evidence: new record ids change nothing."""
+    return review.evidence_counts(review.evidence_diff(*_evidence(spark, d)))
+
+
+@query(EVIDENCE_SQL + "SELECT detector, 'carried' AS state, count(*) AS findings FROM f WHERE k % 11 <> 0 AND k % 3 = 0 GROUP BY detector")
+def adjudications_carried(spark, d):
+    """What was said of the evidence of every third order is carried over to the findings of the later delivery."""
+    before, after = _evidence(spark, d)
+    key = testdata.facts_orders(spark, d).select(F.col("record_id").alias("first"), F.substring("source_row_key", 3, 20).cast("long").alias("k"))
+    judged = before.withColumn("first", F.split("affected", r"\|")[0]).join(key, "first").filter("k % 3 = 0").select("finding_id", F.lit("confirmed").alias("disposition"), F.lit(30).cast("long").alias("review_seconds"))
+    carried = review.carried_adjudications(before, judged, after)
+    return after.join(carried, "finding_id").groupBy("detector", "state").agg(F.count("*").alias("findings"))
+
+
+@query(FACTS + ", u AS (SELECT form AS unit, count(*) AS n, count(*) FILTER (WHERE CAST(substr(source_row_key, 3) AS BIGINT) % 7 = 0) AS moved FROM facts GROUP BY form) SELECT CASE WHEN unit LIKE '5-%' THEN '6-LATE' ELSE unit END AS unit, CASE WHEN unit LIKE '1-%' AND moved > 0 THEN 'changed' WHEN unit LIKE '5-%' THEN 'unexpected' ELSE 'sealed' END AS state, CASE WHEN unit LIKE '5-%' THEN NULL ELSE n END AS sealed_records, n AS records FROM u UNION ALL SELECT unit, 'missing', n, NULL FROM u WHERE unit LIKE '5-%'")
+def freeze_status(spark, d):
+    """Units of a sealed corpus: values of one were changed, one has another name now."""
+    root, rows = sinks.work_folder(spark), testdata.facts_orders(spark, d)
+    freeze.freeze(spark, root, "orders", rows, "form")
+    k = F.substring("source_row_key", 3, 20).cast("long")
+    now = rows.withColumns({"value": F.when(F.col("form").startswith("1-") & (k % 7 == 0), F.col("value") + 1).otherwise(F.col("value")).cast("decimal(28,6)"), "form": F.when(F.col("form").startswith("5-"), "6-LATE").otherwise(F.col("form"))})
+    return freeze.freeze_status(spark, root, "orders", now, "form")
