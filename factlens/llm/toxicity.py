@@ -120,12 +120,18 @@ def bags(words: list[str], most: int | None = None) -> np.ndarray:
     return np.bincount(owner * BAG + chars, minlength=len(words) * BAG).reshape(-1, BAG).astype(np.int16)
 
 
+def codes(bag: np.ndarray) -> np.ndarray:
+    """64 bits of each bag: which buckets have a character, and which have two. Bags that differ by n characters differ in n bits at most."""
+    bits = np.uint64(1) << np.arange(BAG, dtype=np.uint64)
+    return ((bag >= 1) * bits).sum(axis=1, dtype=np.uint64) | ((bag >= 2) * bits).sum(axis=1, dtype=np.uint64) << np.uint64(BAG)
+
+
 class Matcher(dict):
     """word bytes -> 0 for none, or (edits, weight); context words -> their kind.
 
     Two words within so many edits differ by at most twice as many characters, taken as bags; so do the starts that a
-    stem asks for. Words are tested so against all terms at once, and only the terms that pass make the trie that
-    a word's automaton goes along.
+    stem asks for. Words are tested so against all terms at once, by 64 bits of a bag before the bag itself, and only the
+    terms that pass make the trie that a word's automaton goes along.
     """
 
     def __init__(self, lexicon: Lexicon):
@@ -135,6 +141,7 @@ class Matcher(dict):
         whole = {t: w for t, w in (lexicon.covered + lexicon.terms) if not t.endswith(STEM) and len(t) >= LEAST_FUZZY}
         self.whole, self.starts = list(whole.items()), [(t + STEM, w) for t, w in self.stems.items()]
         self.whole_bags, self.start_bags = bags([t for t, _ in self.whole]), bags([t[:-1] for t, _ in self.starts])
+        self.whole_codes, self.start_codes = codes(self.whole_bags), codes(self.start_bags)
 
     def near(self, words: list[str]) -> dict[int, list[tuple[str, float]]]:
         """Index of a word -> the terms that may be within its edits."""
@@ -148,17 +155,22 @@ class Matcher(dict):
                 found.setdefault(int(order[i]), []).append(terms[term])
 
         bag = bags(words)
-        for j, (t, _) in enumerate(self.whole):
-            a, b = np.searchsorted(sizes, (len(t) - 2, len(t) + 3))
-            most = allowed[a:b]
-            ok = (np.abs(bag[a:b] - self.whole_bags[j]).sum(axis=1) <= 2 * most) & (np.abs(sizes[a:b] - len(t)) <= most)
-            put(self.whole, a + np.flatnonzero(ok), j)
+        code, most = codes(bag), 2 * allowed
+        lengths = [len(t) for t, _ in self.whole]
+        bounds = dict(zip(lengths, np.searchsorted(sizes, [(n - 2, n + 3) for n in lengths]).tolist(), strict=True)) if lengths else {}
+        for j, n in enumerate(lengths):
+            a, b = bounds[n]
+            at = a + np.flatnonzero(np.bitwise_count(code[a:b] ^ self.whole_codes[j]) <= most[a:b])
+            at = at[(np.abs(bag[at] - self.whole_bags[j]).sum(axis=1) <= most[at]) & (np.abs(sizes[at] - n) <= allowed[at])]
+            put(self.whole, at, j)
         for n in sorted({len(t) - 1 + d for t, _ in self.starts for d in (-1, 0, 1)}):
             a = int(np.searchsorted(sizes, n, side="right"))
             start = bags(words[a:], n)
+            code = codes(start)
             for j, (t, _) in enumerate(self.starts):
                 if abs(len(t) - 1 - n) <= 1:
-                    put(self.starts, a + np.flatnonzero(np.abs(start - self.start_bags[j]).sum(axis=1) <= 2), j)
+                    at = np.flatnonzero(np.bitwise_count(code ^ self.start_codes[j]) <= 2)
+                    put(self.starts, a + at[np.abs(start[at] - self.start_bags[j]).sum(axis=1) <= 2], j)
         return found
 
     def add(self, raws) -> None:
