@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,8 +105,5 @@ def run_cases(spark: SparkSession, cases: list, run_one) -> DataFrame:
 
 
 def incomplete(cases: DataFrame, statuses: DataFrame) -> DataFrame:
+    """(case_id, status) of the cases that have no status, or one other than `ok`."""
     return cases.join(statuses.select("case_id", "status"), "case_id", "left").filter("status IS NULL OR status != 'ok'").select("case_id", F.coalesce("status", F.lit("incomplete")).alias("status"))
-
-
-def union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

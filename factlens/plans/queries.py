@@ -567,9 +567,11 @@ def json_flatten_exclusions(spark, d):
     return companyfacts.flatten(raw, rules).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("entries"))
 
 
-@query("WITH g AS (SELECT i AS issuer, p FROM range(40) t(i), range(20) u(p)) SELECT 'E' || issuer AS entity_id, CAST(DATE '2000-03-31' + CAST(91 * p AS INTEGER) AS DATE) AS period_end, CAST(DATE '2000-03-31' + CAST(91 * p + 30 AS INTEGER) AS DATE) AS filed_on, CAST(DATE '2000-03-31' + CAST(91 * p + 32 AS INTEGER) AS DATE) AS available_on, CAST(1000 + 10 * p + issuer AS DECIMAL(28,6)) AS value FROM g")
+@query("WITH g AS (SELECT c_custkey AS issuer, p FROM customer, range(20) u(p)) SELECT 'E' || issuer AS entity_id, CAST(DATE '2000-03-31' + CAST(91 * p AS INTEGER) AS DATE) AS period_end, CAST(DATE '2000-03-31' + CAST(91 * p + 30 AS INTEGER) AS DATE) AS filed_on, CAST(DATE '2000-03-31' + CAST(91 * p + 32 AS INTEGER) AS DATE) AS available_on, CAST(1000 + 10 * p + issuer AS DECIMAL(28,6)) AS value FROM g")
 def corpus_generate(spark, d):
-    return generate.performance_corpus(spark, entities=40).select("entity_id", "period_end", "filed_on", "available_on", "value")
+    """The performance corpus with an entity for each customer."""
+    customers = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("i"))
+    return generate.performance_facts(customers).select("entity_id", "period_end", "filed_on", "available_on", "value")
 
 
 @query(FACTS + f", found AS ({_findings_sql('facts', 'record_id')}) SELECT CASE detector WHEN 'lookahead' THEN 'r1' ELSE 'r2' END AS rule_id, CASE detector WHEN 'lookahead' THEN 'blocking' ELSE 'warning' END AS action, severity AS detail, count(*) AS results FROM found WHERE (detector = 'lookahead' AND severity IN ('medium', 'high')) OR detector = 'duplicate' GROUP BY ALL")

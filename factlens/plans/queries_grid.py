@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlens.operators import dispatch, impact, inject, ranks
+from factlens.operators import dispatch, impact, inject, pit, ranks, review
 from factlens.plans import benchmark
-from factlens.plans.queries import AS_OF, DRIFT_SQL, DUP_SQL, ELIGIBLE_DUP, LOOK_SQL, OVER_SQL, RESULTS_SQL, SEEN, SERIES_SQL, _aggregate_sql, query
+from factlens.plans.queries import AS_OF, DRIFT_SQL, DUP_SQL, ELIGIBLE_DRIFT, ELIGIBLE_DUP, LOOK_SQL, OVER_SQL, RESULTS_SQL, SEED, SEEN, SERIES_SQL, _aggregate_sql, _pick_sql, query
 from factlens.sources import testdata
 
 #: Two seeds of each open class; with four families and three severities 48 cases with a fault, and four controls.
@@ -115,3 +115,36 @@ def impact_growth_all(spark, d):
 def canonical_order(spark, d):
     """Every fact's place in the canonical order of a sorted sink."""
     return ranks.total_rank(testdata.facts_orders(spark, d), ["entity_id", "concept", "period_end", "filed_on", "record_id"], "place").select("record_id", "place")
+
+
+@query(GRID_SQL + "SELECT case_id, CASE WHEN fault_profile = 'duplicate' THEN 'incomplete' ELSE status END AS status FROM res WHERE fault_profile = 'duplicate' OR status <> 'ok'")
+def benchmark_incomplete(spark, d):
+    """Cases of the grid that are still to be run, where those of one family have not been."""
+    return benchmark.incomplete(grid(spark), _dispatched(spark, d).results.filter("fault_profile != 'duplicate'"))
+
+
+_YEARS = "sum(value) FILTER (WHERE period_end BETWEEN DATE '1995-01-01' AND DATE '1995-12-31') AS a, sum(value) FILTER (WHERE period_end BETWEEN DATE '1996-01-01' AND DATE '1996-12-31') AS b"
+_RANKS = "SELECT entity_id, row_number() OVER (ORDER BY round(CAST(b - a AS DOUBLE) / abs(CAST(a AS DOUBLE)), 9) DESC, entity_id) AS rank FROM (SELECT entity_id, {years} FROM {table} GROUP BY entity_id) WHERE a <> 0 AND b IS NOT NULL"
+
+
+@query("WITH " + testdata.FACTS_SQL + f", {ELIGIBLE_DRIFT}, m AS ({_pick_sql('elig', 'unit_drift', '0.05')}), f2 AS (SELECT f.entity_id, f.period_end, CAST(CASE WHEN m.record_id IS NULL THEN f.value ELSE f.value * 1000 END AS DECIMAL(28,6)) AS value FROM facts f LEFT JOIN m USING (record_id)), r1 AS ({_RANKS.format(years=_YEARS, table='facts')}), r2 AS ({_RANKS.format(years=_YEARS, table='f2')}) SELECT entity_id, r1.rank AS clean_rank, r2.rank AS other_rank FROM r1 FULL JOIN r2 USING (entity_id) WHERE r1.rank IS DISTINCT FROM r2.rank")
+def impact_ranking_change(spark, d):
+    """Entities whose place by growth is another one once values have drifted."""
+    clean = testdata.facts_orders(spark, d)
+    drifted = inject.inject_unit_drift(clean, AS_OF, "medium", SEED)[0]
+    years = ("1995-01-01", "1995-12-31"), ("1996-01-01", "1996-12-31")
+    return impact.ranking_change(impact.growth_ranking(clean, *years), impact.growth_ranking(drifted, *years))
+
+
+@query("WITH " + testdata.LINEAGES_SQL + f", snap AS (SELECT *, row_number() OVER (PARTITION BY lineage_id ORDER BY seq DESC) AS r FROM lineages WHERE {SEEN}) SELECT record_id FROM snap WHERE r = 1 AND lineage_id LIKE '%-3'")
+def snapshot_inconsistent(spark, d):
+    """Rows of a stored snapshot that are not those of the one built from history: values of third line items were changed."""
+    built = pit.snapshot(testdata.lineages_lineitem(spark, d), AS_OF)
+    stored = built.withColumn("value", F.when(F.col("lineage_id").endswith("-3"), F.col("value") + 1).otherwise(F.col("value")).cast("decimal(28,6)"))
+    return impact.inconsistent(stored.drop("lineage_id", "seq"), built.drop("lineage_id", "seq"))
+
+
+@query("WITH " + testdata.FACTS_SQL + " SELECT entity_id, count(DISTINCT form) AS partitions FROM facts GROUP BY entity_id HAVING count(DISTINCT form) > 1")
+def entity_overlap(spark, d):
+    """Entities that lie in more than one partition, where forms are taken as partitions."""
+    return review.disjoint_violations(pit.sanitize(testdata.facts_orders(spark, d)), "form")

@@ -1,4 +1,4 @@
-"""Generated inputs: expectations, the performance corpus, and a cohort with growth and hash-derived wobble."""
+"""Derived inputs: expectations, and the performance corpus."""
 
 from __future__ import annotations
 
@@ -25,24 +25,13 @@ def _fact(entity: Column, concept: Column, period_end: Column, value: Column, fi
     return [stable_id("rec", name, key).alias("record_id"), entity.alias("entity_id"), *[c.alias(n) for n, c in text.items()], value.cast("decimal(28,6)").alias("value"), F.array().cast(DIMENSIONS).alias("dimensions"), F.lit("instant").alias("period_type"), F.lit(None).cast("date").alias("period_start"), period_end.alias("period_end"), filed.alias("filed_on"), available.alias("available_on")]
 
 
-def performance_corpus(spark: SparkSession, entities: int, periods: int = 20, start: str = "2000-03-31") -> DataFrame:
-    """Facts of `periods` quarters of 91 days for each entity; filed after 30 days and available after 2 more."""
-    rows = spark.range(entities * periods).select((F.col("id") / periods).cast("long").alias("i"), (F.col("id") % periods).cast("int").alias("p"))
+def performance_facts(entities: DataFrame, periods: int = 20, start: str = "2000-03-31") -> DataFrame:
+    """Facts of `periods` quarters of 91 days for each row of `entities` (i: a number); filed after 30 days and available after 2 more."""
+    rows = entities.select(F.col("i").cast("long").alias("i")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(periods - 1))))
     end = F.date_add(F.lit(start).cast("date"), F.col("p") * 91)
     return rows.select(*_fact(F.concat(F.lit("E"), "i"), F.lit("Revenue"), end, 1000 + 10 * F.col("p") + F.col("i"), F.date_add(end, 30), F.date_add(end, 32), "performance"))
 
 
-def wobble(seed: str, *parts: Column) -> Column:
-    """-1 to 1 by the hash of the parts."""
-    h = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), *parts), 256), 1, 8), 16, 10).cast("long")
-    return ((h % 20001) - 10000).cast("decimal(12,4)") / 10000
-
-
-def cohort(spark: SparkSession, issuers: int, concepts: tuple[str, ...], quarters: int, seed: str, growth: str = "0.03") -> DataFrame:
-    """Issuer x concept x quarter facts: base value, growth by quarter and wobble; rounded half to even at two digits."""
-    rows = spark.range(issuers * quarters).select((F.col("id") / quarters).cast("long").alias("i"), (F.col("id") % quarters).cast("int").alias("q")).withColumn("concept", F.explode(F.array(*map(F.lit, concepts))))
-    end = F.last_day(F.add_months(F.lit("2001-03-01").cast("date"), F.col("q") * 3))
-    entity = F.concat(F.lit("I"), "i")
-    value = F.bround((1000 + F.col("i") * 10) * F.pow(1 + F.lit(growth).cast("double"), "q") * (1 + wobble(seed, entity, F.col("concept"), F.col("q")).cast("double") / 50), 2)
-    filed = F.date_add(end, 40)
-    return rows.select(*_fact(entity, F.col("concept"), end, value, filed, filed, "cohort"))
+def performance_corpus(spark: SparkSession, entities: int, periods: int = 20, start: str = "2000-03-31") -> DataFrame:
+    """performance_facts of as many entities as are asked for."""
+    return performance_facts(spark.range(entities).withColumnRenamed("id", "i"), periods, start)

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from factlens.functions.ident import stable_id
 from factlens.operators.pit import lineage_violations
 from factlens.schema import DIMENSIONS, FACT, is_token
-from factlens.sources import arrow_source
+from factlens.sources import arrow_source, artifacts
 from factlens.sources.sinks import work_folder
 
 DECIMAL = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?$"
@@ -310,12 +310,8 @@ def read_rows(spark: SparkSession, rows: list[dict], columns: list[str]) -> Data
 
 
 def pinned(spark: SparkSession, path: str, sha256: str, size: int | None = None) -> str:
-    """`path`, if its one file has that hash and size; read by Spark, so any store will do."""
-    rows = spark.read.format("binaryFile").load(path).select("length", F.sha2("content", 256).alias("h")).collect()
-    if len(rows) != 1 or rows[0].h != sha256 or (size is not None and rows[0].length != size):
+    """`path`, if its one file has that hash and size; hashed by an executor piece by piece, so a file of any size will do."""
+    rows = artifacts.file_hashes(spark, path).collect()
+    if len(rows) != 1 or rows[0].sha256 != sha256 or (size is not None and rows[0].size != size):
         raise InvalidDataset("the file is not the pinned one")
     return path
-
-
-def file_sha256(content: bytes) -> str:
-    return hashlib.sha256(content).hexdigest()
