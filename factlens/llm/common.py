@@ -201,10 +201,6 @@ def blocks(batches: Iterator[pa.RecordBatch], cols: list[str], text: str = "text
         yield rows, np.concatenate(parts), np.array(ends)
 
 
-def doc_of(offsets: np.ndarray) -> np.ndarray:
-    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-
-
 def starts_in_one_doc(offsets: np.ndarray, k: int) -> np.ndarray:
     """Starts of runs of k words that do not cross a document's end."""
     n = int(offsets[-1]) - k + 1
