@@ -24,8 +24,6 @@ from factlens.llm.tokens import PLAIN, SPLIT, default_path
 
 #: What a Python worker remembers: nodes of its trie, words with their ids, pairs of tokens.
 NODES, WORDS, PAIRS = 300_000, 350_000, 300_000
-#: Last tokens are remembered by so many last bytes, if no longer end of the word matters.
-TAIL = 6
 #: Longer pieces are encoded alone, without nodes of the trie.
 LONG = 256
 #: Packs so many ids.
@@ -33,6 +31,13 @@ PACK = [struct.Struct(f"<{n}i").pack for n in range(32)]
 NEVER = 1 << 60
 
 
+#: Bytes of the ASCII letters and of the characters from À to ÿ, of which × and ÷ are no letters; their lower case, byte by byte.
+LETTERS = bytes([*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)])
+TIMES, OVER = "×".encode(), "÷".encode()
+LOWER = bytes(b + 32 if 65 <= b < 91 or 0x80 <= b < 0x9F else b for b in range(256))
+MARKS = b".,;:!?"
+
+
 def _byte_chars() -> dict[str, int]:
     """The character that stands for each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -42,14 +47,13 @@ def _byte_chars() -> dict[str, int]:
 BYTES = _byte_chars()
 
 
-def _ending(tails: dict[bytes, int], text: bytes, end: int) -> list[tuple[int, int]]:
-    """(token, its length) of all tokens that text[:end] ends in, the longest first."""
-    found, n = [], 1
-    while n <= end and (t := tails.get(text[end - n : end])) is not None:
-        if t >= 0:
-            found.append((t, n))
-        n += 1
-    return found[::-1]
+def _shared(ordered: list[bytes], most: int = 32) -> list[int]:
+    """How many bytes, up to `most`, each word has in common with the one before it."""
+    if not ordered:
+        return []
+    rows = np.array(ordered, f"S{most}").view(np.uint8).reshape(len(ordered), most)
+    same = rows[1:] == rows[:-1]
+    return [0, *np.where(same.all(axis=1), most, same.argmin(axis=1)).tolist()]
 
 
 class Bpe:
@@ -82,15 +86,15 @@ class Bpe:
             if z in self.made or max(self.made.get(a, -1), self.made.get(b, -1)) >= r:
                 raise ValueError("merges that are not in the order of their making")
             self.rank[a, b], self.parts[z], self.made[z] = r, (a, b), r
-        self.heads = {t[:i] for t in self.inner for i in range(1, len(t) + 1)}
-        #: Every end of a last token, with the token that it is, or -1.
-        self.tails = {t[i:]: -1 for t in self.final for i in range(len(t))} | self.final
+        #: What tokens start with, inside a word and before its last byte.
+        self.heads = {t[:i] for t in self.inner for i in range(1, len(t) + 1)} | {t[:i] for t in self.final for i in range(1, len(t))}
         #: States of the automaton over starts of tokens, the tokens that end in each, and its moves, as they are needed.
         self.states, self.state_of, self.ending, self.moves = [b""], {b"": 0}, [[]], {}
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.words: dict[bytes, bytes] = {}
-        self.ends: dict[bytes, list | None] = {}
+        #: By state and last byte: the last tokens that a word could end in.
+        self.finals: dict[int, list[tuple[int, int]]] = {}
         self._clear_trie()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or ()}
         if any(t.get(k) for t in spec.get("added_tokens") or () for k in ("single_word", "lstrip", "rstrip", "normalized")) or any(regex.search(r"\s", t) for t in self.special):
@@ -99,8 +103,11 @@ class Bpe:
         self.marked = [t.encode() for t in self.special]
         pre, normal = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
         first = (pre.get("pretokenizers") or [{}])[0]
+        #: Words of these letters hold no special token.
+        letters_only = all(t.encode().translate(None, LETTERS + MARKS) for t in self.special)
         #: Whether the fast way to split words is that of this file: lower case, and the one pattern.
         self.plain = any(n.get("type") == "Lowercase" for n in normal.get("normalizers") or ()) and first.get("pattern") == {"Regex": SPLIT.pattern} and first.get("invert") is True
+        self.quick = self.plain and letters_only
 
     def _clear_trie(self) -> None:
         self.child: dict[int, int] = {}
@@ -158,54 +165,58 @@ class Bpe:
         self.moves[state << 8 | byte] = known
         return known
 
-    def _step(self, ending: list[tuple[int, int]], before: list[int], end: int) -> tuple[int, int]:
-        """(token, its length) of `ending` that ends the encoding of the first bytes; before[i]: the last token of i bytes, -1 at the start."""
+    def _step(self, ending: list[tuple[int, int]], last: list[int], line, end: int) -> tuple[int, int]:
+        """(token, its length) of `ending` that ends the encoding of the first `end` bytes; last[line[i]]: the last token of i bytes."""
         known = self.pairs.get
         for t, n in ending:
-            left = before[end - n]
+            left = last[line[end - n]]
             fit = known(left << 20 | t)
             if fit or fit is None and self.fits(left, t):
                 return t, n
         raise ValueError("no token ends a word")
 
-    def _last(self, p: bytes) -> list[tuple[int, int]]:
-        """(token, its length) of all last tokens that the word could end in, the longest first."""
-        end = p[-TAIL:]
-        if (known := self.ends.get(end)) is None:
-            if len(self.ends) >= PAIRS:
-                self.ends.clear()
-            # Where these bytes are an end of a token, longer tokens may end the word too.
-            known = self.ends[end] = None if len(end) == TAIL and end in self.tails else _ending(self.tails, end, len(end))
-        return known if known is not None else _ending(self.tails, p, len(p))
+    def _final(self, move: int) -> list[tuple[int, int]]:
+        """(token, its length) of all last tokens of a word that ends in this byte after this state, the longest first."""
+        if len(self.finals) >= PAIRS:
+            self.finals.clear()
+        text = self.states[move >> 8] + bytes([move & 255])
+        found = self.finals[move] = [(self.final[text[i:]], len(text) - i) for i in range(len(text)) if text[i:] in self.final]
+        return found
 
     def insert(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """The ids of distinct pieces, which are encoded along the trie in sorted order."""
-        last, back, at, step, ends = self.last, self.back, self.at, self._step, self.ends
-        child, moves, pairs, out = self.child, self.moves, self.pairs, {}
-        for p in sorted(pieces):
+        last, back, at, step, finals = self.last, self.back, self.at, self._step, self.finals
+        child, moves, pairs, ending, out = self.child, self.moves, self.pairs, self.ending, {}
+        ordered, line = sorted(pieces), [0]
+        for p, same in zip(ordered, _shared(ordered), strict=True):
             size = len(p)
             if size > LONG:
                 out[p] = self._alone(p)
+                line = [0]
                 continue
-            node, line, before = 0, [0], [-1]
-            for i, byte in enumerate(p[:-1], 1):
+            # The path of the word before is this one's as far as both are the same.
+            same = min(same, size - 1, len(line) - 1)
+            del line[same + 1 :]
+            node = line[same]
+            for i, byte in enumerate(p[same:-1], same + 1):
                 key = node << 8 | byte
                 if key in child:
                     node = child[key]
                 else:
                     move = at[node] << 8 | byte
                     state = moves[move] if move in moves else self._state(at[node], byte)
-                    for t, n in self.ending[state]:
-                        fit = pairs.get(before[i - n] << 20 | t)
-                        if fit or fit is None and self.fits(before[i - n], t):
+                    for t, n in ending[state]:
+                        left = last[line[i - n]]
+                        fit = pairs.get(left << 20 | t)
+                        if fit or fit is None and self.fits(left, t):
                             break
                     node = child[key] = len(last)
                     last.append(t)
                     back.append(line[i - n])
                     at.append(state)
                 line.append(node)
-                before.append(last[node])
-            t, n = step(ends.get(p[-TAIL:]) or self._last(p), before, size)
+            move = at[node] << 8 | p[-1]
+            t, n = step(finals.get(move) or self._final(move), last, line, size)
             node = line[-n]
             if not node:
                 out[p] = PACK[1](t)
@@ -219,13 +230,13 @@ class Bpe:
         return out
 
     def _alone(self, p: bytes) -> bytes:
-        before, size, state = [-1], [0], 0
+        before, size, state, places = [-1], [0], 0, range(len(p) + 1)
         for i, byte in enumerate(p[:-1], 1):
             state = self.moves.get(state << 8 | byte) or self._state(state, byte)
-            t, n = self._step(self.ending[state], before, i)
+            t, n = self._step(self.ending[state], before, places, i)
             before.append(t)
             size.append(n)
-        t, n = self._step(self._last(p), before, len(p))
+        t, n = self._step(self._final(state << 8 | p[-1]), before, places, len(p))
         ids, at = [t], len(p) - n
         while at:
             ids.append(before[at])
@@ -240,20 +251,28 @@ class Bpe:
 
     def split(self, text: str) -> list[bytes]:
         """The pieces that are encoded apart, of text without special tokens: normalized and split as the file says."""
-        if self.plain:
-            if text.isascii():
-                if text.isalpha():
-                    return [text.lower().encode()]
-                if text[-1] in ".,;:!?" and text[:-1].isalpha():
-                    low = text.lower().encode()
-                    return [low[:-1], low[-1:]]
-            if PLAIN.fullmatch(text):
-                low = text.lower()
-                return [low.encode()] if low.isalpha() else [p.encode() for p in SPLIT.findall(low)]
+        if self.plain and PLAIN.fullmatch(text):
+            low = text.lower()
+            return [low.encode()] if low.isalpha() else [p.encode() for p in SPLIT.findall(low)]
         if self.library.normalizer is not None:
             text = self.library.normalizer.normalize_str(text)
         return [bytes(map(BYTES.__getitem__, p)) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
+    def _split_all(self, words) -> dict[bytes, list | tuple]:
+        """word -> its parts, as _parts_of has them. Words of plain letters, and of a mark after them, are split here."""
+        if not self.quick:
+            return {w: self._parts_of(w) for w in words}
+        out = {}
+        for w in words:
+            rest = w.translate(None, LETTERS)
+            if len(rest) > 1 or rest and (rest not in MARKS or not w.endswith(rest) or len(w) == 1) or not w.isascii() and (TIMES in w or OVER in w):
+                out[w] = self._parts_of(w)
+            elif rest:
+                out[w] = (w[:-1].translate(LOWER), rest)
+            else:
+                out[w] = (w.translate(LOWER),)
+        return out
+
     def _parts_of(self, word: bytes) -> list:
         """Pieces (bytes) and ids of special tokens (int) of one word."""
         for t in self.marked:
@@ -279,7 +298,7 @@ class Bpe:
         if len(words) + len(new) > WORDS:
             # Words that came back are kept; most others never do.
             words = self.words = {w: words[w] for w in here if w in words}
-        parts = {w: self._parts_of(w) for w in new}
+        parts = self._split_all(new)
         if len(self.last) > NODES:
             self._clear_trie()
         ids = self.insert(list({p for ps in parts.values() for p in ps if type(p) is bytes}))
