@@ -9,6 +9,7 @@ end at a node exactly one can follow the state it leans on.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 from functools import cached_property, lru_cache
@@ -23,7 +24,7 @@ from factlens.llm import common as C
 from factlens.llm.tokens import PLAIN, SPLIT, default_path
 
 #: What a Python worker remembers: nodes of its trie, words with their ids, pairs of tokens.
-NODES, WORDS, PAIRS = 300_000, 350_000, 300_000
+NODES, WORDS, PAIRS = 200_000, 300_000, 200_000
 #: Longer pieces are encoded alone, without nodes of the trie.
 LONG = 256
 #: Packs so many ids.
@@ -388,8 +389,33 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids") -> DataFram
     return out.select(*[F.col(f"row.`{c}`") for c in df.columns], "decoded")
 
 
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of `docs` (doc_id, text): encoded and decoded in one pass.
+
+    The digests are of the ids in decimal, joined by one space, and of the decoded text. A null text has no ids, so both are of the empty text.
+    Repeated rows give repeated results; an empty table stays empty; other columns are not read.
+    """
+    path = path or default_path()
+
+    def run(batches):
+        model, table = bpe(path), names(path)
+        decimal = [str(i).encode() for i in range(len(table.table))]
+        for batch in batches:
+            out = ([], [], [])
+            for raw in model.encode(C.as_bytes(batch.column("text"))):
+                ids = np.frombuffer(raw, "<i4").tolist()
+                out[0].append(len(ids))
+                out[1].append(hashlib.sha256(b" ".join([decimal[i] for i in ids])).hexdigest())
+                out[2].append(hashlib.sha256(table.decode(ids).encode()).hexdigest())
+            yield C.record(DIGESTS, doc_id=batch.column("doc_id").to_pylist(), n_tokens=out[0], ids_sha256=out[1], decoded_sha256=out[2])
+
+    C.limit_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(C.tidy(run), DIGESTS)
+
+
 def op11_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token count and digests of ids and decoded text of every document; nulls, repeats and empty tables as in encode and decode."""
-    coded = encode(C.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
-    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decode(coded).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Token count and digests of ids and decoded text of every document; nulls, repeats and empty tables as in digests."""
+    return digests(C.table(spark, sf_dir, "documents"))

@@ -784,13 +784,16 @@ def test_bpe_equals_the_library(spark, edge, mixed):
     assert bpe.decode(bpe.encode(edge.limit(0))).count() == 0
 
 
-def test_bpe_digests(spark):
+def test_bpe_digests(spark, edge):
     lib = library()
     got = {r.doc_id: tuple(r)[1:] for r in bpe.op11_bpe_trie(spark, SF).collect()}
     for r in C.table(spark, SF, "documents").collect():
         ids = lib.encode(r.text or "", add_special_tokens=False).ids
         sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
         assert got[r.doc_id] == (len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False)))
+    empty = (0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest())
+    rows = bpe.digests(edge).collect()
+    assert len(rows) == edge.count() and {tuple(r)[1:] for r in rows if r.doc_id in (2, 3, 4)} == {empty} and bpe.digests(edge.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("alphabet", ["ab", "aeinorst", "=-_|*!", "theand'sll", "aé漢ß😀\u0301 \u03a3\u0130\u212a\u00a0\x1c", "the <|endoftext|>"])
