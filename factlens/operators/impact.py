@@ -30,15 +30,18 @@ def record_count(facts: DataFrame) -> DataFrame:
     return facts.groupBy("state").agg(F.count("*").cast("decimal(38,6)").alias("figure"))
 
 
-def cohort_mean(expectations: DataFrame, facts: DataFrame, as_of: date | str) -> DataFrame:
+def cohort_mean(expectations: DataFrame, facts: DataFrame, as_of: date | str, several: str = "raise") -> DataFrame:
     """Sum over count of observed due expectations, per state, in decimals; null where none is observed.
 
-    Several facts that meet one expectation are an error of the data: they raise, as which one counts is not known.
+    Several facts that meet one expectation are an error of the data: they raise, as which one counts is not known. With `several`
+    "count" every one of them is an observation of its own: the mean is that of all facts that were expected.
     """
+    if several not in ("raise", "count"):
+        raise ValueError(f"several must be raise or count, not {several}")
     due = expectations.filter(F.col("expected_by") <= F.lit(str(as_of)).cast("date"))
     key = ["entity_id", "concept_namespace", "concept", "unit", "period_end"]
     seen = facts.filter(visible(as_of)).join(due.select(*key, "expected_observation_id"), key)
-    each = seen.groupBy("state", "expected_observation_id").agg(F.first("value").alias("value"), F.count("*").alias("n"))
+    each = seen.groupBy("state", "expected_observation_id").agg(F.first("value").alias("value"), F.count("*").alias("n")) if several == "raise" else seen.withColumn("n", F.lit(1))
     once = each.withColumn("value", F.when(F.col("n") == 1, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("several facts meet "), "expected_observation_id")).cast("decimal(28,6)")))
     mean = once.groupBy("state").agg((F.sum("value") / F.count("*").cast("decimal(20,0)")).cast("decimal(38,6)").alias("figure"))
     return facts.select("state").distinct().join(mean, "state", "left")

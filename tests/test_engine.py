@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
@@ -283,6 +283,21 @@ def test_cohort_mean_is_null_without_observations_and_refuses_several(spark):
         impact.cohort_mean(exp, impact.states(clean=facts(spark, fact(1), fact(2))), "2021-01-01").collect()
 
 
+def test_cohort_mean_counts_every_fact_of_an_expectation(spark, compare, tmp_path):
+    """Two orders of one customer on an expected day: the mean is that of both, as in SQL."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from factlens.plans.queries import ORACLE, QUERIES
+
+    days = [D("1995-03-31"), D("1995-03-31"), D("1996-06-30")]
+    orders = {"o_orderkey": [1, 2, 3], "o_custkey": [7, 7, 8], "o_orderstatus": ["O"] * 3, "o_totalprice": [10.0, 30.5, 2.25], "o_orderdate": [datetime(d.year, d.month, d.day) for d in days], "o_orderpriority": ["1-URGENT"] * 3}
+    pq.write_table(pa.table(orders), tmp_path / "orders.parquet")
+    pq.write_table(pa.table({"c_custkey": [7, 8, 9]}), tmp_path / "customer.parquet")
+    compare(QUERIES["impact_cohort_mean"], ORACLE["impact_cohort_mean"], str(tmp_path))
+    assert QUERIES["impact_cohort_mean"](spark, str(tmp_path)).first().figure == Decimal("14.25")
+
+
 def test_policy_rules_are_checked(spark):
     with pytest.raises(ValueError, match="reason"):
         policy.DetectorRule("r", "lookahead", enabled=False)
