@@ -84,7 +84,7 @@ def expectations_of(facts: DataFrame, as_of: date | str, context: str, scope: tu
     return facts.filter(visible(as_of)).select(*scope, F.concat(F.lit("exp-"), "record_id").alias("expected_observation_id"), F.lit(context).alias("context"), *EXPECTED_KEY, "period_start", "dimensions", F.col("available_on").alias("expected_by"))
 
 
-def missing_evaluation(clean: DataFrame, as_of: date | str, mechanisms: tuple[str, ...], severity: str, seed: int, most: int) -> DataFrame:
+def missing_evaluation(clean: DataFrame, as_of: date | str, mechanisms: tuple[str, ...], severity: str, seed: int, most: int, bound_whole: bool = True) -> DataFrame:
     """A row for each mechanism: removes facts by it, detects what is missing, scores the findings against the removed rows.
 
     A removed fact of which a copy stays is missed, as its expectation is met. All mechanisms are scored in one plan: the rows that any of
@@ -96,7 +96,7 @@ def missing_evaluation(clean: DataFrame, as_of: date | str, mechanisms: tuple[st
         raise DirtyControl("expectations are not met by the clean facts")
     spark = clean.sparkSession
     path = f"{work_folder(spark)}/gone"
-    chosen = missing_targets(clean, as_of, mechanisms, severity, seed, most)
+    chosen = missing_targets(clean, as_of, mechanisms, severity, seed, most, bound_whole)
     chosen.write.parquet(path)
     gone = spark.read.schema(chosen.schema).parquet(path)
     # Rows of one hash stand for those of one key; a hash that two keys share only adds rows that change nothing.
