@@ -158,6 +158,32 @@ def test_missing_replay_restores(spark, mechanism):
     assert tuple(replay.residual(clean, replay.replay("missing", corrupted, manifest)).first()) == (0, 0)
 
 
+def test_a_whole_group_goes_whatever_its_size_if_asked(spark):
+    clean = generate.performance_corpus(spark, 4)
+    with pytest.raises(inject.NoEligibleTarget, match="10 are allowed"):
+        inject.inject_missing(clean, "2030-01-01", "source_outage", "low", 1, 10)
+    kept, manifest = inject.inject_missing(clean, "2030-01-01", "source_outage", "low", 1, 10, bound_whole=False)
+    assert kept.count() == 0 and manifest.count() == clean.count()
+    # A mechanism that takes a fraction keeps its bound.
+    assert inject.inject_missing(clean, "2030-01-01", "random", "high", 1, 10, bound_whole=False)[1].count() == 10
+    single = clean.dropDuplicates(["entity_id", "period_end"])
+    rows = {r.mechanism: r for r in score.missing_evaluation(single, "2030-01-01", ("random", "source_outage"), "low", 1, 10, bound_whole=False).collect()}
+    assert rows["source_outage"].targets == rows["source_outage"].true_positives == single.count() > 10 and 0 < rows["random"].targets <= 10
+
+
+@pytest.mark.parametrize(("n", "fraction", "most"), [(1, "0.02", 5), (9, "0.05", 5), (4000, "0.02", 10_000), (4000, "0.10", 150), (4000, "0.50", 10_000)])
+def test_targets_are_ranked_apart(spark, n, fraction, most):
+    """The first by digest, whatever their number; ranking them takes a task for each bucket, not one for all."""
+    import hashlib
+
+    df = spark.range(n).select(F.concat(F.lit("r"), "id").alias("u"), "id").repartition(5)
+    got = series.select_targets(df, "u", "x", 7, fraction, most)
+    digest = lambda i: hashlib.sha256(f'{{"eligibility_unit_id":"r{i}","namespace":"x","seed":7}}'.encode()).hexdigest()
+    want = sorted(range(n), key=lambda i: (digest(i), f"r{i}"))[: series.target_count(n, fraction, most)]
+    assert [(r.id, r.target_rank) for r in got.orderBy("target_rank").collect()] == [(i, k) for k, i in enumerate(want)]
+    assert "Window" not in got._jdf.queryExecution().toString() and got.columns == ["u", "id", "digest", "target_rank"]
+
+
 def test_results_do_not_depend_on_order_or_partitions(spark):
     df = generate.performance_corpus(spark, 6)
     base = sorted(inject.inject_unit_drift(df, "2030-01-01", "high", 2)[0].select("record_id", "value").collect())
