@@ -178,9 +178,11 @@ def resolve_exceptions(results: DataFrame, exceptions: DataFrame, dataset_name:
     """Each result with its most specific exception: effective_action (null: waived), exception_id, ambiguous.
 
     An exception's pattern says which scope fields it sets. A result asks, for every pattern in use (32 at most), for exceptions of
-    its rule with its own values of these fields: an equality join on one key, however many exceptions a rule has. A record fits a
-    result that it is one of. Where two exceptions of the most fields fit, the plan raises, or says `ambiguous` if not
-    `strict` (the action is then that of the smaller exception_id). With `dataset_name`, exceptions for other datasets are left out.
+    its rule with its own values of these fields: an equality join on one key, however many exceptions a rule has. Exceptions are
+    configuration and broadcast, so results of one rule, which share keys, do not meet in one task, and only patterns that name a
+    record shuffle them. A record fits a result that it is one of. Where two exceptions of the most fields fit, the plan raises, or says
+    `ambiguous` if not `strict` (the action is then that of the smaller exception_id). With `dataset_name`, exceptions for other
+    datasets are left out.
     """
     r = results.withColumn("result_id", stable_id("res", F.col("rule_id"), F.col("affected")))
     if "dataset_name" in exceptions.columns:
@@ -189,21 +191,31 @@ def resolve_exceptions(results: DataFrame, exceptions: DataFrame, dataset_name:
     used = sorted(x.pattern for x in exceptions.select(pattern.alias("pattern")).distinct().collect())  # of 32 at most
     given = exceptions.withColumn("pattern", pattern)
     fields = [F.col(f"x_{c}") for c in SCOPE]
-    keyed = F.coalesce(F.lit(None).cast("array<string>"), *[F.when(F.col("pattern") == p, _key(F.col("rule_id"), p, fields)) for p in used])
-    fewer = lambda p: F.lit(bin(p).count("1"))
-    size = F.coalesce(*[F.when(F.col("pattern") == p, fewer(p)) for p in used], F.lit(0))
-    given = given.select(keyed.alias("key"), size.alias("specificity"), F.struct("exception_id", "effect", "override").alias("x"))
+    x = F.struct("exception_id", "effect", "override").alias("x")
     own = [F.lit(None), *[F.col(c) for c in SCOPE[1:]]]
-    plain = [_key(F.col("rule_id"), p, own) for p in used if not p & 1]
-    with_record = lambda p: F.transform(F.split("affected", r"\|"), lambda i: _key(F.col("rule_id"), p, [i, *own[1:]]))
-    by_record = [with_record(p) for p in used if p & 1]
-    keys = F.flatten(F.array(F.array(*plain) if plain else F.array().cast("array<array<string>>"), *by_record)) if used else F.array().cast("array<array<string>>")
+    size = lambda p: F.lit(bin(p).count("1")).alias("specificity")
+    keyed = lambda p: given.filter(F.col("pattern") == p).select(_key(F.col("rule_id"), p, fields).alias("key"), size(p), x).distinct()
     # A null among a result's values fits no exception that sets the field.
-    asked = r.select("result_id", F.explode(F.array_distinct(F.filter(keys, lambda k: ~F.exists(k, lambda v: v.isNull())))).alias("key"))
-    hits = asked.join(given, "key").distinct()
-    best = hits.groupBy("result_id", "specificity").agg(F.min("x").alias("x"), F.count("*").alias("n")).groupBy("result_id").agg(F.max_by(F.struct("x", "n"), F.col("specificity")).alias("b"))
-    best = best.select("result_id", "b.x", (F.col("b.n") > 1).alias("ambiguous"))
-    out = r.join(best, "result_id", "left")
+    whole = lambda key: ~F.exists(key, lambda v: v.isNull())
+    best = lambda: F.struct("specificity", "x", "n")  # noqa: E731  of a pattern: the smallest exception and how many there are
+    out, hits = r, []
+    for p in (p for p in used if not p & 1):
+        each = keyed(p).groupBy("key", "specificity").agg(F.min("x").alias("x"), F.count("*").alias("n")).select("key", best().alias(f"_hit{p}"))
+        key = _key(F.col("rule_id"), p, own)
+        out = out.withColumn("key", F.when(whole(key), key)).join(F.broadcast(each), "key", "left").drop("key")
+        hits.append(F.col(f"_hit{p}"))
+    if by_record := [p for p in used if p & 1]:
+        keys = F.flatten(F.array(*[F.transform(F.split("affected", r"\|"), lambda i: _key(F.col("rule_id"), p, [i, *own[1:]])) for p in by_record]))
+        asked = r.select("result_id", F.explode(F.array_distinct(F.filter(keys, whole))).alias("key"))
+        found = asked.join(F.broadcast(reduce(DataFrame.unionByName, map(keyed, by_record))), "key").distinct()
+        found = found.groupBy("result_id", "specificity").agg(F.min("x").alias("x"), F.count("*").alias("n")).groupBy("result_id").agg(F.max_by(best(), F.col("specificity")).alias("_hit"))
+        out = out.join(found, "result_id", "left")
+        hits.append(F.col("_hit"))
+    kind = "struct<specificity: int, x: struct<exception_id: string, effect: string, override: string>, n: bigint>"
+    all_hits = F.array_compact(F.array(*hits)) if hits else F.array().cast(f"array<{kind}>")
+    out = out.withColumn("_all", all_hits).withColumn("_most", F.array_max(F.transform("_all", lambda h: h.specificity)))
+    out = out.withColumn("_best", F.filter("_all", lambda h: h.specificity == F.col("_most")))
+    out = out.withColumn("x", F.array_min(F.transform("_best", lambda h: h.x))).withColumn("ambiguous", F.aggregate("_best", F.lit(0).cast("long"), lambda n, h: n + h.n) > 1)
     action = F.when(F.col("x").isNull(), F.col("action")).when(F.col("x.effect") == "override_action", F.col("x.override"))
     if strict:
         action = F.when(F.col("ambiguous"), F.raise_error(F.concat(F.lit("several exceptions fit equally: rule "), "rule_id", F.lit(", "), "affected")).cast("string")).otherwise(action)

@@ -63,6 +63,15 @@ def test_a_hundred_thousand_exceptions_of_one_rule(spark):
     assert sorted((r.entity_id, r.exception_id) for r in out.collect()) == sorted((f"E{i // 2}", f"x{i // 2}") for i in range(30))
 
 
+def test_results_of_one_rule_do_not_meet_in_one_task(spark):
+    """All results share a key where an exception names the concept alone: results are not shuffled for it, nor put together again."""
+    rows = [{"exception_id": "a", "rule_id": "r", "effect": "waive", "reason": "z", "concept": "c"}, {"exception_id": "b", "rule_id": "r", "effect": "waive", "reason": "z", "concept": "c", "entity_id": "E3"}]
+    out = policy.resolve_exceptions(results(spark, 30), policy.exceptions_table(spark, rows))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(result_id" not in plan
+    assert sorted((r.entity_id, r.exception_id) for r in out.collect()) == sorted((f"E{i // 2}", "b" if i // 2 == 3 else "a") for i in range(30))
+
+
 def test_exceptions_of_another_dataset_do_not_fit(spark):
     df = results(spark, 2)
     rows = [{"exception_id": "a", "rule_id": "r", "effect": "waive", "reason": "z", "dataset_name": "one"}]
