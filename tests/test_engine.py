@@ -420,6 +420,14 @@ def test_first_of_groups_has_its_own_count_for_each_group(spark):
         assert got == want
 
 
+def test_first_of_groups_does_not_shuffle_rows_to_find_needed_buckets(spark):
+    from factlens.operators import ranks
+
+    df = spark.createDataFrame([("a", 1, "00abc1", 1)], "g string, i int, h string, w int")
+    plan = ranks.first_of_groups(df, ["g"], "h", "i", "w")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_total_rank_and_sorted_sink(spark, tmp_path):
     from factlens.operators import ranks
 
