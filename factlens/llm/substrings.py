@@ -154,6 +154,34 @@ def _estimated(t: pa.Table, hot: int) -> pa.Table:
     return pa.Table.from_batches([out, C.record(HITS, dkey=[None], keys=[(often | np.uint64(slice_) << S32).astype("<u8").tobytes()])])
 
 
+PACKED = "target int, docs binary, sizes binary, keys binary"
+
+
+def _dealt(t: pa.Table, targets: int) -> pa.Table:
+    """The hits of one block by the target of their document, a row a target; without a target: the hot anchors.
+
+    A row a document and block would be more rows with every block that the data add.
+    """
+    parts: dict[int | None, tuple[list, list, list]] = {}
+    for d, k in zip(t.column("dkey").to_pylist(), t.column("keys").to_pylist(), strict=True):
+        for x, y in zip(parts.setdefault(None if d is None else d % targets, ([], [], [])), (d or 0, len(k), k), strict=True):
+            x.append(y)
+    return pa.Table.from_batches([C.record(PACKED, target=list(parts), docs=[np.array(d, "<i8").tobytes() for d, _, _ in parts.values()], sizes=[np.array(n, "<i8").tobytes() for _, n, _ in parts.values()], keys=[b"".join(k) for _, _, k in parts.values()])])
+
+
+ASKED = "dkey long, hits binary"
+
+
+def _by_document(t: pa.Table) -> pa.Table:
+    """All hits of the documents of one target, a row a document."""
+    hits: dict[int, list[bytes]] = {}
+    for docs, sizes, keys in zip(*(t.column(c).to_pylist() for c in ("docs", "sizes", "keys")), strict=True):
+        ends = np.cumsum(np.frombuffer(sizes, "<i8")).tolist()
+        for d, a, b in zip(np.frombuffer(docs, "<i8").tolist(), [0, *ends], ends, strict=False):
+            hits.setdefault(d, []).append(keys[a:b])
+    return pa.Table.from_batches([C.record(ASKED, dkey=list(hits), hits=[b"".join(x) for x in hits.values()])])
+
+
 def _zipped(docs: DataFrame, keep: list[str]) -> DataFrame:
     """`docs` with its text compressed, for a shuffle."""
     schema = T.StructType([*docs.select(*keep).schema, T.StructField("z", T.BinaryType())])
@@ -178,7 +206,7 @@ def candidates(docs: DataFrame, size: int, slices: int, blocks: int, hot) -> Dat
         for rows, h, offsets in C.blocks(batches, ["idk", "tkey", "hits"], text="z", fold=zstandard.ZstdDecompressor().decompress):
             starts, doc, anchor, first = _anchors(h, offsets, size)
             if len(starts):
-                asked = [np.frombuffer(b"".join(r[2]), "<u4").astype(np.uint64) | np.uint64(i) << S32 for i, r in enumerate(rows) if r[:2] not in seen and not seen.add(r[:2])]
+                asked = [np.frombuffer(r[2], "<u4").astype(np.uint64) | np.uint64(i) << S32 for i, r in enumerate(rows) if r[:2] not in seen and not seen.add(r[:2])]
                 asked = np.sort(np.concatenate(asked)) if asked else np.empty(0, np.uint64)
                 ok = np.repeat(_within(anchor[first] & LOW32 | doc[first].astype(np.uint64) << S32, asked), np.diff(np.append(first, len(starts))))
                 starts, doc, anchor = starts[ok], doc[ok], anchor[ok]
@@ -269,14 +297,14 @@ KEPT = "kept_text string, n_words long, n_removed long"
 
 
 def repeated_anchors(spark: SparkSession, docs: DataFrame, size: int, total: int) -> tuple[DataFrame, np.ndarray, int]:
-    """(dkey, keys) of the documents with anchors estimated to repeat, the hot anchors, and the number of blocks."""
+    """(dkey, hits) of the documents with anchors estimated to repeat, the hot anchors, and the number of blocks."""
     blocks = max(C.shuffle_partitions(spark), total // BLOCK_BYTES)
     # Anchors are no more than words, and words no more than half the bytes: so at most HOT_KEYS are counted so often.
     hot = max(HOT, -(-total // 2 // HOT_KEYS))
-    found = sketches(docs, size, blocks).groupBy("slice").applyInArrow(C.tidy_group(lambda t: _estimated(t, hot)), HITS)
+    found = sketches(docs, size, blocks).groupBy("slice").applyInArrow(C.tidy_group(lambda t: _dealt(_estimated(t, hot), blocks)), PACKED)
     found = C.Scratch(spark, "substrings").write(found, "hits")
-    often = [np.frombuffer(r["keys"], "<u8") for r in found.filter("dkey IS NULL AND length(keys) > 0").collect()]
-    return found.filter("dkey IS NOT NULL"), np.sort(np.concatenate(often)) if often else np.empty(0, "<u8"), blocks
+    often = [np.frombuffer(r["keys"], "<u8") for r in found.filter("target IS NULL AND length(keys) > 0").collect()]
+    return found.filter("target IS NOT NULL").groupBy("target").applyInArrow(C.tidy_group(_by_document), ASKED), np.sort(np.concatenate(often)) if often else np.empty(0, "<u8"), blocks
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, size: int = 20) -> DataFrame:
@@ -294,7 +322,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, size: int = 20) -> Da
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(C.shuffle_partitions(spark), total // SLICE_BYTES)
     found, hot, blocks = repeated_anchors(spark, keyed, size, total)
-    asked = _zipped(keyed, ["idk", "tkey", "dkey"]).join(found.groupBy("dkey").agg(F.collect_list("keys").alias("hits")), "dkey")
+    asked = _zipped(keyed, ["idk", "tkey", "dkey"]).join(found, "dkey")
     windows = candidates(asked.select("idk", "tkey", "z", "hits"), size, slices, blocks, spark.sparkContext.broadcast(hot))
     runs = windows.groupBy("slice").applyInArrow(C.tidy_group(_repeats), RUNS)
     gone = runs.groupBy(F.col("idk").alias("own_idk"), F.col("tkey").alias("own_tkey")).agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))

@@ -13,6 +13,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factlens.llm import common as C
 from factlens.llm import bpe, centroids, divergence, jaccard, packing, quality, queries, sharding, substrings, templates, tokens, toxicity, urls
@@ -178,6 +179,20 @@ def test_a_full_sketch_and_hot_anchors_lose_nothing(spark, mixed, monkeypatch, h
     assert got == {k: v[0] for k, v in brute_substrings(texts_of(mixed), 20).items()}
 
 
+def test_hits_of_a_block_are_a_row_a_target(spark, mixed, tmp_path):
+    """Rows between the blocks and the documents grow with neither documents times blocks nor hits; each document gets all its hits in one row."""
+    keyed = mixed.select(C.id_key().alias("idk"), F.xxhash64("text").alias("tkey"), F.xxhash64("doc_id", "text").alias("dkey"), "text")
+    found, _, blocks = substrings.repeated_anchors(spark, keyed, 20, 2000 * substrings.BLOCK_BYTES)
+    assert blocks == 2000
+    rows = found.collect()
+    assert len({r.dkey for r in rows}) == len(rows) and all(len(r.hits) % 4 == 0 and r.hits for r in rows)
+    t = C.record(substrings.HITS, dkey=[*range(-500, 500), None], keys=[bytes(4 * (1 + i % 3)) for i in range(1000)] + [bytes(8)])
+    dealt = substrings._dealt(__import__("pyarrow").Table.from_batches([t]), 7)
+    assert dealt.num_rows == 8
+    back = {r["dkey"]: len(r["hits"]) for i in range(7) for r in substrings._by_document(dealt.filter([x == i for x in dealt.column("target").to_pylist()])).to_pylist()}
+    assert back == {d: 4 * (1 + i % 3) for i, d in enumerate(range(-500, 500))}
+
+
 def test_the_sketch_passes_few_unique_anchors(spark):
     """No block is held to a size: of anchors that occur once, few are estimated to repeat, however many blocks there are."""
     rng = np.random.default_rng(5)
