@@ -14,6 +14,7 @@ counts a member and not all its pairs; what is then left in other components is
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -38,6 +39,8 @@ SMALL = 32
 #: While more pairs than this are open for each class of the larger groups, and get fewer, further partners are tried before all are
 #: counted: HUBS in the largest component of a group and as many outside, STARS times at most.
 OPEN_PAIRS, HUBS, STARS = 8, 8, 5
+#: With fewer classes in larger groups the pairs of so many are counted all the same: that takes less time than further partners.
+FEW_CLASSES = 125_000
 #: Candidate (class, block) pairs that are broadcast to fetch texts; beyond, a shuffle join does it.
 BROADCAST_ROWS = 500_000
 FLUSH = 400_000
@@ -127,7 +130,8 @@ def frequency_classes(parts: DataFrame, width: int) -> tuple[np.ndarray, np.ndar
         return pa.table({"slice": pa.array([t.column("slice")[0].as_py()], pa.int32()), "level": pa.array([level.tobytes()], pa.binary()), "used": pa.array([np.bincount(level, weights=total, minlength=64).astype("<i8").tobytes()], pa.binary())})
 
     levels, used = np.zeros(max(width, 1 << 16), np.uint8), np.zeros(64)
-    for r in parts.groupBy("slice").applyInArrow(merge, "slice int, level binary, used binary").toLocalIterator(prefetchPartitions=True):
+    # A byte a cell, as they are broadcast: one job, not one for each shuffle partition.
+    for r in parts.groupBy("slice").applyInArrow(merge, "slice int, level binary, used binary").collect():
         levels[r.slice << 16 : (r.slice + 1) << 16] = np.frombuffer(r.level, np.uint8)
         used += np.frombuffer(r.used, "<i8")
     return levels[:width], _bounds(used)
@@ -337,7 +341,7 @@ def components_of(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int
     named = scratch.write(members.join(classes, "sid"), "named")
 
     def linked(targets: DataFrame, shaped: bool) -> DataFrame:
-        return _linked(spark, docs, targets, k, percent, shared, bounds, broadcast_rows, shaped)
+        return _linked(scratch, docs, targets, k, percent, shared, bounds, broadcast_rows, shaped)
 
     links = scratch.write(linked(_star(named.withColumns({"hub": F.col("leader"), "comp": F.lit(None).cast("binary")}), block_sets, small), False), "links-0")
     comps, last = scratch.write(components(spark, links, scratch, "comps-0"), "roots-0"), None
@@ -347,10 +351,11 @@ def components_of(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int
         now, many = known.agg(F.sum(pairs), F.count("*")).first()
         if not now:
             break
-        final = turn > STARS or now <= open_pairs * many or (last is not None and now > 0.8 * last)
+        final = turn > STARS or now <= open_pairs * max(many, FEW_CLASSES) or (last is not None and now > 0.8 * last)
         targets = _across(known, block_sets) if final else _star(_hubs(known, turn), block_sets, 0)
         more = scratch.write(linked(targets, True), f"links-{turn}")
-        links = links.unionByName(more)
+        # What was linked before is linked through its root.
+        links = comps.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
         comps = scratch.write(components(spark, links, scratch, f"comps-{turn}"), f"roots-{turn}")
         if final:
             break
@@ -397,11 +402,12 @@ def _across(known: DataFrame, block_sets: int) -> DataFrame:
     return asks.select(*ASKED).unionByName(gives.select(*ASKED)).groupBy(*ASKED[:-1]).agg(F.sum("role").cast("int").alias("role"))
 
 
-def _linked(spark: SparkSession, docs: DataFrame, targets: DataFrame, k: int, percent: int, shared, bounds: np.ndarray, broadcast_rows: int, shaped: bool) -> DataFrame:
+def _linked(scratch: C.Scratch, docs: DataFrame, targets: DataFrame, k: int, percent: int, shared, bounds: np.ndarray, broadcast_rows: int, shaped: bool) -> DataFrame:
     """(u, v) of the pairs of targets whose partial overlaps, summed over the fragments, reach the bound."""
     asked = targets.groupBy("sid", "idk", "tkey", "n", "comp").agg(F.collect_list(F.struct("hub", "block", "role")).alias("targets"))
+    asked = scratch.write(asked, f"asked-{uuid.uuid4().hex[:8]}")
     size = asked.agg(F.sum(F.size("targets")).alias("targets"), F.sum(F.col("n") * F.size("targets")).alias("shingles")).first()
-    tasks = max(C.shuffle_partitions(spark), int(size["shingles"] or 0) // 1_000_000)
+    tasks = max(C.shuffle_partitions(scratch.spark), int(size["shingles"] or 0) // 1_000_000)
     asked = asked.select("sid", "idk", "tkey", "comp", "targets")
     asked = F.broadcast(asked) if (size["targets"] or 0) <= broadcast_rows else asked.hint("merge")
     # A class is fetched by one document: the least doc_id, and of its texts one. Others of that id do not come along.

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factlens.llm import common as C
-from factlens.llm import bpe, centroids, divergence, jaccard, packing, quality, queries, sharding, substrings, templates, tokens, toxicity, urls
+from factlens.llm import bpe, centroids, components, divergence, jaccard, packing, quality, queries, sharding, substrings, templates, tokens, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -268,6 +268,30 @@ def test_a_pair_in_several_groups_is_summed_once(spark, monkeypatch):
     assert got == brute_jaccard(docs, 2, 80)
 
 
+@pytest.mark.parametrize("nodes", [200_000, 0])
+def test_components_end_without_another_round(spark, monkeypatch, nodes):
+    """Against union by hand, joined by broadcast and by shuffle; links that are components already take one round, not one more to see it."""
+    monkeypatch.setattr(components, "BROADCAST_NODES", nodes)
+    rng, written = random.Random(8), []
+
+    class Counted(C.Scratch):
+        def write(self, df, name):
+            written.append(name)
+            return super().write(df, name)
+
+    def roots(links):
+        written.clear()
+        return {r.node: r.root for r in components.components(spark, spark.createDataFrame(links, "u long, v long"), Counted(spark, "links"), "c").collect()}
+
+    assert roots([(9, i) for i in range(10, 40)] + [(3, 4), (3, 3)]) == dict.fromkeys(range(9, 40), 9) | {3: 3, 4: 3} and len(written) == 2
+    links = [(i, i + 1) for i in range(500, 560)] + [(rng.randrange(200), rng.randrange(200)) for _ in range(110)]
+    root: dict = {}
+    for u, v in (e for e in links if e[0] != e[1]):
+        a, b = root.setdefault(u, u), root.setdefault(v, v)
+        root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    assert roots(links) == root and roots([(5, 5)]) == {}
+
+
 @pytest.mark.parametrize("shape", [lambda s: b"", lambda s: np.bincount(s.astype(np.int64) % 16, minlength=16).astype("<u4").tobytes()])
 def test_partial_overlaps_sum_to_the_whole(shape):
     """Sets cut into fragments: the partial counts of all fragments sum to the overlap; pairs out of reach may count less."""
