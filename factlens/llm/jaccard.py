@@ -9,7 +9,7 @@ decide. No task sees a whole set. A piece that overlaps too little for its pair
 reach the bound sends nothing, nor does one whose whole sets cannot share enough by the counts of their keys' last bits.
 A group of few candidates counts all its pairs, SMALL / 2 a member at most. In larger ones all are counted against few partners
 first (the least class, then others), and pairs of one component are not counted, so a large group of near copies costs a few
-counts a member and not all its pairs; what is then left in other components is counted, every pair.
+counts a member and not all its pairs; what is then left in other components, or is little to begin with, is counted, every pair.
 """
 
 from __future__ import annotations
