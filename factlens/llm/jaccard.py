@@ -9,7 +9,7 @@ decide. No task sees a whole set. A piece that overlaps too little for its pair
 reach the bound sends nothing, nor does one whose whole sets cannot share enough by the counts of their keys' last bits.
 A group of few candidates counts all its pairs, SMALL / 2 a member at most. In larger ones all are counted against few partners
 first (the least class, then others), and pairs of one component are not counted, so a large group of near copies costs a few
-counts a member and not all its pairs; what is then left in other components, or is little to begin with, is counted, every pair.
+counts a member and not all its pairs; what is then left in other components, or is a few pairs a member to begin with, is counted, every pair.
 """
 
 from __future__ import annotations
@@ -39,7 +39,8 @@ SMALL = 32
 #: While more pairs than this are open for each class of the larger groups, and get fewer, further partners are tried before all are
 #: counted: HUBS in the largest component of a group and as many outside, STARS times at most.
 OPEN_PAIRS, HUBS, STARS = 8, 8, 5
-#: With fewer classes in larger groups the pairs of so many are counted all the same: that takes less time than further partners.
+#: With fewer classes in larger groups the pairs of so many are counted all the same, once a turn of further partners has joined what
+#: links densely: that takes less time than further turns. Without that turn a group of near copies would make links by the square of its size.
 FEW_CLASSES = 125_000
 #: Candidate (class, block) pairs that are broadcast to fetch texts; beyond, a shuffle join does it.
 BROADCAST_ROWS = 500_000
@@ -351,7 +352,7 @@ def components_of(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int
         now, many = known.agg(F.sum(pairs), F.count("*")).first()
         if not now:
             break
-        final = turn > STARS or now <= open_pairs * max(many, FEW_CLASSES) or (last is not None and now > 0.8 * last)
+        final = turn > STARS or now <= open_pairs * many or (last is not None and (now <= open_pairs * FEW_CLASSES or now > 0.8 * last))
         targets = _across(known, block_sets) if final else _star(_hubs(known, turn), block_sets, 0)
         more = scratch.write(linked(targets, True), f"links-{turn}")
         # What was linked before is linked through its root.

@@ -292,6 +292,28 @@ def test_components_end_without_another_round(spark, monkeypatch, nodes):
     assert roots(links) == root and roots([(5, 5)]) == {}
 
 
+def test_near_copies_make_no_links_by_the_square(spark, monkeypatch):
+    """A large group of which its leader links with none gets few partners first, however few its open pairs are."""
+    base, many, star_of, write_of, links = [f"w{i}" for i in range(100)], 150, jaccard._star, C.Scratch.write, {}
+    docs = [(i, " ".join(w if j != 5 + i % 90 else f"x{i}" for j, w in enumerate(base))) for i in range(many)]
+
+    def star(named, block_sets, small):
+        targets = star_of(named, block_sets, small)
+        return targets.filter("sid = hub") if small else targets
+
+    def write(self, df, name):
+        out = write_of(self, df, name)
+        if name.startswith("links-"):
+            links[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "_star", star)
+    monkeypatch.setattr(C.Scratch, "write", write)
+    got = jaccard.jaccard_components(spark, spark.createDataFrame(docs, "doc_id long, text string"), 5, 80).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == many
+    assert links["links-0"] == 0 and max(links.values()) <= 2 * jaccard.HUBS * many < many * (many - 1) // 2
+
+
 @pytest.mark.parametrize("shape", [lambda s: b"", lambda s: np.bincount(s.astype(np.int64) % 16, minlength=16).astype("<u4").tobytes()])
 def test_partial_overlaps_sum_to_the_whole(shape):
     """Sets cut into fragments: the partial counts of all fragments sum to the overlap; pairs out of reach may count less."""
