@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -12,7 +13,7 @@ from factlens.functions.ident import canonical_decimal, snapshot_digest
 from factlens.operators import detect, impact, inject, pit, policy, replay, review, score, series
 from factlens.plans import benchmark
 from factlens.schema import AUDIT_COLUMNS, FACT, fact_errors
-from factlens.sources import companyfacts, generate, mapping, sinks
+from factlens.sources import companyfacts, generate, mapping, sinks, testdata
 
 D = date.fromisoformat
 
@@ -444,3 +445,19 @@ def test_total_rank_and_sorted_sink(spark, tmp_path):
     import pyarrow.parquet as pq
 
     assert [tuple(r.values()) for f in files for r in pq.read_table(f).to_pylist()] == want
+
+
+def test_revisions_are_shuffled_once_and_without_unused_columns(spark, monkeypatch):
+    """Line items meet their orders where the window has put them; targets of overwrites are stored with their own columns alone."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        history = testdata.lineages_lineitem(spark, "/root/testdata/sf0.001")
+        plan = history._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
+    asked, of = [], inject.select_targets
+    monkeypatch.setattr(inject, "select_targets", lambda rows, *a: asked.append(rows.columns) or of(rows, *a))
+    inject.inject_revision_overwrite(pit.snapshot(history, "1999-01-01").drop("lineage_id", "seq"), history, "1999-01-01", "medium", 3)
+    assert asked == [["record_id", *inject.LATER, "later"]]
