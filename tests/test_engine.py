@@ -461,3 +461,23 @@ def test_revisions_are_shuffled_once_and_without_unused_columns(spark, monkeypat
     monkeypatch.setattr(inject, "select_targets", lambda rows, *a: asked.append(rows.columns) or of(rows, *a))
     inject.inject_revision_overwrite(pit.snapshot(history, "1999-01-01").drop("lineage_id", "seq"), history, "1999-01-01", "medium", 3)
     assert asked == [["record_id", *inject.LATER, "later"]]
+
+
+def test_figures_of_a_grid_shuffle_no_rows(spark, monkeypatch):
+    """Figures and the comparison of repaired rows are sums a case; a repair that puts nothing back is seen."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from factlens.operators import dispatch
+
+    d, plans, write = "/root/testdata/sf0.001", {}, DataFrameWriter.parquet
+
+    def parquet(self, path, *more, **options):
+        plans[path.rsplit("/", 1)[1]] = self._df._jdf.queryExecution().optimizedPlan().toString()
+        return write(self, path, *more, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    monkeypatch.setattr(dispatch, "repair", lambda corrupted, originals, columns: corrupted.select("case_id", *columns))
+    cases = benchmark.expand(spark, seeds=(0,)).filter("kind = 'fault' AND severity = 'high'")
+    got = dispatch.dispatch(spark, cases, testdata.facts_orders(spark, d), testdata.lineages_lineitem(spark, d), "1999-01-01").results.collect()
+    assert len(got) == 4 and not any(r.restored for r in got if r.faults)
+    assert "Aggregate [case_id" in plans["results"] and not re.search(r"Aggregate \[case_id#\d+, record_id", plans["results"])
