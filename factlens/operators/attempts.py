@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factlens.functions.ident import digest_of_rows, row_digest
 from factlens.operators.detect import DETECTORS, run_detectors
-from factlens.operators.pit import lineage_violations, sanitize, snapshot
+from factlens.operators.pit import lineage_violations, sanitize, snapshot, with_lineage
 from factlens.schema import FACT
 from factlens.sources import mapping
 from factlens.sources.sinks import exists, store_text, work_folder
@@ -106,7 +106,7 @@ def _audit(spark: SparkSession, raw: DataFrame, m: mapping.Mapping, as_of, root:
     own = facts.withColumn("source_row_key", F.concat_ws("/", "partition", "source_row_key"))
     # A partition's name may hold a slash itself; the lineage's entry is found again through its rows.
     broken = lineage_violations(own.drop("partition"))
-    named = own.select("partition", F.regexp_extract("source_row_key", r"(?s)^(.+)#r([1-9][0-9]*)$", 1).alias("lineage_id"))
+    named = with_lineage(own).filter("lineage_id IS NOT NULL").select("partition", "lineage_id")
     ambiguous = named.join(broken.select("lineage_id").distinct(), "lineage_id", "left_semi").select("partition").distinct().withColumn("ambiguous", F.lit(True))
     counts = rows.groupBy("partition").agg(F.count("*").alias("records"), F.count("problem").alias("bad"))
     state = keys.join(counts, "partition", "left").join(ambiguous, "partition", "left")

@@ -109,7 +109,7 @@ def _marked(raw: DataFrame, m: Mapping, keep: tuple[str, ...] = ()) -> DataFrame
     rows = raw.select(*[m.text(n).alias(n) for n in ("entity_id", "entity_name", "concept_namespace", "concept", "value", "unit", "period_type", "period_start", "period_end", "filed_on", "available_on", "form", "accession_number", "source_name", "source_locator", "source_row_key", "lineage", "sequence")], *[F.col(f"`{c}`").cast("string").alias(f"_dim_{a}") for a, c in m.dimensions.items()], *PLACE, *keep)
     number = F.when(F.col("value").rlike(DECIMAL), F.col("value").try_cast("decimal(28,6)"))
     exact = number.isNotNull() & (F.length(F.regexp_extract("value", r"\.([0-9]+?)0*$", 1)) <= 6)
-    day = {n: F.when(F.col(n).rlike(DATE), F.try_to_date(n, "yyyy-MM-dd")) for n in ("period_start", "period_end", "filed_on", "available_on")}
+    day = {n: F.when(F.col(n).rlike(DATE) & (F.length(n) == 10), F.col(n).try_cast("date")) for n in ("period_start", "period_end", "filed_on", "available_on")}
     label = F.coalesce(*[F.when(F.col("period_type") == k, F.lit(v)) for k, v in m.period_labels.items()])
     lineage_half = F.col("lineage").isNull() != F.col("sequence").isNull()
     checks = [
@@ -128,16 +128,18 @@ def _marked(raw: DataFrame, m: Mapping, keep: tuple[str, ...] = ()) -> DataFrame
     ]
     problem = F.coalesce(*[F.when(F.coalesce(bad, F.lit(True)), F.struct(F.lit(f"normalization.{code}").alias("error_code"), F.lit(name).alias("error_field"))) for name, bad, code in checks])
     key = F.when(F.col("lineage").isNull(), F.col("source_row_key")).otherwise(F.concat(F.substring(F.sha2("lineage", 256), 1, 16), F.lit("#r"), F.col("sequence")))
-    marked = rows.withColumns({"problem": problem, "row_key": key})
+    dims = F.array_sort(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"_dim_{a}").alias("member")) for a in m.dimensions])) if m.dimensions else F.array().cast(DIMENSIONS)
+    typed = {"value": number, "dimensions": dims, "period_type": label, "available_on": F.coalesce(day["available_on"], day["filed_on"])} | {n: day[n] for n in ("period_start", "period_end", "filed_on")}
+    # Values are parsed once, before rows are dealt by coordinate.
+    marked = rows.select(*[typed.get(f.name, F.col(f.name)).alias(f.name) for f in FACT if f.name != "record_id"], problem.alias("problem"), key.alias("row_key"), *PLACE, *keep)
+    coordinate = (*keep, "source_name", "source_locator", "row_key", F.when(F.col("row_key").isNull(), F.struct(*PLACE)))
     # Of the rows of one coordinate the first one read counts. Rows without a key have a problem already; each is its own group.
-    w = Window.partitionBy(*keep, "source_name", "source_locator", "row_key", F.when(F.col("row_key").isNull(), F.struct(*PLACE))).orderBy(*PLACE)
+    # The hash goes first, as it tells almost all apart by one comparison.
+    w = Window.partitionBy(F.xxhash64(*coordinate), *coordinate).orderBy(*PLACE)
     marked = marked.withColumn("problem", F.coalesce("problem", F.when(F.col("row_key").isNotNull() & (F.row_number().over(w) > 1), F.struct(F.lit("normalization.duplicate_source_identity").alias("error_code"), F.lit("source_row_key").alias("error_field")))))
-    dims = F.array_sort(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"_dim_{a}").alias("member")) for a in m.dimensions])) if m.dimensions else F.array().cast(DIMENSIONS)
-    typed = {"record_id": stable_id("rec", F.col("source_name"), F.col("source_locator"), F.col("row_key")), "value": number, "dimensions": dims, "period_type": label, "available_on": F.coalesce(day["available_on"], day["filed_on"]), "source_row_key": F.col("row_key")} | {n: day[n] for n in ("period_start", "period_end", "filed_on")}
-    shown = F.when(F.col("problem").isNull(), F.col("row_key")).otherwise(F.col("source_row_key"))
-    typed["source_row_key"] = shown
+    made = {"record_id": stable_id("rec", F.col("source_name"), F.col("source_locator"), F.col("row_key")), "source_row_key": F.when(F.col("problem").isNull(), F.col("row_key")).otherwise(F.col("source_row_key"))}
     origin = {"available_on": {"metadata": {"availability": m.availability()}}}
-    return marked.select(*[typed.get(f.name, F.col(f.name)).alias(f.name, **origin.get(f.name, {})) for f in FACT], "problem", *PLACE, *keep)
+    return marked.select(*[made.get(f.name, F.col(f.name)).alias(f.name, **origin.get(f.name, {})) for f in FACT], "problem", *PLACE, *keep)
 
 
 class InvalidDataset(ValueError):

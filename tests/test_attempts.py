@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import shutil
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from factlens.operators import attempts, detect, inject, manifest, pit
+from factlens.functions.ident import digest_of_rows
+from factlens.operators import attempts, detect, inject, manifest, pit, series
+from factlens.plans import queries_audit
+from factlens.schema import is_token
 from factlens.sources import mapping, testdata
 
 from .test_engine import fact, facts
@@ -122,3 +126,39 @@ def test_nothing_is_injected_into_unclean_facts(spark):
         with pytest.raises((manifest.UnfitFacts, pit.AmbiguousHistory)):
             manifest.require_clean(facts(spark, *bad))
     assert inject.FRACTIONS
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["audit_attempt_isolated", "audit_attempt_retried", "audit_final"])
+def test_a_delivery_is_derived_once_and_then_read(spark, monkeypatch, name):
+    given = []
+    for step in ("run_attempt", "finalize"):
+        real = getattr(attempts, step)
+        monkeypatch.setattr(attempts, step, lambda *a, real=real, **k: (given.append(a[1]), real(*a, **k))[1])
+    getattr(queries_audit, name)(spark, "/root/testdata/sf0.001").collect()
+    assert given and not any("Exchange" in plan(raw) for raw in given)
+
+
+def test_series_are_sorted_once_and_rows_without_a_copy_are_not_listed(spark):
+    rows = facts(spark, *[fact(i, record_id=f"r{i}", entity_id=f"e{i // 3}", accession_number=f"a{i // 3}") for i in range(7)])
+    assert plan(detect.unit_drift(rows, "2022-01-01")).count("Sort [") == 1
+    found = detect.exact_duplicates(rows, "2022-01-01")
+    steps = plan(found)
+    assert "Window" in steps and steps.count("Exchange hashpartitioning") == 1
+    assert sorted((r.affected, r.members) for r in found.collect()) == [("r0|r1|r2", 3), ("r3|r4|r5", 3)]
+    assert sorted(r.members for r in series.duplicate_groups(rows, "2022-01-01").collect()) == [1, 3, 3]
+
+
+def test_digests_dates_and_tokens_are_what_they_were(spark):
+    h = [c * 64 for c in "0f"] + ["0123456789abcdef" * 4] * 3
+    sums = "|".join(["5", *[str(sum(int(x[16 * i : 16 * i + 16], 16) for x in h)) for i in range(4)]])
+    assert spark.createDataFrame([(x,) for x in h], "h string").agg(digest_of_rows(F.col("h")).alias("d")).first().d == hashlib.sha256(sums.encode()).hexdigest()
+    days = ["2020-02-29", "2021-02-29", "2020-01-01\n", " 2020-01-01", "0001-01-01", "2020-1-1", "9999-12-31", "2020-01-01T00:00", "2020-00-10"]
+    got = mapping.marked_rows(raw(spark, *[("e", "1", "2020-01-01", d, f"k{i}", "a") for i, d in enumerate(days)]), M, ("partition",)).select("source_row_key", F.col("filed_on").cast("string").alias("d")).collect()
+    assert {r.source_row_key: r.d for r in got if r.d} == {"k0": "2020-02-29", "k4": "0001-01-01", "k6": "9999-12-31"}
+    tokens = ["a", "a b", " a", "a\n", "a\u00a0", "\u00a0a", "\u00e9", "a\tb", "", "x" * 512, "x" * 513, "\u00e9" * 513, "a\x7f", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t string").filter(is_token(F.col("t"))).collect()
+    assert sorted(r.i for r in got) == [0, 1, 6, 9]
